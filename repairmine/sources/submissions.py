@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repairmine.functions.clean import strip_unit, trim_ends
+from repairmine.functions.dicts import LANGUAGE, VERDICT, encode
 from repairmine.sources.tables import read_table
 
 # Fixed text of the view; shared with the DuckDB oracles (as a CTE).
@@ -31,11 +33,13 @@ from {orders}
 """
 
 SUB_CTE = "sub AS (" + SUB_SELECT.replace("{orders}", "orders") + ")"
+# spark.sql(..., orders=df) formats the text: literal braces are doubled.
+_SUB_SPARK = SUB_SELECT.replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}")
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``sub`` view over ``orders`` (lazy; Catalyst prunes unused columns)."""
-    return spark.sql(SUB_SELECT, orders=read_table(spark, sf_dir, "orders"))
+    return spark.sql(_SUB_SPARK, orders=read_table(spark, sf_dir, "orders"))
 
 
 def problems(sub: DataFrame) -> DataFrame:
@@ -57,3 +61,18 @@ def problem_user_rows(sub: DataFrame, problem_name: str, user_id: str,
     if language is not None:
         cond = cond & (F.col("language") == language)
     return sub.where(cond)
+
+
+def typed_submissions(sub: DataFrame, problem_df: DataFrame | None = None) -> DataFrame:
+    """S2 read step: left join the problem tags (J1; a dimension, which AQE
+    broadcasts only when its measured size is under the threshold), strip units (P1), parse the time (P2), split tags (P3), drop the
+    first and last character of the code (P4), encode language and verdict
+    (P5; raw values kept)."""
+    pr = problems(sub) if problem_df is None else problem_df
+    return (sub.join(pr, "problem_name", "left")
+            .select("id", "problem_name", "user_id", "problem_user_id", "language",
+                    encode(F.col("language"), LANGUAGE).alias("language_code"), "status",
+                    encode(F.col("status"), VERDICT).alias("status_code"),
+                    strip_unit(F.col("time"), "ms").alias("time"), strip_unit(F.col("memory"), "KB").alias("memory"),
+                    F.to_timestamp(F.col("submit_time").cast("string")).alias("submit_time"),
+                    F.split("tags", ":", -1).alias("tags"), trim_ends(F.col("code")).alias("code")))
