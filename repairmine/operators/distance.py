@@ -60,6 +60,28 @@ def encode_symbols(tokens: DataFrame, group_cols: list[str], doc_col: str,
                     F.transform("_l", lambda x: x["t"]).alias("toks")))
 
 
+def symbolize(df: DataFrame, group_cols: list[str], toks_col: str = "toks", key=None,
+              out_col: str = "seq") -> DataFrame:
+    """Token arrays -> symbol strings, numbered per group.
+
+    The group's vocabulary (distinct tokens, bounded by the group's
+    alphabet, not its row count) becomes one map, joined to the texts of the
+    group; texts are never exploded and re-collected. ``key`` (U1) maps a
+    token Column to the value compared for equality. Null token arrays give
+    a null sequence.
+    """
+    k = (lambda c: c) if key is None else key
+    vocab = (df.select(*group_cols, F.explode(toks_col).alias("_t"))
+             .select(*group_cols, k(F.col("_t")).alias("_k")).distinct()
+             .withColumn("_r", F.dense_rank().over(Window.partitionBy(*group_cols).orderBy("_k"))))
+    maps = vocab.groupBy(*group_cols).agg(
+        F.map_from_entries(F.collect_list(F.struct("_k", symbol_of(F.col("_r"))))).alias("_map"))
+    return (df.join(maps, group_cols, "left")
+            .withColumn(out_col, F.when(F.col(toks_col).isNotNull(), F.array_join(
+                F.transform(toks_col, lambda t: F.try_element_at(F.col("_map"), k(t))), "")))
+            .drop("_map"))
+
+
 def token_distance(a: Column, b: Column, bound: int | None = None) -> Column:
     """Distance of two symbol strings; with ``bound``: -1 above it."""
     return F.levenshtein(a, b) if bound is None else F.levenshtein(a, b, bound)
@@ -105,6 +127,7 @@ def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str
     cond = notnull[0]
     for c in notnull[1:]:
         cond = cond & c
+    cond = cond & F.col(seq_col).isNotNull()
     fa = (failing.where(cond).select(*keys, F.col(seq_col).alias("_a")).distinct()
           .withColumn("_la", F.length("_a")))
     pb = (passing.where(cond).groupBy(*keys, F.col(seq_col).alias("_b"))

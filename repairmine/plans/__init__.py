@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills the registry."""
 
-from repairmine.plans import relational, text, weeks  # noqa: F401
+from repairmine.plans import mining, relational, text, weeks  # noqa: F401
 from repairmine.plans.registry import ORACLES, QUERIES  # noqa: F401

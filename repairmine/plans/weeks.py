@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from repairmine.operators.distance import nearest_partner
 from repairmine.operators.edits import apply_sql, matrix_sql, script_sql, script_text
 from repairmine.plans.registry import register
+from repairmine.plans.sqltext import d_matrix, d_script, d_script_text
 from repairmine.sources.tables import read_table
 
 
@@ -86,14 +87,19 @@ def q_nearest_week(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("distance").cast("bigint").alias("distance"))
 
 
-@register("edit_script", oracle="WITH " + _WEEKS_CTE + """
-SELECT user_id, week, distance AS n_acts, seq AS applied, 1 AS round_trip
-FROM best WHERE distance >= 0""")
+_D_SCRIPT = d_script_text(d_script("mat", "seq", "similar_seq", lambda i: f"substr(seq, {i}, 1)",
+                                     lambda j: f"substr(similar_seq, {j}, 1)"))
+
+
+@register("edit_script", oracle="WITH " + _WEEKS_CTE + f"""
+, w AS (SELECT *, {d_matrix("seq", "similar_seq")} AS mat FROM best WHERE distance >= 0)
+SELECT user_id, week, distance AS n_acts, {_D_SCRIPT} AS script, seq AS applied, 1 AS round_trip FROM w""")
 def q_edit_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Script size equals the distance and applying it to the partner
-    gives the failing sequence (D6, D7)."""
+    """The script from the passing week to the failing one; its size is
+    the distance and applying it (D6) gives the failing sequence (D7)."""
     s = week_scripts(read_table(spark, sf_dir, "events"))
     return s.select("user_id", "week", F.size("acts").cast("bigint").alias("n_acts"),
+                    script_text(F.col("acts")).alias("script"),
                     F.array_join("applied", "").alias("applied"),
                     (F.array_join("applied", "") == F.col("seq")).cast("int").alias("round_trip"))
 
