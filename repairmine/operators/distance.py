@@ -14,9 +14,12 @@ Nearest search never builds the full failing x passing product of a group:
 * candidate pairs come from a band join on sequence length
   (``|len_a - len_b| <= k`` is a lower bound of the distance), as an
   equi-join on ``(group, length bucket)``;
-* without a bound, bands widen in rounds: a failing sequence whose best
-  partner within band ``k`` has distance ``<= k`` is exact (anything outside
-  the band is farther), so only unresolved rows go to the next round.
+* groups are split by their number of distinct pairs: a small group
+  (``n_fail * n_pass <= pair_limit``) is compared directly; only large (hot)
+  groups use length bands, and without a bound the bands widen in rounds: a
+  failing sequence whose best partner within band ``k`` has distance
+  ``<= k`` is exact (anything outside the band is farther), so only
+  unresolved rows go to the next round.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ MAX_CODE_POINT = 0x10FFFF
 SYMBOLS_PER_GROUP = MAX_CODE_POINT - SYMBOL_BASE
 
 # Widths of the widening length bands for unbounded nearest search.
-DEFAULT_BANDS = (8, 64)
+DEFAULT_BANDS = (16, 128)
+# Largest distinct-pair count of a group compared without bands.
+DEFAULT_PAIR_LIMIT = 4096
 
 
 def symbol_of(rank: Column) -> Column:
@@ -87,12 +92,16 @@ def token_distance(a: Column, b: Column, bound: int | None = None) -> Column:
     return F.levenshtein(a, b) if bound is None else F.levenshtein(a, b, bound)
 
 
-def _band_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int | None) -> DataFrame:
+def _band_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int | None,
+                     bound: int | None = None) -> DataFrame:
     """Pairs (failing seq, passing seq) of a group with ``|la - lb| <= band``,
-    with their distance if it is at most ``band``."""
+    with their distance if it is at most ``band``. Without a band: every pair
+    of the (small) group, distance cut at ``bound`` if given."""
     if band is None:
         cand = fa.join(pb, keys)
-        return cand.withColumn("_d", F.levenshtein("_a", "_b"))
+        if bound is None:
+            return cand.withColumn("_d", F.levenshtein("_a", "_b"))
+        return cand.withColumn("_d", F.levenshtein("_a", "_b", bound)).where(F.col("_d") >= 0)
     width = max(band, 1)
     pbb = pb.withColumn("_bk", F.floor(F.col("_lb") / width))
     fab = fa.withColumn("_bk", F.explode(F.sequence(F.floor(F.greatest(F.col("_la") - band, F.lit(0)) / width),
@@ -113,7 +122,7 @@ def _best(cand: DataFrame, keys: list[str]) -> DataFrame:
 
 def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str],
                     id_col: str = "id", seq_col: str = "seq", max_distance: int | None = None,
-                    bands=DEFAULT_BANDS) -> DataFrame:
+                    bands=DEFAULT_BANDS, pair_limit: int = DEFAULT_PAIR_LIMIT) -> DataFrame:
     """For each failing row, the passing row of its group with the
     smallest token distance (ties: smallest id).
 
@@ -134,20 +143,27 @@ def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str
           .agg(F.min(id_col).alias("_pid"))
           .withColumn("_lb", F.length("_b")))
 
-    if max_distance is not None:
-        if max_distance < 1:
-            best = _best(_band_candidates(fa, pb, keys, None), keys)
-        else:
-            best = _best(_band_candidates(fa, pb, keys, max_distance - 1), keys)
+    if max_distance is not None and max_distance < 1:
+        max_distance = None
+    bound = None if max_distance is None else max_distance - 1
+
+    # split groups by their distinct-pair count
+    sizes = (fa.groupBy(*keys).agg(F.count("*").alias("_nf"))
+             .join(pb.groupBy(*keys).agg(F.count("*").alias("_np")), keys)
+             .select(*keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small")))
+    fa = fa.join(sizes, keys)
+    small, big = fa.where("_small").drop("_small"), fa.where(~F.col("_small")).drop("_small")
+
+    best = _best(_band_candidates(small, pb, keys, None, bound), keys)
+    if bound is not None:
+        best = best.unionByName(_best(_band_candidates(big, pb, keys, bound), keys))
     else:
-        found = None
-        todo = fa
+        todo = big
         for band in bands:
             b = _best(_band_candidates(todo, pb, keys, band), keys)
-            found = b if found is None else found.unionByName(b)
+            best = best.unionByName(b)
             todo = todo.join(b.select(*keys, "_a"), [*keys, "_a"], "left_anti")
-        rest = _best(_band_candidates(todo, pb, keys, None), keys)
-        best = rest if found is None else found.unionByName(rest)
+        best = best.unionByName(_best(_band_candidates(todo, pb, keys, None), keys))
 
     best = best.select(*keys, F.col("_a").alias(seq_col), "_m")
     return (failing.join(best, [*keys, seq_col], "left")

@@ -26,7 +26,7 @@ from repairmine.plans.registry import register
 from repairmine.plans.relational import groups_with_both
 from repairmine.plans.sqltext import d_matrix, d_script, d_script_text, q
 from repairmine.plans.text import D_CLEAN_CTE, D_PIECE, D_SUBT, clean_corpus, d_ref_lines, d_ref_name
-from repairmine.session import ensure_checkpoint_dir
+from repairmine.session import ensure_checkpoint_dir, materialize
 from repairmine.sources.submissions import submissions, typed_submissions
 
 TOKEN_CAP = 2000          # C9: texts with more tokens get none
@@ -40,9 +40,14 @@ GROUP = ["problem_user_id", "refs"]
 def tokenized(cs: DataFrame) -> DataFrame:
     """C9 + K1 + L2: token array (null for texts with preprocessor words or
     over the cap) and the reference-name key of each cleaned text."""
-    toks = K.tokens_of(F.col("code"))
-    return (cs.withColumn("toks", F.when(~C.has_directive(F.col("code")) & K.within_cap(toks, TOKEN_CAP), toks))
-            .withColumn("refs", F.array_join(L.ref_names(F.col("code")), "\u0001")))
+    # the token array is projected once and referenced twice, so the regex
+    # runs once per text (Catalyst does not inline a non-cheap expression
+    # that is referenced more than once)
+    return (cs.withColumn("_all", K.tokens_of(F.col("code")))
+            .withColumn("toks", F.when(~C.has_directive(F.col("code")) & K.within_cap(F.col("_all"), TOKEN_CAP),
+                                       F.col("_all")))
+            .withColumn("refs", F.array_join(L.ref_names(F.col("code")), "\u0001"))
+            .drop("_all"))
 
 
 _CORPORA: dict = {}
@@ -53,14 +58,24 @@ def mining_corpus(spark: SparkSession, sf_dir: str, key=None, key_name: str = ""
 
     The corpus is read by every branch of a job (both sides of the search,
     the band rounds, the partner join), so its lineage is cut once: it is
-    written with ``checkpoint()`` to the shared ``spark.checkpoint.dir``
-    (reliable, survives lost executors) and reused within the session.
+    written once as a parquet table in the shared ``spark.checkpoint.dir``
+    (survives lost executors) and reused within the session.
     """
     ensure_checkpoint_dir(spark)
     k = (spark.sparkContext.applicationId, sf_dir, key_name)
     if k not in _CORPORA:
-        cs = tokenized(clean_corpus(typed_submissions(submissions(spark, sf_dir))))
-        _CORPORA[k] = symbolize(cs, ["problem_user_id"], "toks", key=key).checkpoint(eager=True)
+        base = (spark.sparkContext.applicationId, sf_dir, "")
+        if base not in _CORPORA:
+            # one pass of the regex work, written before any filter, so the
+            # cleaning is not evaluated again inside a pushed-down predicate
+            ty = typed_submissions(submissions(spark, sf_dir)).where(
+                F.col("problem_name").isNotNull() & F.col("user_id").isNotNull() & F.col("code").isNotNull())
+            cleaned = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
+                "code", C.clean_code(F.col("code")))
+            _CORPORA[base + ("tok",)] = materialize(spark, tokenized(cleaned).withColumn(
+                "_keep", C.is_ascii(F.col("code")) & (F.col("code") != "")), "tokenized")
+        tk = _CORPORA[base + ("tok",)].where("_keep").drop("_keep")
+        _CORPORA[k] = materialize(spark, symbolize(tk, ["problem_user_id"], "toks", key=key), "corpus")
     return _CORPORA[k]
 
 

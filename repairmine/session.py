@@ -60,3 +60,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table inside the shared folder."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table in the shared
+    checkpoint folder and reading it back (computed once; a lost executor
+    later re-reads files instead of recomputing the plan). Every call gets a
+    fresh folder, so concurrent jobs never share one."""
+    import uuid
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
