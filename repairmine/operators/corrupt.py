@@ -100,27 +100,162 @@ def random_edit(toks: Column, idents: Column, seed, doc: Column, d: Column) -> C
                     replacement(act, frm, idents, seed, doc, d).alias("to"))
 
 
+# Mutators and their weights in the reference's table (x10);
+# the reference job runs with the random mutator only.
+MUTATORS = ("random", "identifier", "brace", "brace_pair", "semicolon", "return", "pointer")
+ALL_MUTATOR_WEIGHTS = (644, 73, 77, 85, 70, 31, 30)
+RANDOM_ONLY = (1, 0, 0, 0, 0, 0, 0)
+BRACES = ("{", "}", "(", ")")
+EDIT_TYPE = "struct<draw:int,act:int,pos:int,frm:string,to:string>"
+
+
+def _edit(d, act, pos, frm, to) -> Column:
+    return F.struct(d.cast("int").alias("draw"), F.lit(act).cast("int").alias("act"), pos.cast("int").alias("pos"),
+                    frm.alias("frm"), to.alias("to"))
+
+
+def _pick_pos(cands: Column, seed, doc, d, tag) -> Column:
+    return F.when(F.size(cands) > 0, F.element_at(cands, (F.pmod(draw(seed, doc, d, tag), F.size(cands)) + 1)
+                                                  .cast("int")))
+
+
+def mutator_edits(kind: str, toks: Column, idents: Column, seed, doc: Column, d: Column) -> Column:
+    """The edits of one mutator at a drawn matching position (empty
+    when the text has no matching position)."""
+    empty = F.array().cast(f"array<{EDIT_TYPE}>")
+    n = F.size(toks)
+    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+
+    def where(pred):
+        return F.filter(idx, lambda i: (i < n) & F.coalesce(pred(F.try_element_at(toks, i + 1)), F.lit(False)))
+
+    def tok(p):
+        return F.element_at(toks, p + 1)
+    if kind == "random":
+        return F.array(random_edit(toks, idents, seed, doc, d))
+    if kind == "identifier":        # M10: change an identifier
+        p = _pick_pos(where(lambda t: F.array_contains(idents, t)), seed, doc, d, "mp")
+        out = F.array(_edit(d, CHANGE, p, tok(p), replacement(F.lit(CHANGE), tok(p), idents, seed, doc, d)))
+    elif kind == "brace":           # M11: delete a brace or parenthesis
+        p = _pick_pos(where(lambda t: t.isin(*BRACES)), seed, doc, d, "mp")
+        out = F.array(_edit(d, DELETE, p, tok(p), F.lit("")))
+    elif kind == "brace_pair":      # M12: delete an adjacent ( )
+        from repairmine.operators.tokens import window_matches
+        p = _pick_pos(window_matches(toks, [lambda t: t == "(", lambda t: t == ")"]), seed, doc, d, "mp")
+        out = F.array(_edit(d, DELETE, p, tok(p), F.lit("")), _edit(d, DELETE, p + 1, tok(p + 1), F.lit("")))
+    elif kind == "semicolon":       # M13: delete a semicolon
+        p = _pick_pos(where(lambda t: t == ";"), seed, doc, d, "mp")
+        out = F.array(_edit(d, DELETE, p, tok(p), F.lit("")))
+    elif kind == "return":          # M14: delete a whole return ... ;
+        from repairmine.operators.tokens import spans
+        sp = spans(toks, "return", ";")
+        chosen = F.when(F.size(sp) > 0, F.element_at(sp, (F.pmod(draw(seed, doc, d, "mp"), F.size(sp)) + 1)
+                                                     .cast("int")))
+        p = chosen["b"]
+        out = F.transform(F.sequence(chosen["b"], chosen["e"]), lambda i: _edit(d, DELETE, i, tok(i), F.lit("")))
+    elif kind == "pointer":         # M15: drop a * or &, or put one before an identifier
+        ins = F.pmod(draw(seed, doc, d, "mk"), F.lit(2)) == 1
+        pd_ = _pick_pos(where(lambda t: t.isin("*", "&")), seed, doc, d, "mp")
+        pi = _pick_pos(where(lambda t: F.array_contains(idents, t)), seed, doc, d, "mp")
+        val = F.when(F.pmod(draw(seed, doc, d, "mv"), F.lit(2)) == 0, F.lit("*")).otherwise(F.lit("&"))
+        p = F.when(ins, pi).otherwise(pd_)
+        out = F.when(ins, F.array(_edit(d, INSERT_BEFORE, pi, F.lit(""), val))).otherwise(
+            F.array(_edit(d, DELETE, pd_, tok(pd_), F.lit(""))))
+    else:
+        raise ValueError(kind)
+    return F.when(p.isNull(), empty).otherwise(out)
+
+
+def with_mutator_edits(df: DataFrame, kind: str, toks_col: str, idents_col: str, doc_col: str, seed,
+                       d: int = 1, out: str = "edits") -> DataFrame:
+    """M10-M15 as staged projections (candidates -> drawn position -> source
+    token -> edits), so each step is computed once per text."""
+    toks, idents, doc, dc = F.col(toks_col), F.col(idents_col), F.col(doc_col), F.lit(d)
+    n = F.size(toks)
+    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+
+    def where(pred):
+        return F.filter(idx, lambda i: (i < n) & F.coalesce(pred(F.try_element_at(toks, i + 1)), F.lit(False)))
+    if kind == "random":
+        return df.withColumn(out, F.array(random_edit(toks, idents, seed, doc, dc)))
+    ins = F.pmod(draw(seed, doc, dc, "mk"), F.lit(2)) == 1
+    if kind == "identifier":
+        cands = where(lambda t: F.array_contains(idents, t))
+    elif kind in ("brace",):
+        cands = where(lambda t: t.isin(*BRACES))
+    elif kind == "semicolon":
+        cands = where(lambda t: t == ";")
+    elif kind == "brace_pair":
+        from repairmine.operators.tokens import window_matches
+        cands = window_matches(toks, [lambda t: t == "(", lambda t: t == ")"])
+    elif kind == "return":
+        from repairmine.operators.tokens import spans
+        cands = F.transform(spans(toks, "return", ";"), lambda x: x["b"])
+    elif kind == "pointer":
+        cands = F.when(ins, where(lambda t: F.array_contains(idents, t))).otherwise(where(lambda t: t.isin("*", "&")))
+    else:
+        raise ValueError(kind)
+    staged = (df.withColumn("_c", cands)
+              .withColumn("_p", _pick_pos(F.col("_c"), seed, doc, dc, "mp"))
+              .withColumn("_frm", F.when(F.col("_p").isNotNull(), F.element_at(toks, F.col("_p") + 1))))
+    p, frm = F.col("_p"), F.col("_frm")
+    empty = F.array().cast(f"array<{EDIT_TYPE}>")
+    if kind == "identifier":
+        staged = staged.withColumn("_to", replacement(F.lit(CHANGE), frm, idents, seed, doc, dc))
+        e = F.array(_edit(dc, CHANGE, p, frm, F.col("_to")))
+    elif kind in ("brace", "semicolon"):
+        e = F.array(_edit(dc, DELETE, p, frm, F.lit("")))
+    elif kind == "brace_pair":
+        e = F.array(_edit(dc, DELETE, p, frm, F.lit("")),
+                    _edit(dc, DELETE, p + 1, F.element_at(toks, p + 2), F.lit("")))
+    elif kind == "return":
+        from repairmine.operators.tokens import spans
+        staged = staged.withColumn("_e", F.element_at(F.filter(spans(toks, "return", ";"), lambda x: x["b"] == p),
+                                                      1)["e"])
+        e = F.transform(F.sequence(p, F.col("_e")), lambda i: _edit(dc, DELETE, i, F.element_at(toks, i + 1),
+                                                                    F.lit("")))
+    else:  # pointer
+        val = F.when(F.pmod(draw(seed, doc, dc, "mv"), F.lit(2)) == 0, F.lit("*")).otherwise(F.lit("&"))
+        e = F.when(ins, F.array(_edit(dc, INSERT_BEFORE, p, F.lit(""), val))).otherwise(
+            F.array(_edit(dc, DELETE, p, frm, F.lit(""))))
+    return (staged.withColumn(out, F.when(p.isNull(), empty).otherwise(e))
+            .drop("_c", "_p", "_frm", "_to", "_e"))
+
+
 def edit_count(seed, doc: Column) -> Column:
     """k in 1..9."""
     return (F.pmod(md5_int(seed, doc, F.lit("k")), F.lit(MAX_EDITS)) + 1).cast("int")
 
 
-def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str = "plan") -> DataFrame:
-    """M6: k random edits per text; of the non-insert edits at one position
-    only the lowest draw stays. Texts without tokens get an empty plan.
+def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str = "plan",
+                   weights=RANDOM_ONLY) -> DataFrame:
+    """M6 (+ M16): k draws per text; each draw picks a mutator by weight
+    (default: the random mutator only, as the reference job runs) and adds
+    its edits. Of the non-insert edits at one position only the lowest draw
+    stays; more than 9 actions, or no tokens, give an empty plan.
 
     The identifier pool and the raw draws are separate projections: inside a
     lambda Spark does not share repeated subexpressions, so each is computed
     once per text here instead of once per reference.
     """
     toks, doc = F.col(toks_col), F.col(doc_col)
+    active = [(m, w) for m, w in zip(MUTATORS, weights) if w]
+
+    def draw_edits(d):
+        if len(active) == 1:
+            return mutator_edits(active[0][0], toks, F.col("_idents"), seed, doc, d)
+        which = weighted_choice([w for _, w in active], seed, doc, d, F.lit("mut"))
+        expr = None
+        for i, (m, _) in enumerate(active):
+            e = mutator_edits(m, toks, F.col("_idents"), seed, doc, d)
+            expr = F.when(which == i, e) if expr is None else expr.when(which == i, e)
+        return expr
     staged = (df.withColumn("_idents", identifier_pool(toks))
-              .withColumn("_raw", F.transform(F.sequence(F.lit(1), edit_count(seed, doc)),
-                                              lambda d: random_edit(toks, F.col("_idents"), seed, doc, d))))
+              .withColumn("_raw", F.flatten(F.transform(F.sequence(F.lit(1), edit_count(seed, doc)), draw_edits))))
     raw = F.col("_raw")
     kept = F.filter(raw, lambda e: (e["act"] == INSERT_BEFORE) | ~F.exists(
         raw, lambda f: (f["act"] != INSERT_BEFORE) & (f["pos"] == e["pos"]) & (f["draw"] < e["draw"])))
-    empty = F.array().cast("array<struct<draw:int,act:int,pos:int,frm:string,to:string>>")
+    empty = F.array().cast(f"array<{EDIT_TYPE}>")
     return (staged.withColumn(out, F.when((F.size(toks) > 0) & (F.size(kept) <= MAX_ACTIONS), kept).otherwise(empty))
             .drop("_idents", "_raw"))
 

@@ -182,3 +182,150 @@ def q_misspell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 on part names."""
     p = read_table(spark, sf_dir, "part")
     return p.select("p_partkey", M.misspell(F.col("p_name"), SEED, F.col("p_partkey"), F.lit(1)).alias("misspelled"))
+
+
+# --- job level: offsets, mutators, corrupted text, job, data set ----------------
+
+from repairmine.operators import lines as L  # noqa: E402
+from repairmine.operators import sample as T  # noqa: E402
+from repairmine.functions.clean import clean_code, is_ascii  # noqa: E402
+from repairmine.session import materialize  # noqa: E402
+from repairmine.sources.submissions import submissions, typed_submissions  # noqa: E402
+
+
+@register("shift_offsets")
+def q_shift_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: offset and line of every token of each corrupted document."""
+    docs = read_table(spark, sf_dir, "documents")
+    planned = M.with_edit_plan(_docs(spark, sf_dir), "doc_id", "toks", SEED)
+    so = M.shift_offsets(M.element_table(planned, "doc_id", "toks", "plan"),
+                         K.token_table(docs, "doc_id", "text"), "doc_id")
+    coord = F.concat_ws(":", F.col("off").cast("string"), F.col("line").cast("string"))
+    return so.groupBy("doc_id").agg(
+        F.count("*").cast("bigint").alias("n_tokens"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", coord.alias("c")))),
+                                       lambda x: x["c"]), ",")).alias("coords_md5"))
+
+
+_WRITTEN: dict = {}
+
+
+def _written(spark: SparkSession, key: str, build) -> DataFrame:
+    """A table written once per session in the shared checkpoint folder.
+
+    Besides cutting lineage this stops predicate push-down: a filter on a
+    derived column is otherwise pushed through every projection to the scan
+    with the whole cleaning chain inlined into its condition."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _WRITTEN:
+        _WRITTEN[k] = materialize(spark, build(), key.replace("/", "_"))
+    return _WRITTEN[k]
+
+
+def cleaned_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned submissions (C8) with their tokens, written once."""
+    def build():
+        ty = typed_submissions(submissions(spark, sf_dir)).where(
+            F.col("problem_name").isNotNull() & F.col("user_id").isNotNull() & F.col("code").isNotNull())
+        c = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
+            "code", clean_code(F.col("code")))
+        return c.withColumn("_keep", is_ascii(F.col("code")) & (F.col("code") != ""))
+    return _written(spark, f"cleaned{sf_dir}", build).where("_keep").drop("_keep")
+
+
+def passing_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned passing submissions (the corruption input)."""
+    return cleaned_submissions(spark, sf_dir).where(F.col("status_code") == 1)
+
+
+def _mutator_query(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src = passing_code(spark, sf_dir).select("id", K.tokens_of(F.col("code")).alias("toks"))
+        src = src.withColumn("_idents", M.identifier_pool(F.col("toks")))
+        e = M.with_mutator_edits(src, kind, "toks", "_idents", "id", SEED)
+        return e.select("id", F.when(F.size("edits") > 0, plan_text("edits")).alias("edits"))
+    run.__doc__ = (f"Mutator '{kind}' at a drawn matching position of each passing text (null when the "
+                   f"text has no matching position).")
+    return run
+
+
+for _name, _kind in [("mut_identifier", "identifier"), ("mut_brace", "brace"), ("mut_brace_pair", "brace_pair"),
+                     ("mut_semicolon", "semicolon"), ("mut_return", "return"), ("mut_pointer", "pointer")]:
+    register(_name)(_mutator_query(_kind))
+
+
+@register("mutator_mix")
+def q_mutator_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per draw, a mutator chosen by the weights of all seven; draws
+    whose mutator finds no position add nothing."""
+    src = passing_code(spark, sf_dir).select("id", K.tokens_of(F.col("code")).alias("toks"))
+    planned = M.with_edit_plan(src, "id", "toks", SEED, weights=M.ALL_MUTATOR_WEIGHTS)
+    return planned.select("id", F.size("plan").cast("bigint").alias("n_edits"), plan_text("plan").alias("plan"))
+
+
+def corrupt_texts(src: DataFrame, id_col: str, code_col: str, seed=SEED, weights=M.RANDOM_ONLY) -> DataFrame:
+    """Reference lines blanked (L4) -> tokens with offsets (K1, K4) ->
+    plan (M6) -> new tokens (M7) and offsets (M9) -> text (K5) -> reference
+    lines put back on their line numbers (L7). Texts over the token cap or
+    without a plan are skipped. Output ``id, plan, text, conflicts``."""
+    blanked = src.select(id_col, L.blank_ref_lines(F.col(code_col)).alias("_blank"))
+    toks = blanked.select(id_col, K.tokens_of(F.col("_blank")).alias("toks")).where(
+        K.within_cap(F.col("toks"), M.TOKEN_CAP))
+    spark = src.sparkSession
+    planned = materialize(spark, M.with_edit_plan(toks, id_col, "toks", seed, weights=weights), "planned")
+    planned = planned.where(F.size("plan") > 0)
+    tt = K.token_table(blanked, id_col, "_blank")
+    so = M.shift_offsets(M.element_table(planned, id_col, "toks", "plan"), tt, id_col)
+    text = K.rebuild_text(so.withColumnRenamed("idx", "pos"), id_col)
+    saved = L.ref_line_numbers(src, id_col, code_col).select(id_col, "line_no", "line")
+    restored = L.restore_lines(text, saved, id_col, "text")
+    return planned.select(id_col, "plan").join(restored, id_col)
+
+
+@register("corrupt_text")
+def q_corrupt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 on the passing submissions."""
+    c = corrupt_texts(passing_code(spark, sf_dir), "id", "code")
+    return c.select("id", F.size("plan").cast("bigint").alias("n_edits"), "text",
+                    F.col("conflicts").cast("bigint").alias("conflicts"))
+
+
+def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
+    """Passing rows of problem-users without a compile failure (J2) ->
+    skip keys already done (J3) -> corrupt (M17) -> records with the edit
+    list as JSON text and the edit count as distance."""
+    src = passing_code(spark, sf_dir)
+    allrows = cleaned_submissions(spark, sf_dir)
+    failing = allrows.where(F.col("status_code") == 7).select("problem_user_id").distinct()
+    src = src.join(failing, "problem_user_id", "left_anti")
+    if done is not None:
+        src = src.join(done.select("problem_user_id").distinct(), "problem_user_id", "left_anti")
+    c = corrupt_texts(src, "id", "code")
+    acts_json = F.to_json(F.transform("plan", lambda x: F.struct(
+        x["act"].alias("act_type"), x["frm"].alias("from_char"), x["to"].alias("to_char"),
+        x["pos"].alias("token_pos"))))
+    return src.join(c, "id").select(
+        "id", F.lit(None).cast("string").alias("submit_url"), F.col("problem_name").alias("problem_id"),
+        "user_id", "problem_user_id", F.col("text").alias("code"), F.col("code").alias("similar_code"),
+        acts_json.alias("modify_action_list"), F.size("plan").cast("int").alias("distance"))
+
+
+@register("corruption_job")
+def q_corruption_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corruption_job(spark, sf_dir)
+
+
+@register("build_dataset")
+def q_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """test = real failures with 0 < d < 10, one per problem-user;
+    train / valid = synthetic rows, one per problem-user, valid = 10 % of
+    the users."""
+    from repairmine.plans.mining import mine_compile_errors
+    real = mine_compile_errors(spark, sf_dir).where((F.col("distance") > 0) & (F.col("distance") < 10))
+    real = T.cap_per_key(real.select("id", "problem_user_id", "user_id"), ["problem_user_id"], 1, SEED)
+    fake = T.cap_per_key(corruption_job(spark, sf_dir).select("id", "problem_user_id", "user_id"),
+                         ["problem_user_id"], 1, SEED)
+    valid_users = T.holdout_keys(fake, "user_id", 0.1, SEED)
+    fake = T.split_by_keys(fake, "user_id", valid_users, "valid", "train")
+    return (real.withColumn("split", F.lit("test")).withColumn("source", F.lit("real"))
+            .unionByName(fake.withColumn("source", F.lit("synthetic"))))
