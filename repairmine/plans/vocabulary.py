@@ -175,3 +175,93 @@ def q_pad_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.concat("rows", F.array_repeat(empty_row, (F.lit(mt) - F.size("rows")).cast("int")))
     return per_part.select("p_partkey", F.array_join(F.transform(padded, lambda r: F.array_join(
         F.transform(r, lambda i: i.cast("string")), ",")), "|").alias("padded"))
+
+
+# --- nested padding on event weeks, batches ---------------------------------------
+
+D_WEEKS_NESTED = """ev AS (SELECT user_id, CAST(floor((dayofmonth(ts) - 1) / 7) AS BIGINT) AS week, ts, event_id,
+    CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 4
+    WHEN 'purchase' THEN 5 ELSE 0 END AS code FROM events WHERE user_id IS NOT NULL),
+wk AS (SELECT user_id, week, list(code ORDER BY ts, event_id) AS codes FROM ev GROUP BY user_id, week),
+us AS (SELECT user_id, list(codes ORDER BY week) AS rows FROM wk GROUP BY user_id),
+dims AS (SELECT (SELECT max(len(rows)) FROM us) AS d0, (SELECT max(len(codes)) FROM wk) AS d1),
+ud AS (SELECT us.user_id, us.rows, dims.d0, dims.d1 FROM us, dims),
+pd AS (SELECT user_id, list_concat(list_transform(rows, lambda r: list_concat(r, list_transform(
+    range(0, d1 - len(r)), lambda x: -1))),
+  list_transform(range(0, d0 - len(rows)), lambda x: list_transform(range(0, d1), lambda y: -1))) AS box FROM ud)"""
+
+# Event type codes used by the nested-padding queries.
+EVENT_CODES = {"signup": 1, "error": 2, "click": 3, "view": 4, "purchase": 5}
+FILL = -1
+
+
+def nested_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, the list (by week) of event-code lists (by time)."""
+    from repairmine.functions.dicts import encode
+    ev = read_table(spark, sf_dir, "events").where(F.col("user_id").isNotNull())
+    ev = ev.select("user_id", F.floor((F.dayofmonth("ts") - 1) / 7).cast("bigint").alias("week"), "ts", "event_id",
+                   F.coalesce(encode(F.col("event_type"), EVENT_CODES), F.lit(0)).alias("code"))
+    wk = ev.groupBy("user_id", "week").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "code"))),
+                                                       lambda x: x["code"]).alias("codes"))
+    return wk.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "codes"))),
+                                                 lambda x: x["codes"]).alias("rows"))
+
+
+def pad_nested(df: DataFrame, col: str, fill) -> DataFrame:
+    """V9: pad a two-level ragged array to a box whose shape is the maximum
+    size per level; the fill value is used on every level."""
+    dims = df.agg(F.max(F.size(col)).alias("d0"),
+                  F.max(F.aggregate(col, F.lit(0), lambda acc, r: F.greatest(acc, F.size(r)))).alias("d1")).first()
+    d0, d1 = int(dims["d0"] or 0), int(dims["d1"] or 0)
+    inner = F.transform(col, lambda r: V.pad_to(r, F.lit(d1), fill))
+    empty = F.array_repeat(F.lit(fill), d1)
+    return df.withColumn("box", F.concat(inner, F.array_repeat(empty, (F.lit(d0) - F.size(col)).cast("int"))))
+
+
+def _box_text(c):
+    return F.array_join(F.transform(c, lambda r: F.array_join(F.transform(r, lambda i: i.cast("string")), ",")), "|")
+
+
+@register("pad_nested", oracle=f"""WITH {D_WEEKS_NESTED}
+SELECT user_id, array_to_string(list_transform(box, lambda r: array_to_string(r, ',')), '|') AS box FROM pd""")
+def q_pad_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9 on event weeks (fill -1)."""
+    return pad_nested(nested_weeks(spark, sf_dir), "rows", FILL).select("user_id", _box_text(F.col("box")).alias("box"))
+
+
+@register("padded_access", oracle=f"""WITH {D_WEEKS_NESTED}
+SELECT user_id, CAST(box[1][2] AS BIGINT) AS v_0_1, CAST(coalesce(box[2][100], -1) AS BIGINT) AS v_1_99,
+  CAST(list_position(flatten(box), 5) AS BIGINT) AS first_purchase,
+  CAST(len(list_filter(flatten(box), lambda x: x = -1)) AS BIGINT) AS n_fill,
+  CAST(list_contains(flatten(box), 2) AS INTEGER) AS has_error FROM pd""")
+def q_padded_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read, search and count in the padded view; an element past the
+    data reads as the fill value."""
+    b = pad_nested(nested_weeks(spark, sf_dir), "rows", FILL)
+    flat = F.flatten("box")
+    return b.select("user_id",
+                    F.element_at(F.element_at("box", 1), 2).cast("bigint").alias("v_0_1"),
+                    F.coalesce(F.try_element_at(F.element_at("box", 2), F.lit(100)), F.lit(FILL)).cast("bigint")
+                    .alias("v_1_99"),
+                    F.when(F.array_position(flat, 5) > 0, F.array_position(flat, 5)).cast("bigint")
+                    .alias("first_purchase"),
+                    F.size(F.filter(flat, lambda x: x == FILL)).cast("bigint").alias("n_fill"),
+                    F.array_contains(flat, 2).cast("int").alias("has_error"))
+
+
+@register("batches", oracle="""
+WITH r AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events)
+SELECT CAST(floor(rn / 32) AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_event,
+  max(event_id) AS last_event, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY event_id) AS user_ids
+FROM r GROUP BY floor(rn / 32)""")
+def q_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed batches of 32 rows over parallel columns, by a global
+    order computed without a single-task sort (dense ids)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    r = V.dense_ids(ev, [F.col("event_id")], id_col="rn").withColumn("batch", F.floor(F.col("rn") / 32))
+    return r.groupBy("batch").agg(
+        F.count("*").cast("bigint").alias("n"), F.min("event_id").alias("first_event"),
+        F.max("event_id").alias("last_event"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))),
+                                 lambda x: x["user_id"].cast("string")), ",").alias("user_ids")).select(
+        F.col("batch").cast("bigint").alias("batch"), "n", "first_event", "last_event", "user_ids")
