@@ -329,3 +329,20 @@ def q_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     fake = T.split_by_keys(fake, "user_id", valid_users, "valid", "train")
     return (real.withColumn("split", F.lit("test")).withColumn("source", F.lit("real"))
             .unionByName(fake.withColumn("source", F.lit("synthetic"))))
+
+
+from repairmine.plans.text import D_CLEAN_CTE, D_SUBT  # noqa: E402
+
+
+@register("draw_replacement", oracle=f"""WITH {D_SUBT}, {D_CLEAN_CTE},
+st AS (SELECT id, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
+{d_plan_ctes('st', 'id')}
+SELECT doc AS id, {d_plan_text('r')} AS draws FROM p4 WHERE len(toks) > 0""")
+def q_draw_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: replacement value of every draw on the passing submissions (other
+    word of the same class 4 : misspelling 1; classes 1 : 3 : 6)."""
+    src = passing_code(spark, sf_dir).select("id", K.tokens_of(F.col("code")).alias("toks")).where(F.size("toks") > 0)
+    src = src.withColumn("_idents", M.identifier_pool(F.col("toks")))
+    raw = F.transform(F.sequence(F.lit(1), M.edit_count(SEED, F.col("id"))),
+                      lambda i: M.random_edit(F.col("toks"), F.col("_idents"), SEED, F.col("id"), i))
+    return src.select("id", plan_text(raw).alias("draws"))

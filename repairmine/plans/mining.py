@@ -435,3 +435,19 @@ def q_distinct_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repairmine.operators.sample import cap_per_key
     m = mine_compile_errors(spark, sf_dir).where(F.col("distance") != -1).select("id", "problem_user_id")
     return cap_per_key(m, ["problem_user_id"], 1, 7)
+
+
+def strict_pairs(df: DataFrame, fixed_ok: str, orig_ok: str) -> DataFrame:
+    """pairs whose repaired text passes and whose original fails the
+    stricter check (both verdicts are input columns)."""
+    return df.where(F.col(fixed_ok) & ~F.col(orig_ok))
+
+
+@register("strict_pairs", oracle=D_MINE_TEST + """
+SELECT f.id, nb.similar_id FROM f JOIN nb ON f.id = nb.id""")
+def q_strict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 on the test-case mining output: the repaired side is a passing
+    partner, the original failed its tests."""
+    m = mine_test_errors(spark, sf_dir).withColumn("fixed_ok", F.col("distance") >= 0).withColumn(
+        "orig_ok", ~F.col("status_code").isin(*TEST_FAIL_CODES))
+    return strict_pairs(m, "fixed_ok", "orig_ok").select("id", "similar_id")
