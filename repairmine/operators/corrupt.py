@@ -260,10 +260,42 @@ def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str =
             .drop("_idents", "_raw"))
 
 
-def elements(toks: Column, plan: Column) -> Column:
+_ELEM_TYPE = "array<struct<o:int,sub:int,tok:string,old:string,kind:int>>"
+
+
+def _elements_from(toks: Column, plan: Column, edits_at: Column) -> Column:
+    base = F.transform(toks, lambda t, p: F.struct(
+        (p * 2).alias("o"), F.lit(0).alias("sub"),
+        F.when(F.try_element_at(edits_at, p).isNull(), t)
+        .when(F.try_element_at(edits_at, p)["act"] == CHANGE, F.try_element_at(edits_at, p)["to"])
+        .otherwise(F.lit(None).cast("string")).alias("tok"),
+        t.alias("old"),
+        F.coalesce(F.try_element_at(edits_at, p)["act"], F.lit(0)).alias("kind")))
+    ins = F.transform(F.filter(plan, lambda e: e["act"] == INSERT_BEFORE), lambda e: F.struct(
+        (e["pos"] * 2 - 1).alias("o"), (-e["draw"]).alias("sub"), e["to"].alias("tok"),
+        F.lit("").alias("old"), F.lit(1).alias("kind")))
+    return F.array_sort(F.concat(F.coalesce(base, F.array().cast(_ELEM_TYPE)), ins))
+
+
+def _edits_at(plan: Column) -> Column:
+    """Map position -> non-insert edit (at most one per position)."""
+    return F.map_from_entries(F.transform(F.filter(plan, lambda e: e["act"] != INSERT_BEFORE),
+                                          lambda e: F.struct(e["pos"], F.struct(e["act"].alias("act"),
+                                                                                e["to"].alias("to")))))
+
+
+def with_elements(df: DataFrame, toks_col: str, plan_col: str, out: str = "els") -> DataFrame:
     """Kept / changed / deleted tokens and inserted ones, with order keys,
     sorted: ``struct<o, sub, tok, old, kind>``; kind 0 kept, 1 inserted,
-    3 deleted, 4 changed."""
+    3 deleted, 4 changed. The position -> edit map is its own projection,
+    so each token does one map lookup instead of scanning the plan."""
+    return (df.withColumn("_at", _edits_at(F.col(plan_col)))
+            .withColumn(out, _elements_from(F.col(toks_col), F.col(plan_col), F.col("_at"))).drop("_at"))
+
+
+def elements(toks: Column, plan: Column) -> Column:
+    """Column form of :func:`with_elements` (scans the plan per position;
+    used where the elements are exploded right after)."""
     def at(p):
         hit = F.filter(plan, lambda e: (e["act"] != INSERT_BEFORE) & (e["pos"] == p))
         return F.try_element_at(hit, F.lit(1))
@@ -273,16 +305,22 @@ def elements(toks: Column, plan: Column) -> Column:
         .otherwise(F.lit(None).cast("string")).alias("tok"),
         F.element_at(toks, p + 1).alias("old"),
         F.coalesce(at(p)["act"], F.lit(0)).alias("kind")))
-    base = F.when(F.size(toks) > 0, base).otherwise(F.array().cast(
-        "array<struct<o:int,sub:int,tok:string,old:string,kind:int>>"))
+    base = F.when(F.size(toks) > 0, base).otherwise(F.array().cast(_ELEM_TYPE))
     ins = F.transform(F.filter(plan, lambda e: e["act"] == INSERT_BEFORE), lambda e: F.struct(
         (e["pos"] * 2 - 1).alias("o"), (-e["draw"]).alias("sub"), e["to"].alias("tok"),
         F.lit("").alias("old"), F.lit(1).alias("kind")))
     return F.array_sort(F.concat(base, ins))
 
 
-def apply_plan(toks: Column, plan: Column) -> Column:
+def with_applied(df: DataFrame, toks_col: str, plan_col: str, out: str = "new_toks") -> DataFrame:
     """M7: the corrupted token array."""
+    e = with_elements(df, toks_col, plan_col, "_els")
+    return e.withColumn(out, F.transform(F.filter("_els", lambda x: x["kind"] != DELETE), lambda x: x["tok"])).drop(
+        "_els")
+
+
+def apply_plan(toks: Column, plan: Column) -> Column:
+    """M7 (Column form)."""
     return F.transform(F.filter(elements(toks, plan), lambda x: x["kind"] != DELETE), lambda x: x["tok"])
 
 

@@ -162,10 +162,9 @@ SELECT doc AS doc_id, CAST(len(list_filter(els, lambda x: x.kind <> 3)) AS BIGIN
 FROM el""")
 def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: the corrupted token sequence of every document."""
-    d = M.with_edit_plan(_docs(spark, sf_dir), "doc_id", "toks", SEED)
-    new = M.apply_plan(F.col("toks"), F.col("plan"))
-    return d.select("doc_id", F.size(new).cast("bigint").alias("n_tokens"),
-                    F.md5(F.array_join(new, "\u0001")).alias("tokens_md5"))
+    d = M.with_applied(M.with_edit_plan(_docs(spark, sf_dir), "doc_id", "toks", SEED), "toks", "plan")
+    return d.select("doc_id", F.size("new_toks").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("new_toks", "\u0001")).alias("tokens_md5"))
 
 
 @register("repair_slots")

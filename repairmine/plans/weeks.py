@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repairmine.operators.distance import nearest_partner
-from repairmine.operators.edits import apply_sql, matrix_sql, script_sql, script_text
+from repairmine.operators.edits import apply_sql, matrix_sql, script_text, with_script_arrow
 from repairmine.plans.registry import register
 from repairmine.plans.sqltext import d_matrix, d_script, d_script_text
 from repairmine.sources.tables import read_table
@@ -51,8 +51,7 @@ def week_scripts(events: DataFrame) -> DataFrame:
     return (near
             .withColumn("similar_toks", F.when(F.col("similar_seq") == "", F.array().cast("array<string>"))
                         .otherwise(F.split(F.col("similar_seq"), "(?!$)")))
-            .withColumn("m", F.expr(matrix_sql("seq", "similar_seq")))
-            .withColumn("acts", F.expr(script_sql("m", "seq", "similar_seq", "toks", "similar_toks")))
+            .transform(lambda d: with_script_arrow(d, "seq", "similar_seq", "toks", "similar_toks"))
             .withColumn("applied", F.expr(apply_sql("similar_toks", "acts"))))
 
 
@@ -110,7 +109,7 @@ SELECT user_id, week, CAST(length(seq) + 1 AS BIGINT) AS n_rows,
 FROM best WHERE distance >= 0""")
 def q_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: the matrix of each winning pair; its last cell is the distance."""
-    s = week_scripts(read_table(spark, sf_dir, "events"))
+    s = week_scripts(read_table(spark, sf_dir, "events")).withColumn("m", F.expr(matrix_sql("seq", "similar_seq")))
     return s.select("user_id", "week", F.size("m").cast("bigint").alias("n_rows"),
                     F.size(F.element_at("m", 1)).cast("bigint").alias("n_cols"),
                     F.element_at(F.element_at("m", -1), -1).cast("bigint").alias("last_cell"))
