@@ -158,9 +158,12 @@ WITH {SUB_CTE} SELECT id, CAST(epoch(CAST(CAST(submit_time AS VARCHAR) AS TIMEST
 def q_parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse the timestamp text (UTC)."""
     s = submissions(spark, sf_dir)
-    ts = F.to_timestamp(F.col("submit_time").cast("string"))
-    return s.select("id", F.unix_timestamp(ts).cast("bigint").alias("epoch_s"),
-                    F.year(ts).cast("bigint").alias("yr"))
+    # wall-clock time without a zone: epoch seconds by date arithmetic, so the
+    # result does not depend on the session time zone
+    ts = F.to_timestamp_ntz(F.col("submit_time").cast("string"))
+    epoch = (F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("bigint") * 86400
+             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)))
+    return s.select("id", epoch.cast("bigint").alias("epoch_s"), F.year(ts).cast("bigint").alias("yr"))
 
 
 @register("split_tags", oracle=f"""
