@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,14 +45,38 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that
+    functions pickled by reference load whatever folder the job starts from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_repairmine_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="repairmine-zip-"), "repairmine_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._repairmine_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder; only when the setting is absent (a
-    local test session) is a fresh scratch folder created and set.
+    The cluster names a shared folder. Only a session whose executors are in
+    this process (``local[...]``) may go without: a fresh scratch folder is
+    then created and set. Anything else fails, because executors would each
+    write to a disk of their own.
     """
+    ship_package(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="repairmine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -67,7 +93,6 @@ def materialize(spark: SparkSession, df, name: str):
     checkpoint folder and reading it back (computed once; a lost executor
     later re-reads files instead of recomputing the plan). Every call gets a
     fresh folder, so concurrent jobs never share one."""
-    import uuid
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
