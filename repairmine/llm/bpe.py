@@ -23,7 +23,7 @@ _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 
 #: Entries of one cache generation; two are kept.
-GENERATION = 400_000
+GENERATION = 1_000_000
 END_ID = 0
 
 
@@ -52,13 +52,12 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.young) + len(words) > GENERATION:
-            self.old, self.young = self.young, {}
-        fresh = []
+    def _learn(self, words) -> dict[str, bytes]:
+        """Ids of pre-tokens that the young generation lacks."""
+        got, fresh = {}, []
         for w in words:
             if (b := self.old.get(w)) is not None:
-                self.young[w] = b
+                got[w] = b
             else:
                 fresh.append(w)
         # runs of letters behind one space stay apart when joined, so a
@@ -68,18 +67,23 @@ class Encoder:
             part = apart[i:i + 2000]
             e = self.tok.encode("".join(part), add_special_tokens=False)
             ids, of = np.array(e.ids, dtype=self.dtype), np.array(e.word_ids)
-            cut = np.searchsorted(of, np.arange(len(part) + 1))
-            raw, k = ids.tobytes(), self.dtype.itemsize
-            for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist()):
-                self.young[w] = raw[a * k:b * k]
+            cut = np.searchsorted(of, np.arange(len(part) + 1)) * self.dtype.itemsize
+            raw = ids.tobytes()
+            got.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]))
         rest = [w for w in fresh if not (w[0] == " " and w[1:].isalpha())]
         if rest:
-            self.young.update(zip(rest, self._whole(rest)))
+            got.update(zip(rest, self._whole(rest)))
+        if len(self.young) + len(got) > GENERATION:
+            self.old, self.young = self.young, {}
+        if len(got) <= GENERATION:
+            self.young.update(got)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text, without an end id."""
         out: list[bytes] = [b""] * len(texts)
-        odd = []
+        odd, waiting, miss = [], [], {}
+        known = self.young.get
         for i, t in enumerate(texts):
             if not t:
                 continue
@@ -87,17 +91,20 @@ class Encoder:
                 odd.append(i)
                 continue
             words = _SPLIT.findall(t)
-            try:
-                out[i] = b"".join(map(self.young.__getitem__, words))
-            except KeyError:
-                miss = [w for w in dict.fromkeys(words) if w not in self.young]
-                if len(miss) > GENERATION // 2:
-                    odd.append(i)
-                    continue
-                if len(self.young) + len(miss) > GENERATION:
-                    miss = list(dict.fromkeys(words))  # a new generation begins
-                self._learn(miss)
-                out[i] = b"".join(map(self.young.__getitem__, words))
+            ids = list(map(known, words))
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                lacking = [words[k] for k in gaps]
+                miss.update(dict.fromkeys(lacking))
+                waiting.append((i, ids, gaps, lacking))
+            else:
+                out[i] = b"".join(ids)
+        if miss:
+            got = self._learn(miss)
+            for i, ids, gaps, lacking in waiting:
+                for k, w in zip(gaps, lacking):
+                    ids[k] = got[w]
+                out[i] = b"".join(ids)
         if odd:
             for i, b in zip(odd, self._whole([texts[i] for i in odd])):
                 out[i] = b

@@ -20,6 +20,7 @@ writes an empty file set; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from repairmine.session import scratch_path
 
-from .bpe import END_ID, encoder, ids_crc32
+from .bpe import END_ID, encoder
 from .common import pieces
 
 BLOCK_TOKENS = 2_000_000
@@ -66,23 +67,24 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, min_count: int
         pos = np.flatnonzero(hot)
         if not len(pos):
             continue
-        pairs, inverse, counts = np.unique(code[pos], return_inverse=True, return_counts=True)
+        own = code[pos]
+        pairs, counts = np.unique(own, return_counts=True)
         rank = np.argsort(-counts, kind="stable")
-        chosen = rank[counts[rank] >= least][:limit - n_rules]
+        chosen = np.sort(rank[counts[rank] >= least][:limit - n_rules])
         if not len(chosen):
             continue
-        symbol = np.full(len(pairs), -1, dtype=np.int64)
-        symbol[chosen] = base + n_rules + np.arange(len(chosen))
-        new = symbol[inverse]
-        pos, new = pos[new >= 0], new[new >= 0]
+        pairs = pairs[chosen]
+        which = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+        match = pairs[which] == own
+        pos, new = pos[match], base + n_rules + which[match]
         # of touching candidates keep every other one, from the left
         first = np.flatnonzero(np.diff(pos, prepend=-2) != 1)
         run = np.repeat(first, np.diff(first, append=len(pos)))
         take = ((np.arange(len(pos)) - run) & 1) == 0
         pos, new = pos[take], new[take]
-        left.append(pairs[chosen] >> 32)
-        right.append(pairs[chosen] & 0xFFFFFFFF)
-        n_rules += len(chosen)
+        left.append(pairs >> 32)
+        right.append(pairs & 0xFFFFFFFF)
+        n_rules += len(pairs)
         seq[pos] = new
         keep = np.ones(len(seq), dtype=bool)
         keep[pos + 1] = False
@@ -107,7 +109,7 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a run of symbols: one level of rules a pass."""
+    """Ids of a run of symbols, one level of rules a pass."""
     out = symbols.astype(np.int64)
     while len(out) and (rule := out >= base).any():
         width = 1 + rule.astype(np.int64)
@@ -121,6 +123,24 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int)
     return out
 
 
+class Expander:
+    """Expands many symbols of one block: the ids of all rules lie in one
+    pool, of which every symbol is a slice."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, base: int):
+        rules = expand(base + np.arange(len(left)), left, right, base)
+        self.pool = np.concatenate([np.arange(base), rules]).astype("<u4")
+        self.length = np.concatenate([np.ones(base, np.int64), lengths])
+        self.start = np.cumsum(self.length) - self.length
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        n = self.length[symbols]
+        end = np.cumsum(n)
+        if not len(end):
+            return self.pool[:0]
+        return self.pool[np.repeat(self.start[symbols] - end + n, n) + np.arange(end[-1])]
+
+
 def load_block(row: dict):
     """``(symbols, left, right, rule_tokens, base)`` of a block's row."""
     base = row["base"]
@@ -221,24 +241,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field("doc_ids").type.value_type
             for row in batch.to_pylist():
-                symbols, left, right, _, base = load_block(row)
-                at = np.cumsum([0, *row["doc_symbols"]])
-                tokens = row["doc_tokens"]
+                symbols, left, right, lengths, base = load_block(row)
+                ids = Expander(left, right, lengths, base)(symbols)
+                cut = np.cumsum([0, *row["doc_tokens"]])
+                raw = memoryview(ids.tobytes())
+                # whole documents, about a million ids a batch
                 first = 0
-                # whole documents at a time, about a million ids
-                while first < len(tokens):
-                    last, n = first, 0
-                    while last < len(tokens) and (last == first or n + tokens[last] <= 1 << 20):
-                        n += tokens[last]
-                        last += 1
-                    ids = expand(symbols[at[first]:at[last]], left, right, base).astype("<u4")
-                    cut = np.cumsum([0, *tokens[first:last]])
-                    raw = [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                while first < len(cut) - 1:
+                    last = max(first + 1, int(np.searchsorted(cut, cut[first] + (1 << 20), side="right")) - 1)
+                    own = [raw[4 * a:4 * b] for a, b in zip(cut[first:last].tolist(), cut[first + 1:last + 1].tolist())]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(row["doc_ids"][first:last], kind),
-                        pa.array(row["start"] + sum(tokens[:first]) + cut[:-1], pa.int64()),
-                        pa.array(np.diff(cut), pa.int64()), pa.array(raw, pa.binary()),
-                        pa.array([ids_crc32(np.frombuffer(x, "<u4")) for x in raw], pa.int64())],
+                        pa.array(row["start"] + cut[first:last], pa.int64()),
+                        pa.array(np.diff(cut[first:last + 1]), pa.int64()), pa.array(own, pa.binary()),
+                        pa.array([zlib.crc32(x) for x in own], pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
                     first = last
 
