@@ -55,3 +55,22 @@ def buffer_of(col) -> tuple[np.ndarray, np.ndarray]:
     if len(off) == 0:
         off = np.zeros(1, np.int64)
     return raw[off[0]:off[-1]], off - off[0]
+
+
+def key_groups(batches, key: str):
+    """Arrow tables with the rows of one key each, from batches sorted by
+    ``key``. A key may run over many batches; only its own rows are held."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and k[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = k[a]
+    if held:
+        yield pa.Table.from_batches(held)

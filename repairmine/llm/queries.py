@@ -103,3 +103,10 @@ def op1(spark, sf_dir):
     return files.select(
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_simhash_balls")
+def op6(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    from .simhash import simhash_components
+    return simhash_components(read_table(spark, sf_dir, "documents"))
