@@ -36,7 +36,7 @@ from .common import put, written
 
 BUCKETS = 1024
 TOLERANCE = 2e-4
-SLICE_ROWS = 4000
+SLICE_ROWS = 1000
 
 
 def row_bytes(text: Column) -> Column:

@@ -110,3 +110,11 @@ def op6(spark, sf_dir):
     """Fingerprint and component of every document."""
     from .simhash import simhash_components
     return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_merge_sort")
+def op4(spark, sf_dir):
+    """What every document loses to strings of 400 bytes that repeat."""
+    from .suffixes import cut_repeats
+    out = cut_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
