@@ -118,3 +118,10 @@ def op4(spark, sf_dir):
     from .suffixes import cut_repeats
     out = cut_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op5_nn_descent")
+def op5(spark, sf_dir):
+    """Links and component of every vector at cosine 0.98 within its label."""
+    from .nndescent import near_vectors
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
