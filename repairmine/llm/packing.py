@@ -125,8 +125,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def packed_pieces(sequences: DataFrame) -> DataFrame:
-    """One row a piece, its ids cut out of its sequence's tokens."""
+    """One row a piece, with its ``ids`` cut out of its sequence's tokens."""
     p = sequences.select("sequence_id", "tokens", F.explode("pieces").alias("p"))
-    return p.select("p.doc_id", "p.start", "p.length", F.expr(
-        "crc32(substring(tokens, cast(p.offset * 4 + 1 as int), cast(p.length * 4 as int)))").alias("ids_crc32"),
-        "p.doc_tokens", "sequence_id", "p.offset")
+    ids = F.expr("substring(tokens, cast(p.offset * 4 + 1 as int), cast(p.length * 4 as int))")
+    return p.select("p.doc_id", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "p.doc_tokens", "sequence_id",
+                    "p.offset", ids.alias("ids"))

@@ -37,7 +37,7 @@ def op2(spark, sf_dir):
 def op10(spark, sf_dir):
     """Cost-balanced packing of all documents into sequences of 1024."""
     from .packing import pack_documents, packed_pieces
-    return packed_pieces(pack_documents(read_table(spark, sf_dir, "documents"), bpe.tokenizer_path()))
+    return packed_pieces(pack_documents(read_table(spark, sf_dir, "documents"), bpe.tokenizer_path())).drop("ids")
 
 
 @query("op3_compression_bands")
@@ -125,3 +125,16 @@ def op5(spark, sf_dir):
     """Links and component of every vector at cosine 0.98 within its label."""
     from .nndescent import near_vectors
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_licence_classifier")
+def op7(spark, sf_dir):
+    """Licence families that the trained classifier finds in every document."""
+    from .licences import licence_scan, train
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licence_scan(docs, train(docs))
+    sure = F.filter("finds", lambda x: x["confirmed"])
+    return out.select(
+        "doc_id", "n_paragraphs", F.size(sure).cast("long").alias("n_confirmed"),
+        (F.size("finds") - F.size(sure)).cast("long").alias("n_unconfirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"))

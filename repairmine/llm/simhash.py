@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_groups, written
@@ -124,20 +124,45 @@ def ball_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                       max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits) ``, component_id`` (the smallest
-    id reachable by links) for every row."""
+def components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """``doc_id, th`` (hash of the text) ``, fp, component`` (a fingerprint) of every row."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), prints(F.col(f"`{text_col}`")).alias("fp")),
-                   "fingerprints")
+    text = F.col(f"`{text_col}`")
+    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"),
+                               prints(text).alias("fp")), "fingerprints")
     of = components(ball_links(written(rows.select("fp").distinct(), "distinct-fingerprints"), max_bits))
-    rows = rows.join(of, rows["fp"] == of["node"], "left").select(
-        "doc_id", "fp", F.coalesce("component", "fp").alias("component"))
+    return rows.join(of, rows["fp"] == of["node"], "left").select(
+        "doc_id", "th", "fp", F.coalesce("component", "fp").alias("component"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                       max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fingerprint`` (16 hex digits) ``, component_id`` (the smallest
+    id reachable by links) for every row."""
+    rows = components_of(docs, id_col, text_col, shingle, max_bits)
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                                 "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that lead their component: smallest id (null
+    last), then smallest text hash; of rows equal in both, one."""
+    rows = components_of(docs, id_col, text_col, shingle, max_bits)
+    one = rows.groupBy("component", "doc_id", "th").agg(F.count("*").alias("_n"))
+    lead = one.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "_n")).alias("x"))
+    lead = written(lead.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), F.col("x._n").alias("_n")),
+                   "leaders")
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    kept = docs.select("*", th.alias("_own")).join(
+        lead, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th"))).drop("_id", "_th")
+    single = kept.where("_n = 1")
+    if not lead.where("_n > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy(f"`{id_col}`", "_own").orderBy(F.lit(0)))
+        single = single.unionByName(kept.where("_n > 1").withColumn("_k", number).where("_k = 1").drop("_k"))
+    return single.drop("_own", "_n")
