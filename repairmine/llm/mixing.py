@@ -33,7 +33,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 REPEATS = 2
 #: Rows that a slice of a running sum holds on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 #: Equal rows that queue as one entry.
 EQUAL_RUN = 64
 
@@ -93,7 +93,7 @@ ENTRY = ["_source", "_key", "_tie"]
 
 def fair_queue(entries: DataFrame, plan: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """The taken part of the queue. ``entries``: ``_source, _key, _tie, _size,
-    copies`` (how many rows are equal); ``plan``: ``_source, target``. Returns
+    copies`` (how many rows are equal); ``plan``: ``_source, target, _rows``. Returns
     ``_source, _key, _tie, _size, epoch, finish, position, taken``: ``taken``
     of the entry's rows go in at this epoch, and ``position`` counts the words
     of the mix up to their end. Many equal rows queue in runs of
@@ -105,12 +105,14 @@ def fair_queue(entries: DataFrame, plan: DataFrame, repeats: int = REPEATS) -> D
          .withColumn("words", F.col("_size") * F.col("copies"))
          # the shuffle of an epoch: another mix of the same key
          .withColumn("turn", F.xxhash64("epoch", "run", "_key"))
-         .withColumn("lane", F.col("epoch") * slices + F.shiftrightunsigned("turn", 33) % slices))
+         .join(plan.select("_source", "target", "_rows"), "_source").where(F.col("target") > 0))
+    # a source's shuffle order falls into lanes by its own number of rows
+    lanes = F.ceil(F.col("_rows") / SLICE_ROWS)
+    q = q.withColumn("lane", F.col("epoch") * lanes + F.shiftrightunsigned("turn", 33) % lanes)
     q = running(q, ["_source"], "lane", ["turn", "_key", "_tie", "run"], "words", "served")
-    q = q.join(plan.select("_source", "target"), "_source").where(F.col("target") > 0)
     q = q.withColumn("finish", F.col("served") / F.col("target"))
     q = q.withColumn("span", F.least(F.floor(F.col("finish") * slices), F.lit(4 * repeats * slices)).cast("long"))
-    q = written(q.drop("lane", "served", "target"), "queue")
+    q = written(q.drop("lane", "served", "target", "_rows"), "queue")
     placed = running(q.repartitionByRange("span"), [], "span",
                      ["finish", "_source", "epoch", "turn", "_key", "_tie", "run"], "words", "position")
     budget = F.lit(float(plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]))
@@ -129,12 +131,14 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = with_queue_key(docs, id_col, text_col, source_col, seed)
     entries = written(keyed.withColumn("_size", word_count(F.col(f"`{text_col}`"))).groupBy(*ENTRY)
                       .agg(F.max("_size").alias("_size"), F.count("*").alias("copies")), "entries")
-    sizes = entries.groupBy("_source").agg(F.sum(F.col("_size") * F.col("copies")).alias("source_size"))
+    sizes = entries.groupBy("_source").agg(
+        F.sum(F.col("_size") * F.col("copies")).alias("source_size"), F.count("*").alias("_rows"))
     plan = written(
         targets(sizes.select(F.when(F.col("_source") != "n", F.expr("substring(_source, 2)")).alias("source"),
                              "source_size"), weights, share, repeats)
         .select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"),
-                F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), "targets")
+                F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+        .join(sizes.select("_source", "_rows"), "_source"), "targets")
     queue = fair_queue(entries, plan.withColumnRenamed("_target", "target"), repeats)
     taken = queue.groupBy(*ENTRY).agg(F.sum("taken").alias("_taken"))
     told = entries.join(taken, ENTRY, "left").join(plan, "_source").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
@@ -148,7 +152,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = even.unionByName(uneven)
     return put(both, size=F.col("_size"), source_size=F.col("_source_size"), target=F.col("_target"),
                times=F.col("_times").cast("int")).drop(*ENTRY, "_size", "_source_size", "_target", "_taken", "copies",
-                                                       "_times")
+                                                       "_rows", "_times")
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
