@@ -22,7 +22,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def put(df: DataFrame, **cols: Column) -> DataFrame:
     """Add result columns; an input column of the same name (in any case) is
-    replaced, never an error."""
+    replaced, never an error. Operators name the columns that they need in
+    between with two leading underscores; such names are reserved."""
     new = {k.lower() for k in cols}
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
     return df.select(*keep, *[v.alias(k) for k, v in cols.items()])

@@ -16,8 +16,8 @@ number the rows of a shard: rows are spread by hash over slices of about
 
 Defined results: null text has no bytes (a row weighs its bytes plus 1);
 null values of a dimension sort first; text dimensions compare by their first
-six bytes, the rest falls to the row hash; rows equal in every column go to
-one shard; an empty table has one empty leaf; input columns named like a
+six bytes, the rest falls to the row hash; rows equal in every flat column
+go to one shard; an empty table has one empty leaf; input columns named like a
 result column are replaced by it.
 """
 
@@ -58,10 +58,11 @@ def coordinate(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.greatest(F.lit(-1e300), F.least(F.lit(1e300), v)), F.lit(-1.7e308))
 
 
-def tie_of(df: DataFrame, columns: list[str]) -> Column:
-    """A number in [0, 1) from a hash of the row."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+def tie_of(df: DataFrame) -> Column:
+    """A number in [0, 1) from a hash of the row's flat columns."""
+    flat = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(
+        f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    return F.shiftrightunsigned(F.xxhash64(*flat), 11).cast("double") / float(1 << 53)
 
 
 class Node:
@@ -76,7 +77,7 @@ class Node:
     def holds(self) -> Column:
         out = F.lit(True)
         for dim, value, tie, below in self.cuts:
-            left = (F.col(f"_d{dim}") < value) | ((F.col(f"_d{dim}") == value) & (F.col("_tie") < tie))
+            left = (F.col(f"__d{dim}") < value) | ((F.col(f"__d{dim}") == value) & (F.col("__tie") < tie))
             out = out & (left if below else ~left)
         return out
 
@@ -101,18 +102,18 @@ def medians(points: DataFrame, nodes: list[Node], dims: list[int], stats: list[d
     while todo:
         active, place = [], []
         for i in todo:
-            s, d = search[i], F.col(f"_d{dims[i]}")
-            x = d if s["at"] is None else F.when(d == s["at"], F.col("_tie"))
+            s, d = search[i], F.col(f"__d{dims[i]}")
+            x = d if s["at"] is None else F.when(d == s["at"], F.col("__tie"))
             active.append(F.when((x >= s["lo"]) & (x <= s["hi"]), x))
             width = s["hi"] - s["lo"]
             place.append(F.lit(0.0) if width <= 0 else (x - F.lit(s["lo"])) / F.lit(width))
         own = [nodes[i] for i in todo]
         seen = points.select(
-            pick(own, [F.lit(k) for k in range(len(todo))]).alias("k"), "_bytes",
+            pick(own, [F.lit(k) for k in range(len(todo))]).alias("k"), "__bytes",
             pick(own, active).alias("x"), pick(own, place).alias("p")).where("x is not null")
         bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.col("p") * BUCKETS)).cast("int")
         rows = seen.groupBy("k", bucket.alias("b")).agg(
-            F.sum("_bytes").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+            F.sum("__bytes").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
         left = []
         for k, i in enumerate(todo):
             s, total = search[i], stats[i]["bytes"]
@@ -146,13 +147,13 @@ def medians(points: DataFrame, nodes: list[Node], dims: list[int], stats: list[d
 
 
 def fit(points: DataFrame, dimensions: int, target_bytes: float) -> list[Node]:
-    """The leaves of the tree over ``points`` (``_d0.., _tie, _bytes``)."""
+    """The leaves of the tree over ``points`` (``__d0.., __tie, __bytes``)."""
     nodes, leaves, extent = [Node()], [], None
     most = target_bytes * math.sqrt(2)
     while nodes:
-        aggs = [F.sum("_bytes").alias("bytes"), F.min("_tie").alias("tie_lo"), F.max("_tie").alias("tie_hi")]
+        aggs = [F.sum("__bytes").alias("bytes"), F.min("__tie").alias("tie_lo"), F.max("__tie").alias("tie_hi")]
         for d in range(dimensions):
-            aggs += [F.min(f"_d{d}").alias(f"lo{d}"), F.max(f"_d{d}").alias(f"hi{d}")]
+            aggs += [F.min(f"__d{d}").alias(f"lo{d}"), F.max(f"__d{d}").alias(f"hi{d}")]
         got = {r["k"]: r for r in points.select("*", pick(nodes, [F.lit(i) for i in range(len(nodes))]).alias("k"))
                .where("k is not null").groupBy("k").agg(*aggs).collect()}
         if extent is None:
@@ -184,27 +185,27 @@ def assign_shards(docs: DataFrame, dimensions: list[str], target_bytes: float |
     """``docs`` with ``size``, ``shard`` and ``slot`` (gapless from 0 in a
     shard). Give the target bytes of a leaf, or the number of shards that the
     total is to be dealt to (a power of two)."""
-    coords = {f"_d{i}": coordinate(docs, c) for i, c in enumerate(dimensions)}
-    tie = tie_of(docs, list(dict.fromkeys([*dimensions, text_col])))
+    coords = {f"__d{i}": coordinate(docs, c) for i, c in enumerate(dimensions)}
+    tie = tie_of(docs)
     size = row_bytes(F.col(f"`{text_col}`"))
-    points = written(docs.select(*[c.alias(n) for n, c in coords.items()], tie.alias("_tie"), size.alias("_bytes")),
+    points = written(docs.select(*[c.alias(n) for n, c in coords.items()], tie.alias("__tie"), size.alias("__bytes")),
                      "points")
-    whole = points.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    whole = points.agg(F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     target = target_bytes if target_bytes is not None else whole["bytes"] / (shards or 1)
     leaves = fit(points, len(dimensions), target)
     shard = pick(leaves, [F.lit(i) for i in range(len(leaves))]).cast("int")
     slices = max(1, -(-whole["n"] // (SLICE_ROWS * len(leaves))))
-    part = F.floor(F.col("_tie") * slices).cast("int")
-    counts = points.groupBy(shard.alias("_shard"), part.alias("_part")).agg(F.count("*").alias("_n"))
-    shift = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_shift"))
-    rows = docs.select("*", *[c.alias(n) for n, c in coords.items()], tie.alias("_tie"))
-    rows = rows.select("*", shard.alias("_shard"), part.alias("_part")).drop(*coords)
-    inside = F.row_number().over(Window.partitionBy("_shard", "_part").orderBy("_tie"))
-    rows = rows.join(shift, ["_shard", "_part"]).withColumn("_slot", F.col("_shift") + inside - 1)
-    return put(rows, size=size, shard=F.col("_shard"), slot=F.col("_slot").cast("long")).drop(
-        "_shard", "_part", "_shift", "_slot", "_tie")
+    part = F.floor(F.col("__tie") * slices).cast("int")
+    counts = points.groupBy(shard.alias("__shard"), part.alias("__part")).agg(F.count("*").alias("__n"))
+    shift = counts.select("__shard", "__part", F.coalesce(F.sum("__n").over(
+        Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__shift"))
+    rows = docs.select("*", *[c.alias(n) for n, c in coords.items()], tie.alias("__tie"))
+    rows = rows.select("*", shard.alias("__shard"), part.alias("__part")).drop(*coords)
+    inside = F.row_number().over(Window.partitionBy("__shard", "__part").orderBy("__tie"))
+    rows = rows.join(shift, ["__shard", "__part"]).withColumn("__slot", F.col("__shift") + inside - 1)
+    return put(rows, size=size, shard=F.col("__shard"), slot=F.col("__slot").cast("long")).drop(
+        "__shard", "__part", "__shift", "__slot", "__tie")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

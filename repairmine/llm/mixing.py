@@ -70,58 +70,58 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
 def running(rows: DataFrame, keys: list[str], slice_col: str, order: list, amount: str, name: str) -> DataFrame:
     """Sum of ``amount`` up to and with each row, in the order of slices and
     of ``order`` inside them."""
-    sums = rows.groupBy(*keys, slice_col).agg(F.sum(amount).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(
+    sums = rows.groupBy(*keys, slice_col).agg(F.sum(amount).alias("__sum"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(
         Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.sum(amount).over(Window.partitionBy(*keys, slice_col).orderBy(*order)
                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (rows.join(before.drop("_sum"), [*keys, slice_col])
-            .withColumn(name, F.col("_before") + inside).drop("_before"))
+    return (rows.join(before.drop("__sum"), [*keys, slice_col])
+            .withColumn(name, F.col("__before") + inside).drop("__before"))
 
 
 def with_queue_key(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """``docs`` with ``_source`` (null as its own key) and ``_key``, ``_tie``
+    """``docs`` with ``__source`` (null as its own key) and ``__key``, ``__tie``
     (two 64-bit hashes of id and text: the seeded shuffle)."""
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("string")
     return docs.select(
-        "*", F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n")).alias("_source"),
-        F.xxhash64(F.lit(seed), key, text).alias("_key"), F.xxhash64(text, key, F.lit(seed)).alias("_tie"))
+        "*", F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n")).alias("__source"),
+        F.xxhash64(F.lit(seed), key, text).alias("__key"), F.xxhash64(text, key, F.lit(seed)).alias("__tie"))
 
 
-ENTRY = ["_source", "_key", "_tie"]
+ENTRY = ["__source", "__key", "__tie"]
 
 
 def fair_queue(entries: DataFrame, plan: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """The taken part of the queue. ``entries``: ``_source, _key, _tie, _size,
-    copies`` (how many rows are equal); ``plan``: ``_source, target, _rows``. Returns
-    ``_source, _key, _tie, _size, epoch, finish, position, taken``: ``taken``
+    """The taken part of the queue. ``entries``: ``__source, __key, __tie, __size,
+    __copies`` (how many rows are equal); ``plan``: ``__source, target, __rows``. Returns
+    ``__source, __key, __tie, __size, epoch, finish, position, taken``: ``taken``
     of the entry's rows go in at this epoch, and ``position`` counts the words
     of the mix up to their end. Many equal rows queue in runs of
     ``EQUAL_RUN``, so they spread over the shuffle like other rows."""
     slices = max(1, -(-entries.count() * repeats // SLICE_ROWS))
     q = (entries.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-         .withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"cast((copies - 1) div {EQUAL_RUN} as int)"))))
-         .withColumn("copies", F.least(F.lit(EQUAL_RUN), F.col("copies") - F.col("run") * EQUAL_RUN))
-         .withColumn("words", F.col("_size") * F.col("copies"))
+         .withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"cast((__copies - 1) div {EQUAL_RUN} as int)"))))
+         .withColumn("__copies", F.least(F.lit(EQUAL_RUN), F.col("__copies") - F.col("run") * EQUAL_RUN))
+         .withColumn("words", F.col("__size") * F.col("__copies"))
          # the shuffle of an epoch: another mix of the same key
-         .withColumn("turn", F.xxhash64("epoch", "run", "_key"))
-         .join(plan.select("_source", "target", "_rows"), "_source").where(F.col("target") > 0))
+         .withColumn("turn", F.xxhash64("epoch", "run", "__key"))
+         .join(plan.select("__source", "target", "__rows"), "__source").where(F.col("target") > 0))
     # a source's shuffle order falls into lanes by its own number of rows
-    lanes = F.ceil(F.col("_rows") / SLICE_ROWS)
+    lanes = F.ceil(F.col("__rows") / SLICE_ROWS)
     q = q.withColumn("lane", F.col("epoch") * lanes + F.shiftrightunsigned("turn", 33) % lanes)
-    q = running(q, ["_source"], "lane", ["turn", "_key", "_tie", "run"], "words", "served")
+    q = running(q, ["__source"], "lane", ["turn", "__key", "__tie", "run"], "words", "served")
     q = q.withColumn("finish", F.col("served") / F.col("target"))
     q = q.withColumn("span", F.least(F.floor(F.col("finish") * slices), F.lit(4 * repeats * slices)).cast("long"))
-    q = written(q.drop("lane", "served", "target", "_rows"), "queue")
+    q = written(q.drop("lane", "served", "target", "__rows"), "queue")
     placed = running(q.repartitionByRange("span"), [], "span",
-                     ["finish", "_source", "epoch", "turn", "_key", "_tie", "run"], "words", "position")
+                     ["finish", "__source", "epoch", "turn", "__key", "__tie", "run"], "words", "position")
     budget = F.lit(float(plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]))
     # one entry crosses the budget: its rows go in while the larger part fits
     start = F.col("position") - F.col("words")
-    fits = F.when(F.col("_size") == 0, F.when(start < budget, F.col("copies")).otherwise(0)).otherwise(
-        F.floor((budget - start) / F.col("_size") + 0.5))
-    return (placed.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("copies"), fits)).cast("long"))
-            .where("taken > 0").drop("words", "span", "turn", "run", "copies"))
+    fits = F.when(F.col("__size") == 0, F.when(start < budget, F.col("__copies")).otherwise(0)).otherwise(
+        F.floor((budget - start) / F.col("__size") + 0.5))
+    return (placed.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("__copies"), fits)).cast("long"))
+            .where("taken > 0").drop("words", "span", "turn", "run", "__copies"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -129,30 +129,30 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Every row of ``docs`` with ``size``, ``source_size``, ``target`` (of
     its source) and ``times`` (how often the mix takes it, 0 to ``repeats``)."""
     keyed = with_queue_key(docs, id_col, text_col, source_col, seed)
-    entries = written(keyed.withColumn("_size", word_count(F.col(f"`{text_col}`"))).groupBy(*ENTRY)
-                      .agg(F.max("_size").alias("_size"), F.count("*").alias("copies")), "entries")
-    sizes = entries.groupBy("_source").agg(
-        F.sum(F.col("_size") * F.col("copies")).alias("source_size"), F.count("*").alias("_rows"))
+    entries = written(keyed.withColumn("__size", word_count(F.col(f"`{text_col}`"))).groupBy(*ENTRY)
+                      .agg(F.max("__size").alias("__size"), F.count("*").alias("__copies")), "entries")
+    sizes = entries.groupBy("__source").agg(
+        F.sum(F.col("__size") * F.col("__copies")).alias("source_size"), F.count("*").alias("__rows"))
     plan = written(
-        targets(sizes.select(F.when(F.col("_source") != "n", F.expr("substring(_source, 2)")).alias("source"),
+        targets(sizes.select(F.when(F.col("__source") != "n", F.expr("substring(__source, 2)")).alias("source"),
                              "source_size"), weights, share, repeats)
-        .select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"),
-                F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-        .join(sizes.select("_source", "_rows"), "_source"), "targets")
-    queue = fair_queue(entries, plan.withColumnRenamed("_target", "target"), repeats)
-    taken = queue.groupBy(*ENTRY).agg(F.sum("taken").alias("_taken"))
-    told = entries.join(taken, ENTRY, "left").join(plan, "_source").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+        .select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("__source"),
+                F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+        .join(sizes.select("__source", "__rows"), "__source"), "targets")
+    queue = fair_queue(entries, plan.withColumnRenamed("__target", "target"), repeats)
+    taken = queue.groupBy(*ENTRY).agg(F.sum("taken").alias("__taken"))
+    told = entries.join(taken, ENTRY, "left").join(plan, "__source").withColumn("__taken", F.coalesce("__taken", F.lit(0)))
     rows = keyed.join(told, ENTRY)
     # all rows of an entry go in equally often, but for the entry at the cut
-    cut = F.col("_taken") % F.col("copies") != 0
+    cut = F.col("__taken") % F.col("__copies") != 0
     number = F.row_number().over(Window.partitionBy(*ENTRY).orderBy(F.lit(0)))
-    even = rows.where(~cut).withColumn("_times", F.expr("_taken div copies"))
-    uneven = rows.where(cut).withColumn("_n", number).withColumn(
-        "_times", F.expr("_taken div copies + if(_n <= _taken % copies, 1, 0)")).drop("_n")
+    even = rows.where(~cut).withColumn("__times", F.expr("__taken div __copies"))
+    uneven = rows.where(cut).withColumn("__n", number).withColumn(
+        "__times", F.expr("__taken div __copies + if(__n <= __taken % __copies, 1, 0)")).drop("__n")
     both = even.unionByName(uneven)
-    return put(both, size=F.col("_size"), source_size=F.col("_source_size"), target=F.col("_target"),
-               times=F.col("_times").cast("int")).drop(*ENTRY, "_size", "_source_size", "_target", "_taken", "copies",
-                                                       "_rows", "_times")
+    return put(both, size=F.col("__size"), source_size=F.col("__source_size"), target=F.col("__target"),
+               times=F.col("__times").cast("int")).drop(*ENTRY, "__size", "__source_size", "__target", "__taken", "__copies",
+                                                       "__rows", "__times")
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

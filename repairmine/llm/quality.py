@@ -96,7 +96,7 @@ def compression_bands(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     measured = measured.asNondeterministic()  # else a filter on a result evaluates it a second time
     text = F.col(f"`{text_col}`")
-    m = F.col("_measured")
+    m = F.col("__measured")
     size = F.octet_length(F.coalesce(text, F.lit("")))
     outside = F.lit(False)
     for least, low, high in BANDS:
@@ -104,8 +104,8 @@ def compression_bands(docs: DataFrame, text_col: str = "text") -> DataFrame:
     outside = outside | ((size >= CHUNK // 2) & (
         (m["min_chunk_ratio"] < CHUNK_LIMITS[0]) | (m["max_chunk_ratio"] > CHUNK_LIMITS[1])))
     base = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
-    out = docs.withColumn("_measured", measured(text))
+    out = docs.withColumn("__measured", measured(text))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "doc_ratio", "min_chunk_ratio",
              "max_chunk_ratio"]
     return put(out, **{n: m[n] for n in names}, base_failed=base, band_failed=F.coalesce(outside, F.lit(False)),
-               kept=~base & ~F.coalesce(outside, F.lit(False))).drop("_measured")
+               kept=~base & ~F.coalesce(outside, F.lit(False))).drop("__measured")

@@ -154,15 +154,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that lead their component: smallest id (null
     last), then smallest text hash; of rows equal in both, one."""
     rows = components_of(docs, id_col, text_col, shingle, max_bits)
-    one = rows.groupBy("component", "doc_id", "th").agg(F.count("*").alias("_n"))
-    lead = one.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "_n")).alias("x"))
-    lead = written(lead.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), F.col("x._n").alias("_n")),
+    one = rows.groupBy("component", "doc_id", "th").agg(F.count("*").alias("__n"))
+    lead = one.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "__n")).alias("x"))
+    lead = written(lead.select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"), F.col("x.__n").alias("__n")),
                    "leaders")
     th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    kept = docs.select("*", th.alias("_own")).join(
-        lead, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th"))).drop("_id", "_th")
-    single = kept.where("_n = 1")
-    if not lead.where("_n > 1").isEmpty():
-        number = F.row_number().over(Window.partitionBy(f"`{id_col}`", "_own").orderBy(F.lit(0)))
-        single = single.unionByName(kept.where("_n > 1").withColumn("_k", number).where("_k = 1").drop("_k"))
-    return single.drop("_own", "_n")
+    kept = docs.select("*", th.alias("__own")).join(
+        lead, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))).drop("__id", "__th")
+    single = kept.where("__n = 1")
+    if not lead.where("__n > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy(f"`{id_col}`", "__own").orderBy(F.lit(0)))
+        single = single.unionByName(kept.where("__n > 1").withColumn("__k", number).where("__k = 1").drop("__k"))
+    return single.drop("__own", "__n")

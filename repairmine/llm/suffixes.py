@@ -282,14 +282,14 @@ _BLOCK = "core long, block long, th long, tn int, at int, before short, after sh
 def addressed(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``th`` and ``tn``, the hash and length of the text."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
-    return docs.select("*", F.xxhash64(text).alias("_th"), F.octet_length(text).alias("_tn"))
+    return docs.select("*", F.xxhash64(text).alias("__th"), F.octet_length(text).alias("__tn"))
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``th, tn, spans`` (array of start, stop) of every text that loses bytes."""
     base = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
-    texts = addressed(base, "text").where(F.col("_tn") >= length).select(
-        "text", F.col("_th").alias("th"), F.col("_tn").alias("tn"))
+    texts = addressed(base, "text").where(F.col("__tn") >= length).select(
+        "text", F.col("__th").alias("th"), F.col("__tn").alias("tn"))
     found = written(texts.select("text", "th").mapInArrow(lambda it: _blocks(it, length), _BLOCK), "blocks")
     twice = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     some = written(found.join(twice, "core", "left_semi"), "repeated-cores")
@@ -443,20 +443,20 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
     (maximal removed runs), ``removed`` (those runs: start, stop),
     ``kept_bytes`` and ``kept_text``."""
     spans = repeated_spans(docs, text_col, length).select(
-        F.col("th").alias("_sh"), F.col("tn").alias("_sn"), F.col("spans").alias("_spans"))
+        F.col("th").alias("__sh"), F.col("tn").alias("__sn"), F.col("spans").alias("__spans"))
     rows = addressed(docs, text_col)
-    rows = rows.join(spans, (rows["_th"] == spans["_sh"]) & (rows["_tn"] == spans["_sn"]), "left")
+    rows = rows.join(spans, (rows["__th"] == spans["__sh"]) & (rows["__tn"] == spans["__sn"]), "left")
     one = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))
     none = F.slice(F.array(one), 1, 0)
     last = lambda acc: F.element_at(acc, -1)
     # unite overlapping and touching spans, in order
     runs = F.aggregate(
-        F.coalesce("_spans", none), none,
+        F.coalesce("__spans", none), none,
         lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["stop"] >= x["start"]), F.concat(
             F.slice(acc, F.lit(1), F.size(acc) - 1),
             F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))
         ).otherwise(F.concat(acc, F.array(x))))
-    rows = rows.select("*", runs.alias("_runs")).drop("_spans", "_sh", "_sn")
+    rows = rows.select("*", runs.alias("__runs")).drop("__spans", "__sh", "__sn")
 
     @F.pandas_udf("kept_bytes binary, kept_text string")
     def keep(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
@@ -471,10 +471,10 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
         return pd.DataFrame(out, columns=["kept_bytes", "kept_text"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    cut = F.size("_runs") > 0  # only texts that lose something go through Python
+    cut = F.size("__runs") > 0  # only texts that lose something go through Python
     rows = rows.select("*", keep.asNondeterministic()(
-        F.when(cut, text.cast("binary")), F.when(cut, F.col("_runs.start")), F.when(cut, F.col("_runs.stop"))).alias("_k"))
-    lost = F.aggregate("_runs", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    return put(rows, n_bytes=F.col("_tn").cast("long"), n_removed=lost, n_spans=F.size("_runs").cast("long"),
-               removed=F.col("_runs"), kept_bytes=F.when(cut, F.col("_k.kept_bytes")).otherwise(text.cast("binary")),
-               kept_text=F.when(cut, F.col("_k.kept_text")).otherwise(text)).drop("_tn", "_th", "_runs", "_k")
+        F.when(cut, text.cast("binary")), F.when(cut, F.col("__runs.start")), F.when(cut, F.col("__runs.stop"))).alias("__k"))
+    lost = F.aggregate("__runs", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return put(rows, n_bytes=F.col("__tn").cast("long"), n_removed=lost, n_spans=F.size("__runs").cast("long"),
+               removed=F.col("__runs"), kept_bytes=F.when(cut, F.col("__k.kept_bytes")).otherwise(text.cast("binary")),
+               kept_text=F.when(cut, F.col("__k.kept_text")).otherwise(text)).drop("__tn", "__th", "__runs", "__k")

@@ -41,7 +41,8 @@ def odd_rows():
 def odd(spark, odd_rows):
     df = spark.createDataFrame(odd_rows, DOCS).repartition(3)
     # names that results use, in another case
-    return df.selectExpr("*", "1 as SHARD", "2 as slot", "3 as kept", "4 as target", "5 as n_bytes", "6 as th", "7 as _size")
+    return df.selectExpr("*", "1 as SHARD", "2 as slot", "3 as kept", "4 as target", "5 as n_bytes", "6 as th", "7 as _size", "8 as copies",
+                         "9 as spans")
 
 
 @pytest.fixture(scope="module")
@@ -356,7 +357,9 @@ def test_simhash_of_odd_rows(odd, odd_rows, none):
             assert (x.fingerprint, x.component_id) == ("0" * 16, 100)
     assert simhash.simhash_components(none).count() == 0
     kept = simhash.one_of_each(odd)
-    assert len({x.component_id for x in got}) == kept.count() and kept.columns == odd.columns
+    fps = sorted({simhash.fingerprint(x[1]) for x in odd_rows})
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert len(set(union_find(len(fps), near))) == kept.count() and kept.columns == odd.columns
 
 
 def test_components_on_a_path_and_a_star(spark):
