@@ -30,10 +30,6 @@ ACTION_CODES = (CHANGE, INSERT_BEFORE, DELETE)
 CHANGE_KIND_WEIGHTS = (4, 1)        # other word, misspelling
 INSERT_CLASS_WEIGHTS = (1, 3, 6)    # identifier, keyword, operator
 MAX_EDITS = 9                       # edits per text: 1..9
-MAX_ACTIONS = 9                     # more actions than this -> no plan
-TOKEN_CAP = 1000                    # texts with more tokens are not corrupted
-
-
 
 def keyword_pool() -> Column:
     return F.array(*[F.lit(x) for x in C_KEYWORDS])
@@ -232,7 +228,8 @@ def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str =
     """M6 (+ M16): k draws per text; each draw picks a mutator by weight
     (default: the random mutator only, as the reference job runs) and adds
     its edits. Of the non-insert edits at one position only the lowest draw
-    stays; more than 9 actions, or no tokens, give an empty plan.
+    stays. A plan may hold more actions than draws (a mutator can add several);
+    none is cut. No tokens give an empty plan.
 
     The identifier pool and the raw draws are separate projections: inside a
     lambda Spark does not share repeated subexpressions, so each is computed
@@ -256,7 +253,7 @@ def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str =
     kept = F.filter(raw, lambda e: (e["act"] == INSERT_BEFORE) | ~F.exists(
         raw, lambda f: (f["act"] != INSERT_BEFORE) & (f["pos"] == e["pos"]) & (f["draw"] < e["draw"])))
     empty = F.array().cast(f"array<{EDIT_TYPE}>")
-    return (staged.withColumn(out, F.when((F.size(toks) > 0) & (F.size(kept) <= MAX_ACTIONS), kept).otherwise(empty))
+    return (staged.withColumn(out, F.when(F.size(toks) > 0, kept).otherwise(empty))
             .drop("_idents", "_raw"))
 
 

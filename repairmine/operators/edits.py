@@ -91,46 +91,75 @@ def script_text(acts: Column) -> Column:
 
 # --- Arrow-batched form of D3 + D5 ------------------------------------------
 # The higher-order form above runs interpreted and copies arrays on every
-# step (O(n * m^2) per pair). The same matrix and trace-back on numpy rows
-# cost O(n * m) with n vector operations per pair; the row's left-hand
-# dependency ``row[j] = min(row[j], row[j-1] + 1)`` is one cumulative minimum.
-# Pairs arrive in Arrow batches; the preference order is the same, so both
-# forms give identical scripts (checked in tests).
+# step (O(n * m^2) per pair). The Arrow form knows the distance d (JVM), so it
+# fills only the band |i - j| <= d, one byte a cell and one row of numbers at a
+# time: O(n * d) time and memory. The row's left-hand dependency
+# ``row[j] = min(row[j], row[j-1] + 1)`` is one cumulative minimum. The
+# preference order is the same, so both forms give identical scripts (tests).
 
 _ARROW_SCRIPT_TYPE = "struct<act:array<int>,pos:array<int>,frm:array<string>,to:array<string>>"
 
 
-def _script_arrays(a: str, b: str, ta, tb):
-    n, m = len(a), len(b)
-    A = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32) if n else np.zeros(0, np.uint32)
-    B = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32) if m else np.zeros(0, np.uint32)
-    M = np.empty((n + 1, m + 1), dtype=np.int64)
-    M[0] = np.arange(m + 1)
-    idx = np.arange(m + 1)
+_SAME, _CHANGED, _TOP, _LEFT = 0, 1, 2, 3
+
+
+def _moves(A: np.ndarray, B: np.ndarray, d: int) -> np.ndarray:
+    """Preferred move into every cell of the band ``|i - j| <= d`` (one byte a
+    cell; column ``k`` of row ``i`` is ``j = i + k - d``). An optimal path of
+    cost ``d`` never leaves the band, and cells off it only look dearer, so the
+    trace-back is that of the full matrix."""
+    n, m, width = len(A), len(B), 2 * d + 1
+    far = np.int32(1 << 29)
+    k = np.arange(width, dtype=np.int32)
+    moves = np.full((n + 1, width), _LEFT, dtype=np.uint8)
+    prev = np.where((k >= d) & (k - d <= m), k - d, far).astype(np.int32)
+    padded = np.full(m + 2 * d + 1, 0xFFFFFFFF, dtype=np.uint32)
+    padded[d:d + m] = B
     for i in range(1, n + 1):
-        row = np.empty(m + 1, dtype=np.int64)
-        row[0] = i
-        if m:
-            row[1:] = np.minimum(M[i - 1, :-1] + (B != A[i - 1]), M[i - 1, 1:] + 1)
-        M[i] = np.minimum.accumulate(row - idx) + idx
+        # the cell's token of B is number i + k - d - 1
+        at = i - 1
+        cost = (padded[at:at + width] != A[i - 1]).astype(np.int32) if at + width <= len(padded) else np.concatenate(
+            [padded[at:] != A[i - 1], np.ones(at + width - len(padded), dtype=bool)]).astype(np.int32)
+        diagonal = prev + cost
+        top = np.append(prev[1:], far) + 1
+        j = i + k - d
+        cur = np.minimum(diagonal, top)
+        cur[(j < 0) | (j > m)] = far
+        if i <= d:
+            cur[d - i] = i
+        cur = np.minimum.accumulate(cur - k) + k
+        cur[(j < 0) | (j > m)] = far
+        moves[i] = np.where(cur == diagonal, cost, np.where(cur == top, _TOP, _LEFT))
+        prev = cur
+    return moves
+
+
+def _script_arrays(a: str, b: str, d: int, ta, tb):
+    n, m = len(a), len(b)
+    A = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
+    B = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
+    moves = _moves(A, B, d)
     acts, pos, frm, to = [], [], [], []
+
+    def add(act, at, old, new):
+        acts.append(act)
+        pos.append(at)
+        frm.append(old)
+        to.append(new)
+
     i, j = n, m
     while i > 0 or j > 0:
-        if i == 0:
-            acts.append(DELETE); pos.append(j - 1); frm.append(tb[j - 1]); to.append(""); j -= 1
-        elif j == 0:
-            acts.append(INSERT_BEFORE); pos.append(0); frm.append(""); to.append(ta[i - 1]); i -= 1
+        move = _LEFT if i == 0 else _TOP if j == 0 else moves[i, j - i + d]
+        if move == _TOP:
+            add(INSERT_BEFORE, j, "", ta[i - 1])
+            i -= 1
+        elif move == _LEFT:
+            add(DELETE, j - 1, tb[j - 1], "")
+            j -= 1
         else:
-            c = 0 if A[i - 1] == B[j - 1] else 1
-            if M[i, j] == M[i - 1, j - 1] + c:
-                if c:
-                    acts.append(CHANGE); pos.append(j - 1); frm.append(tb[j - 1]); to.append(ta[i - 1])
-                i -= 1
-                j -= 1
-            elif M[i, j] == M[i - 1, j] + 1:
-                acts.append(INSERT_BEFORE); pos.append(j); frm.append(""); to.append(ta[i - 1]); i -= 1
-            else:
-                acts.append(DELETE); pos.append(j - 1); frm.append(tb[j - 1]); to.append(""); j -= 1
+            if move == _CHANGED:
+                add(CHANGE, j - 1, tb[j - 1], ta[i - 1])
+            i, j = i - 1, j - 1
     return acts, pos, frm, to
 
 
@@ -138,8 +167,8 @@ def _arrow_script_udf():
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(_ARROW_SCRIPT_TYPE)
-    def script_batch(a: pd.Series, b: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
-        out = [_script_arrays(x, y, list(p), list(q)) for x, y, p, q in zip(a, b, ta, tb)]
+    def script_batch(a: pd.Series, b: pd.Series, d: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
+        out = [_script_arrays(x, y, int(k), list(p), list(q)) for x, y, k, p, q in zip(a, b, d, ta, tb)]
         return pd.DataFrame({"act": [o[0] for o in out], "pos": [o[1] for o in out],
                              "frm": [o[2] for o in out], "to": [o[3] for o in out]})
     return script_batch
@@ -155,7 +184,7 @@ def with_script_arrow(df, a: str, b: str, ta: str, tb: str, out: str = "acts"):
     if _UDF is None:
         _UDF = _arrow_script_udf()
     r = F.col("_script")
-    return (df.withColumn("_script", _UDF(F.col(a), F.col(b), F.col(ta), F.col(tb)))
+    return (df.withColumn("_script", _UDF(F.col(a), F.col(b), F.levenshtein(a, b), F.col(ta), F.col(tb)))
             .withColumn(out, F.transform(r["act"], lambda x, k: F.struct(
                 x.alias("act"), r["pos"][k].alias("pos"), r["frm"][k].alias("frm"), r["to"][k].alias("to"))))
             .drop("_script"))

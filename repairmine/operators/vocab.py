@@ -1,9 +1,9 @@
 """Vocabularies, encodings and padding.
 
 Dense ids in a global order never go through one task: rows are range
-partitioned on the order columns, numbered inside each partition, and each
-partition's offset comes from a table of partition sizes (at most
-``partitions`` rows, a proven bound, so it may be broadcast).
+partitioned on the order columns and written once with their partition
+number, so numbers inside a partition and the partitions' offsets come from
+the same files whatever columns a query reads.
 """
 
 from __future__ import annotations
@@ -11,19 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairmine.session import materialize
+
 # Position and unknown labels, and the n-gram edge labels.
 BEGIN, END, UNK = "<BEGIN>", "<END>", "<UNK>"
 NGRAM_BEGIN, NGRAM_END = "<BEGIN>", "<END>"
 
 
-def dense_ids(df: DataFrame, order: list[Column], partitions: int = 64, id_col: str = "id") -> DataFrame:
-    """0-based ids in the given total order (ties must not exist)."""
-    r = df.repartitionByRange(partitions, *order).withColumn("_pid", F.spark_partition_id())
-    r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+def dense_ids(df: DataFrame, order: list[Column], id_col: str = "id") -> DataFrame:
+    """0-based ids in the given total order (ties must not exist).
+
+    The number of ranges is the session's shuffle width, coalesced by size at
+    run time; the offsets table has one row a range."""
+    r = materialize(df.sparkSession, df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranges")
     sizes = r.groupBy("_pid").agg(F.count("*").alias("_c"))
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    return (r.join(F.broadcast(offs), "_pid")
+    r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    return (r.join(F.broadcast(offs), "_pid")  # bounded by the number of ranges
             .withColumn(id_col, F.col("_off") + F.col("_rn") - 1).drop("_pid", "_rn", "_off"))
 
 

@@ -188,7 +188,7 @@ def q_misspell(spark: SparkSession, sf_dir: str) -> DataFrame:
 from repairmine.operators import lines as L  # noqa: E402
 from repairmine.operators import sample as T  # noqa: E402
 from repairmine.functions.clean import clean_code, is_ascii  # noqa: E402
-from repairmine.session import materialize  # noqa: E402
+from repairmine.session import materialize, written_once  # noqa: E402
 from repairmine.sources.submissions import submissions, typed_submissions  # noqa: E402
 
 
@@ -206,21 +206,6 @@ def q_shift_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        lambda x: x["c"]), ",")).alias("coords_md5"))
 
 
-_WRITTEN: dict = {}
-
-
-def _written(spark: SparkSession, key: str, build) -> DataFrame:
-    """A table written once per session in the shared checkpoint folder.
-
-    Besides cutting lineage this stops predicate push-down: a filter on a
-    derived column is otherwise pushed through every projection to the scan
-    with the whole cleaning chain inlined into its condition."""
-    k = (spark.sparkContext.applicationId, key)
-    if k not in _WRITTEN:
-        _WRITTEN[k] = materialize(spark, build(), key.replace("/", "_"))
-    return _WRITTEN[k]
-
-
 def cleaned_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned submissions (C8) with their tokens, written once."""
     def build():
@@ -229,7 +214,9 @@ def cleaned_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
             "code", clean_code(F.col("code")))
         return c.withColumn("_keep", is_ascii(F.col("code")) & (F.col("code") != ""))
-    return _written(spark, f"cleaned{sf_dir}", build).where("_keep").drop("_keep")
+    # written before the filter: a filter on a derived column is otherwise
+    # pushed to the scan with the whole cleaning chain inlined into it
+    return written_once(spark, "cleaned", [f"{sf_dir}/orders.parquet"], build).where("_keep").drop("_keep")
 
 
 def passing_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,11 +252,10 @@ def q_mutator_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corrupt_texts(src: DataFrame, id_col: str, code_col: str, seed=SEED, weights=M.RANDOM_ONLY) -> DataFrame:
     """Reference lines blanked (L4) -> tokens with offsets (K1, K4) ->
     plan (M6) -> new tokens (M7) and offsets (M9) -> text (K5) -> reference
-    lines put back on their line numbers (L7). Texts over the token cap or
-    without a plan are skipped. Output ``id, plan, text, conflicts``."""
+    lines put back on their line numbers (L7). Texts without tokens
+    have no plan and are skipped; no text is too long. Output ``id, plan, text, conflicts``."""
     blanked = src.select(id_col, L.blank_ref_lines(F.col(code_col)).alias("_blank"))
-    toks = blanked.select(id_col, K.tokens_of(F.col("_blank")).alias("toks")).where(
-        K.within_cap(F.col("toks"), M.TOKEN_CAP))
+    toks = blanked.select(id_col, K.tokens_of(F.col("_blank")).alias("toks"))
     spark = src.sparkSession
     planned = materialize(spark, M.with_edit_plan(toks, id_col, "toks", seed, weights=weights), "planned")
     planned = planned.where(F.size("plan") > 0)
@@ -290,13 +276,13 @@ def q_corrupt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
-    """Passing rows of problem-users without a compile failure (J2) ->
+    """Passing rows of users without a compile failure (J2) ->
     skip keys already done (J3) -> corrupt (M17) -> records with the edit
     list as JSON text and the edit count as distance."""
     src = passing_code(spark, sf_dir)
     allrows = cleaned_submissions(spark, sf_dir)
-    failing = allrows.where(F.col("status_code") == 7).select("problem_user_id").distinct()
-    src = src.join(failing, "problem_user_id", "left_anti")
+    failing = allrows.where(F.col("status_code") == 7).select("user_id").distinct()
+    src = src.join(failing, "user_id", "left_anti")
     if done is not None:
         src = src.join(done.select("problem_user_id").distinct(), "problem_user_id", "left_anti")
     c = corrupt_texts(src, "id", "code")

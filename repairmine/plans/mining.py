@@ -25,58 +25,53 @@ from repairmine.operators.edits import apply_sql, script_text, with_script_arrow
 from repairmine.plans.registry import register
 from repairmine.plans.relational import groups_with_both
 from repairmine.plans.sqltext import d_matrix, d_script, d_script_text, q
-from repairmine.plans.text import D_CLEAN_CTE, D_PIECE, D_SUBT, clean_corpus, d_ref_lines, d_ref_name
-from repairmine.session import ensure_checkpoint_dir, materialize
+from repairmine.plans.text import D_CLEAN_CTE, D_PIECE, D_SUBT, clean_corpus, d_drop_ref_lines, d_ref_lines, d_ref_name
+from repairmine.session import ensure_checkpoint_dir, written_once
 from repairmine.sources.submissions import submissions, typed_submissions
 
-TOKEN_CAP = 2000          # C9: texts with more tokens get none
 TEST_BOUND = 101          # D9: keep 0 <= d < 101
-NEAREST_BOUND = 101       # nearest_text: same bound
 CHUNK_ROWS = 100          # S11: rows per chunk of the success job
 CHUNK_BUCKETS = 64
 GROUP = ["problem_user_id", "refs"]
+COMPILE, TEST = "compile", "test"
 
 
-def tokenized(cs: DataFrame) -> DataFrame:
-    """C9 + K1 + L2: token array (null for texts with preprocessor words or
-    over the cap) and the reference-name key of each cleaned text."""
-    # the token array is projected once and referenced twice, so the regex
-    # runs once per text (Catalyst does not inline a non-cheap expression
-    # that is referenced more than once)
-    return (cs.withColumn("_all", K.tokens_of(F.col("code")))
-            .withColumn("toks", F.when(~C.has_directive(F.col("code")) & K.within_cap(F.col("_all"), TOKEN_CAP),
-                                       F.col("_all")))
-            .withColumn("refs", F.array_join(L.ref_names(F.col("code")), "\u0001"))
-            .drop("_all"))
+def tokenized(cs: DataFrame, job: str) -> DataFrame:
+    """K1 + L2: token array and reference-name key of each cleaned text, of
+    any length. The compile-failure job tokenizes the text without its
+    reference lines; the test-failure job keeps them, and gives no tokens to
+    texts with preprocessor words (C9)."""
+    code = F.col("code")
+    toks = (K.tokens_of(L.drop_ref_lines(code)) if job == COMPILE
+            else F.when(~C.has_directive(code), K.tokens_of(code)))
+    return cs.withColumn("toks", toks).withColumn("refs", F.array_join(L.ref_names(code), "\u0001"))
 
 
-_CORPORA: dict = {}
-
-
-def mining_corpus(spark: SparkSession, sf_dir: str, key=None, key_name: str = "") -> DataFrame:
-    """Cleaned, tokenized, symbol-coded submissions.
+def mining_corpus(spark: SparkSession, sf_dir: str, job: str = COMPILE, key=None, key_name: str = "") -> DataFrame:
+    """Cleaned, tokenized, symbol-coded submissions of a job.
 
     The corpus is read by every branch of a job (both sides of the search,
     the band rounds, the partner join), so its lineage is cut once: it is
-    written once as a parquet table in the shared ``spark.checkpoint.dir``
-    (survives lost executors) and reused within the session.
+    written as a parquet table in the shared ``spark.checkpoint.dir`` and
+    reused while the input's files stay the same.
     """
     ensure_checkpoint_dir(spark)
-    k = (spark.sparkContext.applicationId, sf_dir, key_name)
-    if k not in _CORPORA:
-        base = (spark.sparkContext.applicationId, sf_dir, "")
-        if base not in _CORPORA:
-            # one pass of the regex work, written before any filter, so the
-            # cleaning is not evaluated again inside a pushed-down predicate
-            ty = typed_submissions(submissions(spark, sf_dir)).where(
-                F.col("problem_name").isNotNull() & F.col("user_id").isNotNull() & F.col("code").isNotNull())
-            cleaned = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
-                "code", C.clean_code(F.col("code")))
-            _CORPORA[base + ("tok",)] = materialize(spark, tokenized(cleaned).withColumn(
-                "_keep", C.is_ascii(F.col("code")) & (F.col("code") != "")), "tokenized")
-        tk = _CORPORA[base + ("tok",)].where("_keep").drop("_keep")
-        _CORPORA[k] = materialize(spark, symbolize(tk, ["problem_user_id"], "toks", key=key), "corpus")
-    return _CORPORA[k]
+    inputs = [f"{sf_dir}/orders.parquet"]
+
+    def cleaned():
+        # one pass of the regex work, written before any filter, so the
+        # cleaning is not evaluated again inside a pushed-down predicate
+        ty = typed_submissions(submissions(spark, sf_dir)).where(
+            F.col("problem_name").isNotNull() & F.col("user_id").isNotNull() & F.col("code").isNotNull())
+        c = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
+            "code", C.clean_code(F.col("code")))
+        return tokenized(c, job).withColumn("_keep", C.is_ascii(F.col("code")) & (F.col("code") != ""))
+
+    def coded():
+        tk = written_once(spark, f"tokenized-{job}", inputs, cleaned).where("_keep").drop("_keep")
+        return symbolize(tk, ["problem_user_id"], "toks", key=key)
+
+    return written_once(spark, f"corpus-{job}-{key_name}", inputs, coded)
 
 
 def nearest(corpus: DataFrame, fail_codes, pass_codes, bound: int | None) -> DataFrame:
@@ -87,13 +82,16 @@ def nearest(corpus: DataFrame, fail_codes, pass_codes, bound: int | None) -> Dat
 
 
 def with_scripts(near: DataFrame, corpus: DataFrame) -> DataFrame:
-    """D3 + D5 + D6 on the winners: the partner's tokens and code come back
-    by one join on its id."""
+    """D3 + D5 + D6 on the winners. Equal pairs of a group (copies) get one
+    script: it is made for distinct (failing, partner) sequences and joined
+    back; the partner's code comes back by its id."""
+    pair = [*GROUP, "seq", "similar_seq"]
     part = corpus.select(F.col("id").alias("similar_id"), F.col("toks").alias("similar_toks"),
                          F.col("code").alias("similar_code"))
     won = near.where(F.col("distance") >= 0).join(part, "similar_id")
-    return (with_script_arrow(won, "seq", "similar_seq", "toks", "similar_toks")
-            .withColumn("applied", F.expr(apply_sql("similar_toks", "acts"))))
+    scripts = with_script_arrow(won.select(*pair, "toks", "similar_toks").distinct(), "seq", "similar_seq", "toks",
+                                "similar_toks").withColumn("applied", F.expr(apply_sql("similar_toks", "acts")))
+    return won.drop("toks", "similar_toks").join(scripts.select(*pair, "acts", "applied"), pair)
 
 
 def mine_compile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +108,7 @@ def mine_compile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mine_test_errors(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
     """Verdicts {1,3,4,5,6} -> skip keys already done (J3) -> groups with
     a pass and a test failure (A3) -> nearest with bound 101 -> scripts."""
-    corpus = mining_corpus(spark, sf_dir).where(F.col("status_code").isin(*KEEP_FOR_TEST_MINING))
+    corpus = mining_corpus(spark, sf_dir, TEST).where(F.col("status_code").isin(*KEEP_FOR_TEST_MINING))
     if done is not None:
         corpus = corpus.join(done.select("problem_user_id").distinct(), "problem_user_id", "left_anti")
     both = groups_with_both(corpus, PASS_CODES, TEST_FAIL_CODES)
@@ -140,11 +138,16 @@ def mined_record(df: DataFrame, compile_result: int) -> DataFrame:
 # problem-user in these tables), pair join, arg-min, scripts.
 
 D_DIRECTIVE = " OR ".join(f"instr(code, {q(w)}) > 0" for w in C.DIRECTIVE_WORDS)
-D_CORPUS = f"""{D_SUBT}, {D_CLEAN_CTE},
+D_JOB_TOKENS = {
+    COMPILE: f"regexp_extract_all({d_drop_ref_lines('code')}, {D_PIECE}, 2)",
+    TEST: f"CASE WHEN NOT ({D_DIRECTIVE}) THEN regexp_extract_all(code, {D_PIECE}, 2) END"}
+
+
+def d_corpus(job: str) -> str:
+    return f"""{D_SUBT}, {D_CLEAN_CTE},
 tk AS (SELECT id, problem_name, user_id, problem_user_id, status_code, language, code,
   array_to_string(list_transform({d_ref_lines('code')}, lambda x: {d_ref_name('x')}), chr(1)) AS refs,
-  CASE WHEN NOT ({D_DIRECTIVE}) AND len(regexp_extract_all(code, {D_PIECE}, 2)) <= {TOKEN_CAP}
-       THEN regexp_extract_all(code, {D_PIECE}, 2) END AS toks FROM cs),
+  {D_JOB_TOKENS[job]} AS toks FROM cs),
 ut AS (SELECT id, problem_user_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM tk WHERE toks IS NOT NULL),
 vb AS (SELECT problem_user_id, tok, dense_rank() OVER (PARTITION BY problem_user_id ORDER BY tok) AS r
   FROM (SELECT DISTINCT problem_user_id, tok FROM ut)),
@@ -154,6 +157,9 @@ corpus AS (SELECT tk.*, CASE WHEN tk.toks IS NULL THEN NULL WHEN len(tk.toks) =
   FROM tk LEFT JOIN sq ON tk.id = sq.id)"""
 
 
+D_CORPUS = d_corpus(COMPILE)
+
+
 def d_both(src: str, ok: str, err: str) -> str:
     return (f"(SELECT problem_user_id FROM {src} GROUP BY problem_user_id "
             f"HAVING bool_or(status_code IN ({ok})) AND bool_or(status_code IN ({err})))")
@@ -177,7 +183,7 @@ def _codes(t) -> str:
 D_MINE_COMPILE = (f"WITH {D_CORPUS}, c AS (SELECT * FROM corpus WHERE problem_user_id IN "
                   f"{d_both('corpus', _codes(PASS_CODES), _codes(COMPILE_FAIL_CODES))}), "
                   + d_nearest("c", _codes(COMPILE_FAIL_CODES), _codes(PASS_CODES), None))
-D_MINE_TEST = (f"WITH {D_CORPUS}, k AS (SELECT * FROM corpus WHERE status_code IN ({_codes(KEEP_FOR_TEST_MINING)})), "
+D_MINE_TEST = (f"WITH {d_corpus(TEST)}, k AS (SELECT * FROM corpus WHERE status_code IN ({_codes(KEEP_FOR_TEST_MINING)})), "
                f"c AS (SELECT * FROM k WHERE problem_user_id IN "
                f"{d_both('k', _codes(PASS_CODES), _codes(TEST_FAIL_CODES))}), "
                + d_nearest("c", _codes(TEST_FAIL_CODES), _codes(PASS_CODES), TEST_BOUND))
@@ -225,7 +231,7 @@ FROM corpus f JOIN r ON f.problem_user_id = r.problem_user_id AND f.refs = r.ref
 WHERE f.status_code = 7 AND f.seq IS NOT NULL""")
 def q_token_distance_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same distance with a pluggable token key (all numbers equal)."""
-    c = mining_corpus(spark, sf_dir, key=_digits, key_name="digits")
+    c = mining_corpus(spark, sf_dir, COMPILE, key=_digits, key_name="digits")
     ref = (c.where((F.col("status_code") == 1) & F.col("seq").isNotNull())
            .groupBy(*GROUP).agg(F.min("id").alias("ref_id")))
     rs = c.select(F.col("id").alias("ref_id"), F.col("seq").alias("ref_seq"))
@@ -271,11 +277,11 @@ def q_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("nearest_text", oracle=f"""WITH {D_CORPUS}, c AS (SELECT * FROM corpus),
-{d_nearest("c", "7", "1", NEAREST_BOUND)}
+{d_nearest("c", "7", "1", None)}
 SELECT f.id, nb.similar_id, CAST(coalesce(nb.d, -1) AS BIGINT) AS distance FROM f LEFT JOIN nb ON f.id = nb.id""")
 def q_nearest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest passing text of every compile failure (bound 101)."""
-    near = nearest(mining_corpus(spark, sf_dir), COMPILE_FAIL_CODES, PASS_CODES, NEAREST_BOUND)
+    """Nearest passing text of every compile failure, at any distance."""
+    near = nearest(mining_corpus(spark, sf_dir), COMPILE_FAIL_CODES, PASS_CODES, None)
     return near.select("id", "similar_id", F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -349,7 +355,7 @@ SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
 GROUP BY reason""")
 def q_miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome counts of the test-case mining job in one aggregate."""
-    corpus = mining_corpus(spark, sf_dir).where(F.col("status_code").isin(*KEEP_FOR_TEST_MINING))
+    corpus = mining_corpus(spark, sf_dir, TEST).where(F.col("status_code").isin(*KEEP_FOR_TEST_MINING))
     c = corpus.join(groups_with_both(corpus, PASS_CODES, TEST_FAIL_CODES), "problem_user_id", "left_semi")
     near = nearest(c, TEST_FAIL_CODES, PASS_CODES, TEST_BOUND)
     cand = (c.where(F.col("status_code").isin(*PASS_CODES) & F.col("seq").isNotNull())
@@ -395,7 +401,7 @@ def success_job(spark: SparkSession, sf_dir: str, seed=7) -> DataFrame:
                      "user_id", "problem_user_id", decode(F.col("language_code"), LANGUAGE).alias("language"),
                      decode(F.col("status_code"), VERDICT).alias("status"),
                      F.lit(None).cast("string").alias("error_test_id"),
-                     F.coalesce((F.col("status_code") != 7).cast("int"), F.lit(1)).alias("gcc_compile_result"),
+                     (F.col("status_code") != 7).cast("int").alias("gcc_compile_result"),
                      "code", "bucket", "chunk")
 
 

@@ -118,17 +118,15 @@ def q_enrich_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, "o_custkey", "left").select("o_orderkey", "c_name", "c_mktsegment")
 
 
-@register("anti_users", oracle="""
-SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'purchase'
-  AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'error' AND x.user_id = e.user_id
-                  AND CAST(x.ts AS DATE) = CAST(e.ts AS DATE))""")
+@register("anti_users", oracle=f"""
+WITH {D_SUBV} SELECT id, user_id FROM subv WHERE status_code = 1
+  AND user_id NOT IN (SELECT user_id FROM subv WHERE status_code = 7 AND user_id IS NOT NULL)""")
 def q_anti_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passing rows (purchases) of user-days that have no failing row
-    (error); ``left_anti`` on the composite key, never ``NOT IN``."""
-    ev = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    bad = ev.where(F.col("event_type") == "error").select("user_id", "day").distinct()
-    return (ev.where(F.col("event_type") == "purchase").join(bad, ["user_id", "day"], "left_anti")
-            .select("event_id", "user_id"))
+    """Passing rows of users without any compile failure; ``left_anti``
+    on the user, never ``NOT IN``."""
+    s = _sub(spark, sf_dir)
+    bad = s.where(F.col("status_code") == 7).select("user_id").distinct()
+    return s.where(F.col("status_code") == 1).join(bad, "user_id", "left_anti").select("id", "user_id")
 
 
 D_BOTH = """both_keys AS (SELECT problem_user_id FROM subv GROUP BY problem_user_id
@@ -199,12 +197,14 @@ def q_user_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("success_totals", oracle=f"""
-WITH {D_SUBV} SELECT problem_name, CAST(sum(CASE WHEN status_code = 7 THEN 0 ELSE 1 END) AS BIGINT) AS n_success,
-  CAST(count(*) AS BIGINT) AS n_total FROM subv GROUP BY problem_name""")
+WITH {D_SUBV} SELECT problem_name, CAST(sum(CASE WHEN status_code <> 7 THEN 1 ELSE 0 END) AS BIGINT) AS n_success,
+  CAST(count(status_code) AS BIGINT) AS n_known, CAST(count(*) AS BIGINT) AS n_total FROM subv GROUP BY problem_name""")
 def q_success_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: compile-success flag sum and row count per problem."""
-    s = _sub(spark, sf_dir).withColumn("flag", F.coalesce((F.col("status_code") != 7).cast("int"), F.lit(1)))
-    return s.groupBy("problem_name").agg(F.sum("flag").cast("bigint").alias("n_success"),
+    """A5: compile-success flag sum and row counts per problem; the flag of
+    an unmapped verdict is unknown and counts for neither side."""
+    s = _sub(spark, sf_dir).withColumn("flag", (F.col("status_code") != 7).cast("int"))
+    return s.groupBy("problem_name").agg(F.coalesce(F.sum("flag"), F.lit(0)).cast("bigint").alias("n_success"),
+                                         F.count("flag").cast("bigint").alias("n_known"),
                                          F.count("*").cast("bigint").alias("n_total"))
 
 
@@ -226,8 +226,8 @@ def q_verdict_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("success_only", oracle=f"""
-WITH {D_SUBV} SELECT id FROM subv WHERE coalesce(status_code <> 7, true)""")
+WITH {D_SUBV} SELECT id FROM subv WHERE status_code <> 7""")
 def q_success_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rows whose compile-success flag is 1."""
+    """rows whose compile-success flag is 1 (unmapped verdicts are unknown)."""
     s = _sub(spark, sf_dir)
-    return s.where(F.coalesce(F.col("status_code") != 7, F.lit(True))).select("id")
+    return s.where(F.col("status_code") != 7).select("id")

@@ -132,13 +132,11 @@ def q_clean_corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("drop_directives", oracle=f"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, {D_PIECE}, 2)) AS BIGINT) AS n_tokens FROM documents
-WHERE NOT ({' OR '.join(f"instr(text, {q(w)}) > 0" for w in C.DIRECTIVE_WORDS)})
-  AND len(regexp_extract_all(text, {D_PIECE}, 2)) <= 2000""")
+WHERE NOT ({' OR '.join(f"instr(text, {q(w)}) > 0" for w in C.DIRECTIVE_WORDS)})""")
 def q_drop_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without preprocessor words and with at most 2000 tokens."""
-    docs = _docs(spark, sf_dir).withColumn("_t", K.tokens_of(F.col("text")))
-    return (docs.where(~C.has_directive(F.col("text")) & K.within_cap(F.col("_t"), 2000))
-            .select("doc_id", F.size("_t").cast("bigint").alias("n_tokens")))
+    """Texts without preprocessor words, of any length."""
+    docs = _docs(spark, sf_dir).where(~C.has_directive(F.col("text")))
+    return docs.select("doc_id", F.size(K.tokens_of(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
 # --- P: projections ----------------------------------------------------------
@@ -248,6 +246,10 @@ def q_ref_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.array_join(L.ref_names(F.col("code")), ",").alias("names"))
 
 
+def d_drop_ref_lines(t: str) -> str:
+    return f"array_to_string(list_filter({d(D_LINES, t)}, lambda l: NOT regexp_matches(l, {D_REF})), chr(10))"
+
+
 @register("drop_ref_lines", oracle=f"""
 WITH {D_SUBT} SELECT id, array_to_string(list_filter({d(D_LINES, 'code')}, lambda l: NOT regexp_matches(l, {D_REF})),
   chr(10)) AS code FROM subt""")

@@ -47,18 +47,26 @@ def q_vocab_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(spark, sf_dir).agg(F.count("*").cast("bigint").alias("vocabulary_size"))
 
 
-D_ENC = f"""{d_vocab(D_DOC_TOKENS, 2)}, {D_DOC_POS},
+D_ENC = f"""{d_vocab(D_DOC_TOKENS)},
+cv AS (SELECT conv_id || '-' || turn AS doc_id, regexp_extract_all(text, {D_PIECE}, 2) AS toks FROM conversations),
+dp AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM cv),
 enc AS (SELECT dp.doc_id, dp.p, coalesce(voc.id, (SELECT id FROM voc WHERE tok = '<UNK>')) AS id
   FROM dp LEFT JOIN voc ON dp.tok = voc.tok)"""
 
 
+def _turn_tokens(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"),
+                    K.tokens_of(F.col("text")).alias("toks"))
+
+
 @register("encode_words", oracle=f"""WITH {D_ENC}
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY p)) AS ids_md5
 FROM enc GROUP BY doc_id""")
 def q_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: words -> ids with a vocabulary of the words seen at least twice
-    (others -> unknown id)."""
-    e = V.encode_tokens(_doc_tokens(spark, sf_dir), "doc_id", "toks", _vocab(spark, sf_dir, 2))
+    """V2: words of the conversations -> ids of the documents' vocabulary
+    (words it lacks -> unknown id)."""
+    e = V.encode_tokens(_turn_tokens(spark, sf_dir), "doc_id", "toks", _vocab(spark, sf_dir))
     return e.select("doc_id", F.size("ids").cast("bigint").alias("n"),
                     F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"))
 
@@ -67,8 +75,8 @@ def q_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, md5(string_agg(tok, chr(1) ORDER BY p)) AS words_md5 FROM dec GROUP BY doc_id""")
 def q_decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: ids back to words (unknown words come back as the unknown label)."""
-    voc = _vocab(spark, sf_dir, 2)
-    e = V.encode_tokens(_doc_tokens(spark, sf_dir), "doc_id", "toks", voc)
+    voc = _vocab(spark, sf_dir)
+    e = V.encode_tokens(_turn_tokens(spark, sf_dir), "doc_id", "toks", voc)
     ex = e.select("doc_id", F.posexplode("ids").alias("p", "id"))
     w = ex.join(voc.select("id", "tok"), "id")
     return w.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(

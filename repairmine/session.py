@@ -96,3 +96,24 @@ def materialize(spark: SparkSession, df, name: str):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def file_stamps(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of every file of a table, from its own store."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return (path,)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(hadoop))
+
+
+_WRITTEN: dict = {}
+
+
+def written_once(spark: SparkSession, name: str, inputs: list[str], build):
+    """A derived table that several queries of a session read, written once
+    for the present files of its inputs; new files mean a new table."""
+    key = (spark.sparkContext.applicationId, name, tuple(file_stamps(spark, p) for p in inputs))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(spark, build(), name)
+    return _WRITTEN[key]

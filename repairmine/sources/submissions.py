@@ -2,7 +2,9 @@
 
 The test tables hold no judge submissions, so a view over ``orders`` gives
 rows with the submission shape: problem, user, language, verdict, units,
-a timestamp and a short code-like text. The SELECT runs unchanged in Spark
+a timestamp and a code-like text. Users ``U0, U10, ..`` have no failure, one
+row in 11 holds a call without arguments, one in 53 up to 39 more statements
+(so distances reach 0 to about 230), and one verdict in 7 is unmapped. The SELECT runs unchanged in Spark
 SQL and DuckDB, so every query on ``sub`` has an exact oracle.
 """
 
@@ -20,14 +22,17 @@ SUB_SELECT = """
 select cast(o_orderkey as string) id, concat('P',o_orderkey%4) problem_name, concat('U',o_custkey%250) user_id,
  concat('P',o_orderkey%4,'_','U',o_custkey%250) problem_user_id,
  case o_orderkey%5 when 0 then 'GNU C++' when 1 then 'GNU C11' else 'GNU C' end as language,
- case when o_orderkey%7<3 then 'OK' when o_orderkey%7<5 then 'COMPILATION_ERROR'
+ case when o_orderkey%7<3 or (o_orderkey%7<5 and o_custkey%250%10=0) then 'OK'
+      when o_orderkey%7<5 then 'COMPILATION_ERROR'
       when o_orderkey%7=5 then 'WRONG_ANSWER' else 'UNKNOWN_X' end as status,
  concat(o_orderkey%1000,' ms') as time, concat(o_orderkey%4096,' KB') as memory, o_orderdate as submit_time,
  concat('[','#include <',case o_custkey%2 when 0 then 'stdio.h' else 'math.h' end,'>',chr(13),chr(10),chr(9),
   'int  v',o_custkey%7,' = ',o_orderkey%5,' ; // ',substr(o_orderpriority,3),chr(10),'   ',chr(10),
   '/* ',o_orderstatus,' */ if ( v',o_orderkey%3,' ',
   case o_orderkey%3 when 0 then '==' when 1 then '<=' else '>' end,' ',o_custkey%5,' ) { return v',o_custkey%7,
-  case when o_orderkey%7 in (3,4) then '' else ' ;' end,' }',
+  case when o_orderkey%7 in (3,4) then '' else ' ;' end,
+  case when o_orderkey%11=0 then ' f ( ) ;' else '' end,
+  repeat(' v1 = v1 + 1 ;', case when o_orderkey%53=0 then o_orderkey%40 else 0 end),' }',
   case when o_orderkey%97=0 then chr(233) else '' end,']') as code
 from {orders}
 """
