@@ -25,6 +25,8 @@ anchors with equal cores can own equal windows.
    to, decides by those lengths where they differ, and else compares only
    behind the known prefix. The merged order comes with the shared prefix
    lengths of neighbours, which cut it into groups of equal cores.
+   A core with more than ``GROUP_BLOCKS`` blocks leaves the merge: its windows
+   are fingerprinted and counted one by one.
 3. Inside a group, blocks are aligned on their anchors. A window that starts
    ``o`` bytes before the anchor repeats if another block of the group has the
    same ``o`` bytes before and ``length - o`` bytes after it; the latter equals
@@ -57,6 +59,11 @@ WORK = 4 << 20
 #: sample that cuts the ranges.
 RANGE_ROWS = 20_000
 SAMPLE_ROWS = 20_000
+#: Blocks that a group may have in one merging task; cores of more blocks (a
+#: passage in very many different contexts) are settled window by window.
+GROUP_BLOCKS = 50_000
+#: Cells (blocks times offsets) that are compared at once.
+CELLS = 1 << 21
 
 
 
@@ -233,30 +240,29 @@ def group_windows(items: list[tuple[bytes, int, bytes]], length: int) -> list[np
     (suffix from the anchor, prefix shared with the item before, bytes of the
     block before the anchor)."""
     n = len(items)
-    lefts = [x[2] for x in items]
     right = np.array([len(x[0]) for x in items])
     common = np.array([x[1] for x in items])
-    left = np.array([len(x) for x in lefts])
+    left = np.array([len(x[2]) for x in items])
     top = int(left.max())
-    # fingerprints of the o bytes before the anchor, built byte by byte
-    mark = np.zeros(n, dtype=np.uint64)
+    power = Hasher.powers(top + 1)[0]
+    # column o: a fingerprint of the o bytes before the anchor
+    mark = np.zeros((n, top + 1), dtype=np.uint64)
+    for i, x in enumerate(items):
+        if left[i]:
+            mark[i, 1:left[i] + 1] = Hasher._table[np.frombuffer(x[2], np.uint8)[::-1]] * power[:left[i]]
+    np.cumsum(mark, axis=1, out=mark)
     out = np.zeros((n, top + 1), dtype=bool)
-    table = Hasher._table
-    width = np.full((n, top), 0, dtype=np.uint8)
-    for i, b in enumerate(lefts):
-        if b:
-            width[i, :len(b)] = np.frombuffer(b, np.uint8)[::-1]
-    for o in range(top + 1):
-        if o:
-            mark = _mix(mark * _ODD + table[width[:, o - 1]])
+    step = max(1, CELLS // n)
+    for a in range(0, top + 1, step):
+        o = np.arange(a, min(a + step, top + 1))
         # a stretch of neighbours that share length - o bytes has one number
-        stretch = np.cumsum(common < length - o)
-        fit = np.flatnonzero((left >= o) & (right >= length - o))
-        if len(fit) < 2:
-            continue
-        key = mark[fit] + stretch[fit].astype(np.uint64) * _MIX
-        _, where, seen = np.unique(key, return_inverse=True, return_counts=True)
-        out[fit, o] = seen[where] > 1
+        stretch = np.cumsum(common[:, None] < (length - o)[None, :], axis=0).astype(np.uint64)
+        fit = (left[:, None] >= o[None, :]) & (right[:, None] >= (length - o)[None, :])
+        key = _mix(mark[:, a:a + len(o)]) + _mix(stretch * np.uint64(1 << 20) + o.astype(np.uint64)[None, :] + np.uint64(1))
+        _, where, seen = np.unique(key[fit], return_inverse=True, return_counts=True)
+        found = np.zeros(fit.shape, dtype=bool)
+        found[fit] = seen[where] > 1
+        out[:, a:a + len(o)] = found
     return [np.flatnonzero(row) for row in out]
 
 
@@ -291,19 +297,56 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts = addressed(base, "text").where(F.col("__tn") >= length).select(
         "text", F.col("__th").alias("th"), F.col("__tn").alias("tn"))
     found = written(texts.select("text", "th").mapInArrow(lambda it: _blocks(it, length), _BLOCK), "blocks")
-    twice = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # small tables are written before they are joined: AQE splits a hot key
+    # only where both sides come straight from an exchange
+    twice = written(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     some = written(found.join(twice, "core", "left_semi"), "repeated-cores")
     kinds = some.groupBy("core", "block").agg(
         F.count("*").alias("n"), F.first("th").alias("th"), F.first("tn").alias("tn"), F.first("at").alias("at"),
         F.first("before").alias("before"), F.first("after").alias("after"))
     kinds = written(kinds, "block-kinds")
-    mixed = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    loose = kinds.join(mixed, "core", "left_semi")
+    mixed = written(kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "mixed-cores")
     whole = some.join(kinds.where("n > 1").select("core", "block"), ["core", "block"], "left_semi").select(
         "th", "tn", (F.col("at") - F.col("before")).alias("start"), (F.col("at") - F.col("after") + length).alias("stop"))
-    single = merge_sorted(loose, texts, length)
-    spans = whole.unionByName(single).distinct()
-    return spans.groupBy("th", "tn").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    spans = whole.unionByName(merge_sorted(kinds.join(mixed.where(F.col("k") <= GROUP_BLOCKS), "core", "left_semi"),
+                                           texts, length))
+    crowded = mixed.where(F.col("k") > GROUP_BLOCKS)
+    if not crowded.isEmpty():
+        spans = spans.unionByName(by_window(kinds.join(crowded, "core", "left_semi"), texts, length))
+    return written(spans.distinct().groupBy("th", "tn").agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
+
+
+def wanted_blocks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """``th, tn, text, own``: texts with their blocks (``at, before, after``
+    and ``lone``: the block occurs once)."""
+    wanted = written(blocks.groupBy("th", "tn").agg(F.collect_list(F.struct(
+        "at", "before", "after", (F.col("n") == 1).alias("lone"))).alias("own")), "wanted")
+    return texts.join(wanted, ["th", "tn"]).select("th", "tn", "text", "own")
+
+
+def by_window(blocks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """The windows of lone blocks that other blocks hold too, by fingerprint
+    of every window: rows instead of groups, so no task holds a group."""
+
+    def windows(batches):
+        for batch in batches:
+            for b in pieces(batch, "text", WORK):
+                for x in b.to_pylist():
+                    h = Hasher(np.frombuffer(x["text"], np.uint8))
+                    start = np.concatenate([np.arange(o["at"] - o["before"], o["at"] - o["after"] + 1) for o in x["own"]])
+                    lone = np.repeat([o["lone"] for o in x["own"]], [o["before"] - o["after"] + 1 for o in x["own"]])
+                    m = len(start)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(h.of(start, start + length).view(np.int64)), pa.array(np.full(m, x["th"], np.int64)),
+                        pa.array(np.full(m, x["tn"], np.int32)), pa.array(start.astype(np.int32)), pa.array(lone)],
+                        names=["window", "th", "tn", "start", "lone"])
+
+    rows = written(wanted_blocks(blocks, texts).mapInArrow(
+        windows, "window long, th long, tn int, start int, lone boolean").distinct(), "windows")
+    again = written(rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "repeated-windows")
+    return rows.where("lone").join(again, "window", "left_semi").select(
+        "th", "tn", "start", (F.col("start") + length).alias("stop"))
 
 
 def merge_sorted(loose: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -311,15 +354,12 @@ def merge_sorted(loose: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     others: ``th, tn, start, stop`` of the windows found to repeat in blocks
     that occur once."""
     core = layout(length)[2]
-    wanted = loose.groupBy("th", "tn").agg(F.collect_list(F.struct(
-        "at", "before", "after", (F.col("n") == 1).alias("lone"))).alias("own"))
-    # equal texts hold equal blocks; one copy's are taken
-    rows = texts.join(wanted, ["th", "tn"])
 
     def cut(batches):
+        seen = set()  # equal texts stand in one task: one copy of them is cut
         for batch in batches:
             for b in pieces(batch, "text", WORK):
-                seen, out = set(), []
+                out = []
                 for x in b.select(["th", "tn", "text", "own"]).to_pylist():
                     if (x["th"], x["tn"]) in seen:
                         continue
@@ -336,7 +376,7 @@ def merge_sorted(loose: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                         pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.bool_())],
                         names=["suffix", "left", "th", "tn", "at", "lone"])
 
-    suffixes = written(rows.select("th", "tn", "text", "own").mapInArrow(
+    suffixes = written(wanted_blocks(loose, texts).mapInArrow(
         cut, "suffix binary, left binary, th long, tn int, at int, lone boolean"), "suffixes")
     n = suffixes.count()
     ranges = max(1, -(-n // RANGE_ROWS))

@@ -248,12 +248,16 @@ def test_repeats_against_brute_force(spark, monkeypatch, seed, length):
     assert suffixes.cut_repeats(df.limit(0), length=length).count() == 0
 
 
-def test_hot_group_of_blocks(spark):
-    """One passage in every text, each time with other neighbours."""
+@pytest.mark.parametrize("most", [50_000, 20])
+def test_hot_group_of_blocks(spark, monkeypatch, most):
+    """One passage in every text, each time with other neighbours; small
+    groups are merged, large ones settled window by window."""
+    monkeypatch.setattr(suffixes, "GROUP_BLOCKS", most)
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage = word(130)
     texts = [word(r.randint(30, 90)) + passage[r.randint(0, 30):] + word(r.randint(30, 90)) for _ in range(300)]
+    texts += texts[:3] * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept_bytes))
            for x in suffixes.cut_repeats(df, length=50).collect()}
