@@ -19,16 +19,17 @@ from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
 RX_GAP = "(?:[ \\t\\n\\x0B\\f\\r]|//[^\\n]*|/\\*(?s:.*?)\\*/)*"
 RX_TOKEN_BODY = (
     "#include[^\\n]+"
+    "|L?\"(?:[^\"\\\\\\n]|\\\\[^\\n])*\""
+    "|L?'(?:[^'\\\\\\n]|\\\\[^\\n])*'"
     "|[A-Za-z_][A-Za-z0-9_]*"
-    "|[0-9]+\\.[0-9]*|\\.[0-9]+|[0-9]+"
-    "|\"(?:[^\"\\\\\\n]|\\\\[^\\n])*\""
-    "|'(?:[^'\\\\\\n]|\\\\[^\\n])*'"
+    "|0[xX][0-9A-Fa-f]+[uUlL]*"
+    "|(?:[0-9]+\\.[0-9]*|\\.[0-9]+|[0-9]+)(?:[eE][+-]?[0-9]+)?[uUlLfF]*"
     "|->\\*|\\.\\.\\.|<<=|>>=|->|::|\\.\\*|\\+\\+|--|<<|>>|<=|>=|==|!=|&&|\\|\\||\\*=|/=|%=|\\+=|-=|&=|\\^=|\\|="
     "|[^ \\t\\n\\x0B\\f\\r]"
 )
 RX_PIECE = f"({RX_GAP})({RX_TOKEN_BODY})"
 RX_IDENT = "^[A-Za-z_][A-Za-z0-9_]*$"
-RX_LITERAL = "^(?:[0-9]|\\.[0-9]|\"|')"
+RX_LITERAL = "^(?:[0-9]|\\.[0-9]|L?[\"'])"
 
 # Token classes.
 KEYWORD, OPERATOR, IDENTIFIER, LITERAL, REFERENCE, OTHER = (

@@ -1,52 +1,67 @@
-"""Corruption: applied plans and repair slots against a sequential form."""
+"""Corruption: repair slots lead back to the source text."""
+
+import random
 
 from pyspark.sql import functions as F
 
 from repairmine.operators import corrupt as M
 
 
-def sequential(tokens, plan):
-    """Apply ops from the right, tracking repair slots (slot 0 = before)."""
-    ops = sorted(plan, key=lambda e: (e[2] - 0.5) if e[1] == 1 else e[2], reverse=True)
-    toks = list(tokens)
-    slots = [[] for _ in range(len(toks) + 1)]
-    for _draw, act, pos, frm, to in ops:
-        ap = pos + 1
-        if act == 1:
-            slots = slots[:ap] + [[f"3:"]] + slots[ap:]
-            toks = toks[:pos] + [to] + toks[pos:]
-        elif act == 3:
-            passed = [a for a in slots[ap] if a.startswith("2:")]
-            slots[ap - 1] += passed + [f"2:{toks[pos]}"]
-            slots = slots[:ap] + slots[ap + 1:]
-            toks = toks[:pos] + toks[pos + 1:]
-        else:
-            slots[ap] += [f"4:{toks[pos]}"]
-            toks = toks[:pos] + [to] + toks[pos + 1:]
-    return toks, {i: ";".join(s) for i, s in enumerate(slots) if s}
-
-
-PLANS = [
-    (["a", "b", "c", "d", "e", "f"], [(1, 3, 5, "f", ""), (2, 3, 4, "e", ""), (3, 4, 1, "b", "X")]),
-    (["a", "b", "c"], [(1, 1, 1, "", "N"), (2, 3, 1, "b", "")]),
-    (["a", "b", "c"], [(1, 3, 0, "a", ""), (2, 1, 3, "", "Z"), (3, 4, 2, "c", "Q")]),
-    (["p", "q", "r", "s"], [(1, 3, 1, "q", ""), (2, 3, 2, "r", ""), (3, 4, 0, "p", "P")]),
-]
-
-
-def test_apply_and_slots(spark):
-    rows = [(i, t, [dict(draw=d, act=a, pos=p, frm=f, to=to) for d, a, p, f, to in plan])
-            for i, (t, plan) in enumerate(PLANS)]
+def plan_of(r, n):
+    """A seeded plan: at most one change or delete a position, any inserts."""
+    plan, taken = [], set()
+    for draw in range(1, r.randint(1, 7)):
+        act = r.choice((1, 3, 4))
+        pos = r.randint(0, n if act == 1 else n - 1)
+        if act != 1:
+            if pos in taken:
+                continue
+            taken.add(pos)
+        plan.append((draw, act, pos, "" if act == 1 else f"t{pos}", "" if act == 3 else f"n{draw}"))
+    return plan
+
+
+def repaired(new, slots):
+    """Take back what every slot of the new text names (listed from the right)."""
+    out = []
+    for i in range(len(new) + 1):
+        token = [new[i - 1]] if i else []
+        after = []
+        for a in (x for x in slots.get(i, "").split(";") if x):
+            kind, value = a.split(":")
+            if kind == "2":
+                after.insert(0, value)
+            else:
+                token = [value] if kind == "4" else []
+        out += token + after
+    return out
+
+
+def test_repair_slots_give_back_the_source(spark):
+    r = random.Random(12)
+    texts = [[f"t{p}" for p in range(r.randint(1, 12))] for _ in range(120)]
+    plans = [plan_of(r, len(t)) for t in texts]
+    rows = [(i, t, [dict(zip(("draw", "act", "pos", "frm", "to"), e)) for e in p]) for i, (t, p) in enumerate(zip(texts, plans))]
     df = spark.createDataFrame(rows, "doc long, toks array<string>, "
                                      "plan array<struct<draw:int,act:int,pos:int,frm:string,to:string>>")
-    new = dict(df.select("doc", M.apply_plan(F.col("toks"), F.col("plan")).alias("n")).collect())
+    new = {x["doc"]: x["n"] for x in M.with_applied(df, "toks", "plan", "n").collect()}
     slots = {}
-    for r in M.repair_slots(df, "doc", "toks", "plan").collect():
-        slots.setdefault(r["doc"], {})[r["slot"]] = r["actions"]
-    for i, (t, plan) in enumerate(PLANS):
-        exp_toks, exp_slots = sequential(t, plan)
-        assert list(new[i]) == exp_toks
-        assert slots.get(i, {}) == exp_slots
+    for x in M.repair_slots(df, "doc", "toks", "plan").collect():
+        slots.setdefault(x["doc"], {})[x["slot"]] = x["actions"]
+    for i, (text, plan) in enumerate(zip(texts, plans)):
+        kept = [f"t{p}" for p in range(len(text)) if not any(e[1] != 1 and e[2] == p for e in plan)]
+        assert [t for t in new[i] if t[0] == "t"] == kept
+        assert sorted(t for t in new[i] if t[0] == "n") == sorted(e[4] for e in plan if e[1] != 3)
+        assert repaired(new[i], slots.get(i, {})) == text
+
+
+def test_long_texts_and_long_plans_are_kept(spark):
+    """No text is too long for a plan, and no plan is emptied for its length."""
+    df = spark.createDataFrame([(1, ["x", "=", "1", ";"] * 2000), (2, ["return"] + ["y", "+"] * 20 + [";"])],
+                               "doc long, toks array<string>")
+    got = {x["doc"]: x["plan"] for x in M.with_edit_plan(df, "doc", "toks", 3, weights=(0, 0, 0, 0, 0, 1, 0)).collect()}
+    assert len(got[2]) == 42 and got[1] == []
+    assert len(M.with_edit_plan(df, "doc", "toks", 3).where("doc = 1").first()["plan"]) > 0
 
 
 def test_plan_is_deterministic(spark):

@@ -1,35 +1,38 @@
-"""Cleaning against Python's re on seeded random strings; section fixture."""
+"""Cleaning on literal texts with hand-written results; section fixture."""
 
-import random
-import re
+import pytest
 
 from pyspark.sql import functions as F
 
 from repairmine.functions import clean as C
 from repairmine.operators import lines as L
+from repairmine.operators import tokens as K
+
+CLEANED = [
+    ("", ""),
+    ("int  x ;", "int x ;"),
+    ("\ufeffint\u3000x;", "int x;"),
+    ("x = 1; // note\ny = 2;", "x = 1; \ny = 2;"),
+    ('s = "a // b"; // c', 's = "a // b" ; '),
+    ("a /* m\n n */ b", "a  b"),
+    ("c = '\"';", "c = '\"' ;"),
+    ("a\r\n\n\t\nb", "a \nb"),
+    ("\n \n", ""),
+    ("#include <a.h>\r\n\tint  x ;", "#include <a.h> \n int x ;"),
+]
+
+
+def test_clean_of_literal_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CLEANED)], "i int, t string")
+    got = dict(df.select("i", C.clean_code(F.col("t")).alias("c")).collect())
+    assert [got[i] for i in range(len(CLEANED))] == [c for _, c in CLEANED]
 
 
-def py_clean(code):
-    code = code.replace("﻿", "").replace("　", " ")
-    code = " ".join(re.findall(r"""('.*?'|".*?"|[^ \t\r\f\v"']+)""", code))
-    code = code.replace("\r", "")
-    rx = re.compile(r"(\".*?(?<!\\)\"|\'.*?(?<!\\)\')|(/\*.*?\*/|//[^\r\n]*$)", re.MULTILINE | re.DOTALL)
-    code = rx.sub(lambda m: "" if m.group(2) is not None else m.group(1), code)
-    return "\n".join(l for l in code.split("\n") if l.strip() != "")
-
-
-ALPHABET = ["a", "b", " ", "\t", "\n", "\r", "\x0b", "\x0c", "'", '"', "/", "*", "\\", "　", "﻿",
-            "\x1c", "\xa0", " ", "x", ";"]
-
-
-def test_clean_matches_python(spark):
-    rnd = random.Random(7)
-    texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
-    texts += ['a = "x // y"; // c\n  /* m\n */ b', "#include <a.h>\r\n\tint  x ;"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = dict(df.select("i", C.clean_code(F.col("t")).alias("c")).collect())
-    for i, t in enumerate(texts):
-        assert got[i] == py_clean(t), repr(t)
+@pytest.mark.parametrize("text,tokens", [
+    ("x = 0x1F;", ["x", "=", "0x1F", ";"]), ("1e5+2.5e-3f", ["1e5", "+", "2.5e-3f"]), ("10UL 7 .5 3.", ["10UL", "7", ".5", "3."]),
+    ('L"a b" L\'c\' Lx', ['L"a b"', "L'c'", "Lx"]), ("a->b<<=2", ["a", "->", "b", "<<=", "2"]), ("017 1..2", ["017", "1.", ".2"])])
+def test_literals_are_one_token(spark, text, tokens):
+    assert spark.createDataFrame([(text,)], "t string").select(K.tokens_of(F.col("t")).alias("k")).first()["k"] == tokens
 
 
 def test_section_tags(spark):
