@@ -14,7 +14,7 @@ from repairmine.operators import corrupt as M
 from repairmine.operators import tokens as K
 from repairmine.plans.registry import register
 from repairmine.plans.sqltext import q
-from repairmine.plans.text import D_PIECE
+from repairmine.plans.text import D_CLEAN_CTE, D_PIECE, D_SUBT
 from repairmine.sources.tables import read_table
 
 SEED = 11
@@ -71,6 +71,19 @@ def d_misspell(name: str, doc: str, d: str) -> str:
             f"ELSE substr({name}, 1, {idl}) || substr({name}, {idl} + 2) END")
 
 
+def d_replacement(doc: str, frm: str, draw: str) -> str:
+    """M3: the new token of a change or insert (null-safe, as text)."""
+    return f"""coalesce(CASE WHEN (CASE WHEN {frm} = '' THEN 0
+      ELSE {dweighted(M.CHANGE_KIND_WEIGHTS, doc, draw, 'k')} END) = 0 THEN
+    CASE WHEN list_contains(idents, {frm}) THEN {dpick('idents', doc, draw, 'w')}
+         WHEN list_contains({D_KW}, {frm}) THEN {dpick(D_KW, doc, draw, 'w')}
+         WHEN list_contains({D_OP}, {frm}) THEN {dpick(D_OP, doc, draw, 'w')}
+         WHEN {dweighted(M.INSERT_CLASS_WEIGHTS, doc, draw, 'c')} = 0 THEN {dpick('idents', doc, draw, 'w')}
+         WHEN {dweighted(M.INSERT_CLASS_WEIGHTS, doc, draw, 'c')} = 1 THEN {dpick(D_KW, doc, draw, 'w')}
+         ELSE {dpick(D_OP, doc, draw, 'w')} END
+    ELSE {d_misspell(frm, doc, draw)} END, '')"""
+
+
 def d_plan_ctes(src: str, doc: str) -> str:
     """CTEs p1..p4 over ``src(doc, toks)``: raw draws, then kept plan ``plan``."""
     act = (f"CASE {dweighted(M.ACTION_WEIGHTS, doc, 'd', 'a')} WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 3 END")
@@ -83,15 +96,7 @@ p2 AS (SELECT doc, toks, idents, list_transform(r, lambda e: {{'draw': e.draw, '
 p3 AS (SELECT doc, toks, idents, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act, 'pos': e.pos,
   'frm': CASE WHEN e.act = 1 THEN '' ELSE toks[e.pos + 1] END}}) AS r FROM p2),
 p4 AS (SELECT doc, toks, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act, 'pos': e.pos, 'frm': e.frm,
-  'to': CASE WHEN e.act = 3 THEN '' ELSE coalesce(CASE WHEN (CASE WHEN e.frm = '' THEN 0
-      ELSE {dweighted(M.CHANGE_KIND_WEIGHTS, 'doc', 'e.draw', 'k')} END) = 0 THEN
-    CASE WHEN list_contains(idents, e.frm) THEN {dpick('idents', 'doc', 'e.draw', 'w')}
-         WHEN list_contains({D_KW}, e.frm) THEN {dpick(D_KW, 'doc', 'e.draw', 'w')}
-         WHEN list_contains({D_OP}, e.frm) THEN {dpick(D_OP, 'doc', 'e.draw', 'w')}
-         WHEN {dweighted(M.INSERT_CLASS_WEIGHTS, 'doc', 'e.draw', 'c')} = 0 THEN {dpick('idents', 'doc', 'e.draw', 'w')}
-         WHEN {dweighted(M.INSERT_CLASS_WEIGHTS, 'doc', 'e.draw', 'c')} = 1 THEN {dpick(D_KW, 'doc', 'e.draw', 'w')}
-         ELSE {dpick(D_OP, 'doc', 'e.draw', 'w')} END
-    ELSE {d_misspell('e.frm', 'doc', 'e.draw')} END, '') END}}) AS r FROM p3),
+  'to': CASE WHEN e.act = 3 THEN '' ELSE {d_replacement('doc', 'e.frm', 'e.draw')} END}}) AS r FROM p3),
 plans AS (SELECT doc, toks, r, CASE WHEN len(toks) = 0 THEN [] ELSE list_filter(r, lambda e: e.act = 1 OR NOT
   list_bool_or(list_transform(r, lambda f: f.act <> 1 AND f.pos = e.pos AND f.draw < e.draw))) END AS plan FROM p4)"""
 
@@ -235,9 +240,32 @@ def _mutator_query(kind: str):
     return run
 
 
+def d_mutator(kind: str) -> str:
+    """The same candidates, drawn position and edits in DuckDB."""
+    at = {"identifier": "list_contains(idents, toks[i + 1])", "brace": "toks[i + 1] IN ('{', '}', '(', ')')",
+          "brace_pair": "toks[i + 1] = '(' AND toks[i + 2] = ')'", "semicolon": "toks[i + 1] = ';'",
+          "return": "toks[i + 1] = 'return'",
+          "pointer": "CASE WHEN ins THEN list_contains(idents, toks[i + 1]) ELSE toks[i + 1] IN ('*', '&') END"}[kind]
+    cut = "'1:3:' || p || ':' || toks[p + 1] || ':'"
+    end = "coalesce(list_min(list_filter(range(0, len(toks)), lambda j: j > p AND toks[j + 1] = ';')), len(toks) - 1)"
+    edits = {
+        "identifier": f"'1:4:' || p || ':' || toks[p + 1] || ':' || {d_replacement('doc', 'toks[p + 1]', '1')}",
+        "brace": cut, "semicolon": cut,
+        "brace_pair": f"{cut} || ';1:3:' || (p + 1) || ':' || toks[p + 2] || ':'",
+        "return": f"array_to_string(list_transform(range(p, {end} + 1), lambda i: '1:3:' || i || ':' || toks[i + 1] || ':'), ';')",
+        "pointer": (f"CASE WHEN ins THEN '1:1:' || p || '::' || CASE WHEN {dd('doc', '1', 'mv')} % 2 = 0 THEN '*' ELSE '&' END "
+                    f"ELSE {cut} END")}[kind]
+    return f"""WITH {D_SUBT}, {D_CLEAN_CTE},
+m0 AS (SELECT id AS doc, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
+m1 AS (SELECT doc, toks, {d_idents('toks')} AS idents, {dd('doc', '1', 'mk')} % 2 = 1 AS ins FROM m0),
+m2 AS (SELECT *, list_filter(range(0, len(toks)), lambda i: coalesce({at}, false)) AS c FROM m1),
+m3 AS (SELECT *, {dpick('c', 'doc', '1', 'mp')} AS p FROM m2)
+SELECT doc AS id, CASE WHEN p IS NOT NULL THEN {edits} END AS edits FROM m3"""
+
+
 for _name, _kind in [("mut_identifier", "identifier"), ("mut_brace", "brace"), ("mut_brace_pair", "brace_pair"),
                      ("mut_semicolon", "semicolon"), ("mut_return", "return"), ("mut_pointer", "pointer")]:
-    register(_name)(_mutator_query(_kind))
+    register(_name, oracle=d_mutator(_kind))(_mutator_query(_kind))
 
 
 @register("mutator_mix")
@@ -316,9 +344,6 @@ def q_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(fake.withColumn("source", F.lit("synthetic"))))
 
 
-from repairmine.plans.text import D_CLEAN_CTE, D_SUBT  # noqa: E402
-
-
 @register("draw_replacement", oracle=f"""WITH {D_SUBT}, {D_CLEAN_CTE},
 st AS (SELECT id, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
 {d_plan_ctes('st', 'id')}

@@ -313,7 +313,18 @@ def q_apply_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.array_join("applied", "\u0001").alias("applied"))
 
 
-@register("mined_records")
+D_ACTS_JSON = ("CAST(to_json(list_transform(acts, lambda x: {'act_type': x.act, 'from_char': x.frm, "
+               "'to_char': x.\"to\", 'token_pos': x.pos})) AS VARCHAR)")
+D_RECORDS = D_MINE_COMPILE + d_with_scripts(f"""
+, sc AS (SELECT *, CASE WHEN distance >= 0 THEN {d_script("mat", "a", "b", lambda i: f"ta[{i}]", lambda j: f"tb[{j}]")} END
+  AS acts FROM ws),
+records AS (SELECT sc.id, NULL::VARCHAR AS submit_url, f.problem_name AS problem_id, f.user_id, sc.problem_user_id, f.code,
+  0 AS gcc_compile_result, CASE WHEN distance >= 0 THEN similar_code ELSE '' END AS similar_code,
+  CASE WHEN distance >= 0 THEN {D_ACTS_JSON} ELSE '' END AS modify_action_list, CAST(distance AS INTEGER) AS distance
+  FROM sc JOIN f ON f.id = sc.id)""")
+
+
+@register("mined_records", oracle=D_RECORDS + " SELECT * FROM records")
 def q_mined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S13 (+P9, P10): compile-failure records in the result-table shape,
     edit lists as JSON text."""

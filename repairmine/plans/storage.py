@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repairmine.functions.hashing import cell_hash_sum
+from repairmine.plans.mining import D_RECORDS, mine_compile_errors, mined_record
 from repairmine.plans.registry import register
 from repairmine.plans.relational import D_SUBV
 from repairmine.session import scratch_path
@@ -74,16 +75,20 @@ def q_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("o_orderkey", F.col("bucket").cast("bigint").alias("bucket"), F.col("chunk").cast("bigint").alias("chunk"))
 
 
-_FP_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-
-
 @register("table_fingerprint", oracle="""
 SELECT CAST(sum(('0x' || substr(md5(concat_ws(chr(1), coalesce(CAST(o_orderkey AS VARCHAR), chr(0)),
-  coalesce(CAST(o_custkey AS VARCHAR), chr(0)), coalesce(o_orderstatus, chr(0)), coalesce(o_orderpriority, chr(0)))), 1, 12))::BIGINT)
+  coalesce(CAST(o_custkey AS VARCHAR), chr(0)), coalesce(o_orderstatus, chr(0)),
+  coalesce(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), chr(0)),
+  coalesce(CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR), chr(0)), coalesce(o_orderpriority, chr(0)))), 1, 12))::BIGINT)
   AS VARCHAR) AS fingerprint, CAST(count(*) AS BIGINT) AS n_rows FROM orders""")
 def q_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-free content hash (sum of per-row md5 numbers)."""
-    fp = S.fingerprint(read_table(spark, sf_dir, "orders").select(*_FP_COLS))
+    """Order-free content hash of all columns (sum of per-row md5
+    numbers); prices as cents and dates as seconds, which both engines print alike."""
+    o = read_table(spark, sf_dir, "orders")
+    seconds = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).cast("bigint") * 86400 + (
+        F.hour("o_orderdate") * 3600 + F.minute("o_orderdate") * 60 + F.floor(F.second("o_orderdate")))
+    fp = S.fingerprint(o.select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint"),
+                                seconds, "o_orderpriority"))
     return fp.select(F.col("fingerprint").cast("string").alias("fingerprint"), "n_rows")
 
 
@@ -108,7 +113,6 @@ def q_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + S7 + S4: the compile-failure records appended (insert-or-ignore)
     to a fresh result table in the shared folder, then read back."""
-    from repairmine.plans.mining import mine_compile_errors, mined_record
     import uuid
     path = scratch_path(spark, f"actual_c_error_records-{uuid.uuid4().hex}")
     recs = mined_record(mine_compile_errors(spark, sf_dir), 0)
@@ -116,24 +120,15 @@ def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@register("read_results")
+@register("read_results", oracle=D_RECORDS + " SELECT id, problem_user_id, distance FROM records")
 def q_read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result table read back after the write."""
     return written_results(spark, sf_dir).select("id", "problem_user_id", "distance")
 
 
-@register("scan_distance_window")
+@register("scan_distance_window", oracle=D_RECORDS + """
+SELECT id, distance FROM records WHERE distance >= 0 AND distance < 10""")
 def q_scan_distance_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows with 0 <= distance < 10."""
     r = written_results(spark, sf_dir)
     return scan_where(r, [("distance", ">=", 0), ("distance", "<", 10)], ["id", "distance"])
-
-
-@register("result_schema")
-def q_result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five result-table schemas (name, column, type, default)."""
-    rows = []
-    for t, sch in S.RESULT_SCHEMAS.items():
-        for i, f in enumerate(sch.fields):
-            rows.append((t, i, f.name, f.dataType.simpleString(), str(S.DEFAULTS.get(f.name, ""))))
-    return spark.createDataFrame(rows, "table string, position int, column string, type string, default string")

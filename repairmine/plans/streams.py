@@ -9,14 +9,7 @@ from repairmine.plans.registry import register
 from repairmine.sources.tables import read_table
 from repairmine.streaming import jobs as R
 
-CAP, SEED = 3, 5
-
-
-def _d_ok(t: int) -> str:
-    return f"((('0x' || substr(md5('{SEED}|' || event_id || '|{t}'), 1, 8))::BIGINT) % 3 = 0)"
-
-
-D_OUTCOME = ("CASE " + " ".join(f"WHEN {_d_ok(t)} THEN {t}" for t in range(CAP)) + " END")
+CAP = 3
 
 
 @register("stream_insert_ignore", oracle="""
@@ -38,17 +31,24 @@ def q_stream_skip_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_retry", oracle=f"""
-SELECT event_id, CAST(coalesce({D_OUTCOME}, {CAP}) AS INTEGER) AS try_count FROM events WHERE {D_OUTCOME} IS NULL""")
+WITH a AS (SELECT user_id, event_type, row_number() OVER w AS k,
+    coalesce(sum((event_type = 'error')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tries,
+    coalesce(bool_or(event_type = 'purchase') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended
+  FROM events WHERE event_type IN ('error', 'purchase') AND user_id IS NOT NULL
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, CAST(count(*) FILTER (event_type = 'error') AS INTEGER) AS try_count,
+  CASE WHEN bool_or(event_type = 'purchase') THEN 'done' WHEN count(*) FILTER (event_type = 'error') >= {CAP} THEN 'failed'
+       ELSE 'waiting' END AS outcome FROM a WHERE tries < {CAP} AND NOT ended GROUP BY user_id""")
 def q_stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The failed set after the retry cap of 3."""
-    r = R.stream_retry(spark, sf_dir, CAP, SEED)
-    return r.where(F.col("outcome") == "failed").select("event_id", F.col("try_count").cast("int").alias("try_count"))
+    """Tries and outcome of every user's job, with a cap of 3 tries."""
+    return R.stream_retry(spark, sf_dir, CAP)
 
 
-@register("stream_outcomes", oracle=f"""
+@register("stream_outcomes", oracle="""
 SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'read' AS outcome FROM events
-  UNION ALL SELECT CASE WHEN {D_OUTCOME} IS NULL THEN 'failed' ELSE 'done' END FROM events) GROUP BY outcome""")
+  UNION ALL SELECT CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END FROM events)
+WHERE outcome IS NOT NULL GROUP BY outcome""")
 def q_stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals of read / done / failed rows."""
-    return R.stream_outcomes(spark, sf_dir, CAP, SEED).select("outcome", F.col("n").cast("bigint").alias("n"))
+    return R.stream_outcomes(spark, sf_dir).select("outcome", F.col("n").cast("bigint").alias("n"))

@@ -98,6 +98,14 @@ def materialize(spark: SparkSession, df, name: str):
     return spark.read.parquet(path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a table, asked from its store; any other error
+    of the store is an error here."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(hadoop) and len(fs.listStatus(hadoop)) > 0
+
+
 def file_stamps(spark: SparkSession, path: str) -> tuple:
     """Name, length and time of every file of a table, from its own store."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repairmine.session import materialize, table_exists
+
 from repairmine.functions.hashing import cell_hash_sum, md5_mod
 
 _S, _I = T.StringType(), T.IntegerType()
@@ -25,7 +27,7 @@ _MINED = [("id", _S), ("submit_url", _S), ("problem_id", _S), ("user_id", _S), (
           ("code", _S)]
 _RESULT = [("similar_code", _S), ("modify_action_list", _S), ("distance", _I)]
 
-# The five result tables and their column defaults.
+# The five result tables and their column defaults.
 RESULT_SCHEMAS = {
     "actual_c_error_records": _schema(*_MINED, ("gcc_compile_result", _I), ("pycparser_result", _I), *_RESULT),
     "cpp_testcase_error_records": _schema(*_MINED, ("gcc_compile_result", _I), *_RESULT, ("testcase", _S)),
@@ -38,11 +40,6 @@ RESULT_SCHEMAS = {
 DEFAULTS = {"similar_code": "", "modify_action_list": "", "distance": -1, "testcase": ""}
 
 
-def empty_result(spark: SparkSession, table: str) -> DataFrame:
-    """An empty DataFrame with the table's schema."""
-    return spark.createDataFrame([], RESULT_SCHEMAS[table])
-
-
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns in table order, missing ones filled with their defaults."""
     out = []
@@ -75,18 +72,13 @@ def insert_ignore(batch: DataFrame, target: DataFrame | None, order: list[Column
 def append_ignore(spark: SparkSession, batch: DataFrame, path: str, table: str, order: list[Column]) -> int:
     """Append the new rows of a batch to the parquet table at ``path``.
 
-    The new rows are written to a staging folder first and then appended,
-    so the anti join never reads the folder it writes."""
-    try:
-        target = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent table
-        target = None
+    The new rows are written to a fresh staging folder first and then
+    appended, so the anti join never reads the folder it writes."""
+    target = spark.read.parquet(path) if table_exists(spark, path) else None
     new = conform(insert_ignore(batch, target, order), table)
-    staged = path.rstrip("/") + "._staging"
-    new.write.mode("overwrite").parquet(staged)
-    staged_df = spark.read.parquet(staged)
-    staged_df.write.mode("append").parquet(path)
-    return spark.read.parquet(staged).count()
+    staged = materialize(spark, new, f"staged-{table}")
+    staged.write.mode("append").parquet(path)
+    return staged.count()
 
 
 def done_keys(result: DataFrame, key: str = "problem_user_id") -> DataFrame:
@@ -111,5 +103,5 @@ def chunk_rows(df: DataFrame, id_col: str, rows: int, buckets: int, seed) -> Dat
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash of a table (sum of per-row md5 numbers)
     and its row count; one aggregate, combined map-side."""
-    return df.agg(F.sum(cell_hash_sum(*[F.col(c) for c in df.columns])).alias("fingerprint"),
+    return df.agg(F.sum(cell_hash_sum(*[df[f"`{c}`"] for c in df.columns])).alias("fingerprint"),
                   F.count("*").cast("bigint").alias("n_rows"))

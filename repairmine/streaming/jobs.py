@@ -1,47 +1,70 @@
 """Structured Streaming forms of the incremental jobs.
 
-Input is a file stream over a table folder; every micro-batch goes through
-``foreachBatch`` into parquet result tables with insert-or-ignore, so a
-restarted query (from its checkpoint, in the shared folder) never duplicates
-rows. Retry state lives in a table keyed by id, not in stream state, so a
-restart is harmless.
+Input is a file stream over the files of a table; every micro-batch goes
+through ``foreachBatch`` into a result table with one folder a batch. A batch
+replaces its own folder and compares itself with the folders of earlier
+batches only, so a batch that is replayed after a restart writes the same
+rows again instead of further ones.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repairmine.functions.hashing import md5_int
-from repairmine.session import scratch_path
+from repairmine.session import materialize, scratch_path, table_exists
 from repairmine.sources.sinks import first_per_id
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream over one table of the folder."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+def split_files(spark: SparkSession, sf_dir: str, name: str, key: str, files: int = 4) -> str:
+    """The table as several files (a landing folder), so that a stream over
+    it runs several micro-batches."""
+    path = scratch_path(spark, f"landing-{name}-{uuid.uuid4().hex}")
+    spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").repartition(files, key).write.parquet(path)
+    return path
 
 
-def _append_new(spark: SparkSession, batch: DataFrame, path: str, key: str, order: list[Column]) -> None:
-    """S7 inside a micro-batch: first row per key, minus keys in the table."""
+def table_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """A file stream over the files of a folder."""
+    return (spark.readStream.schema(spark.read.parquet(folder).schema)
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+
+
+def earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What batches before this one have written (folders ``batch=<id>``)."""
+    if not table_exists(spark, path):
+        return None
+    return spark.read.parquet(path).where(F.col("batch") < batch_id)
+
+
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def append_new(batch: DataFrame, path: str, batch_id: int, key: str, order: list[Column]) -> None:
+    """S7 inside a micro-batch: first row per key, minus keys of earlier batches."""
     first = first_per_id(batch, order, key)
-    try:
-        have = spark.read.parquet(path).select(key)
-        first = first.join(have, key, "left_anti")
-    except Exception:  # noqa: BLE001 - table not written yet
-        pass
-    first.write.mode("append").parquet(path)
+    have = earlier_batches(batch.sparkSession, path, batch_id)
+    write_batch(first if have is None else first.join(have.select(key), key, "left_anti"), path, batch_id)
+
 
+def append_earlier(batch: DataFrame, path: str, batch_id: int, key: str, order: list[str]) -> None:
+    """Rows that come before the key's present first row (or are its first)."""
+    first = first_per_id(batch, [F.col(c) for c in order], key)
+    have = earlier_batches(batch.sparkSession, path, batch_id)
+    if have is not None:
+        known = have.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+        first = (first.join(known, key, "left")
+                 .where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))).drop("_first"))
+    write_batch(first, path, batch_id)
 
-def run_to_table(stream: DataFrame, handler, name: str) -> str:
+
+def run_to_table(stream: DataFrame, handler, name: str, checkpoint: str | None = None) -> str:
     """Run ``handler(batch_df, batch_id)`` over everything available now; the
-    checkpoint is a fresh folder in the shared checkpoint directory."""
-    spark = stream.sparkSession
-    ckpt = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
+    checkpoint lies in the shared folder (a fresh one unless given)."""
+    ckpt = checkpoint or scratch_path(stream.sparkSession, f"stream-{name}-{uuid.uuid4().hex}")
     q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -49,66 +72,68 @@ def run_to_table(stream: DataFrame, handler, name: str) -> str:
 
 
 def stream_insert_ignore(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
-    """Keep the first event per key, batch after batch."""
+    """The earliest event per key, whatever batch brings it."""
     out = scratch_path(spark, f"first_per_{key}-{uuid.uuid4().hex}")
-    order = [F.col("ts"), F.col("event_id")]
+    order = ["ts", "event_id"]
 
-    def handle(batch: DataFrame, _bid: int) -> None:
-        _append_new(batch.sparkSession, batch.where(F.col(key).isNotNull()), out, key, order)
-    run_to_table(table_stream(spark, sf_dir, "events"), handle, "insert_ignore")
-    return spark.read.parquet(out)
+    def handle(batch: DataFrame, bid: int) -> None:
+        append_earlier(batch.where(F.col(key).isNotNull()), out, bid, key, order)
+    run_to_table(table_stream(spark, split_files(spark, sf_dir, "events", "event_id")), handle, "insert_ignore")
+    return first_per_id(spark.read.parquet(out), [F.col(c) for c in order], key)
 
 
 def stream_skip_done(spark: SparkSession, sf_dir: str, done: DataFrame, keys=("user_id", "day")) -> DataFrame:
     """R2: only rows whose key is not done yet are processed (anti join
     inside each micro-batch); processed rows are appended by id."""
     out = scratch_path(spark, f"processed-{uuid.uuid4().hex}")
-    done_keys = done.select(*keys).distinct()
+    done_keys = materialize(spark, done.select(*keys).distinct(), "done")
 
-    def handle(batch: DataFrame, _bid: int) -> None:
+    def handle(batch: DataFrame, bid: int) -> None:
         todo = batch.withColumn("day", F.to_date("ts")).join(done_keys, list(keys), "left_anti")
-        _append_new(batch.sparkSession, todo, out, "event_id", [F.col("event_id")])
-    run_to_table(table_stream(spark, sf_dir, "events"), handle, "skip_done")
-    return spark.read.parquet(out)
-
-
-def attempt_ok(seed, id_col: Column, attempt: int) -> Column:
-    """Deterministic outcome of one attempt (stands in for the per-row job)."""
-    return F.pmod(md5_int(seed, id_col, F.lit(attempt)), F.lit(3)) == 0
-
-
-def retry_outcome(df: DataFrame, id_col: str, cap: int, seed) -> DataFrame:
-    """A failed row goes back with ``try_count + 1`` until the cap; the
-    first successful attempt wins, rows failing every attempt are failed."""
-    first_ok = None
-    for t in range(cap - 1, -1, -1):
-        first_ok = F.when(attempt_ok(seed, F.col(id_col), t), F.lit(t)).otherwise(
-            first_ok if first_ok is not None else F.lit(None).cast("int"))
-    return (df.withColumn("try_count", F.coalesce(first_ok, F.lit(cap)))
-            .withColumn("outcome", F.when(first_ok.isNull(), F.lit("failed")).otherwise(F.lit("done"))))
-
-
-def stream_retry(spark: SparkSession, sf_dir: str, cap: int = 3, seed=5) -> DataFrame:
-    """R3 as a stream: outcomes are appended to a table keyed by id."""
-    out = scratch_path(spark, f"outcomes-{uuid.uuid4().hex}")
-
-    def handle(batch: DataFrame, _bid: int) -> None:
-        res = retry_outcome(batch.select("event_id"), "event_id", cap, seed)
-        _append_new(batch.sparkSession, res, out, "event_id", [F.col("event_id")])
-    run_to_table(table_stream(spark, sf_dir, "events"), handle, "retry")
+        append_new(todo, out, bid, "event_id", [F.col("event_id")])
+    run_to_table(table_stream(spark, split_files(spark, sf_dir, "events", "event_id")), handle, "skip_done")
     return spark.read.parquet(out)
 
 
-def stream_outcomes(spark: SparkSession, sf_dir: str, cap: int = 3, seed=5) -> DataFrame:
-    """Running totals per outcome (read / done / failed) as a streaming
-    aggregation in complete mode, collected into a table per batch."""
+def attempts_outcome(attempts: DataFrame, cap: int) -> DataFrame:
+    """Attempts of a key in order; a failed one (``error``) sends it back
+    with one more try, a success (``purchase``) or the cap ends it. Output
+    ``user_id, try_count, outcome`` (done / failed / waiting)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    failed = (F.col("event_type") == "error").cast("int")
+    a = (attempts.withColumn("tries", F.coalesce(F.sum(failed).over(before), F.lit(0)))
+         .withColumn("ended", F.coalesce(F.max((F.col("event_type") == "purchase").cast("int")).over(before), F.lit(0)))
+         .where((F.col("tries") < cap) & (F.col("ended") == 0)))
+    t = a.groupBy("user_id").agg(F.sum((F.col("event_type") == "error").cast("int")).cast("int").alias("try_count"),
+                                 F.bool_or(F.col("event_type") == "purchase").alias("ok"))
+    return t.select("user_id", "try_count", F.when(F.col("ok"), "done").when(F.col("try_count") >= cap, "failed")
+                    .otherwise("waiting").alias("outcome"))
+
+
+def stream_retry(spark: SparkSession, sf_dir: str, cap: int = 3) -> DataFrame:
+    """R3 as a stream: attempts (verdicts of the input) are kept once per id,
+    and the tries of every key follow from them."""
+    out = scratch_path(spark, f"attempts-{uuid.uuid4().hex}")
+
+    def handle(batch: DataFrame, bid: int) -> None:
+        tried = batch.where(F.col("event_type").isin("error", "purchase") & F.col("user_id").isNotNull())
+        append_new(tried.select("event_id", "user_id", "ts", "event_type"), out, bid, "event_id", [F.col("event_id")])
+    run_to_table(table_stream(spark, split_files(spark, sf_dir, "events", "event_id")), handle, "retry")
+    return attempts_outcome(spark.read.parquet(out), cap)
+
+
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of read rows and of the attempts' verdicts as a
+    streaming aggregation in complete mode, written per batch."""
     out = scratch_path(spark, f"totals-{uuid.uuid4().hex}")
-    ev = retry_outcome(table_stream(spark, sf_dir, "events").select("event_id"), "event_id", cap, seed)
-    counts = (ev.select(F.explode(F.array(F.lit("read"), F.col("outcome"))).alias("outcome"))
+    verdict = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    ev = table_stream(spark, split_files(spark, sf_dir, "events", "event_id"))
+    counts = (ev.select(F.explode(F.filter(F.array(F.lit("read"), verdict), lambda x: x.isNotNull())).alias("outcome"))
               .groupBy("outcome").agg(F.count("*").alias("n")))
     ckpt = scratch_path(spark, f"stream-totals-{uuid.uuid4().hex}")
 
-    def handle(batch: DataFrame, _bid: int) -> None:
+    def handle(batch: DataFrame, bid: int) -> None:
         batch.write.mode("overwrite").parquet(out)
     q = (counts.writeStream.outputMode("complete").foreachBatch(handle)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
