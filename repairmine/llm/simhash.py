@@ -135,8 +135,8 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, max
     rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"),
                                prints(text).alias("fp")), "fingerprints")
     of = components(ball_links(written(rows.select("fp").distinct(), "distinct-fingerprints"), max_bits))
-    return rows.join(of, rows["fp"] == of["node"], "left").select(
-        "doc_id", "th", "fp", F.coalesce("component", "fp").alias("component"))
+    return written(rows.join(of, rows["fp"] == of["node"], "left").select(
+        "doc_id", "th", "fp", F.coalesce("component", "fp").alias("component")), "members")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -144,7 +144,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, fingerprint`` (16 hex digits) ``, component_id`` (the smallest
     id reachable by links) for every row."""
     rows = components_of(docs, id_col, text_col, shingle, max_bits)
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that AQE may split a hot component in the join
+    least = written(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                                 "component_id")
 
