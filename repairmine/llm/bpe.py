@@ -2,8 +2,8 @@
 
 The byte-level model splits a text into pre-tokens that are encoded
 independently of each other. Corpora repeat them, so each worker keeps a
-bounded two-generation cache from pre-token to ids and calls the
-``tokenizers`` library only for those it has not met. Texts holding any
+bounded two-generation cache from pre-token to ids and gives the
+``tokenizers`` library only those it has not met, many in one call. Texts holding any
 character outside ASCII and Latin-1 letters go to the library whole, as do
 all texts of a tokenizer with another pre-tokenizer.
 """
@@ -22,6 +22,14 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies:
+    printing ones for themselves, the others for those from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 #: Entries of one cache generation; two are kept.
 GENERATION = 1_000_000
 END_ID = 0
@@ -36,7 +44,7 @@ class Encoder:
     """Encodes texts to little-endian unsigned id bytes of ``width`` bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
@@ -45,6 +53,10 @@ class Encoder:
         self.split = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                       and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # the same model over a list of pre-tokens, already in its alphabet
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.alphabet = {**byte_alphabet(), 1: "\n"}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,19 +72,14 @@ class Encoder:
                 got[w] = b
             else:
                 fresh.append(w)
-        # runs of letters behind one space stay apart when joined, so a
-        # single call encodes many of them
-        apart = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
-        for i in range(0, len(apart), 2000):
-            part = apart[i:i + 2000]
-            e = self.tok.encode("".join(part), add_special_tokens=False)
+        for i in range(0, len(fresh), 2000):
+            part = fresh[i:i + 2000]
+            e = self.words.encode("\x01".join(part).encode().decode("latin-1").translate(self.alphabet),
+                                  add_special_tokens=False)
             ids, of = np.array(e.ids, dtype=self.dtype), np.array(e.word_ids)
             cut = np.searchsorted(of, np.arange(len(part) + 1)) * self.dtype.itemsize
             raw = ids.tobytes()
             got.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]))
-        rest = [w for w in fresh if not (w[0] == " " and w[1:].isalpha())]
-        if rest:
-            got.update(zip(rest, self._whole(rest)))
         if len(self.young) + len(got) > GENERATION:
             self.old, self.young = self.young, {}
         if len(got) <= GENERATION:
