@@ -62,7 +62,7 @@ def cases():
 def test_numpy_form_matches_reference():
     for a, b in cases():
         d, ref = reference_script(a, b)
-        acts, pos, frm, to = _script_arrays(a, b, list(a), list(b))
+        acts, pos, frm, to = _script_arrays(a, b, d, list(a), list(b))
         assert list(zip(acts, pos, frm, to)) == ref
         assert len(ref) == d
         assert "".join(apply(b, ref)) == a
