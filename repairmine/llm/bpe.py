@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 #: Entries of one cache generation; two are kept.
-GENERATION = 1_000_000
+GENERATION = 500_000
 END_ID = 0
 
 
