@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 #: Entries of one cache generation; two are kept.
-GENERATION = 500_000
+GENERATION = 1_000_000
 END_ID = 0
 
 
@@ -64,6 +64,10 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def rest(self) -> None:
+        """At the end of a task: keep the young generation only."""
+        self.old = {}
+
     def _learn(self, words) -> dict[str, bytes]:
         """Ids of pre-tokens that the young generation lacks."""
         got, fresh = {}, []
@@ -128,6 +132,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop what earlier tasks of this worker have cached. Workers live on from
+    stage to stage; operators that need memory for texts call this first."""
+    for e in _ENCODERS.values():
+        e.young, e.old = {}, {}
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

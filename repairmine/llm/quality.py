@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import put
 
 MIN_WORDS = 10
@@ -89,6 +90,7 @@ def compression_bands(docs: DataFrame, text_col: str = "text") -> DataFrame:
     @F.pandas_udf(_RESULT)
     def measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard
+        forget()
         compressor = zstandard.ZstdCompressor(level=LEVEL)
         names = [x.split()[0] for x in _RESULT.split(", ")]
         for s in texts:

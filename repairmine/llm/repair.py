@@ -217,6 +217,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                         block, start, docs, parts, held = block + 1, start + held, [], [], 0
         if docs:
             yield _block_row(part, block, start, docs, parts, base, kind)
+        enc.rest()
 
     (rows.repartitionByRange("id").sortWithinPartitions("id", "text")
      .mapInArrow(blocks, schema).write.mode("errorifexists").parquet(path))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import key_groups, written
 from .components import components
 
@@ -129,6 +130,7 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, max
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     text = F.col(f"`{text_col}`")

@@ -50,6 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import buffer_of, key_groups, pieces, put, written
 
 LENGTH = 400
@@ -268,6 +269,7 @@ def group_windows(items: list[tuple[bytes, int, bytes]], length: int) -> list[np
 
 def _blocks(batches, length: int):
     """Rows (core, block, text hash, text length, anchor, before, after)."""
+    forget()
     for batch in batches:
         for b in pieces(batch, "text", WORK):
             raw, off = buffer_of(b.column(b.schema.get_field_index("text")))
