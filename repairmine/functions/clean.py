@@ -88,3 +88,10 @@ def strip_unit(c: Column, unit: str) -> Column:
 def trim_ends(c: Column) -> Column:
     """Drop the first and the last character."""
     return F.when(F.length(c) < 2, F.lit("")).otherwise(F.substr(c, F.lit(2), F.length(c) - 2))
+
+
+def once(c: Column) -> Column:
+    """``c`` as a generated column: a filter on it stays above it. A filter on
+    a projected column is pushed below the projection with the expression
+    inlined, once for every mention."""
+    return F.explode(F.array(c))

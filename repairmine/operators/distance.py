@@ -19,7 +19,9 @@ Nearest search never builds the full failing x passing product of a group:
   groups use length bands, and without a bound the bands widen in rounds: a
   failing sequence whose best partner within band ``k`` has distance
   ``<= k`` is exact (anything outside the band is farther), so only
-  unresolved rows go to the next round.
+  unresolved rows go to the next round, until none is left;
+* a candidate is one long (distance, then the partner's rank by id), so the
+  arg-min is a hash aggregate; the partner comes back by its rank.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairmine.session import materialize
+
 # First code point of a token symbol (skips the UTF-16
 # surrogate range) and the largest code point.
 SYMBOL_BASE = 65536
 MAX_CODE_POINT = 0x10FFFF
-SYMBOLS_PER_GROUP = MAX_CODE_POINT - SYMBOL_BASE
 
 # Widths of the widening length bands for unbounded nearest search.
 DEFAULT_BANDS = (16, 128)
@@ -40,31 +43,13 @@ DEFAULT_PAIR_LIMIT = 4096
 
 
 def symbol_of(rank: Column) -> Column:
-    """One-character symbol for a 1-based token rank."""
+    """One-character symbol for a 1-based token rank; a group with more
+    distinct tokens than code points fails with a clear error."""
+    most = MAX_CODE_POINT - SYMBOL_BASE
+    rank = F.when(rank <= most, rank).otherwise(F.raise_error(F.lit(f"over {most} distinct tokens in a group")).cast("int"))
     return F.decode(F.unhex(F.lpad(F.hex(rank + F.lit(SYMBOL_BASE)), 8, "0")), "UTF-32")
 
 
-def encode_symbols(tokens: DataFrame, group_cols: list[str], doc_col: str,
-                   pos_col: str = "pos", tok_col: str = "tok", key=None) -> DataFrame:
-    """Long token table -> one row per document with its symbol string.
-
-    ``key`` (U1) maps a token Column to the value compared for equality,
-    e.g. ``F.lower``. Output: ``doc_col, *group_cols, seq, toks`` where
-    ``toks`` holds the original token values in position order.
-    """
-    t = tokens.withColumn("_k", F.col(tok_col) if key is None else key(F.col(tok_col)))
-    vocab = (t.select(*group_cols, "_k").distinct()
-             .withColumn("_r", F.dense_rank().over(Window.partitionBy(*group_cols).orderBy("_k")))
-             .withColumn("_sym", symbol_of(F.col("_r"))))
-    coded = t.join(vocab, [*group_cols, "_k"])
-    return (coded.groupBy(doc_col, *group_cols)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col("_sym").alias("s"),
-                                                      F.col(tok_col).alias("t")))).alias("_l"))
-            .select(doc_col, *group_cols,
-                    F.array_join(F.transform("_l", lambda x: x["s"]), "").alias("seq"),
-                    F.transform("_l", lambda x: x["t"]).alias("toks")))
-
-
 def symbolize(df: DataFrame, group_cols: list[str], toks_col: str = "toks", key=None,
               out_col: str = "seq") -> DataFrame:
     """Token arrays -> symbol strings, numbered per group.
@@ -112,12 +97,15 @@ def _band_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int |
             .where(F.col("_d") >= 0))
 
 
+# A candidate is one number, its distance above its partner's rank, so the
+# arg-min is a plain minimum of longs (hash aggregate, fixed width).
+_RANK_BITS = 31
+
+
 def _best(cand: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest (distance, partner id) per failing sequence; a hash
-    aggregate over a struct, no sort."""
-    return (cand.groupBy(*keys, "_a")
-            .agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_pid").alias("pid"),
-                                F.col("_b").alias("b"))).alias("_m")))
+    """Smallest (distance, partner rank) per failing sequence."""
+    return cand.groupBy(*keys, "_a").agg(F.min(F.shiftleft(F.col("_d").cast("bigint"), _RANK_BITS)
+                                               + F.col("_rank")).alias("_m"))
 
 
 def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str],
@@ -129,19 +117,23 @@ def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str
     ``max_distance`` keeps ``0 <= d < max_distance`` like the reference's
     bounded run; ``None`` is unbounded. Output: all failing columns plus
     ``similar_id``, ``similar_seq``, ``distance`` (-1 and nulls when there is
-    no partner, as a left join).
+    no partner, as a left join). The distinct sequences of both sides and the
+    result of each band are written once and read by what follows; without a
+    bound the bands go on widening until no failing sequence is left.
     """
+    spark = failing.sparkSession
     keys = list(group_cols)
     notnull = [F.col(k).isNotNull() for k in keys]
     cond = notnull[0]
     for c in notnull[1:]:
         cond = cond & c
     cond = cond & F.col(seq_col).isNotNull()
+    by_id = Window.partitionBy(*keys).orderBy("_pid")
+    pb = materialize(spark, passing.where(cond).groupBy(*keys, F.col(seq_col).alias("_b"))
+                     .agg(F.min(id_col).alias("_pid")).withColumn("_lb", F.length("_b"))
+                     .withColumn("_rank", F.row_number().over(by_id)), "passing")
     fa = (failing.where(cond).select(*keys, F.col(seq_col).alias("_a")).distinct()
           .withColumn("_la", F.length("_a")))
-    pb = (passing.where(cond).groupBy(*keys, F.col(seq_col).alias("_b"))
-          .agg(F.min(id_col).alias("_pid"))
-          .withColumn("_lb", F.length("_b")))
 
     if max_distance is not None and max_distance < 1:
         max_distance = None
@@ -149,25 +141,33 @@ def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str
 
     # split groups by their distinct-pair count
     sizes = (fa.groupBy(*keys).agg(F.count("*").alias("_nf"))
-             .join(pb.groupBy(*keys).agg(F.count("*").alias("_np")), keys)
-             .select(*keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small")))
-    fa = fa.join(sizes, keys)
-    small, big = fa.where("_small").drop("_small"), fa.where(~F.col("_small")).drop("_small")
+             .join(pb.groupBy(*keys).agg(F.count("*").alias("_np"), F.max("_lb").alias("_longest")), keys)
+             .select(*keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small"), "_longest"))
+    fa = materialize(spark, fa.join(sizes, keys), "failing")
+    small, big = fa.where("_small"), fa.where(~F.col("_small"))
 
-    best = _best(_band_candidates(small, pb, keys, None, bound), keys)
+    best = [_best(_band_candidates(small, pb, keys, None, bound), keys)]
     if bound is not None:
-        best = best.unionByName(_best(_band_candidates(big, pb, keys, bound), keys))
-    else:
-        todo = big
-        for band in bands:
-            b = _best(_band_candidates(todo, pb, keys, band), keys)
-            best = best.unionByName(b)
-            todo = todo.join(b.select(*keys, "_a"), [*keys, "_a"], "left_anti")
-        best = best.unionByName(_best(_band_candidates(todo, pb, keys, None), keys))
-
-    best = best.select(*keys, F.col("_a").alias(seq_col), "_m")
-    return (failing.join(best, [*keys, seq_col], "left")
-            .withColumn("similar_id", F.col("_m.pid"))
-            .withColumn("similar_seq", F.col("_m.b"))
-            .withColumn("distance", F.coalesce(F.col("_m.d"), F.lit(-1)))
-            .drop("_m"))
+        best.append(_best(_band_candidates(big, pb, keys, bound), keys))
+    elif not big.isEmpty():
+        todo, widths = big, list(bands)
+        while True:
+            band = widths.pop(0)
+            b = materialize(spark, _best(_band_candidates(todo, pb, keys, band), keys), "band")
+            best.append(b)
+            todo = materialize(spark, todo.join(b.select(*keys, "_a"), [*keys, "_a"], "left_anti"), "unresolved")
+            # a distance is at most the longer length
+            most = todo.agg(F.max(F.greatest("_la", "_longest"))).first()[0]
+            if most is None:
+                break
+            if not widths:
+                widths.append(min(most, 4 * band) if band else most)
+    found = best[0]
+    for b in best[1:]:
+        found = found.unionByName(b)
+    rank_of = F.col("_m").bitwiseAND(F.lit((1 << _RANK_BITS) - 1))
+    won = (found.withColumn("_rank", rank_of.cast("int")).join(pb.select(*keys, "_rank", "_pid", "_b"), [*keys, "_rank"])
+           .select(*keys, F.col("_a").alias(seq_col), "_pid", "_b", F.shiftright("_m", _RANK_BITS).cast("int").alias("_d")))
+    return (failing.join(won, [*keys, seq_col], "left")
+            .withColumnRenamed("_pid", "similar_id").withColumnRenamed("_b", "similar_seq")
+            .withColumn("distance", F.coalesce(F.col("_d"), F.lit(-1))).drop("_d"))

@@ -98,7 +98,7 @@ def clean_corpus(sub: DataFrame) -> DataFrame:
     return (sub.where(F.col("problem_name").isNotNull() & F.col("user_id").isNotNull()
                       & F.col("code").isNotNull())
             .withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id"))
-            .withColumn("code", C.clean_code(F.col("code")))
+            .withColumn("code", C.once(C.clean_code(F.col("code"))))
             .where(C.is_ascii(F.col("code")) & (F.col("code") != "")))
 
 
