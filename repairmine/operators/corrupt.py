@@ -23,6 +23,7 @@ from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
 from repairmine.functions.hashing import md5_int
 from repairmine.operators.edits import CHANGE, DELETE, INSERT_BEFORE
 from repairmine.operators.sample import weighted_choice
+from repairmine.operators.tokens import identifier_set
 
 # Draw weights of the reference job.
 ACTION_WEIGHTS = (5, 1, 4)          # change, insert, delete
@@ -49,11 +50,7 @@ def pick(pool: Column, seed, doc: Column, d: Column, tag: str) -> Column:
                   F.element_at(pool, (F.pmod(draw(seed, doc, d, tag), F.size(pool)) + 1).cast("int")))
 
 
-def identifier_pool(toks: Column) -> Column:
-    """K3 as the reference defines it: distinct token values that are not
-    keywords, operators or reference lines, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(
-        toks, lambda t: ~t.isin(*C_KEYWORDS) & ~t.isin(*C_OPERATORS) & ~t.startswith("#include"))))
+identifier_pool = identifier_set  # K3
 
 
 def misspell(name: Column, seed, doc: Column, d: Column) -> Column:
@@ -290,25 +287,6 @@ def with_elements(df: DataFrame, toks_col: str, plan_col: str, out: str = "els")
             .withColumn(out, _elements_from(F.col(toks_col), F.col(plan_col), F.col("_at"))).drop("_at"))
 
 
-def elements(toks: Column, plan: Column) -> Column:
-    """Column form of :func:`with_elements` (scans the plan per position;
-    used where the elements are exploded right after)."""
-    def at(p):
-        hit = F.filter(plan, lambda e: (e["act"] != INSERT_BEFORE) & (e["pos"] == p))
-        return F.try_element_at(hit, F.lit(1))
-    base = F.transform(F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0))), lambda p: F.struct(
-        (p * 2).alias("o"), F.lit(0).alias("sub"),
-        F.when(at(p).isNull(), F.element_at(toks, p + 1)).when(at(p)["act"] == CHANGE, at(p)["to"])
-        .otherwise(F.lit(None).cast("string")).alias("tok"),
-        F.element_at(toks, p + 1).alias("old"),
-        F.coalesce(at(p)["act"], F.lit(0)).alias("kind")))
-    base = F.when(F.size(toks) > 0, base).otherwise(F.array().cast(_ELEM_TYPE))
-    ins = F.transform(F.filter(plan, lambda e: e["act"] == INSERT_BEFORE), lambda e: F.struct(
-        (e["pos"] * 2 - 1).alias("o"), (-e["draw"]).alias("sub"), e["to"].alias("tok"),
-        F.lit("").alias("old"), F.lit(1).alias("kind")))
-    return F.array_sort(F.concat(base, ins))
-
-
 def with_applied(df: DataFrame, toks_col: str, plan_col: str, out: str = "new_toks") -> DataFrame:
     """M7: the corrupted token array."""
     e = with_elements(df, toks_col, plan_col, "_els")
@@ -316,15 +294,12 @@ def with_applied(df: DataFrame, toks_col: str, plan_col: str, out: str = "new_to
         "_els")
 
 
-def apply_plan(toks: Column, plan: Column) -> Column:
-    """M7 (Column form)."""
-    return F.transform(F.filter(elements(toks, plan), lambda x: x["kind"] != DELETE), lambda x: x["tok"])
-
-
 def element_table(df: DataFrame, doc_col: str, toks_col: str, plan_col: str) -> DataFrame:
     """One row per element of each text: ``doc, idx, o, sub, tok, old, kind``."""
-    return (df.select(doc_col, F.posexplode(elements(F.col(toks_col), F.col(plan_col))).alias("idx", "e"))
-            .select(doc_col, "idx", "e.*"))
+    # outer: for a plain explode Spark infers a filter on the array and pushes
+    # the whole plan expression below it again
+    return (with_elements(df, toks_col, plan_col, "_els").select(doc_col, F.posexplode_outer("_els").alias("idx", "e"))
+            .where("e is not null").select(doc_col, "idx", "e.*"))
 
 
 def repair_slots(df: DataFrame, doc_col: str, toks_col: str, plan_col: str) -> DataFrame:

@@ -83,6 +83,23 @@ def apply_script(tokens: str, acts: str) -> Column:
     return F.expr(apply_sql(tokens, acts))
 
 
+def action_json_fields(x: Column) -> Column:
+    """The stored form of an action."""
+    return F.struct(x["act"].alias("act_type"), x["frm"].alias("from_char"), x["to"].alias("to_char"),
+                    x["pos"].alias("token_pos"))
+
+
+def build_actions(acts: Column, builders: dict | None = None, default=action_json_fields) -> Column:
+    """A script through one builder per action code (``Column ->
+    Column``, all of one type); codes without a builder use ``default``."""
+    def one(x):
+        out = None
+        for code, build in (builders or {}).items():
+            out = F.when(x["act"] == code, build(x)) if out is None else out.when(x["act"] == code, build(x))
+        return default(x) if out is None else out.otherwise(default(x))
+    return F.transform(acts, one)
+
+
 def script_text(acts: Column) -> Column:
     """Flat text of a script, ``act:pos:frm:to`` joined by ';'."""
     return F.array_join(F.transform(acts, lambda x: F.concat_ws(

@@ -61,7 +61,8 @@ def token_table(df: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     glen, tlen = F.length("g"), F.length("tok")
     start = F.coalesce(F.sum(glen + tlen).over(before), F.lit(0))
-    nl_before = F.coalesce(F.sum(F.size(F.split(F.concat("g", "tok"), "\n", -1)) - 1).over(before), F.lit(0))
+    breaks = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
+    nl_before = F.coalesce(F.sum(breaks("g") + breaks("tok")).over(before), F.lit(0))
     # absolute position of the last newline in each piece (null when none)
     g_nl = F.when(F.instr("g", "\n") > 0, glen - F.instr(F.reverse("g"), "\n"))
     t_nl = F.when(F.instr("tok", "\n") > 0, glen + tlen - F.instr(F.reverse("tok"), "\n"))
@@ -70,7 +71,7 @@ def token_table(df: DataFrame, doc_col: str, text_col: str) -> DataFrame:
          .withColumn("_gl", g_nl + F.col("_start")))
     last_nl = F.coalesce(F.col("_gl"), F.max("_pl").over(before), F.lit(0))
     off = F.col("_start") + glen
-    line = F.col("_nlb") + F.size(F.split("g", "\n", -1))
+    line = F.col("_nlb") + breaks("g") + 1
     return t.select(doc_col, "pos", "tok", off.alias("off"), line.alias("line"),
                     (off - last_nl + 1).alias("col"))
 
@@ -86,8 +87,10 @@ def token_class(tok: Column) -> Column:
 
 
 def identifier_set(toks: Column) -> Column:
-    """K3: sorted distinct identifiers of a text (values minus predefined)."""
-    return F.array_sort(F.array_distinct(F.filter(toks, lambda t: token_class(t) == IDENTIFIER)))
+    """K3: the sorted distinct token values of a text that are not predefined
+    (keywords, operators, reference lines)."""
+    return F.array_sort(F.array_distinct(F.filter(
+        toks, lambda t: ~t.isin(*C_KEYWORDS) & ~t.isin(*C_OPERATORS) & ~t.startswith("#include"))))
 
 
 def rebuild_text(tt: DataFrame, doc_col: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from repairmine.session import materialize
 
@@ -66,6 +67,48 @@ def pad_to(arr: Column, width: Column, fill) -> Column:
     return F.concat(arr, F.array_repeat(F.lit(fill), F.greatest(width - F.size(arr), F.lit(0)).cast("int")))
 
 
+def array_depth(df: DataFrame, col: str) -> int:
+    """How deep an array column is nested, from its type."""
+    kind, n = df.schema[col].dataType, 0
+    while isinstance(kind, ArrayType):
+        kind, n = kind.elementType, n + 1
+    return n
+
+
+def pad_nested(df: DataFrame, col: str, fill, depth: int | None = None, out: str = "box") -> DataFrame:
+    """V9: pad a ragged array of any depth to a box whose shape is the
+    largest size of each level (one aggregate); ``fill`` is used on every level.
+    A ``depth`` other than the column's is an error."""
+    n = array_depth(df, col)
+    if n == 0 or (depth is not None and depth != n):
+        raise ValueError(f"column {col!r} is nested {n} deep, not {depth}")
+    sizes, level = [F.size(col)], F.col(col)
+    for _ in range(n - 1):
+        sizes.append(F.array_max(F.transform(level, F.size)))
+        level = F.flatten(level)
+    top = df.agg(*[F.max(x).alias(f"d{i}") for i, x in enumerate(sizes)]).first()
+    dims = [max(0, int(x or 0)) for x in top]
+
+    def blank(k: int) -> Column:
+        c = F.lit(fill)
+        for d in reversed(dims[k:]):
+            c = F.array_repeat(c, d)
+        return c
+
+    def padded(c: Column, k: int) -> Column:
+        inner = c if k == n - 1 else F.transform(c, lambda x: padded(x, k + 1))
+        return F.concat(inner, F.array_repeat(blank(k + 1), F.greatest(F.lit(dims[k]) - F.size(c), F.lit(0))))
+
+    return df.withColumn(out, padded(F.col(col), 0))
+
+
+def find(items: Column, value, start: int = 0, end: int | None = None) -> Column:
+    """0-based index of the first ``value`` in ``items[start:end]``, null if none."""
+    part = F.slice(items, F.lit(start + 1), (F.size(items) if end is None else F.lit(end)) - start)
+    at = F.array_position(part, value)
+    return F.when(at > 0, at + start - 1)
+
+
 def ngrams(token: Column, n: int, labels: bool = True) -> Column:
     """V6/V7: windows of n items over ``[BEGIN] + chars + [END]``."""
     chars = F.regexp_extract_all(token, F.lit("(?s)."), 0)

@@ -21,7 +21,7 @@ from repairmine.functions.hashing import md5_mod
 from repairmine.operators import lines as L
 from repairmine.operators import tokens as K
 from repairmine.operators.distance import nearest_partner, symbolize, token_distance
-from repairmine.operators.edits import apply_sql, script_text, with_script_arrow
+from repairmine.operators.edits import DELETE, apply_sql, build_actions, script_text, with_script_arrow
 from repairmine.plans.registry import register
 from repairmine.plans.relational import groups_with_both
 from repairmine.plans.sqltext import d_matrix, d_script, d_script_text, q
@@ -118,19 +118,22 @@ def mine_test_errors(spark: SparkSession, sf_dir: str, done: DataFrame | None =
     return near.join(scripted, "id", "left")
 
 
-def mined_record(df: DataFrame, compile_result: int) -> DataFrame:
-    """The result-table record; rows without a partner get
-    ``('', '', -1)`` in the result columns."""
-    acts_json = F.to_json(F.transform("acts", lambda x: F.struct(
-        x["act"].alias("act_type"), x["frm"].alias("from_char"), x["to"].alias("to_char"),
-        x["pos"].alias("token_pos"))))
+def mined_columns(compile_result: int) -> dict:
+    """The columns of a result-table record; rows without a
+    partner get ``('', '', -1)`` in the result columns."""
     found = F.col("distance") >= 0
-    return df.select(
-        "id", F.lit(None).cast("string").alias("submit_url"), F.col("problem_name").alias("problem_id"),
-        "user_id", "problem_user_id", "code", F.lit(compile_result).alias("gcc_compile_result"),
-        F.when(found, F.col("similar_code")).otherwise(F.lit("")).alias("similar_code"),
-        F.when(found, acts_json).otherwise(F.lit("")).alias("modify_action_list"),
-        F.when(found, F.col("distance")).otherwise(F.lit(-1)).cast("int").alias("distance"))
+    return {
+        "id": F.col("id"), "submit_url": F.lit(None).cast("string"), "problem_id": F.col("problem_name"),
+        "user_id": F.col("user_id"), "problem_user_id": F.col("problem_user_id"), "code": F.col("code"),
+        "gcc_compile_result": F.lit(compile_result),
+        "similar_code": F.when(found, F.col("similar_code")).otherwise(F.lit("")),
+        "modify_action_list": F.when(found, F.to_json(build_actions(F.col("acts")))).otherwise(F.lit("")),
+        "distance": F.when(found, F.col("distance")).otherwise(F.lit(-1)).cast("int")}
+
+
+def mined_record(df: DataFrame, compile_result: int, columns=mined_columns) -> DataFrame:
+    """U4: mined rows -> records by a mapping from column name to expression."""
+    return df.select(*[c.alias(n) for n, c in columns(compile_result).items()])
 
 
 # ----------------------------------------------------------------------------
@@ -351,8 +354,8 @@ def q_edit_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action -> (code, position, value); value is ``to`` for insert
     and change, ``from`` for delete."""
     m = mine_compile_errors(spark, sf_dir).where(F.col("distance") >= 0)
-    tup = F.transform("acts", lambda x: F.concat_ws(",", x["act"].cast("string"), x["pos"].cast("string"),
-                                                    F.when(x["act"] == 3, x["frm"]).otherwise(x["to"])))
+    with_value = lambda v: lambda x: F.concat_ws(",", x["act"].cast("string"), x["pos"].cast("string"), x[v])
+    tup = build_actions(F.col("acts"), {DELETE: with_value("frm")}, default=with_value("to"))
     return m.select("id", F.array_join(tup, ";").alias("tuples"))
 
 

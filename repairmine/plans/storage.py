@@ -57,12 +57,26 @@ def q_lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lookup_ids(read_table(spark, sf_dir, "orders"), ids, "o_custkey").select("o_orderkey")
 
 
+# Statements by name, with a place for the table and bound parameters.
+STATEMENTS = {
+    "orders_by_status": "SELECT o_orderkey, o_totalprice FROM {t} WHERE o_orderstatus = :status AND o_orderpriority = :prio",
+    "orders_of_customer": "SELECT o_orderkey, o_totalprice FROM {t} WHERE o_custkey = :custkey",
+    "count_rows": "SELECT count(*) AS n FROM {t}",
+}
+
+
+def run_statement(table: DataFrame, name: str, **args) -> DataFrame:
+    """Look a statement up by name and run it on a table."""
+    if name not in STATEMENTS:
+        raise KeyError(f"no statement {name!r}")
+    return table.sparkSession.sql(STATEMENTS[name], args=args, t=table)
+
+
 @register("named_statement", oracle="""
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'""")
 def q_named_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named statement with bound parameters and a table argument."""
-    text = "SELECT o_orderkey, o_totalprice FROM {t} WHERE o_orderstatus = :status AND o_orderpriority = :prio"
-    return spark.sql(text, args={"status": "O", "prio": "1-URGENT"}, t=read_table(spark, sf_dir, "orders"))
+    return run_statement(read_table(spark, sf_dir, "orders"), "orders_by_status", status="O", prio="1-URGENT")
 
 
 @register("chunk_rows", oracle=f"""

@@ -441,7 +441,8 @@ def q_token_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("identifier_set", oracle=f"""
 WITH {D_SUBT}, {D_CLEAN_CTE}
 SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(code, {D_PIECE}, 2),
-  lambda t: regexp_matches(t, {q(K.RX_IDENT)}) AND t NOT IN ({', '.join(q(x) for x in K.C_KEYWORDS)})))), ',') AS idents
+  lambda t: t NOT IN ({', '.join(q(x) for x in K.C_KEYWORDS)}) AND t NOT IN ({', '.join(q(x) for x in K.C_OPERATORS)})
+  AND NOT starts_with(t, '#include')))), ',') AS idents
 FROM cs""")
 def q_identifier_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: identifiers of each cleaned text."""

@@ -174,11 +174,11 @@ def q_pad_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_tok = j.groupBy("p_partkey", "tp").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("gp", "id"))), lambda x: x["id"]).alias("ids"),
         F.max(F.length("tok")).alias("tl"))
-    tw = per_tok.agg(F.max("tl")).first()[0] + 2
+    tw = (per_tok.agg(F.max("tl")).first()[0] or 0) + 2
     per_part = per_tok.groupBy("p_partkey").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tp", V.pad_to(F.col("ids"), F.lit(tw), 0).alias("x")))),
                     lambda x: x["x"]).alias("rows"))
-    mt = per_part.agg(F.max(F.size("rows"))).first()[0]
+    mt = per_part.agg(F.max(F.size("rows"))).first()[0] or 0
     empty_row = F.array_repeat(F.lit(0).cast("bigint"), tw)
     padded = F.concat("rows", F.array_repeat(empty_row, (F.lit(mt) - F.size("rows")).cast("int")))
     return per_part.select("p_partkey", F.array_join(F.transform(padded, lambda r: F.array_join(
@@ -215,17 +215,6 @@ def nested_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  lambda x: x["codes"]).alias("rows"))
 
 
-def pad_nested(df: DataFrame, col: str, fill) -> DataFrame:
-    """V9: pad a two-level ragged array to a box whose shape is the maximum
-    size per level; the fill value is used on every level."""
-    dims = df.agg(F.max(F.size(col)).alias("d0"),
-                  F.max(F.aggregate(col, F.lit(0), lambda acc, r: F.greatest(acc, F.size(r)))).alias("d1")).first()
-    d0, d1 = int(dims["d0"] or 0), int(dims["d1"] or 0)
-    inner = F.transform(col, lambda r: V.pad_to(r, F.lit(d1), fill))
-    empty = F.array_repeat(F.lit(fill), d1)
-    return df.withColumn("box", F.concat(inner, F.array_repeat(empty, (F.lit(d0) - F.size(col)).cast("int"))))
-
-
 def _box_text(c):
     return F.array_join(F.transform(c, lambda r: F.array_join(F.transform(r, lambda i: i.cast("string")), ",")), "|")
 
@@ -234,18 +223,19 @@ def _box_text(c):
 SELECT user_id, array_to_string(list_transform(box, lambda r: array_to_string(r, ',')), '|') AS box FROM pd""")
 def q_pad_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9 on event weeks (fill -1)."""
-    return pad_nested(nested_weeks(spark, sf_dir), "rows", FILL).select("user_id", _box_text(F.col("box")).alias("box"))
+    return V.pad_nested(nested_weeks(spark, sf_dir), "rows", FILL, depth=2).select("user_id", _box_text(F.col("box")).alias("box"))
 
 
 @register("padded_access", oracle=f"""WITH {D_WEEKS_NESTED}
 SELECT user_id, CAST(box[1][2] AS BIGINT) AS v_0_1, CAST(coalesce(box[2][100], -1) AS BIGINT) AS v_1_99,
   CAST(list_position(flatten(box), 5) AS BIGINT) AS first_purchase,
+  CAST(list_position(flatten(box)[4:20], 5) + 2 AS BIGINT) AS purchase_in_3_20,
   CAST(len(list_filter(flatten(box), lambda x: x = -1)) AS BIGINT) AS n_fill,
   CAST(list_contains(flatten(box), 2) AS INTEGER) AS has_error FROM pd""")
 def q_padded_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read, search and count in the padded view; an element past the
     data reads as the fill value."""
-    b = pad_nested(nested_weeks(spark, sf_dir), "rows", FILL)
+    b = V.pad_nested(nested_weeks(spark, sf_dir), "rows", FILL)
     flat = F.flatten("box")
     return b.select("user_id",
                     F.element_at(F.element_at("box", 1), 2).cast("bigint").alias("v_0_1"),
@@ -253,6 +243,7 @@ def q_padded_access(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("v_1_99"),
                     F.when(F.array_position(flat, 5) > 0, F.array_position(flat, 5)).cast("bigint")
                     .alias("first_purchase"),
+                    V.find(flat, 5, 3, 20).cast("bigint").alias("purchase_in_3_20"),
                     F.size(F.filter(flat, lambda x: x == FILL)).cast("bigint").alias("n_fill"),
                     F.array_contains(flat, 2).cast("int").alias("has_error"))
 

@@ -151,3 +151,25 @@ def test_nearest_by_bands_equals_by_pairs(spark, limit, bound):
         best = min(((int(full_moves(x["seq"], s)[-1, -1]), i) for i, g, s in ok if g == x["grp"]), default=None)
         want = (-1, None) if best is None or (bound is not None and best[0] >= bound) else best
         assert (x["distance"], x["similar_id"]) == want
+
+
+def test_nested_padding_of_three_levels(spark):
+    from repairmine.operators import vocab as V
+    df = spark.createDataFrame([(1, [[[1], [2, 3]], []]), (2, [[[4]], [[5]], [[6, 7]]]), (3, [])],
+                               "i int, a array<array<array<int>>>")
+    got = {x["i"]: x["box"] for x in V.pad_nested(df, "a", 0, depth=3).collect()}
+    assert got[1] == [[[1, 0], [2, 3]], [[0, 0], [0, 0]], [[0, 0], [0, 0]]]
+    assert got[2] == [[[4, 0], [0, 0]], [[5, 0], [0, 0]], [[6, 7], [0, 0]]]
+    assert got[3] == [[[0, 0], [0, 0]]] * 3
+    with pytest.raises(ValueError):
+        V.pad_nested(df, "a", 0, depth=2)
+
+
+def test_builders_and_statements(spark):
+    from repairmine.plans.storage import run_statement
+    df = spark.createDataFrame([(1, [(3, 4, "x", ""), (4, 1, "a", "b")])], f"i int, acts {E.ACTIONS_TYPE}")
+    got = df.select(E.build_actions(F.col("acts"), {E.DELETE: lambda x: x["frm"]}, default=lambda x: x["to"]).alias("v")).first()
+    assert got["v"] == ["x", "b"]
+    assert run_statement(df, "count_rows").first()["n"] == 1
+    with pytest.raises(KeyError):
+        run_statement(df, "no such name")
