@@ -36,7 +36,7 @@ from .common import pieces
 
 BLOCK_TOKENS = 2_000_000
 MIN_COUNT = 16
-ROUNDS = 6
+ROUNDS = 3
 _SLOTS = 1 << 18
 
 
@@ -45,35 +45,34 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, min_count: int
     """Re-Pair over one block: ``(symbols, doc_symbols, left, right)``.
 
     Each round replaces all pairs of the top frequency band (count at least
-    ``n >> (9 + round)``, and ``min_count``) left to right without overlap.
+    ``n >> (10 + 2 * round)``, and ``min_count``) left to right without overlap.
     """
-    seq = ids.astype(np.int64)
+    limit = (1 << 31) - base if max_rules is None else max_rules
+    narrow = base + limit < 1 << 16
+    kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+    mixer, drop = (np.uint32(2654435761), 14) if narrow else (np.uint64(0x9E3779B97F4A7C15), 46)
+    across = np.iinfo(kind).max  # stands for a pair across a document's end
+    seq = ids.astype(kind)
     ends = np.cumsum(doc_tokens)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     n_rules = 0
-    limit = (1 << 32) - base if max_rules is None else max_rules
     for r in range(rounds):
         if len(seq) < 2 or n_rules >= limit:
             break
-        inside = np.ones(len(seq) - 1, dtype=bool)
-        cuts = ends[(ends > 0) & (ends < len(seq))] - 1
-        inside[cuts] = False
-        code = (seq[:-1] << 32) | seq[1:]
-        least = max(min_count, len(seq) >> (9 + r))
+        code = (seq[:-1] << kind(half)) | seq[1:]
+        code[ends[(ends > 0) & (ends < len(seq))] - 1] = across
+        least = max(min_count, len(seq) >> (10 + 2 * r))
         # pairs share counting slots, so a slot's count bounds its pairs' counts
-        slot = ((code * np.int64(-7046029254386353131)) >> np.int64(40)) & (_SLOTS - 1)
-        hot = (np.bincount(slot[inside], minlength=_SLOTS) >= least)[slot] & inside
-        pos = np.flatnonzero(hot)
-        if not len(pos):
-            continue
+        slot = ((code * mixer) >> kind(drop)).astype(np.int64)
+        pos = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
         own = code[pos]
         pairs, counts = np.unique(own, return_counts=True)
         rank = np.argsort(-counts, kind="stable")
-        chosen = np.sort(rank[counts[rank] >= least][:limit - n_rules])
-        if not len(chosen):
+        rank = rank[(counts[rank] >= least) & (pairs[rank] != across)]
+        pairs = pairs[np.sort(rank[:limit - n_rules])]
+        if not len(pairs):
             continue
-        pairs = pairs[chosen]
         which = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
         match = pairs[which] == own
         pos, new = pos[match], base + n_rules + which[match]
@@ -82,8 +81,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, min_count: int
         run = np.repeat(first, np.diff(first, append=len(pos)))
         take = ((np.arange(len(pos)) - run) & 1) == 0
         pos, new = pos[take], new[take]
-        left.append(pairs >> 32)
-        right.append(pairs & 0xFFFFFFFF)
+        left.append((pairs >> kind(half)).astype(np.int64))
+        right.append((pairs & kind((1 << half) - 1)).astype(np.int64))
         n_rules += len(pairs)
         seq[pos] = new
         keep = np.ones(len(seq), dtype=bool)
@@ -91,7 +90,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, min_count: int
         ends = ends - np.searchsorted(pos + 1, ends, side="left")
         seq = seq[keep]
     none = np.zeros(0, np.int64)
-    return (seq, np.diff(ends, prepend=0), np.concatenate(left) if left else none,
+    return (seq.astype(np.int64), np.diff(ends, prepend=0), np.concatenate(left) if left else none,
             np.concatenate(right) if right else none)
 
 
@@ -167,7 +166,7 @@ def _block_row(part, block, start, docs, parts, base, id_type):
     ids = np.concatenate(parts)
     tokens = np.array([len(p) for p in parts], dtype=np.int64)
     symbols, doc_symbols, left, right = compress(ids, tokens, base,
-                                                 max_rules=max((1 << 16) - base, 0) or None)
+                                                 max_rules=max((1 << 16) - 1 - base, 0) or None)
     wide = base + len(left) > 1 << 16
     cols = [
         pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
