@@ -20,7 +20,7 @@ import numpy as np
 #: (there the classes of letters, digits and space are these ranges). Fixed values.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+_SPLIT = re.compile(rf" ?[{_L}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 
 def byte_alphabet() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies:
@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 #: Entries of one cache generation; two are kept.
-GENERATION = 1_000_000
+GENERATION = 600_000
 END_ID = 0
 
 
@@ -64,10 +64,6 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def rest(self) -> None:
-        """At the end of a task: keep the young generation only."""
-        self.old = {}
-
     def _learn(self, words) -> dict[str, bytes]:
         """Ids of pre-tokens that the young generation lacks."""
         got, fresh = {}, []

@@ -120,7 +120,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             packed()
         if ready:
             yield out()
-        enc.rest()
 
     return rows.mapInArrow(pack, schema)
 

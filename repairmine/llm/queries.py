@@ -30,7 +30,7 @@ def query(name: str, oracle: str | None = None):
 def op2(spark, sf_dir):
     """Re-Pair token files of all documents, read back."""
     from .repair import token_files
-    return token_files(read_table(spark, sf_dir, "documents"), bpe.tokenizer_path()).drop("ids")
+    return token_files(read_table(spark, sf_dir, "documents"), bpe.tokenizer_path(), with_ids=False).drop("ids")
 
 
 @query("op10_cost_balanced_packing")

@@ -216,15 +216,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                         block, start, docs, parts, held = block + 1, start + held, [], [], 0
         if docs:
             yield _block_row(part, block, start, docs, parts, base, kind)
-        enc.rest()
 
     (rows.repartitionByRange("id").sortWithinPartitions("id", "text")
      .mapInArrow(blocks, schema).write.mode("errorifexists").parquet(path))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Read the files back: ``doc_id, start, n_tokens, ids`` (u4 bytes) a
-    document; ``start`` counts the ids of all documents before it."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Read the files back: ``doc_id, start, n_tokens, ids`` (u4 bytes; null
+    without ``with_ids``) ``, ids_crc32`` of every document; ``start`` counts the
+    ids of all documents before it."""
     files = spark.read.parquet(path)
     id_type = files.schema["doc_ids"].dataType.elementType
     from pyspark.sql import Window
@@ -253,7 +253,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(row["doc_ids"][first:last], kind),
                         pa.array(row["start"] + cut[first:last], pa.int64()),
-                        pa.array(np.diff(cut[first:last + 1]), pa.int64()), pa.array(own, pa.binary()),
+                        pa.array(np.diff(cut[first:last + 1]), pa.int64()),
+                        pa.array(own, pa.binary()) if with_ids else pa.nulls(len(own), pa.binary()),
                         pa.array([zlib.crc32(x) for x in own], pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
                     first = last
@@ -262,9 +263,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                           "symbols").mapInArrow(decode, schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, with_ids: bool = True, **options) -> DataFrame:
     """Write and read back in a fresh folder of the shared scratch space."""
     spark = docs.sparkSession
     path = scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
     write_token_files(docs, path, tokenizer, **options)
-    return read_token_files(spark, path)
+    return read_token_files(spark, path, with_ids)
