@@ -334,15 +334,14 @@ def q_mined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined_record(mine_compile_errors(spark, sf_dir), 0)
 
 
-@register("edits_json", oracle=D_MINE_COMPILE + d_with_scripts("""
-SELECT CAST(count(*) AS BIGINT) AS n_scripts, CAST(0 AS BIGINT) AS n_bad FROM ws WHERE distance >= 0"""))
+@register("edits_json", oracle=D_RECORDS + """
+SELECT id, modify_action_list AS stored, modify_action_list AS read_back FROM records WHERE distance >= 0""")
 def q_edits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10: scripts written as JSON text read back equal (count of bad = 0)."""
+    """P10: scripts as the stored JSON text, and that text parsed and written again."""
     m = mine_compile_errors(spark, sf_dir).where(F.col("distance") >= 0)
-    js = m.select("acts", F.to_json("acts").alias("j"))
-    back = js.select("acts", F.from_json("j", "array<struct<act:int,pos:int,frm:string,to:string>>").alias("b"))
-    return back.agg(F.count("*").cast("bigint").alias("n_scripts"),
-                    F.sum((F.to_json("acts") != F.to_json("b")).cast("bigint")).cast("bigint").alias("n_bad"))
+    js = m.select("id", F.to_json(build_actions(F.col("acts"))).alias("stored"))
+    shape = "array<struct<act_type:int,from_char:string,to_char:string,token_pos:int>>"
+    return js.select("id", "stored", F.to_json(F.from_json("stored", shape)).alias("read_back"))
 
 
 @register("edit_tuple", oracle=D_MINE_COMPILE + d_with_scripts(f"""
@@ -463,11 +462,18 @@ def strict_pairs(df: DataFrame, fixed_ok: str, orig_ok: str) -> DataFrame:
     return df.where(F.col(fixed_ok) & ~F.col(orig_ok))
 
 
-@register("strict_pairs", oracle=D_MINE_TEST + """
-SELECT f.id, nb.similar_id FROM f JOIN nb ON f.id = nb.id""")
+STRICT_MS = 700  # the stricter check is a run time under this limit
+
+
+@register("strict_pairs", oracle=D_MINE_TEST + f"""
+, ms AS (SELECT id, TRY_CAST(trim(replace(time, 'ms', '')) AS INTEGER) AS t FROM sub)
+SELECT f.id, nb.similar_id FROM f JOIN nb ON f.id = nb.id JOIN ms o ON o.id = f.id JOIN ms r ON r.id = nb.similar_id
+WHERE r.t < {STRICT_MS} AND NOT o.t < {STRICT_MS}""")
 def q_strict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 on the test-case mining output: the repaired side is a passing
-    partner, the original failed its tests."""
-    m = mine_test_errors(spark, sf_dir).withColumn("fixed_ok", F.col("distance") >= 0).withColumn(
-        "orig_ok", ~F.col("status_code").isin(*TEST_FAIL_CODES))
+    """F4 on the test-case mining output: the partner runs under the limit,
+    the original does not (both run times are columns of the input)."""
+    m = mine_test_errors(spark, sf_dir).where(F.col("distance") >= 0)
+    times = mining_corpus(spark, sf_dir, TEST).select(F.col("id").alias("similar_id"), F.col("time").alias("similar_time"))
+    m = m.join(times, "similar_id").withColumn("fixed_ok", F.col("similar_time") < STRICT_MS).withColumn(
+        "orig_ok", F.col("time") < STRICT_MS)
     return strict_pairs(m, "fixed_ok", "orig_ok").select("id", "similar_id")

@@ -103,16 +103,16 @@ def q_edit_script(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.array_join("applied", "") == F.col("seq")).cast("int").alias("round_trip"))
 
 
-@register("distance_matrix", oracle="WITH " + _WEEKS_CTE + """
-SELECT user_id, week, CAST(length(seq) + 1 AS BIGINT) AS n_rows,
-       CAST(length(similar_seq) + 1 AS BIGINT) AS n_cols, distance AS last_cell
-FROM best WHERE distance >= 0""")
+@register("distance_matrix", oracle="WITH " + _WEEKS_CTE + f"""
+, w AS (SELECT *, {d_matrix("seq", "similar_seq")} AS mat FROM best WHERE distance >= 0)
+SELECT user_id, week, distance AS last_cell,
+  array_to_string(list_transform(mat, lambda r: array_to_string(r, ',')), '|') AS cells FROM w""")
 def q_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: the matrix of each winning pair; its last cell is the distance."""
+    """D3: all cells of the matrix of each winning pair; the last one is the
+    distance."""
     s = week_scripts(read_table(spark, sf_dir, "events")).withColumn("m", F.expr(matrix_sql("seq", "similar_seq")))
-    return s.select("user_id", "week", F.size("m").cast("bigint").alias("n_rows"),
-                    F.size(F.element_at("m", 1)).cast("bigint").alias("n_cols"),
-                    F.element_at(F.element_at("m", -1), -1).cast("bigint").alias("last_cell"))
+    return s.select("user_id", "week", F.element_at(F.element_at("m", -1), -1).cast("bigint").alias("last_cell"),
+                    F.array_join(F.transform("m", lambda r: F.array_join(r.cast("array<string>"), ",")), "|").alias("cells"))
 
 
 @register("script_round_trip", oracle="WITH " + _WEEKS_CTE + """
