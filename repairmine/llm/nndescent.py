@@ -11,10 +11,10 @@ a multiplicity. Every node keeps its ``NEIGHBOURS`` best neighbours:
    together, and they are compared with each other. What beats the end of a
    list replaces it. This repeats until under ``DELTA`` of the entries change.
 3. Saturation: a list whose last entry still reaches the threshold may hide
-   links. The full extent of those lists is taken from their connected group:
-   the saturated nodes of a group, in blocks, against the group in blocks,
-   keeping everything over the threshold (counts and links to the smallest
-   member; not all pairs).
+   links. The full extent of those lists is taken from their whole label: its
+   saturated nodes, in blocks, against all its nodes in blocks, keeping
+   everything over the threshold (counts, and links to the smallest member of
+   each connected group of a tile; not all pairs).
 4. Audit: a seeded, bounded sample of nodes is compared with all nodes. If
    its recall of threshold links is below ``RECALL``, more trees are planted
    and the graph is refined again, at most ``ROUNDS`` times.
@@ -44,6 +44,7 @@ NEIGHBOURS = 12
 TREES = 6
 LEAF = 64
 CHUNK = 512
+TILE = 4096
 DELTA = 0.01
 ROUNDS = 3
 RECALL = 0.98
@@ -222,24 +223,37 @@ def audit(degrees: DataFrame, nodes: DataFrame, threshold: float) -> float:
 _TILE = "node long, links long, pairs long, nbr long"
 
 
-def groups_in_full(graph: DataFrame, links: DataFrame, nodes: DataFrame, neighbours: int, threshold: float) -> DataFrame:
-    """The whole lists of saturated nodes, from their connected groups. One
-    row a node and block: ``links`` (weighted by copies) and ``pairs`` counted
-    in the block, and ``nbr``, the smallest linked member of it."""
-    full = graph.where((F.size("nbrs") >= neighbours) & (F.element_at("nbrs", -1)["cos"] >= threshold)).select("node")
-    if full.isEmpty():
-        return nodes.sparkSession.createDataFrame([], _TILE)
-    of = components(links.select(F.col("node").alias("a"), F.col("nbr").alias("b")))
-    members = of.join(nodes, "node").select("component", "node", "vec", "copies")
-    sizes = (of.join(full, "node", "left_semi").select("component").distinct().join(of, "component")
-             .groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("blocks")))
-    # blocks of saturated nodes meet every block of their group
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    seat = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    members = members.join(sizes, "component")
-    asked = members.join(full, "node", "left_semi").select("*", seat.alias("row"), every.alias("col"), F.lit(True).alias("ask"))
-    met = members.select("*", seat.alias("col"), every.alias("row"), F.lit(False).alias("ask"))
-    tiles = asked.unionByName(met).select(F.xxhash64("component", "row", "col").alias("tile"), "ask", "node", "vec", "copies")
+def connected(hit: np.ndarray):
+    """Group numbers of the rows and columns of a tile (-1: no hit). Every row
+    and column is looked up once."""
+    row, col = np.full(hit.shape[0], -1), np.full(hit.shape[1], -1)
+    for s in np.flatnonzero(hit.any(axis=1)).tolist():
+        new = np.array([s]) if row[s] < 0 else row[:0]
+        while len(new):
+            row[new] = s
+            met = np.flatnonzero(hit[new].any(axis=0) & (col < 0))
+            col[met] = s
+            new = np.flatnonzero(hit[:, met].any(axis=1) & (row < 0))
+    return row, col
+
+
+def in_full(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """All links of the ``asked`` nodes, from their whole labels. Rows a node
+    and block: ``links`` (weighted by copies) and ``pairs`` counted in the
+    block, and ``nbr``, the smallest member that the block connects it with.
+    Nodes that were met only have the latter."""
+    own = nodes.join(asked, "node", "left_semi")
+    # blocks grow with the label up to ``TILE``, so that rows are not repeated
+    # with its size
+    side = F.least(F.lit(TILE), F.greatest(F.lit(CHUNK), F.sqrt("n") * 16))
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n")).join(
+        own.groupBy("grp").agg(F.count("*").alias("n_asked")), "grp").select(
+        "grp", F.ceil(F.col("n") / side).alias("n_col"), F.ceil(F.col("n_asked") / side).alias("n_row"))
+    seat, every = lambda n: F.pmod(F.xxhash64("node"), n), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = own.join(sizes, "grp").select("*", seat("n_row").alias("row"), every("n_col").alias("col"), F.lit(True).alias("ask"))
+    met = nodes.join(sizes, "grp").select("*", seat("n_col").alias("col"), every("n_row").alias("row"), F.lit(False).alias("ask"))
+    tiles = own.unionByName(met, allowMissingColumns=True).select(
+        F.xxhash64("grp", "row", "col").alias("tile"), "ask", "node", "vec", "copies")
 
     def compare(batches):
         for t in key_groups(batches, "tile"):
@@ -247,15 +261,27 @@ def groups_in_full(graph: DataFrame, links: DataFrame, nodes: DataFrame, neighbo
             if ask.all() or not ask.any():
                 continue
             m, ids, copies = _matrix(t.column("vec")), t.column("node").to_numpy(), t.column("copies").to_numpy()
-            hit = (m[ask] @ m[~ask].T >= threshold) & (ids[ask][:, None] != ids[~ask][None, :])
-            near = np.where(hit, ids[~ask][None, :], np.iinfo(np.int64).max).min(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[ask]), pa.array(hit @ copies[~ask]), pa.array(hit.sum(axis=1).astype(np.int64)),
-                 pa.array(np.where(hit.any(axis=1), near, ids[ask]))], names=["node", "links", "pairs", "nbr"])
+            p, q, a, b = m[ask], m[~ask], ids[ask], ids[~ask]
+            hit = np.concatenate([(p[i:i + CHUNK] @ q.T >= threshold) & (a[i:i + CHUNK, None] != b)
+                                  for i in range(0, len(a), CHUNK)])
+            row, col = connected(hit)
+            least = np.full(len(a), np.iinfo(np.int64).max)
+            np.minimum.at(least, row[row >= 0], a[row >= 0])
+            np.minimum.at(least, col[col >= 0], b[col >= 0])
+            at, met = row >= 0, col >= 0
+            none = np.zeros(met.sum(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (
+                (a[at], b[met]), (hit[at] @ copies[~ask], none), (hit[at].sum(axis=1), none), (least[row[at]], least[col[met]]))],
+                names=["node", "links", "pairs", "nbr"])
 
     return written(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, _TILE), "tiles")
 
 
+def saturated(graph: DataFrame, neighbours: int, threshold: float) -> DataFrame:
+    """Nodes whose lists may hide links."""
+    return graph.where((F.size("nbrs") >= neighbours) & (F.element_at("nbrs", -1)["cos"] >= threshold)).select("node")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                  threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
@@ -272,8 +298,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         # a link counts at both ends, whichever list it stands in
         listed = flat(graph).where(F.col("cos") >= threshold)
         links = written(listed.select("node", "nbr").union(listed.select("nbr", "node")).distinct(), "links")
-        tiles = groups_in_full(graph, links, nodes, neighbours, threshold)
-        loose = links.join(tiles.select("node").distinct(), "node", "left_anti")
+        full = saturated(graph, neighbours, threshold)
+        tiles = in_full(full, nodes, threshold)
+        loose = links.join(full, "node", "left_anti")
         degrees = written(
             tiles.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")).union(
                 loose.join(weight, "nbr").groupBy("node").agg(F.sum("weight").alias("links"), F.count("*").alias("pairs"))),

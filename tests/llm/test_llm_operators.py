@@ -317,6 +317,43 @@ def test_vectors_against_brute_force(spark):
     assert nndescent.near_vectors(df.limit(0)).count() == 0
 
 
+def brute_links(m, threshold=0.98):
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hit = m @ m.T >= threshold
+    np.fill_diagonal(hit, False)
+    return hit.sum(axis=1).tolist(), union_find(len(m), zip(*np.nonzero(hit)))
+
+
+def check_links(got, m):
+    links, group = brute_links(m)
+    for x in got:
+        assert (x.n_links, x.component_id, x.kept) == (links[x.vec_id], group[x.vec_id], group[x.vec_id] == x.vec_id)
+
+
+def test_links_between_saturated_families(spark):
+    """Lists fill with the own family; the other family is linked as well, and
+    a third one by a single pair of nodes."""
+    r = np.random.default_rng(4)
+    first = np.eye(32)[0]
+    centre = [first, 0.985 * first + np.sqrt(1 - 0.985 ** 2) * np.eye(32)[1]]
+    far = 0.955 * first + np.sqrt(1 - 0.955 ** 2) * np.eye(32)[2]
+    m = np.array([c + np.concatenate([np.zeros(8), r.standard_normal(24) * 0.002]) for c in (centre[0], far, centre[1]) for _ in range(20)])
+    m[33] = 0.97 * far / np.linalg.norm(far) + 0.25 * first
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    check_links(nndescent.near_vectors(df).collect(), m)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_groups_of_a_tile(seed):
+    r = np.random.default_rng(seed)
+    hit = r.random((30, 40)) < 0.03
+    row, col = nndescent.connected(hit)
+    want = union_find(70, [(a, 30 + b) for a, b in zip(*np.nonzero(hit))])
+    on = np.concatenate([hit.any(axis=1), hit.any(axis=0)])
+    assert [x for x, y in zip([*row, *col], on) if y] == [x for x, y in zip(want, on) if y]
+    assert all(x == -1 for x, y in zip([*row, *col], on) if not y)
+
+
 # --- 6 SimHash --------------------------------------------------------------
 
 def union_find(n, pairs):
