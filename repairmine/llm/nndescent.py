@@ -15,9 +15,11 @@ a multiplicity. Every node keeps its ``NEIGHBOURS`` best neighbours:
    saturated nodes, in blocks, against all its nodes in blocks, keeping
    everything over the threshold (counts, and links to the smallest member of
    each connected group of a tile; not all pairs).
-4. Audit: a seeded, bounded sample of nodes is compared with all nodes. If
-   its recall of threshold links is below ``RECALL``, more trees are planted
-   and the graph is refined again, at most ``ROUNDS`` times.
+4. Audit: seeded nodes, which grow with the table and come first from those
+   whose best neighbour is near or over the threshold, are searched in their
+   whole label. If any of their links was lost, or if they have none at all
+   (no evidence), more trees are planted and the graph is refined again. After
+   ``ROUNDS`` such rounds every node is searched in its whole label.
 
 Cosines are taken in double precision. Links below the threshold are never
 kept. Defined results: a vector that is null, empty, zero or holds null or
@@ -47,8 +49,9 @@ CHUNK = 512
 TILE = 4096
 DELTA = 0.01
 ROUNDS = 3
-RECALL = 0.98
 AUDIT = 512
+AUDIT_SHARE = 1 / 64
+NEAR = 0.05
 _SEED = 99
 
 
@@ -190,36 +193,6 @@ def descend(edges: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     return graph
 
 
-def audit(degrees: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded, seeded sample of nodes that were
-    found (``degrees``: ``node, pairs``, all of them true)."""
-    picked = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).select("node", "grp", "vec").collect()
-    probes: dict = {}
-    for r in picked:
-        probes.setdefault(r["grp"], []).append((r["node"], r["vec"]))
-
-    def near(batches):
-        for b in batches:
-            grp = np.array(b.column(b.schema.get_field_index("grp")).to_pylist(), dtype=object)
-            node, vec = (b.column(b.schema.get_field_index(c)) for c in ("node", "vec"))
-            node = node.to_numpy()
-            for g, own in probes.items():
-                rows = np.flatnonzero(grp == g)
-                if len(rows):
-                    m = _matrix(vec.take(pa.array(rows)))
-                    p = _matrix(pa.array([x for _, x in own], pa.list_(pa.float64())))
-                    ids = np.array([i for i, _ in own])
-                    hit = (p @ m.T >= threshold) & (ids[:, None] != node[rows][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(axis=1).astype(np.int64))],
-                                                     names=["node", "true"])
-
-    true = nodes.select("grp", "node", "vec").mapInArrow(near, "node long, true long").groupBy("node").agg(
-        F.sum("true").alias("true"))
-    r = true.join(degrees, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.coalesce("pairs", F.lit(0))).alias("got"))
-    r = r.first()
-    return r["got"] / r["true"] if r["true"] else 1.0
-
-
 _TILE = "node long, links long, pairs long, nbr long"
 
 
@@ -282,6 +255,26 @@ def saturated(graph: DataFrame, neighbours: int, threshold: float) -> DataFrame:
     return graph.where((F.size("nbrs") >= neighbours) & (F.element_at("nbrs", -1)["cos"] >= threshold)).select("node")
 
 
+def picked(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Seeded nodes for the audit: of those with a neighbour near or over the
+    threshold, and of the others, ``AUDIT`` or ``AUDIT_SHARE`` of them."""
+    near = graph.where(F.element_at("nbrs", 1)["cos"] >= threshold - NEAR).select("node", F.lit(True).alias("near"))
+    kind = nodes.select("node").join(near, "node", "left").select("node", F.coalesce("near", F.lit(False)).alias("near"))
+    n = {r["near"]: r["count"] for r in kind.groupBy("near").count().collect()}
+    share = {k: max(AUDIT_SHARE, AUDIT / n.get(k, 1)) for k in (True, False)}
+    draw = F.pmod(F.xxhash64("node", F.lit(_SEED)), F.lit(1 << 20)) / (1 << 20)
+    return written(kind.where(draw < F.when(F.col("near"), share[True]).otherwise(share[False])).select("node"), "picked")
+
+
+def audit(degrees: DataFrame, asked: DataFrame, nodes: DataFrame, threshold: float) -> float | None:
+    """Share of the true links of the ``asked`` nodes that were found
+    (``degrees``: ``node, pairs``, all of them true); None if they have none."""
+    true = in_full(asked, nodes, threshold).groupBy("node").agg(F.sum("pairs").alias("true"))
+    r = asked.join(true, "node").join(degrees, "node", "left").agg(
+        F.sum("true").alias("true"), F.sum(F.coalesce("pairs", F.lit(0))).alias("got")).first()
+    return r["got"] / r["true"] if r["true"] else None
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                  threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
@@ -305,8 +298,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             tiles.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")).union(
                 loose.join(weight, "nbr").groupBy("node").agg(F.sum("weight").alias("links"), F.count("*").alias("pairs"))),
             "degrees")
-        if audit(degrees, nodes, threshold) >= RECALL:
+        if audit(degrees, picked(graph, nodes, threshold), nodes, threshold) == 1:
             break
+    else:
+        tiles = in_full(nodes.select("node"), nodes, threshold)
+        degrees = tiles.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
     of = components(links.select(F.col("node").alias("a"), F.col("nbr").alias("b")).union(tiles.select("node", "nbr")))
     told = nodes.join(degrees, "node", "left").join(of, "node", "left").select(
         "grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

@@ -343,6 +343,28 @@ def test_links_between_saturated_families(spark):
     check_links(nndescent.near_vectors(df).collect(), m)
 
 
+def test_links_that_descent_misses(spark, monkeypatch):
+    """No tree finds anything: the audit must not let that pass."""
+    plant = nndescent.plant
+    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    monkeypatch.setattr(nndescent, "plant", lambda *a: plant(*a).limit(0))
+    r = np.random.default_rng(6)
+    m = r.standard_normal((150, 16))
+    m[100] = m[3] + 0.01
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    assert brute_links(m)[0][3] == 1
+    check_links(nndescent.near_vectors(df).collect(), m)
+
+
+def test_audit_without_links_is_no_evidence(spark):
+    nodes = spark.createDataFrame([(i, "g", np.eye(8)[i].tolist(), 1) for i in range(8)],
+                                  "node long, grp string, vec array<double>, copies long")
+    degrees = spark.createDataFrame([], "node long, pairs long")
+    graph = spark.createDataFrame([], "node long, nbrs array<struct<cos:double,nbr:long>>")
+    asked = nndescent.picked(graph, nodes, 0.98)
+    assert asked.count() == 8 and nndescent.audit(degrees, asked, nodes, 0.98) is None
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_groups_of_a_tile(seed):
     r = np.random.default_rng(seed)
