@@ -36,55 +36,67 @@ from .common import pieces
 
 BLOCK_TOKENS = 2_000_000
 MIN_COUNT = 16
-ROUNDS = 3
 _SLOTS = 1 << 18
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, min_count: int = MIN_COUNT,
-             rounds: int = ROUNDS, max_rules: int | None = None):
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, min_count: int = MIN_COUNT):
     """Re-Pair over one block: ``(symbols, doc_symbols, left, right)``.
 
     Each round replaces all pairs of the top frequency band (count at least
-    ``n >> (10 + 2 * round)``, and ``min_count``) left to right without overlap.
+    ``n >> (10 + 2 * round)``, and ``min_count``) left to right without overlap,
+    until no pair reaches ``min_count``.
     """
-    limit = (1 << 31) - base if max_rules is None else max_rules
-    narrow = base + limit < 1 << 16
-    kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
-    mixer, drop = (np.uint32(2654435761), 14) if narrow else (np.uint64(0x9E3779B97F4A7C15), 46)
-    across = np.iinfo(kind).max  # stands for a pair across a document's end
-    seq = ids.astype(kind)
+    seq = ids.astype(np.uint32)
     ends = np.cumsum(doc_tokens)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    n_rules = 0
-    for r in range(rounds):
-        if len(seq) < 2 or n_rules >= limit:
-            break
-        code = (seq[:-1] << kind(half)) | seq[1:]
-        code[ends[(ends > 0) & (ends < len(seq))] - 1] = across
-        least = max(min_count, len(seq) >> (10 + 2 * r))
-        # pairs share counting slots, so a slot's count bounds its pairs' counts
-        slot = ((code * mixer) >> kind(drop)).astype(np.int64)
-        pos = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
-        own = code[pos]
+    n_rules, r, settled = 0, 0, None
+    while len(seq) > 1:
+        # codes are half as wide while all symbols are below 65,535
+        narrow = base + n_rules < 1 << 16
+        kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+        mixer, drop = (np.uint32(2654435761), 14) if narrow else (np.uint64(0x9E3779B97F4A7C15), 46)
+        across = np.iinfo(kind).max  # stands for a pair across a document's end
+        least = max(min_count, len(seq) >> min(10 + 2 * r, 62))
+        r += 1
+        cut = np.zeros(len(seq), dtype=bool)
+        cut[ends[ends > 0] - 1] = True
+        if settled is None:
+            own = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
+            own[cut[:-1]] = across
+            # pairs share counting slots, so a slot's count bounds its pairs' counts
+            slot = ((own * mixer) >> kind(drop)).astype(np.int64)
+            pos = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
+            own = own[pos]
+        else:
+            # the last round took all pairs of this band: only those with one
+            # of its new symbols can reach it
+            new = seq >= settled
+            pos = np.flatnonzero((new[:-1] | new[1:]) & ~cut[:-1])
+            own = (seq[pos].astype(kind) << kind(half)) | seq[pos + 1]
         pairs, counts = np.unique(own, return_counts=True)
-        rank = np.argsort(-counts, kind="stable")
-        rank = rank[(counts[rank] >= least) & (pairs[rank] != across)]
-        pairs = pairs[np.sort(rank[:limit - n_rules])]
+        pairs = pairs[(counts >= least) & (pairs != across)]
         if not len(pairs):
+            if least <= min_count:
+                break
             continue
         which = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
         match = pairs[which] == own
-        pos, new = pos[match], base + n_rules + which[match]
+        pos, which = pos[match], which[match]
         # of touching candidates keep every other one, from the left
         first = np.flatnonzero(np.diff(pos, prepend=-2) != 1)
         run = np.repeat(first, np.diff(first, append=len(pos)))
         take = ((np.arange(len(pos)) - run) & 1) == 0
-        pos, new = pos[take], new[take]
+        pos, which = pos[take], which[take]
+        # pairs whose places all went to others get no rule
+        used = np.bincount(which, minlength=len(pairs)) > 0
+        number = np.cumsum(used) - 1
+        pairs = pairs[used]
+        settled = base + n_rules if least <= min_count else None
         left.append((pairs >> kind(half)).astype(np.int64))
         right.append((pairs & kind((1 << half) - 1)).astype(np.int64))
+        seq[pos] = base + n_rules + number[which]
         n_rules += len(pairs)
-        seq[pos] = new
         keep = np.ones(len(seq), dtype=bool)
         keep[pos + 1] = False
         ends = ends - np.searchsorted(pos + 1, ends, side="left")
@@ -165,8 +177,7 @@ def decode_range(row: dict, document: int, start: int, stop: int) -> np.ndarray:
 def _block_row(part, block, start, docs, parts, base, id_type):
     ids = np.concatenate(parts)
     tokens = np.array([len(p) for p in parts], dtype=np.int64)
-    symbols, doc_symbols, left, right = compress(ids, tokens, base,
-                                                 max_rules=max((1 << 16) - 1 - base, 0) or None)
+    symbols, doc_symbols, left, right = compress(ids, tokens, base)
     wide = base + len(left) > 1 << 16
     cols = [
         pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),

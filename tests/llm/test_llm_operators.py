@@ -149,6 +149,25 @@ def test_repair_decodes_and_shrinks(seed):
         assert (repair.decode_range(row, d, a, b) == p[a:b]).all()
 
 
+def pair_counts(symbols, own):
+    docs = np.split(symbols, np.cumsum(own)[:-1])
+    return Counter(p for d in docs for p in zip(d[:-1].tolist(), d[1:].tolist()))
+
+
+@pytest.mark.parametrize("base", [50, 65_530])
+def test_no_frequent_pair_is_left(base):
+    """Long passages become one symbol, also past 65,535 symbols."""
+    r = np.random.default_rng(1)
+    passages = r.integers(0, 50, (4, 64))
+    parts = [np.concatenate([passages[r.integers(4)] if r.random() < 0.7 else r.integers(0, 50, r.integers(1, 9))
+                             for _ in range(r.integers(1, 20))]) for _ in range(80)]
+    ids, tokens = np.concatenate(parts), np.array([len(p) for p in parts])
+    symbols, own, left, right = repair.compress(ids, tokens, base)
+    assert max(pair_counts(symbols, own).values()) < repair.MIN_COUNT
+    assert (repair.expand(symbols, left, right, base) == ids).all() and own.sum() == len(symbols)
+    assert repair.rule_lengths(left, right, base).max() >= 64 and (base < 1000 or base + len(left) > 1 << 16)
+
+
 def test_encoder_equals_the_library(library):
     r = random.Random(8)
     chars = "abcXYZ  \n\t.,'!?0189éüß—日 \x1c <|>"
