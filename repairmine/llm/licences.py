@@ -1,6 +1,10 @@
 """License scans: a trained paragraph classifier (operator 7).
 
-A paragraph is a line of a text that holds a word. Features are the word
+A paragraph is counted for each line that holds a word. Lines are classified
+one by one; notices that run over several lines, or stand in a long one, are
+found in the lines joined up to a blank one: a window slides over the word
+pairs of every template, and what holds enough of them is classified as a
+whole. Unconfirmed finds of the same family inside it are parts of it. Features are the word
 unigrams and bigrams of the lower-cased paragraph that the training rows hold
 at least twice. A multinomial logistic regression (one class a licence
 family, one class unknown) is trained on a bounded sample: notices of the
@@ -9,7 +13,8 @@ at most ``UNKNOWN_ROWS`` paragraphs of the corpus itself (those that hold a
 notice are labelled with its family). A held-out quarter calibrates it: a
 temperature for the probabilities, and the least probability that keeps
 unknown paragraphs out. A predicted family is confirmed by its templates: one
-of the family's notices must have ``CONFIRM`` of its word pairs in the paragraph.
+of the family's notices must have ``CONFIRM`` of its word pairs in the
+paragraph, among them all that hold a number (the version).
 
 The sample's bounds are parameters; scoring covers every paragraph of every
 document, map-side, with the model (at most ``FEATURES`` rows) in the closure.
@@ -35,7 +40,9 @@ from .common import pieces
 # The usual short notices of licence families.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004",
-                   "This project is released under the Apache 2.0 license."),
+                   "This project is released under the Apache 2.0 license.",
+                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License."),
     "BSD": ("Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.",
@@ -46,8 +53,14 @@ TEMPLATES = {
                      "Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal Public Domain Dedication"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
-                "GNU General Public License Version 3, 29 June 2007", "Released under the GPL version 3 or later."),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
+                "GNU General Public License Version 3, 29 June 2007", "Released under the GPL version 3 or later.",
+                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                "or (at your option) any later version."),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",
+                 "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
@@ -76,10 +89,57 @@ def features(paragraph: str) -> list[str]:
 
 
 def held(template: str, paragraph: str) -> float:
-    """Share of the template's word pairs that the paragraph holds."""
-    t, p = _WORD.findall(template.lower()), _WORD.findall(paragraph.lower())
-    pairs = set(zip(t, t[1:]))
-    return len(pairs & set(zip(p, p[1:]))) / len(pairs)
+    """Share of the template's word pairs that the paragraph holds; 0 if it
+    lacks one with a number."""
+    pairs = _pairs(template)
+    got = pairs & _pairs(paragraph)
+    return 0.0 if any(map(_numbered, pairs - got)) else len(got) / len(pairs)
+
+
+def _pairs(text: str) -> set[tuple[str, str]]:
+    w = _WORD.findall(text.lower())
+    return set(zip(w, w[1:]))
+
+
+def _numbered(pair: tuple[str, str]) -> bool:
+    return pair[0].isdigit() or pair[1].isdigit()
+
+
+#: Templates by word pair, and of each: family, pairs, numbered pairs, longest span in words.
+_KNOWN = [(f, _pairs(t), {p for p in _pairs(t) if _numbered(p)}, 2 * len(_WORD.findall(t)) + 8)
+          for f, ts in TEMPLATES.items() for t in ts]
+_OF: dict[tuple[str, str], list[int]] = {}
+for _i, _t in enumerate(_KNOWN):
+    for _p in _t[1]:
+        _OF.setdefault(_p, []).append(_i)
+
+
+def spans(words: list[str]) -> list[tuple[str, int, int]]:
+    """(family, first word, last word) wherever a window holds ``CONFIRM`` of a template."""
+    hits: dict[int, list[int]] = {}
+    pairs = list(zip(words, words[1:]))
+    for i, p in enumerate(pairs):
+        for k in _OF.get(p, ()):
+            hits.setdefault(k, []).append(i)
+    out = []
+    for k, at in hits.items():
+        family, own, numbered, reach = _KNOWN[k]
+        if len(at) < CONFIRM * len(own):
+            continue
+        seen: dict[tuple[str, str], int] = {}
+        first = 0
+        for j, i in enumerate(at):
+            seen[pairs[i]] = seen.get(pairs[i], 0) + 1
+            while i - at[first] > reach or seen[pairs[at[first]]] > 1:
+                p = pairs[at[first]]
+                seen[p] -= 1
+                if not seen[p]:
+                    del seen[p]
+                first += 1
+            if len(seen) >= CONFIRM * len(own) and numbered <= seen.keys():
+                out.append((family, at[first], i + 1))
+                seen, first = {}, j + 1
+    return out
 
 
 def best_template(paragraph: str) -> tuple[str, float]:
@@ -210,15 +270,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
 def scan(text: str | None, model: Model) -> tuple[int, list[tuple]]:
     """Paragraphs of a text, and its finds: (line, family, probability, confirmed)."""
-    n, found = 0, []
-    for i, line in enumerate((text or "").split("\n")):
-        if not line.strip():
-            continue
-        n += 1
+    n, found, block = 0, [], []
+    for i, line in enumerate([*(text or "").split("\n"), ""]):
+        if line.strip():
+            n += 1
+            block.append((i, line))
+        elif block:
+            found += scan_block(block, model)
+            block = []
+    return n, found
+
+
+def scan_block(block: list[tuple[int, str]], model: Model) -> list[tuple]:
+    """Finds of lines without a blank one between them."""
+    found, words, of = [], [], []
+    for i, line in block:
         family, p = model.predict(line)
         if family != UNKNOWN:
             found.append((i, family, p, max(held(t, line) for t in TEMPLATES[family]) >= CONFIRM))
-    return n, found
+        w = _WORD.findall(line.lower())
+        words += w
+        of += [i] * len(w)
+    for family, a, b in spans(words):
+        inside = [x for x in found if of[a] <= x[0] <= of[b] and x[1] == family]
+        if any(x[3] for x in inside):
+            continue
+        told, p = model.predict(" ".join(words[a:b + 1]))
+        if told == family:
+            found = [x for x in found if x not in inside] + [(of[a], family, p, True)]
+    return sorted(found, key=lambda x: x[0])
 
 
 def licence_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -469,6 +469,34 @@ def test_licence_model_on_held_out_rows(spark, odd, odd_rows, none):
     assert licences.licence_scan(none, licences.train(none)).count() == 0
 
 
+HEADERS = {
+    "BSD": "Copyright 2020 The Authors.\n\nRedistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions\nare met:",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n"
+               " * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one. */",
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n"
+               "# it under the terms of the GNU General Public License as published by\n"
+               "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+                "License as published by the Free Software Foundation, either\nversion 3 of the License, or (at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache\nLicense, Version 2.0 (the \"License\");\nyou may not use this file except in compliance",
+}
+
+
+def test_wrapped_notices(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    model = licences.train(docs)
+    prose = " ".join(f"river stone {i} and bridge" for i in range(300))
+    sure = lambda t: [x[1] for x in licences.scan(t, model)[1] if x[3]]
+    for family, t in HEADERS.items():
+        assert sure(t) == [family]
+        assert sure("Some words before.\n" + t + "\nand some after.") == [family]
+        assert sure(f"{prose} {' '.join(t.split())} {prose}") == [family]
+    assert sure(HEADERS["GPL-3.0"].replace("version 3", "version 2")) == []
+    # a blank line ends a paragraph
+    assert sure(HEADERS["MPL-2.0"].replace("Mozilla Public\n", "Mozilla Public\n\n")) == []
+
+
 # --- 8 chat -----------------------------------------------------------------
 
 def test_chat_round_trip(spark):
