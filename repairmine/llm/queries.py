@@ -138,3 +138,42 @@ def op7(spark, sf_dir):
         "doc_id", "n_paragraphs", F.size(sure).cast("long").alias("n_confirmed"),
         (F.size("finds") - F.size(sure)).cast("long").alias("n_unconfirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"))
+
+
+#: crc32 of an ASCII string ``c``, a bit a step (DuckDB has no crc32).
+_CRC32_SQL = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(c::varchar, ''),
+  lambda ch: [ascii(ch)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"""
+
+
+@query("op11_prefix_trie", oracle=f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+  from conversations where conv_id is not null),
+c as (select conv_id as c, count(*) as n from t group by conv_id),
+b as (select x.*, least(h, coalesce(y.n, 0)) as g
+  from (select c, n, {_CRC32_SQL} % 6 as h from c) x left join c y on y.c = x.c - x.c % 100),
+r as (
+  select b.c, i as depth, role, text from b join t on conv_id = b.c - b.c % 100 and i <= h
+  union all select b.c, i - h + g, role, text from b join t on conv_id = b.c and i > h),
+p as (
+  select c, depth, length(text) as chars, sha256(string_agg(sha256(length(role) || ':' || role || text), '')
+    over (partition by c order by depth)) as k from r
+  union all select c, 0, 0, 'root' from c),
+s as (select c, max(depth) as len from p group by c),
+n as (select k, min(p.c) as conv_id, any_value(depth) as depth, count(*) as n_convs, any_value(chars) as chars,
+    string_agg(p.c::varchar, ',' order by p.c) filter (depth = len) as ends
+  from p join s on s.c = p.c group by k),
+e as (select n.*, q.k as up from n left join p q on q.c = n.conv_id and q.depth = n.depth - 1),
+f as (select up, count(*) as n_children from e where up is not null group by up),
+total as (select p.k, sum((f.up is null)::int) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved_tokens
+  from n left join f on f.up = n.k join p on p.c = n.conv_id and p.depth <= n.depth group by p.k)
+select e.conv_id, e.depth::bigint as depth, m.conv_id as parent_conv_id, e.n_convs, coalesce(f.n_children, 0) as n_children,
+  n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, sha256(coalesce(e.ends, '')) as ends_sha256
+from e join total on total.k = e.k left join n m on m.k = e.up left join f on f.up = e.k""")
+def op11(spark, sf_dir):
+    """Trie of all conversations, rebuilt on the first turns of their hundred's first."""
+    from .prefixtrie import borrow_heads, marked_turns, prefix_trie
+    turns = marked_turns(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie(*borrow_heads(turns, F.col("conv") - F.col("conv") % 100, head, longest=5))
