@@ -177,3 +177,25 @@ def op11(spark, sf_dir):
     turns = marked_turns(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
     return prefix_trie(*borrow_heads(turns, F.col("conv") - F.col("conv") % 100, head, longest=5))
+
+
+@query("op12_block_max_search", oracle="""
+with d as (
+  select row_number() over () as did, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents),
+s as (select count(*) as n_docs, sum(len(terms))::bigint as n_terms from d where len(terms) > 0),
+x as (select did, term, count(*) as tf from (select did, unnest(terms) as term from d) group by did, term),
+w as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from x, s group by term, n_docs),
+q as (select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+m as (select did, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms as m from d, s where len(terms) > 0),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from q join w using (term) join x using (term) join m using (did) group by item_id, did, doc_id),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 50""")
+def op12(spark, sf_dir):
+    """The 50 best documents for every benchmark item."""
+    from .blockmax import build_index, search
+    return search(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
