@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import forget
 from .common import written
@@ -286,9 +287,10 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "item_id", text_c
                                         for x in b.column(1).to_pylist()], pa.list_(pa.binary()))], names=["item_id", "terms"])
 
     item = F.col(f"`{id_col}`")
-    kind = queries.schema[id_col].dataType.simpleString()
+    kind = queries.schema[id_col].dataType
+    name = kind.simpleString()
     asked = queries.select(item.alias("item_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(
-        terms_of, f"item_id {kind}, terms array<binary>")
+        terms_of, f"item_id {name}, terms array<binary>")
     asked = asked.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = written(asked.where(F.size("terms") > 0).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "queries")
@@ -305,7 +307,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "item_id", text_c
     return lanes.select("item_id", rank.alias("rank"), "doc_id", "score").where(F.col("rank") <= top)
 
 
-def _hits(index: DataFrame, queries: list, kind: str, top: int, total_docs: int, total_terms: int) -> DataFrame:
+def _hits(index: DataFrame, queries: list, kind, top: int, total_docs: int, total_terms: int) -> DataFrame:
     """The heaps of all tasks for one block of queries."""
     terms = sorted({t for _, ts in queries for t in ts})
     number = {t: i for i, t in enumerate(terms)}
@@ -314,6 +316,7 @@ def _hits(index: DataFrame, queries: list, kind: str, top: int, total_docs: int,
     for r in frequencies(index, terms).select("term", F.floor(F.lit(1000.0) * F.log(share)).alias("w")).collect():
         weight[r["term"]] = r["w"]
     wanted = [(i, np.array([number[t] for t in ts])) for i, ts in queries]
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         asked = pa.array(terms, pa.binary())
@@ -334,7 +337,7 @@ def _hits(index: DataFrame, queries: list, kind: str, top: int, total_docs: int,
         for (item, _), (score, ids, known) in zip(wanted, heaps):
             if len(score):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(score)), pa.array([task] * len(score), pa.int32()), pa.array(ids, mask=~known),
+                    [pa.array([item] * len(score), arrow), pa.array([task] * len(score), pa.int32()), pa.array(ids, mask=~known),
                      pa.array(score)], names=["item_id", "task", "doc_id", "score"])
 
-    return index.drop("docs", "terms", "df").mapInArrow(run, f"item_id {kind}, task int, doc_id long, score long")
+    return index.drop("docs", "terms", "df").mapInArrow(run, f"item_id {kind.simpleString()}, task int, doc_id long, score long")

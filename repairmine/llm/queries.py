@@ -199,3 +199,11 @@ def op12(spark, sf_dir):
     """The 50 best documents for every benchmark item."""
     from .blockmax import build_index, search
     return search(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_guess_cost_secrets")
+def op13(spark, sf_dir):
+    """Secrets in every document: fixed patterns, and credential values that are costly to guess."""
+    from .secrets import find_secrets, frequent_words
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_secrets(docs, frequent_words(docs)).drop("text", "findings")
