@@ -5,7 +5,8 @@ independently of each other. Corpora repeat them, so each worker keeps a
 bounded two-generation cache from pre-token to ids and gives the
 ``tokenizers`` library only those it has not met, many in one call. Texts holding any
 character outside ASCII and Latin-1 letters go to the library whole, as do
-all texts of a tokenizer with another pre-tokenizer.
+those that hold the string of an added token (``<|endoftext|>``, which has an
+id of its own) and all texts of a tokenizer with another pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -47,9 +48,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # the library takes these strings out of a text before it splits it
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         pre = spec.get("pre_tokenizer") or {}
         self.split = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                       and not pre.get("add_prefix_space") and pre.get("use_regex", True))
@@ -105,7 +107,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not self.split or not _PLAIN.fullmatch(t):
+            if not self.split or not _PLAIN.fullmatch(t) or any(a in t for a in self.added):
                 odd.append(i)
                 continue
             words = _SPLIT.findall(t)

@@ -54,7 +54,6 @@ def none(spark):
 def library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(bpe.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda x: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], dtype="<u4")
 
 
