@@ -480,10 +480,11 @@ def resolve(runs: list, core: int, length: int):
         yield batch()
 
 
-def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, min_words: int = 0) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs), ``removed`` (those runs: start, stop),
-    ``kept_bytes`` and ``kept_text``."""
+    ``kept_bytes`` and ``kept_text``. Runs of fewer than ``min_words`` words
+    stay in the text."""
     spans = repeated_spans(docs, text_col, length).select(
         F.col("th").alias("__sh"), F.col("tn").alias("__sn"), F.col("spans").alias("__spans"))
     rows = addressed(docs, text_col)
@@ -499,6 +500,18 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
             F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))
         ).otherwise(F.concat(acc, F.array(x))))
     rows = rows.select("*", runs.alias("__runs")).drop("__spans", "__sh", "__sn")
+    if min_words:
+        @F.pandas_udf("array<boolean>")
+        def long_enough(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else [len(t[a:b].split()) >= min_words for a, b in zip(begin, end)]
+                              for t, begin, end in zip(text, starts, stops)])
+
+        some = F.size("__runs") > 0
+        rows = rows.select("*", long_enough.asNondeterministic()(
+            F.when(some, F.col(f"`{text_col}`").cast("binary")), F.when(some, F.col("__runs.start")),
+            F.when(some, F.col("__runs.stop"))).alias("__long"))
+        rows = rows.withColumn("__runs", F.when(some, F.filter("__runs", lambda x, i: F.get(F.col("__long"), i))).otherwise(
+            F.col("__runs"))).drop("__long")
 
     @F.pandas_udf("kept_bytes binary, kept_text string")
     def keep(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
