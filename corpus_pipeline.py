@@ -24,6 +24,12 @@ from repairmine.session import ensure_checkpoint_dir, materialize
 from repairmine.sources.tables import read_table
 
 
+#: What the third stage takes for a repeated passage. Fifty words are over
+#: 200 bytes unless they have three letters or fewer on average.
+PASSAGE_BYTES = 200
+PASSAGE_WORDS = 50
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the compression bands reject go."""
     ensure_checkpoint_dir(spark)
@@ -37,9 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the bytes of strings that repeat; lengths follow."""
+    """Texts lose passages of ``PASSAGE_WORDS`` words or more that repeat,
+    found as strings of ``PASSAGE_BYTES`` bytes; lengths follow. Shorter
+    repeats (a phrase, a line of boilerplate) stay."""
     ensure_checkpoint_dir(spark)
-    cut = cut_repeats(docs)
+    cut = cut_repeats(docs, length=PASSAGE_BYTES, min_words=PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     return cut.select(*[
         F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text"
