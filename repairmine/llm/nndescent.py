@@ -11,15 +11,18 @@ a multiplicity. Every node keeps its ``NEIGHBOURS`` best neighbours:
    together, and they are compared with each other. What beats the end of a
    list replaces it. This repeats until under ``DELTA`` of the entries change.
 3. Saturation: a list whose last entry still reaches the threshold may hide
-   links. The full extent of those lists is taken from their whole label: its
-   saturated nodes, in blocks, against all its nodes in blocks, keeping
-   everything over the threshold (counts, and links to the smallest member of
-   each connected group of a tile; not all pairs).
+   links. Its bound doubles and the graph is refined again, until it ends
+   below the threshold or holds ``LONGEST`` entries. Nodes that are still
+   saturated then (members of large families) are taken in full from their
+   whole label: in blocks, against all its nodes in blocks, keeping everything
+   over the threshold (counts at both ends, and links to the smallest member
+   of each connected group of a tile; not all pairs).
 4. Audit: seeded nodes, which grow with the table and come first from those
    whose best neighbour is near or over the threshold, are searched in their
-   whole label. If any of their links was lost, or if they have none at all
-   (no evidence), more trees are planted and the graph is refined again. After
-   ``ROUNDS`` such rounds every node is searched in its whole label.
+   whole label. More trees are planted and the graph is refined again if any
+   of their links was lost, or, where they have none, if the nearest
+   neighbour was found for less than ``RECALL`` of them. After ``ROUNDS`` such
+   rounds every node is searched in its whole label.
 
 Cosines are taken in double precision. Links below the threshold are never
 kept. Defined results: a vector that is null, empty, zero or holds null or
@@ -43,6 +46,8 @@ from .components import components
 
 THRESHOLD = 0.98
 NEIGHBOURS = 12
+#: Entries up to which a saturated list grows.
+LONGEST = 96
 TREES = 6
 LEAF = 64
 CHUNK = 512
@@ -52,6 +57,7 @@ ROUNDS = 3
 AUDIT = 512
 AUDIT_SHARE = 1 / 64
 NEAR = 0.05
+RECALL = 0.9
 _SEED = 99
 
 
@@ -134,12 +140,14 @@ def plant(nodes: DataFrame, sizes: DataFrame, trees: range, neighbours: int) ->
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, _EDGE)
 
 
-def trim(edges: DataFrame, neighbours: int) -> DataFrame:
-    """The best ``neighbours`` of every node: ``node, nbrs`` (array of cos,
-    nbr, best first). A node's candidates are bounded by its lists."""
-    own = edges.groupBy("node", "nbr").agg(F.max("cos").alias("cos"))
-    return own.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", "nbr")), asc=False), 1,
-                                           neighbours).alias("nbrs"))
+def trim(edges: DataFrame, bounds: DataFrame, neighbours: int) -> DataFrame:
+    """The best of every node: ``node, nbrs`` (array of cos, nbr, best first)
+    ``, bound`` (``neighbours``, or the node's own in ``bounds``). A node's
+    candidates are bounded by its lists."""
+    own = edges.groupBy("node", "nbr").agg(F.max("cos").alias("cos")).groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("cos", "nbr")), asc=False).alias("nbrs"))
+    own = own.join(bounds, "node", "left").withColumn("bound", F.coalesce("bound", F.lit(neighbours)))
+    return own.select("node", F.slice("nbrs", F.lit(1), F.col("bound")).alias("nbrs"), "bound")
 
 
 def refine(graph: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
@@ -151,7 +159,7 @@ def refine(graph: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     back = back.groupBy("node", F.pmod(F.xxhash64("nbr"), F.lit(neighbours)).alias("seat")).agg(
         F.min(F.struct("place", "nbr")).alias("x")).select("node", F.col("x.nbr").alias("nbr"))
     member = out.select("node", "nbr").union(back).distinct()
-    last = graph.select(F.col("node").alias("nbr"), F.when(F.size("nbrs") < neighbours, F.lit(-1.0)).otherwise(
+    last = graph.select(F.col("node").alias("nbr"), F.when(F.size("nbrs") < F.col("bound"), F.lit(-1.0)).otherwise(
         F.element_at("nbrs", -1)["cos"]).alias("worst"))
     vec = nodes.select(F.col("node").alias("nbr"), "vec").join(last, "nbr")
     meeting = member.join(vec, "nbr")
@@ -181,11 +189,11 @@ def flat(graph: DataFrame) -> DataFrame:
                                                                     F.col("x.cos").alias("cos"))
 
 
-def descend(edges: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
+def descend(edges: DataFrame, bounds: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     """Refine until the lists hardly change."""
-    graph = written(trim(edges, neighbours), "graph")
+    graph = written(trim(edges, bounds, neighbours), "graph")
     for _ in range(8):
-        new = written(trim(flat(graph).union(refine(graph, nodes, neighbours)), neighbours), "graph")
+        new = written(trim(flat(graph).union(refine(graph, nodes, neighbours)), bounds, neighbours), "graph")
         moved = flat(new).join(flat(graph), ["node", "nbr"], "left_anti").count()
         graph = new
         if moved <= DELTA * max(1, graph.count()) * neighbours:
@@ -193,7 +201,20 @@ def descend(edges: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     return graph
 
 
-_TILE = "node long, links long, pairs long, nbr long"
+def enlarge(graph: DataFrame, nodes: DataFrame, neighbours: int, threshold: float, longest: int = LONGEST) -> DataFrame:
+    """Double the bounds of saturated lists and refine, until none that may
+    still grow is saturated."""
+    while True:
+        grow = written(saturated(graph, threshold).join(graph, "node").where(F.col("bound") < longest).select("node"), "grow")
+        if grow.isEmpty():
+            return graph
+        wider = F.when(F.col("more"), F.least(F.lit(longest), F.col("bound") * 2)).otherwise(F.col("bound"))
+        bounds = written(graph.join(grow.withColumn("more", F.lit(True)), "node", "left").select(
+            "node", wider.alias("bound")).where(F.col("bound") > neighbours), "bounds")
+        graph = descend(flat(graph), bounds, nodes, neighbours)
+
+
+_TILE = "node long, ask boolean, links long, pairs long, nbr long, best double"
 
 
 def connected(hit: np.ndarray):
@@ -214,7 +235,8 @@ def in_full(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """All links of the ``asked`` nodes, from their whole labels. Rows a node
     and block: ``links`` (weighted by copies) and ``pairs`` counted in the
     block, and ``nbr``, the smallest member that the block connects it with.
-    Nodes that were met only have the latter."""
+    Asked nodes (``ask``) also have ``best``, the largest cosine in the block;
+    the counts of the others are those with asked nodes only."""
     own = nodes.join(asked, "node", "left_semi")
     # blocks grow with the label up to ``TILE``, so that rows are not repeated
     # with its size
@@ -235,24 +257,41 @@ def in_full(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                 continue
             m, ids, copies = _matrix(t.column("vec")), t.column("node").to_numpy(), t.column("copies").to_numpy()
             p, q, a, b = m[ask], m[~ask], ids[ask], ids[~ask]
-            hit = np.concatenate([(p[i:i + CHUNK] @ q.T >= threshold) & (a[i:i + CHUNK, None] != b)
-                                  for i in range(0, len(a), CHUNK)])
+            hit, best = [], []
+            for i in range(0, len(a), CHUNK):
+                c = p[i:i + CHUNK] @ q.T
+                c[a[i:i + CHUNK, None] == b] = -2
+                hit.append(c >= threshold)
+                best.append(c.max(axis=1))
+            hit, best = np.concatenate(hit), np.concatenate(best)
             row, col = connected(hit)
             least = np.full(len(a), np.iinfo(np.int64).max)
             np.minimum.at(least, row[row >= 0], a[row >= 0])
             np.minimum.at(least, col[col >= 0], b[col >= 0])
-            at, met = row >= 0, col >= 0
-            none = np.zeros(met.sum(), np.int64)
+            met = col >= 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (
-                (a[at], b[met]), (hit[at] @ copies[~ask], none), (hit[at].sum(axis=1), none), (least[row[at]], least[col[met]]))],
-                names=["node", "links", "pairs", "nbr"])
+                (a, b[met]), (np.ones(len(a), bool), np.zeros(met.sum(), bool)),
+                (hit @ copies[~ask], copies[ask] @ hit[:, met]), (hit.sum(axis=1), hit[:, met].sum(axis=0)),
+                (np.where(row >= 0, least[row], a), least[col[met]]), (best, np.full(met.sum(), -2.0)))],
+                names=["node", "ask", "links", "pairs", "nbr", "best"])
 
     return written(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, _TILE), "tiles")
 
 
-def saturated(graph: DataFrame, neighbours: int, threshold: float) -> DataFrame:
+def saturated(graph: DataFrame, threshold: float) -> DataFrame:
     """Nodes whose lists may hide links."""
-    return graph.where((F.size("nbrs") >= neighbours) & (F.element_at("nbrs", -1)["cos"] >= threshold)).select("node")
+    return graph.where((F.size("nbrs") >= F.col("bound")) & (F.element_at("nbrs", -1)["cos"] >= threshold)).select("node")
+
+
+def count_links(tiles: DataFrame, full: DataFrame, links: DataFrame, weight: DataFrame) -> DataFrame:
+    """``node, links`` (weighted by copies) ``, pairs``, one row a node: the
+    ``full`` nodes as their tiles count them; the others by their listed links
+    among themselves and the hits that tiles report with full ones."""
+    own = tiles.where("ask").select("node", "links", "pairs")
+    met = tiles.where("not ask").join(full, "node", "left_anti").select("node", "links", "pairs")
+    among = links.join(full, "node", "left_anti").join(full.withColumnRenamed("node", "nbr"), "nbr", "left_anti").join(
+        weight, "nbr").select("node", F.col("weight").alias("links"), F.lit(1).cast("long").alias("pairs"))
+    return own.union(met).union(among).groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
 
 
 def picked(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -266,13 +305,17 @@ def picked(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return written(kind.where(draw < F.when(F.col("near"), share[True]).otherwise(share[False])).select("node"), "picked")
 
 
-def audit(degrees: DataFrame, asked: DataFrame, nodes: DataFrame, threshold: float) -> float | None:
-    """Share of the true links of the ``asked`` nodes that were found
-    (``degrees``: ``node, pairs``, all of them true); None if they have none."""
-    true = in_full(asked, nodes, threshold).groupBy("node").agg(F.sum("pairs").alias("true"))
-    r = asked.join(true, "node").join(degrees, "node", "left").agg(
-        F.sum("true").alias("true"), F.sum(F.coalesce("pairs", F.lit(0))).alias("got")).first()
-    return r["got"] / r["true"] if r["true"] else None
+def audit(degrees: DataFrame, graph: DataFrame, asked: DataFrame, nodes: DataFrame, threshold: float):
+    """Over the ``asked`` nodes: (share of their true links that ``degrees``
+    holds, or None if they have none; share of them whose true nearest
+    neighbour stands first in the graph)."""
+    true = in_full(asked, nodes, threshold).where("ask").groupBy("node").agg(
+        F.sum("pairs").alias("true"), F.max("best").alias("best"))
+    first = graph.select("node", F.element_at("nbrs", 1)["cos"].alias("first"))
+    r = asked.join(true, "node").join(degrees, "node", "left").join(first, "node", "left").agg(
+        F.sum("true").alias("true"), F.sum(F.coalesce("pairs", F.lit(0))).alias("got"), F.avg(F.when(
+            (F.col("best") <= -2) | (F.col("first") >= F.col("best") - 1e-9), 1.0).otherwise(0.0)).alias("near")).first()
+    return r["got"] / r["true"] if r["true"] else None, 1.0 if r["near"] is None else r["near"]
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -284,26 +327,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sizes = nodes.groupBy("grp").agg(F.greatest(
         F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.count("*") / LEAF)))).cast("int").alias("bits"))
     weight = nodes.select(F.col("node").alias("nbr"), F.col("copies").alias("weight"))
+    none = nodes.where("false").select("node", F.lit(0).alias("bound"))
     graph = None
     for i in range(ROUNDS):
         edges = plant(nodes, sizes, range(i * TREES, (i + 1) * TREES), neighbours)
-        graph = descend(edges if graph is None else flat(graph).union(edges), nodes, neighbours)
+        graph = descend(edges if graph is None else flat(graph).union(edges), none, nodes, neighbours)
+        graph = enlarge(graph, nodes, neighbours, threshold)
         # a link counts at both ends, whichever list it stands in
         listed = flat(graph).where(F.col("cos") >= threshold)
         links = written(listed.select("node", "nbr").union(listed.select("nbr", "node")).distinct(), "links")
-        full = saturated(graph, neighbours, threshold)
+        full = written(saturated(graph, threshold), "saturated")
         tiles = in_full(full, nodes, threshold)
-        loose = links.join(full, "node", "left_anti")
-        degrees = written(
-            tiles.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")).union(
-                loose.join(weight, "nbr").groupBy("node").agg(F.sum("weight").alias("links"), F.count("*").alias("pairs"))),
-            "degrees")
-        if audit(degrees, picked(graph, nodes, threshold), nodes, threshold) == 1:
+        degrees = written(count_links(tiles, full, links, weight), "degrees")
+        kept, near = audit(degrees, graph, picked(graph, nodes, threshold), nodes, threshold)
+        if kept == 1 or (kept is None and near >= RECALL):
             break
     else:
         tiles = in_full(nodes.select("node"), nodes, threshold)
-        degrees = tiles.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
-    of = components(links.select(F.col("node").alias("a"), F.col("nbr").alias("b")).union(tiles.select("node", "nbr")))
+        degrees = tiles.where("ask").groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
+    of = components(links.select(F.col("node").alias("a"), F.col("nbr").alias("b")).union(tiles.select("node", "nbr").where("node <> nbr")))
     told = nodes.join(degrees, "node", "left").join(of, "node", "left").select(
         "grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("_component"))

@@ -380,7 +380,56 @@ def test_audit_without_links_is_no_evidence(spark):
     degrees = spark.createDataFrame([], "node long, pairs long")
     graph = spark.createDataFrame([], "node long, nbrs array<struct<cos:double,nbr:long>>")
     asked = nndescent.picked(graph, nodes, 0.98)
-    assert asked.count() == 8 and nndescent.audit(degrees, asked, nodes, 0.98) is None
+    assert asked.count() == 8 and nndescent.audit(degrees, graph, asked, nodes, 0.98) == (None, 0.0)
+
+
+def families_with_fringe():
+    """Families of 40 near copies, each with vectors at its rim that link with
+    a few members only."""
+    r = np.random.default_rng(12)
+    m = []
+    for f in range(6):
+        axis = np.eye(48)[f]
+        spread = [np.concatenate([np.zeros(6), r.standard_normal(42)]) for _ in range(40)]
+        inner = [axis + 0.14 * x / np.linalg.norm(x) * r.uniform(0.3, 1) for x in spread]
+        m += inner
+        for _ in range(24):
+            away = inner[r.integers(40)] - axis
+            m.append(axis + away * r.uniform(1.9, 2.4))
+    return np.array(m)
+
+
+@pytest.mark.parametrize("longest", [12, 96])
+def test_fringe_of_saturated_families(spark, monkeypatch, longest):
+    """One row a vector, with its links counted once, when the audit passes:
+    unsaturated vectors that link with saturated ones."""
+    m = families_with_fringe()
+    links = brute_links(m)[0]
+    fringe = [links[i] for i in range(len(m)) if i % 64 >= 40]
+    assert sum(0 < x <= 11 for x in fringe) > 20 and max(links) > 30
+    monkeypatch.setattr(nndescent, "audit", lambda *a: (1.0, 1.0))
+    enlarge = nndescent.enlarge
+    monkeypatch.setattr(nndescent, "enlarge", lambda *a: enlarge(*a, longest=longest))
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    got = nndescent.near_vectors(df).collect()
+    assert len(got) == len(m)
+    check_links(got, m)
+
+
+def test_a_table_without_links_ends_without_all_pairs(spark, monkeypatch):
+    """The nearest neighbours of the audited nodes are evidence enough."""
+    asked = []
+    in_full = nndescent.in_full
+
+    def counted(nodes_asked, nodes, threshold):
+        asked.append((nodes_asked.count(), nodes.count()))
+        return in_full(nodes_asked, nodes, threshold)
+
+    monkeypatch.setattr(nndescent, "in_full", counted)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = nndescent.near_vectors(df).groupBy("n_links").count().collect()
+    assert [x.n_links for x in got] == [0]
+    assert all(a < n / 2 for a, n in asked)
 
 
 @pytest.mark.parametrize("seed", range(4))
