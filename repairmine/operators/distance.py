@@ -1,9 +1,16 @@
 """Token-level edit distance and nearest-partner search.
 
-Token sequences become strings of one-character symbols, so Spark's built-in
-``levenshtein`` (JVM, banded when given a threshold) computes the token
-distance. Symbols are numbered per group, which keeps the alphabet small
-(the reference compares token values; equal values get equal symbols).
+A token sequence is an array of corpus-wide token ids (64-bit hashes of the
+compared token values), or a string whose characters are the tokens.
+
+Distances of id arrays (D1, D2) come from a bit-parallel kernel in Arrow
+batches: no vocabulary, no limit on tokens. The nearest search compares very
+many pairs, so it works on strings of one symbol a token (20 bits of the id)
+with Spark's ``levenshtein`` in the JVM: tokens that fall on one symbol can
+only make a distance smaller, so that is a lower bound. The winner of every
+failing sequence is checked: if none of its pair's tokens share a symbol the
+bound is the distance, else the kernel takes it, and if it is larger all
+partners whose bound does not exceed it are compared by the kernel.
 
 Nearest search never builds the full failing x passing product of a group:
 
@@ -11,163 +18,307 @@ Nearest search never builds the full failing x passing product of a group:
   sequences of a group, and the partner of a set of equal passing sequences
   is the one with the smallest id (one group of copies may hold a third of
   the data; it costs one row here);
-* candidate pairs come from a band join on sequence length
-  (``|len_a - len_b| <= k`` is a lower bound of the distance), as an
-  equi-join on ``(group, length bucket)``;
 * groups are split by their number of distinct pairs: a small group
-  (``n_fail * n_pass <= pair_limit``) is compared directly; only large (hot)
-  groups use length bands, and without a bound the bands widen in rounds: a
-  failing sequence whose best partner within band ``k`` has distance
-  ``<= k`` is exact (anything outside the band is farther), so only
-  unresolved rows go to the next round, until none is left;
+  (``n_fail * n_pass <= pair_limit``) is compared directly;
+* in large (hot) groups a sequence has a profile: how many of its tokens fall
+  into each of 16 buckets. One edit moves the length, and the number of tokens
+  in any set of buckets, by one at most. For a band ``k``, the length and four
+  half-sets are cut into cells of ``2 k + 1``, and pairs come from an equi-join
+  on the cells; the bag distance of the profiles (a lower bound) drops most of
+  them before anything is compared. A failing sequence whose best partner has
+  distance ``<= k`` is settled, the others go to the next band;
+* what no band settles goes best first: the partner with the least bag
+  distance gives an upper bound, and only partners whose bag distance is not
+  above it are compared, in the band of that bound. The passing side of a
+  group is dealt to tiles, so no task holds a group;
 * a candidate is one long (distance, then the partner's rank by id), so the
   arg-min is a hash aggregate; the partner comes back by its rank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType
 
 from repairmine.session import materialize
 
-# First code point of a token symbol (skips the UTF-16
-# surrogate range) and the largest code point.
-SYMBOL_BASE = 65536
-MAX_CODE_POINT = 0x10FFFF
+# First code point of a token symbol (beyond the UTF-16
+# surrogates) and the bits that are left.
+SYMBOL_BASE = 0x10000
+SYMBOL_MASK = 0xFFFFF
 
-# Widths of the widening length bands for unbounded nearest search.
-DEFAULT_BANDS = (16, 128)
+# Bands of the cell joins of large groups.
+DEFAULT_BANDS = (2, 8)
 # Largest distinct-pair count of a group compared without bands.
 DEFAULT_PAIR_LIMIT = 4096
+# Passing sequences of a large group that one tile holds.
+TILE = 2048
+BUCKETS = 16
+HALVES = (1, 2, 4, 8)
 
 
-def symbol_of(rank: Column) -> Column:
-    """One-character symbol for a 1-based token rank; a group with more
-    distinct tokens than code points fails with a clear error."""
-    most = MAX_CODE_POINT - SYMBOL_BASE
-    rank = F.when(rank <= most, rank).otherwise(F.raise_error(F.lit(f"over {most} distinct tokens in a group")).cast("int"))
-    return F.decode(F.unhex(F.lpad(F.hex(rank + F.lit(SYMBOL_BASE)), 8, "0")), "UTF-32")
-
+def token_ids(toks: Column, key=None) -> Column:
+    """Token array -> corpus-wide ids. ``key`` (U1) maps a token Column to
+    the value compared for equality; null stays null."""
+    return F.transform(toks, lambda t: F.xxhash64(t if key is None else key(t)))
 
-def symbolize(df: DataFrame, group_cols: list[str], toks_col: str = "toks", key=None,
-              out_col: str = "seq") -> DataFrame:
-    """Token arrays -> symbol strings, numbered per group.
 
-    The group's vocabulary (distinct tokens, bounded by the group's
-    alphabet, not its row count) becomes one map, joined to the texts of the
-    group; texts are never exploded and re-collected. ``key`` (U1) maps a
-    token Column to the value compared for equality. Null token arrays give
-    a null sequence.
-    """
-    k = (lambda c: c) if key is None else key
-    vocab = (df.select(*group_cols, F.explode(toks_col).alias("_t"))
-             .select(*group_cols, k(F.col("_t")).alias("_k")).distinct()
-             .withColumn("_r", F.dense_rank().over(Window.partitionBy(*group_cols).orderBy("_k"))))
-    maps = vocab.groupBy(*group_cols).agg(
-        F.map_from_entries(F.collect_list(F.struct("_k", symbol_of(F.col("_r"))))).alias("_map"))
-    return (df.join(maps, group_cols, "left")
-            .withColumn(out_col, F.when(F.col(toks_col).isNotNull(), F.array_join(
-                F.transform(toks_col, lambda t: F.try_element_at(F.col("_map"), k(t))), "")))
-            .drop("_map"))
+def edit_distance(a: np.ndarray, b: np.ndarray, bound: int | None = None) -> int:
+    """Distance of two id arrays, -1 above ``bound``. Equal ends are cut; the
+    rest goes through the bit-parallel recurrence of Myers, a column of the
+    matrix being one integer of as many bits as the shorter side has tokens."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - n:][::-1] != b[len(b) - n:][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    if bound is not None and len(b) - len(a) > bound:
+        return -1
+    score = len(a)
+    if not score:
+        return len(b)
+    places: dict[int, int] = {}
+    for i, t in enumerate(a.tolist()):
+        places[t] = places.get(t, 0) | (1 << i)
+    full, last = (1 << score) - 1, 1 << (score - 1)
+    up, down, left = full, 0, len(b)
+    for t in b.tolist():
+        left -= 1
+        eq = places.get(t, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = down | (full & ~(xh | up))
+        mh = up & xh
+        if ph & last:
+            score += 1
+        elif mh & last:
+            score -= 1
+        if bound is not None and score - left > bound:
+            return -1
+        ph = ((ph << 1) | 1) & full
+        up = ((mh << 1) & full) | (full & ~(xv | ph))
+        down = ph & xv
+    return score if bound is None or score <= bound else -1
 
 
 def token_distance(a: Column, b: Column, bound: int | None = None) -> Column:
-    """Distance of two symbol strings; with ``bound``: -1 above it."""
-    return F.levenshtein(a, b) if bound is None else F.levenshtein(a, b, bound)
-
-
-def _band_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int | None,
-                     bound: int | None = None) -> DataFrame:
-    """Pairs (failing seq, passing seq) of a group with ``|la - lb| <= band``,
-    with their distance if it is at most ``band``. Without a band: every pair
-    of the (small) group, distance cut at ``bound`` if given."""
-    if band is None:
-        cand = fa.join(pb, keys)
-        if bound is None:
-            return cand.withColumn("_d", F.levenshtein("_a", "_b"))
-        return cand.withColumn("_d", F.levenshtein("_a", "_b", bound)).where(F.col("_d") >= 0)
-    width = max(band, 1)
-    pbb = pb.withColumn("_bk", F.floor(F.col("_lb") / width))
-    fab = fa.withColumn("_bk", F.explode(F.sequence(F.floor(F.greatest(F.col("_la") - band, F.lit(0)) / width),
-                                                    F.floor((F.col("_la") + band) / width))))
-    cand = (fab.join(pbb, [*keys, "_bk"])
-            .where(F.abs(F.col("_la") - F.col("_lb")) <= band))
-    return (cand.withColumn("_d", F.levenshtein("_a", "_b", band))
-            .where(F.col("_d") >= 0))
+    """Distance of two id arrays; with ``bound``: -1 above it."""
+
+    @F.pandas_udf("int")
+    def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else edit_distance(p, q, bound) for p, q in zip(x, y)], dtype="Int32")
+
+    return kernel(a, b)
+
+
+def symbols(ids: Column) -> Column:
+    """Id array -> string of one symbol a token."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else (SYMBOL_BASE + (p & SYMBOL_MASK)).astype("<u4").tobytes().decode("utf-32-le")
+                          for p in x])
+
+    return text(ids)
+
+
+def checked(a: Column, b: Column, least: Column) -> Column:
+    """The distance of two id arrays whose symbols have distance ``least``."""
+
+    @F.pandas_udf("int")
+    def exact(x: pd.Series, y: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for p, q, k in zip(x, y, d):
+            own = set(p.tolist()) | set(q.tolist())
+            same = len({t & SYMBOL_MASK for t in own}) == len(own)
+            out.append(int(k) if same else edit_distance(p, q))
+        return pd.Series(out, dtype="int32")
+
+    return exact(a, b, least)
+
+
+def profile(text: Column) -> Column:
+    """How many symbols of a string fall into each bucket."""
+
+    @F.pandas_udf("array<int>")
+    def counts(x: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % BUCKETS, minlength=BUCKETS).astype(np.int32)
+                          for s in x])
+
+    return counts(text)
 
 
 # A candidate is one number, its distance above its partner's rank, so the
 # arg-min is a plain minimum of longs (hash aggregate, fixed width).
-_RANK_BITS = 31
+_RANK_BITS = 38
+_PART_BITS = 24
+
+
+def _pack(d: Column) -> Column:
+    return F.shiftleft(d.cast("bigint"), _RANK_BITS) + F.col("_rank")
 
 
-def _best(cand: DataFrame, keys: list[str]) -> DataFrame:
+def _best(cand: DataFrame) -> DataFrame:
     """Smallest (distance, partner rank) per failing sequence."""
-    return cand.groupBy(*keys, "_a").agg(F.min(F.shiftleft(F.col("_d").cast("bigint"), _RANK_BITS)
-                                               + F.col("_rank")).alias("_m"))
+    return cand.groupBy("_fid").agg(F.min(_pack(F.col("_d"))).alias("_m"))
+
+
+def _ranked(passing: DataFrame, keys: list[str]) -> DataFrame:
+    """``passing`` with ``_rank``, in the order of the ids. Whole numbers that
+    fit are their own rank; others are numbered by ranges of their order,
+    without a global window."""
+    if isinstance(passing.schema["_pid"].dataType, IntegralType):
+        low, high = passing.agg(F.min("_pid"), F.max("_pid")).first()
+        if low is None or (low >= 0 and high < 1 << _RANK_BITS):
+            return passing.withColumn("_rank", F.col("_pid").cast("bigint"))
+    at = F.monotonically_increasing_id()
+    part, place = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (part < 1 << (_RANK_BITS - _PART_BITS)) & (place < 1 << _PART_BITS)
+    r = passing.repartitionByRange("_pid", *keys).sortWithinPartitions("_pid", *keys).withColumn(
+        "_rank", F.when(fits, F.shiftleft(part, _PART_BITS) + place).otherwise(
+            F.raise_error(F.lit("a range of partners is too long; raise spark.sql.shuffle.partitions")).cast("bigint")))
+    return materialize(passing.sparkSession, r, "ranked")
+
+
+def _coordinates(length: str, counts: str) -> list[Column]:
+    """Numbers that one edit moves by one at most."""
+    return [F.col(length), *[sum((F.get(F.col(counts), i) for i in range(BUCKETS) if i & h), F.lit(0)) for h in HALVES]]
+
+
+def bag_distance(a: str = "_ca", b: str = "_cb") -> Column:
+    """Lower bound of the distance from two profiles: the larger of what one
+    has beyond the other."""
+    diff = [F.get(F.col(a), i) - F.get(F.col(b), i) for i in range(BUCKETS)]
+    more = sum((F.greatest(d, F.lit(0)) for d in diff), F.lit(0))
+    less = sum((F.greatest(-d, F.lit(0)) for d in diff), F.lit(0))
+    return F.greatest(more, less)
+
+
+def cell_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int) -> DataFrame:
+    """Pairs of a group whose profiles allow a distance of at most ``band``:
+    an equi-join on cells of the coordinates, every pair once."""
+    width = 2 * band + 1
+    cells = [f"_c{i}" for i in range(1 + len(HALVES))]
+    own = pb.select("*", *[F.floor(x / width).alias(c) for c, x in zip(cells, _coordinates("_lb", "_cb"))])
+    near = fa.select("*", *[F.array_distinct(F.array(F.floor((x - band) / width), F.floor((x + band) / width))).alias(c)
+                            for c, x in zip(cells, _coordinates("_la", "_ca"))])
+    for c in cells:
+        near = near.withColumn(c, F.explode(c))
+    return near.join(own, [*keys, *cells]).where(bag_distance() <= band).drop(*cells)
+
+
+def tile_candidates(fa: DataFrame, pb: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of a group with their bag distance ``_low``; the passing side
+    of a group is dealt to ``_tiles`` tiles."""
+    near = fa.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
+    own = pb.withColumn("_tile", F.pmod(F.xxhash64("_rank"), F.col("_tiles")))
+    return near.drop("_tiles").join(own.drop("_tiles"), [*keys, "_tile"]).withColumn("_low", bag_distance())
 
 
 def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str],
                     id_col: str = "id", seq_col: str = "seq", max_distance: int | None = None,
                     bands=DEFAULT_BANDS, pair_limit: int = DEFAULT_PAIR_LIMIT) -> DataFrame:
     """For each failing row, the passing row of its group with the
-    smallest token distance (ties: smallest id).
-
-    ``max_distance`` keeps ``0 <= d < max_distance`` like the reference's
-    bounded run; ``None`` is unbounded. Output: all failing columns plus
-    ``similar_id``, ``similar_seq``, ``distance`` (-1 and nulls when there is
-    no partner, as a left join). The distinct sequences of both sides and the
-    result of each band are written once and read by what follows; without a
-    bound the bands go on widening until no failing sequence is left.
+    smallest token distance (ties: smallest id; ids are unique in a group).
+
+    ``seq_col`` holds id arrays or symbol strings. ``max_distance`` keeps
+    ``0 <= d < max_distance`` like the reference's bounded run; ``None`` is
+    unbounded. Output: all failing columns plus ``similar_id``,
+    ``similar_seq``, ``distance`` (-1 and nulls when there is no partner, as a
+    left join). The distinct sequences of both sides and the result of each
+    round are written once and read by what follows.
     """
     spark = failing.sparkSession
     keys = list(group_cols)
-    notnull = [F.col(k).isNotNull() for k in keys]
-    cond = notnull[0]
-    for c in notnull[1:]:
-        cond = cond & c
-    cond = cond & F.col(seq_col).isNotNull()
-    by_id = Window.partitionBy(*keys).orderBy("_pid")
-    pb = materialize(spark, passing.where(cond).groupBy(*keys, F.col(seq_col).alias("_b"))
-                     .agg(F.min(id_col).alias("_pid")).withColumn("_lb", F.length("_b"))
-                     .withColumn("_rank", F.row_number().over(by_id)), "passing")
-    fa = (failing.where(cond).select(*keys, F.col(seq_col).alias("_a")).distinct()
-          .withColumn("_la", F.length("_a")))
-
+    cond = F.col(seq_col).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    coded = isinstance(failing.schema[seq_col].dataType, ArrayType)
+    text = symbols if coded else lambda c: c
+    pb = passing.where(cond).groupBy(*keys, F.col(seq_col).alias("_b")).agg(F.min(id_col).alias("_pid"))
+    pb = materialize(spark, pb.withColumn("_tb", text(F.col("_b"))).withColumn("_lb", F.length("_tb")), "passing")
+    pb = _ranked(pb, keys)
     if max_distance is not None and max_distance < 1:
         max_distance = None
     bound = None if max_distance is None else max_distance - 1
 
     # split groups by their distinct-pair count
-    sizes = (fa.groupBy(*keys).agg(F.count("*").alias("_nf"))
-             .join(pb.groupBy(*keys).agg(F.count("*").alias("_np"), F.max("_lb").alias("_longest")), keys)
-             .select(*keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small"), "_longest"))
-    fa = materialize(spark, fa.join(sizes, keys), "failing")
-    small, big = fa.where("_small"), fa.where(~F.col("_small"))
+    fa = failing.where(cond).select(*keys, F.col(seq_col).alias("_a")).distinct()
+    fa = materialize(spark, fa.withColumn("_ta", text(F.col("_a"))).withColumn("_la", F.length("_ta")).withColumn(
+        "_fid", F.monotonically_increasing_id()), "failing")
+    n_pass = pb.groupBy(*keys).agg(F.count("*").alias("_np"))
+    sizes = fa.groupBy(*keys).agg(F.count("*").alias("_nf")).join(n_pass, keys).select(
+        *keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small"), F.ceil(F.col("_np") / TILE).alias("_tiles"))
+    sizes = materialize(spark, sizes, "groups")
 
-    best = [_best(_band_candidates(small, pb, keys, None, bound), keys)]
-    if bound is not None:
-        best.append(_best(_band_candidates(big, pb, keys, bound), keys))
-    elif not big.isEmpty():
-        todo, widths = big, list(bands)
-        while True:
-            band = widths.pop(0)
-            b = materialize(spark, _best(_band_candidates(todo, pb, keys, band), keys), "band")
-            best.append(b)
-            todo = materialize(spark, todo.join(b.select(*keys, "_a"), [*keys, "_a"], "left_anti"), "unresolved")
-            # a distance is at most the longer length
-            most = todo.agg(F.max(F.greatest("_la", "_longest"))).first()[0]
-            if most is None:
-                break
-            if not widths:
-                widths.append(min(most, 4 * band) if band else most)
+    least = F.levenshtein("_ta", "_tb") if bound is None else F.levenshtein("_ta", "_tb", bound)
+    small = fa.select(*keys, "_fid", "_ta").join(sizes.where("_small").select(*keys), keys).join(
+        pb.select(*keys, "_tb", "_rank"), keys).withColumn("_d", least).where("_d >= 0")
+    best = [_best(small)]
+    large = sizes.where("not _small").select(*keys, "_tiles")
+    if not large.isEmpty():
+        best += _search_large(fa, pb, large, keys, bands, bound)
     found = best[0]
     for b in best[1:]:
         found = found.unionByName(b)
     rank_of = F.col("_m").bitwiseAND(F.lit((1 << _RANK_BITS) - 1))
-    won = (found.withColumn("_rank", rank_of.cast("int")).join(pb.select(*keys, "_rank", "_pid", "_b"), [*keys, "_rank"])
-           .select(*keys, F.col("_a").alias(seq_col), "_pid", "_b", F.shiftright("_m", _RANK_BITS).cast("int").alias("_d")))
+    won = (found.select("_fid", rank_of.alias("_rank"), F.shiftright("_m", _RANK_BITS).cast("int").alias("_d"))
+           .join(fa.select("_fid", *keys, "_a", "_ta"), "_fid").join(pb.select(*keys, "_rank", "_pid", "_b"), [*keys, "_rank"]))
+    if coded:
+        won = _verified(won, pb, keys, bound)
+    won = won.select(*keys, F.col("_a").alias(seq_col), "_pid", "_b", "_d")
     return (failing.join(won, [*keys, seq_col], "left")
             .withColumnRenamed("_pid", "similar_id").withColumnRenamed("_b", "similar_seq")
             .withColumn("distance", F.coalesce(F.col("_d"), F.lit(-1))).drop("_d"))
+
+
+def _search_large(fa: DataFrame, pb: DataFrame, large: DataFrame, keys: list[str], bands, bound: int | None) -> list[DataFrame]:
+    """The rounds over large groups: ``_fid, _m`` of each round."""
+    spark = fa.sparkSession
+    todo = materialize(spark, fa.drop("_a").join(large, keys).withColumn("_ca", profile(F.col("_ta"))), "profiles")
+    own = materialize(spark, pb.drop("_pid", "_b").join(large, keys).withColumn("_cb", profile(F.col("_tb"))), "profiles")
+    best = []
+    for band in bands:
+        k = band if bound is None else min(band, bound)
+        near = cell_candidates(todo.drop("_tiles"), own.drop("_tiles"), keys, k)
+        b = materialize(spark, _best(near.withColumn("_d", F.levenshtein("_ta", "_tb", k)).where("_d >= 0")), "band")
+        best.append(b)
+        todo = materialize(spark, todo.join(b.select("_fid"), "_fid", "left_anti"), "unresolved")
+        if k == bound or todo.isEmpty():
+            return best
+    pairs = tile_candidates(todo, own, keys)
+    if bound is not None:
+        pairs = pairs.where(F.col("_low") <= bound)
+    first = pairs.groupBy("_fid").agg(F.min(_pack(F.col("_low"))).alias("_m")).select(
+        "_fid", F.col("_m").bitwiseAND(F.lit((1 << _RANK_BITS) - 1)).alias("_rank"))
+    most = F.levenshtein("_ta", "_tb") if bound is None else F.least(F.levenshtein("_ta", "_tb"), F.lit(bound))
+    first = materialize(spark, first.join(todo.select("_fid", *keys, "_ta"), "_fid").join(
+        own.select(*keys, "_rank", "_tb"), [*keys, "_rank"]).select("_fid", most.alias("_most")), "upper")
+    todo = materialize(spark, todo.join(first, "_fid"), "bounded")
+    near = tile_candidates(todo, own, keys).where("_low <= _most").withColumn("_d", F.expr("levenshtein(_ta, _tb, _most)"))
+    return [*best, materialize(spark, _best(near.where("_d >= 0")), "rest")]
+
+
+def _verified(won: DataFrame, pb: DataFrame, keys: list[str], bound: int | None) -> DataFrame:
+    """Winners with the distance of their ids. Where symbols hid a difference,
+    every partner whose symbols are not farther is compared by the kernel."""
+    spark = won.sparkSession
+    won = materialize(spark, won.withColumn("_true", checked(F.col("_a"), F.col("_b"), F.col("_d"))), "winners")
+    again = won.where("_true > _d")
+    fine = won.where("_true = _d").select(*keys, "_a", "_pid", "_b", "_d")
+    if again.isEmpty():
+        return fine
+    most = F.col("_true") if bound is None else F.least("_true", F.lit(bound))
+    near = again.select(*keys, "_fid", "_a", "_ta", most.alias("_most")).join(pb.select(*keys, "_rank", "_tb", "_pid", "_b"), keys)
+    near = near.where("levenshtein(_ta, _tb, _most) >= 0").withColumn("_d", token_distance(F.col("_a"), F.col("_b")))
+    near = materialize(spark, near.where("_d <= _most").select(*keys, "_fid", "_a", "_rank", "_pid", "_b", "_d"), "compared")
+    least = _best(near)
+    return fine.union(near.withColumn("_m", _pack(F.col("_d"))).join(least, ["_fid", "_m"]).select(*keys, "_a", "_pid", "_b", "_d"))

@@ -151,11 +151,20 @@ def _moves(A: np.ndarray, B: np.ndarray, d: int) -> np.ndarray:
     return moves
 
 
-def _script_arrays(a: str, b: str, d: int, ta, tb):
+def _script_arrays(a, b, d: int, ta, tb):
+    """The script between two symbol strings or two id arrays of distance ``d``."""
     n, m = len(a), len(b)
-    A = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
-    B = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-    moves = _moves(A, B, d)
+    if isinstance(a, str):
+        A, B = (np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) for x in (a, b))
+    else:
+        number = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.uint32)
+        A, B = number[:n], number[n:]
+    # equal ends: the diagonal move is preferred wherever tokens are equal
+    k = min(n, m)
+    differ = np.flatnonzero(A[n - k:][::-1] != B[m - k:][::-1])
+    k = int(differ[0]) if len(differ) else k
+    n, m = n - k, m - k
+    moves = _moves(A[:n], B[:m], d)
     acts, pos, frm, to = [], [], [], []
 
     def add(act, at, old, new):
@@ -194,14 +203,16 @@ def _arrow_script_udf():
 _UDF = None
 
 
-def with_script_arrow(df, a: str, b: str, ta: str, tb: str, out: str = "acts"):
+def with_script_arrow(df, a: str, b: str, ta: str, tb: str, out: str = "acts", distance: str | None = None):
     """D3 + D5 through Arrow batches: adds ``out`` with the same
-    ``array<struct<act, pos, frm, to>>`` as :func:`edit_script`."""
+    ``array<struct<act, pos, frm, to>>`` as :func:`edit_script`. ``a`` and
+    ``b`` are symbol strings, or id arrays with their ``distance`` column."""
     global _UDF
     if _UDF is None:
         _UDF = _arrow_script_udf()
     r = F.col("_script")
-    return (df.withColumn("_script", _UDF(F.col(a), F.col(b), F.levenshtein(a, b), F.col(ta), F.col(tb)))
+    return (df.withColumn("_script", _UDF(
+        F.col(a), F.col(b), F.levenshtein(a, b) if distance is None else F.col(distance), F.col(ta), F.col(tb)))
             .withColumn(out, F.transform(r["act"], lambda x, k: F.struct(
                 x.alias("act"), r["pos"][k].alias("pos"), r["frm"][k].alias("frm"), r["to"][k].alias("to"))))
             .drop("_script"))

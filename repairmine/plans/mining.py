@@ -3,10 +3,9 @@ edit scripts, result records (D1-D10, J4, A7, A8, S13, S14, P10, P11, F2, T9).
 
 Plan of one job (one lazy DataFrame; nothing is collected):
   typed read -> clean (C8) -> tokens (K1, C9 rule) -> reference names (L2)
-  -> symbols per problem-user (one map per group) -> groups with both sides
-  (semi join) -> band join on (group, refs, length bucket) -> banded
-  levenshtein -> arg-min per failing text (hash aggregate) -> matrix and
-  trace-back on the winners only.
+  -> token ids (corpus-wide) -> groups with both sides (semi join) -> joins
+  on (group, refs, profile cells) -> banded levenshtein -> arg-min per failing
+  text (hash aggregate) -> matrix and trace-back on the winners only.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from repairmine.functions.dicts import (COMPILE_FAIL_CODES, KEEP_FOR_TEST_MINING
 from repairmine.functions.hashing import md5_mod
 from repairmine.operators import lines as L
 from repairmine.operators import tokens as K
-from repairmine.operators.distance import nearest_partner, symbolize, token_distance
+from repairmine.operators.distance import nearest_partner, token_distance, token_ids
 from repairmine.operators.edits import DELETE, apply_sql, build_actions, script_text, with_script_arrow
 from repairmine.plans.registry import register
 from repairmine.plans.relational import groups_with_both
@@ -36,27 +35,27 @@ GROUP = ["problem_user_id", "refs"]
 COMPILE, TEST = "compile", "test"
 
 
-def tokenized(cs: DataFrame, job: str) -> DataFrame:
-    """K1 + L2: token array and reference-name key of each cleaned text, of
-    any length. The compile-failure job tokenizes the text without its
-    reference lines; the test-failure job keeps them, and gives no tokens to
-    texts with preprocessor words (C9)."""
+def tokenized(cs: DataFrame) -> DataFrame:
+    """K1 + L2: token arrays and reference-name key of each cleaned text, of
+    any length. The compile-failure job (``toks_compile``) tokenizes the text
+    without its reference lines; the test-failure job (``toks_test``) keeps
+    them, and gives no tokens to texts with preprocessor words (C9)."""
     code = F.col("code")
-    toks = (K.tokens_of(L.drop_ref_lines(code)) if job == COMPILE
-            else F.when(~C.has_directive(code), K.tokens_of(code)))
-    return cs.withColumn("toks", toks).withColumn("refs", F.array_join(L.ref_names(code), "\u0001"))
+    return (cs.withColumn(f"toks_{COMPILE}", K.tokens_of(L.drop_ref_lines(code)))
+            .withColumn(f"toks_{TEST}", F.when(~C.has_directive(code), K.tokens_of(code)))
+            .withColumn("refs", F.array_join(L.ref_names(code), "\u0001")))
 
 
-def mining_corpus(spark: SparkSession, sf_dir: str, job: str = COMPILE, key=None, key_name: str = "") -> DataFrame:
-    """Cleaned, tokenized, symbol-coded submissions of a job.
+def mining_corpus(spark: SparkSession, sf_dir: str, job: str = COMPILE, key=None) -> DataFrame:
+    """Cleaned, tokenized submissions of a job, with ``seq``, the ids of their
+    tokens (of the values that ``key`` compares, U1).
 
-    The corpus is read by every branch of a job (both sides of the search,
-    the band rounds, the partner join), so its lineage is cut once: it is
-    written as a parquet table in the shared ``spark.checkpoint.dir`` and
-    reused while the input's files stay the same.
+    Both jobs, and every branch of a job (both sides of the search, its
+    rounds, the partner join), read one corpus: it is written as a parquet
+    table in the shared ``spark.checkpoint.dir`` and reused while the input's
+    files stay the same.
     """
     ensure_checkpoint_dir(spark)
-    inputs = [f"{sf_dir}/orders.parquet"]
 
     def cleaned():
         # one pass of the regex work, written before any filter, so the
@@ -65,13 +64,13 @@ def mining_corpus(spark: SparkSession, sf_dir: str, job: str = COMPILE, key=None
             F.col("problem_name").isNotNull() & F.col("user_id").isNotNull() & F.col("code").isNotNull())
         c = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
             "code", C.clean_code(F.col("code")))
-        return tokenized(c, job).withColumn("_keep", C.is_ascii(F.col("code")) & (F.col("code") != ""))
+        t = tokenized(c).withColumn("_keep", C.is_ascii(F.col("code")) & (F.col("code") != ""))
+        return t.withColumns({f"seq_{j}": token_ids(F.col(f"toks_{j}")) for j in (COMPILE, TEST)})
 
-    def coded():
-        tk = written_once(spark, f"tokenized-{job}", inputs, cleaned).where("_keep").drop("_keep")
-        return symbolize(tk, ["problem_user_id"], "toks", key=key)
-
-    return written_once(spark, f"corpus-{job}-{key_name}", inputs, coded)
+    both = written_once(spark, "tokenized", [f"{sf_dir}/orders.parquet"], cleaned).where("_keep")
+    own = both.withColumn("toks", F.col(f"toks_{job}")).withColumn(
+        "seq", F.col(f"seq_{job}") if key is None else token_ids(F.col("toks"), key))
+    return own.drop("_keep", *[f"{c}_{j}" for c in ("toks", "seq") for j in (COMPILE, TEST)])
 
 
 def nearest(corpus: DataFrame, fail_codes, pass_codes, bound: int | None) -> DataFrame:
@@ -85,12 +84,12 @@ def with_scripts(near: DataFrame, corpus: DataFrame) -> DataFrame:
     """D3 + D5 + D6 on the winners. Equal pairs of a group (copies) get one
     script: it is made for distinct (failing, partner) sequences and joined
     back; the partner's code comes back by its id."""
-    pair = [*GROUP, "seq", "similar_seq"]
+    pair = [*GROUP, "seq", "similar_seq", "distance"]
     part = corpus.select(F.col("id").alias("similar_id"), F.col("toks").alias("similar_toks"),
                          F.col("code").alias("similar_code"))
     won = near.where(F.col("distance") >= 0).join(part, "similar_id")
     scripts = with_script_arrow(won.select(*pair, "toks", "similar_toks").distinct(), "seq", "similar_seq", "toks",
-                                "similar_toks").withColumn("applied", F.expr(apply_sql("similar_toks", "acts")))
+                                "similar_toks", distance="distance").withColumn("applied", F.expr(apply_sql("similar_toks", "acts")))
     return won.drop("toks", "similar_toks").join(scripts.select(*pair, "acts", "applied"), pair)
 
 
@@ -234,7 +233,7 @@ FROM corpus f JOIN r ON f.problem_user_id = r.problem_user_id AND f.refs = r.ref
 WHERE f.status_code = 7 AND f.seq IS NOT NULL""")
 def q_token_distance_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same distance with a pluggable token key (all numbers equal)."""
-    c = mining_corpus(spark, sf_dir, COMPILE, key=_digits, key_name="digits")
+    c = mining_corpus(spark, sf_dir, COMPILE, key=_digits)
     ref = (c.where((F.col("status_code") == 1) & F.col("seq").isNotNull())
            .groupBy(*GROUP).agg(F.min("id").alias("ref_id")))
     rs = c.select(F.col("id").alias("ref_id"), F.col("seq").alias("ref_seq"))
@@ -270,9 +269,9 @@ def q_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     passing side, so no pair rows are formed."""
     c = mining_corpus(spark, sf_dir)
     hist = (c.where((F.col("status_code") == 1) & F.col("seq").isNotNull())
-            .groupBy(*GROUP, F.length("seq").alias("lb")).agg(F.count("*").alias("cnt")))
+            .groupBy(*GROUP, F.size("seq").alias("lb")).agg(F.count("*").alias("cnt")))
     f = c.where((F.col("status_code") == 7) & F.col("seq").isNotNull()).select("id", *GROUP,
-                                                                                F.length("seq").alias("la"))
+                                                                                F.size("seq").alias("la"))
     j = f.join(hist, [*GROUP], "left").where(F.col("lb").isNull() | (F.abs(F.col("la") - F.col("lb")) <= 2))
     n = j.groupBy("id").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("n"))
     return (f.select("id").join(n, "id", "left")
