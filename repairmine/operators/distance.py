@@ -21,7 +21,7 @@ Nearest search never builds the full failing x passing product of a group:
 * groups are split by their number of distinct pairs: a small group
   (``n_fail * n_pass <= pair_limit``) is compared directly;
 * in large (hot) groups a sequence has a profile: how many of its tokens fall
-  into each of 16 buckets. One edit moves the length, and the number of tokens
+  into each of 32 buckets. One edit moves the length, and the number of tokens
   in any set of buckets, by one at most. For a band ``k``, the length and four
   half-sets are cut into cells of ``2 k + 1``, and pairs come from an equi-join
   on the cells; the bag distance of the profiles (a lower bound) drops most of
@@ -55,9 +55,16 @@ DEFAULT_BANDS = (2, 8)
 # Largest distinct-pair count of a group compared without bands.
 DEFAULT_PAIR_LIMIT = 4096
 # Passing sequences of a large group that one tile holds.
-TILE = 2048
-BUCKETS = 16
+TILE = 512
+# A profile is four numbers of eight counts. A count is a run of up to eight
+# one-bits, so what one profile has beyond another is a number of bits. In
+# groups of long sequences a bit stands for several tokens; an edit still moves
+# a count by one bit at most.
+LONGS, LANES, DEPTH = 4, 8, 8
+BUCKETS = LONGS * LANES
 HALVES = (1, 2, 4, 8)
+#: Longest sequence of a group whose bits stand for one token each.
+PLAIN_LENGTH = 96
 
 
 def token_ids(toks: Column, key=None) -> Column:
@@ -145,30 +152,40 @@ def checked(a: Column, b: Column, least: Column) -> Column:
     return exact(a, b, least)
 
 
-def profile(text: Column) -> Column:
-    """How many symbols of a string fall into each bucket."""
+def profile(text: Column, scale: Column) -> Column:
+    """Counts of a string's symbols by bucket, ``scale`` to a bit (``p0`` to
+    ``p3``), and in four halves of the buckets (``h0`` to ``h3``)."""
+    kind = ", ".join([*(f"p{i} long" for i in range(LONGS)), *(f"h{i} int" for i in range(len(HALVES)))])
 
-    @F.pandas_udf("array<int>")
-    def counts(x: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % BUCKETS, minlength=BUCKETS).astype(np.int32)
-                          for s in x])
+    @F.pandas_udf(kind)
+    def counts(x: pd.Series, scales: pd.Series) -> pd.DataFrame:
+        c = np.array([np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % BUCKETS, minlength=BUCKETS) for s in x],
+                     dtype=np.int64).reshape(-1, BUCKETS)
+        runs = np.minimum(c // scales.to_numpy()[:, None], DEPTH)
+        bits = ((np.uint64(1) << runs.astype(np.uint64)) - np.uint64(1)) << (DEPTH * (np.arange(BUCKETS) % LANES)).astype(np.uint64)
+        longs = np.bitwise_or.reduce(bits.reshape(-1, LONGS, LANES), axis=2).view(np.int64)
+        out = {f"p{i}": longs[:, i] for i in range(LONGS)}
+        out |= {f"h{i}": c[:, np.arange(BUCKETS) & h > 0].sum(axis=1).astype(np.int32) for i, h in enumerate(HALVES)}
+        return pd.DataFrame(out)
 
-    return counts(text)
+    return counts(text, scale)
 
 
 # A candidate is one number, its distance above its partner's rank, so the
 # arg-min is a plain minimum of longs (hash aggregate, fixed width).
 _RANK_BITS = 38
 _PART_BITS = 24
+_NONE = (1 << 25) - 1  # what is left of -1, the distance above a bound
 
 
 def _pack(d: Column) -> Column:
-    return F.shiftleft(d.cast("bigint"), _RANK_BITS) + F.col("_rank")
+    return F.shiftleft(d.cast("bigint").bitwiseAND(F.lit(_NONE)), _RANK_BITS) + F.col("_rank")
 
 
 def _best(cand: DataFrame) -> DataFrame:
     """Smallest (distance, partner rank) per failing sequence."""
-    return cand.groupBy("_fid").agg(F.min(_pack(F.col("_d"))).alias("_m"))
+    least = cand.groupBy("_fid").agg(F.min(_pack(F.col("_d"))).alias("_m"))
+    return least.where(F.shiftright("_m", _RANK_BITS) < _NONE)
 
 
 def _ranked(passing: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,18 +205,33 @@ def _ranked(passing: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(passing.sparkSession, r, "ranked")
 
 
-def _coordinates(length: str, counts: str) -> list[Column]:
+def _with_profile(df: DataFrame, text: str, to: str) -> DataFrame:
+    df = df.withColumn("_p", profile(F.col(text), F.col("_scale")))
+    return df.select(*[c for c in df.columns if c != "_p"], *[F.col(f"_p.{c}").alias(f"_{c}{to}") for c in (
+        *(f"p{i}" for i in range(LONGS)), *(f"h{i}" for i in range(len(HALVES))))])
+
+
+def _coordinates(side: str) -> list[Column]:
     """Numbers that one edit moves by one at most."""
-    return [F.col(length), *[sum((F.get(F.col(counts), i) for i in range(BUCKETS) if i & h), F.lit(0)) for h in HALVES]]
+    return [F.col(f"_l{side}"), *[F.col(f"_h{i}{side}") for i in range(len(HALVES))]]
+
 
+def _beyond(x: str, y: str) -> Column:
+    """What the counts of ``x`` have beyond those of ``y``, summed."""
+    bits = [F.bit_count(F.col(f"_p{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"_p{i}{y}")))) for i in range(LONGS)]
+    return sum(bits[1:], bits[0])
 
-def bag_distance(a: str = "_ca", b: str = "_cb") -> Column:
+
+def bag_distance() -> Column:
     """Lower bound of the distance from two profiles: the larger of what one
     has beyond the other."""
-    diff = [F.get(F.col(a), i) - F.get(F.col(b), i) for i in range(BUCKETS)]
-    more = sum((F.greatest(d, F.lit(0)) for d in diff), F.lit(0))
-    less = sum((F.greatest(-d, F.lit(0)) for d in diff), F.lit(0))
-    return F.greatest(more, less)
+    return F.greatest(_beyond("a", "b"), _beyond("b", "a"))
+
+
+def _dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """By key over the session's shuffle width: few bytes, but much to
+    compare, so the partitions must not be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
 def cell_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int) -> DataFrame:
@@ -207,12 +239,13 @@ def cell_candidates(fa: DataFrame, pb: DataFrame, keys: list[str], band: int) ->
     an equi-join on cells of the coordinates, every pair once."""
     width = 2 * band + 1
     cells = [f"_c{i}" for i in range(1 + len(HALVES))]
-    own = pb.select("*", *[F.floor(x / width).alias(c) for c, x in zip(cells, _coordinates("_lb", "_cb"))])
+    own = pb.select("*", *[F.floor(x / width).alias(c) for c, x in zip(cells, _coordinates("b"))])
     near = fa.select("*", *[F.array_distinct(F.array(F.floor((x - band) / width), F.floor((x + band) / width))).alias(c)
-                            for c, x in zip(cells, _coordinates("_la", "_ca"))])
+                            for c, x in zip(cells, _coordinates("a"))])
     for c in cells:
         near = near.withColumn(c, F.explode(c))
-    return near.join(own, [*keys, *cells]).where(bag_distance() <= band).drop(*cells)
+    met = _dealt(near, *keys, *cells).join(_dealt(own, *keys, *cells), [*keys, *cells])
+    return met.where(bag_distance() <= band).drop(*cells)
 
 
 def tile_candidates(fa: DataFrame, pb: DataFrame, keys: list[str]) -> DataFrame:
@@ -220,7 +253,8 @@ def tile_candidates(fa: DataFrame, pb: DataFrame, keys: list[str]) -> DataFrame:
     of a group is dealt to ``_tiles`` tiles."""
     near = fa.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
     own = pb.withColumn("_tile", F.pmod(F.xxhash64("_rank"), F.col("_tiles")))
-    return near.drop("_tiles").join(own.drop("_tiles"), [*keys, "_tile"]).withColumn("_low", bag_distance())
+    near, own = (_dealt(x.drop("_tiles"), *keys, "_tile") for x in (near, own))
+    return near.join(own, [*keys, "_tile"]).withColumn("_low", bag_distance())
 
 
 def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str],
@@ -254,16 +288,17 @@ def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str
     fa = failing.where(cond).select(*keys, F.col(seq_col).alias("_a")).distinct()
     fa = materialize(spark, fa.withColumn("_ta", text(F.col("_a"))).withColumn("_la", F.length("_ta")).withColumn(
         "_fid", F.monotonically_increasing_id()), "failing")
-    n_pass = pb.groupBy(*keys).agg(F.count("*").alias("_np"))
+    n_pass = pb.groupBy(*keys).agg(F.count("*").alias("_np"), F.max("_lb").alias("_longest"))
     sizes = fa.groupBy(*keys).agg(F.count("*").alias("_nf")).join(n_pass, keys).select(
-        *keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small"), F.ceil(F.col("_np") / TILE).alias("_tiles"))
+        *keys, (F.col("_nf") * F.col("_np") <= pair_limit).alias("_small"), F.ceil(F.col("_np") / TILE).alias("_tiles"),
+        F.ceil((F.col("_longest") + 1) / PLAIN_LENGTH).alias("_scale"))
     sizes = materialize(spark, sizes, "groups")
 
     least = F.levenshtein("_ta", "_tb") if bound is None else F.levenshtein("_ta", "_tb", bound)
     small = fa.select(*keys, "_fid", "_ta").join(sizes.where("_small").select(*keys), keys).join(
-        pb.select(*keys, "_tb", "_rank"), keys).withColumn("_d", least).where("_d >= 0")
+        pb.select(*keys, "_tb", "_rank"), keys).withColumn("_d", least)
     best = [_best(small)]
-    large = sizes.where("not _small").select(*keys, "_tiles")
+    large = sizes.where("not _small").select(*keys, "_tiles", "_scale")
     if not large.isEmpty():
         best += _search_large(fa, pb, large, keys, bands, bound)
     found = best[0]
@@ -283,13 +318,13 @@ def nearest_partner(failing: DataFrame, passing: DataFrame, group_cols: list[str
 def _search_large(fa: DataFrame, pb: DataFrame, large: DataFrame, keys: list[str], bands, bound: int | None) -> list[DataFrame]:
     """The rounds over large groups: ``_fid, _m`` of each round."""
     spark = fa.sparkSession
-    todo = materialize(spark, fa.drop("_a").join(large, keys).withColumn("_ca", profile(F.col("_ta"))), "profiles")
-    own = materialize(spark, pb.drop("_pid", "_b").join(large, keys).withColumn("_cb", profile(F.col("_tb"))), "profiles")
+    todo = materialize(spark, _with_profile(fa.drop("_a").join(large, keys), "_ta", "a"), "profiles")
+    own = materialize(spark, _with_profile(pb.drop("_pid", "_b").join(large, keys), "_tb", "b"), "profiles")
     best = []
     for band in bands:
         k = band if bound is None else min(band, bound)
         near = cell_candidates(todo.drop("_tiles"), own.drop("_tiles"), keys, k)
-        b = materialize(spark, _best(near.withColumn("_d", F.levenshtein("_ta", "_tb", k)).where("_d >= 0")), "band")
+        b = materialize(spark, _best(near.withColumn("_d", F.levenshtein("_ta", "_tb", k))), "band")
         best.append(b)
         todo = materialize(spark, todo.join(b.select("_fid"), "_fid", "left_anti"), "unresolved")
         if k == bound or todo.isEmpty():
@@ -304,7 +339,7 @@ def _search_large(fa: DataFrame, pb: DataFrame, large: DataFrame, keys: list[str
         own.select(*keys, "_rank", "_tb"), [*keys, "_rank"]).select("_fid", most.alias("_most")), "upper")
     todo = materialize(spark, todo.join(first, "_fid"), "bounded")
     near = tile_candidates(todo, own, keys).where("_low <= _most").withColumn("_d", F.expr("levenshtein(_ta, _tb, _most)"))
-    return [*best, materialize(spark, _best(near.where("_d >= 0")), "rest")]
+    return [*best, materialize(spark, _best(near), "rest")]
 
 
 def _verified(won: DataFrame, pb: DataFrame, keys: list[str], bound: int | None) -> DataFrame:
