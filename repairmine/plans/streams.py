@@ -44,6 +44,23 @@ def q_stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stream_retry(spark, sf_dir, CAP)
 
 
+@register("stream_retry_totals", oracle=f"""
+WITH a AS (SELECT user_id, event_type, row_number() OVER w AS k,
+    coalesce(sum((event_type = 'error')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tries,
+    coalesce(bool_or(event_type = 'purchase') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended
+  FROM events WHERE event_type IN ('error', 'purchase') AND user_id IS NOT NULL
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+u AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, bool_or(event_type = 'purchase') AS ok
+  FROM a WHERE tries < {CAP} AND NOT ended GROUP BY user_id),
+o AS (SELECT CASE WHEN ok THEN 'done' WHEN errors >= {CAP} THEN 'failed' ELSE 'waiting' END AS outcome, 1 AS n FROM u
+  UNION ALL SELECT 'read', 1 FROM u
+  UNION ALL SELECT 'repeat', least(errors, {CAP} - 1) FROM u WHERE errors > 0)
+SELECT outcome, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY outcome""")
+def q_stream_retry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read, repeats and ends of the retry loop."""
+    return R.stream_retry_totals(spark, sf_dir, CAP).select("outcome", F.col("n").cast("bigint").alias("n"))
+
+
 @register("stream_outcomes", oracle="""
 SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'read' AS outcome FROM events

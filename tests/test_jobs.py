@@ -68,15 +68,18 @@ def test_replayed_batch_gives_no_duplicate(spark, tmp_path):
 
     def handle(batch, bid):
         seen.append(bid)
-        R.append_earlier(batch, out, bid, "user_id", ["ts", "event_id"])
-    R.run_to_table(R.table_stream(spark, folder), handle, "replay", ckpt)
+        R.write_batch(batch, out, bid)
+
+    def run():
+        R.run_to_table(R.first_rows(R.table_stream(spark, folder), "user_id", ["ts", "event_id"]), handle, "replay", ckpt, "update")
+    run()
     assert len(seen) > 2
     before = sorted(map(tuple, spark.read.parquet(out).select("event_id", "batch").collect()))
     # the commit of the last batch is lost: a restart runs that batch again
     for name in (str(max(seen)), f".{max(seen)}.crc"):
         if os.path.exists(f := os.path.join(ckpt, "commits", name)):
             shutil.move(f, str(tmp_path / name))
-    R.run_to_table(R.table_stream(spark, folder), handle, "replay", ckpt)
+    run()
     assert seen.count(max(seen)) == 2
     assert sorted(map(tuple, spark.read.parquet(out).select("event_id", "batch").collect())) == before
     first = S.first_per_id(spark.read.parquet(out), [F.col("ts"), F.col("event_id")], "user_id")
@@ -84,12 +87,58 @@ def test_replayed_batch_gives_no_duplicate(spark, tmp_path):
     assert sorted(x["event_id"] for x in first.collect()) == sorted(x["event_id"] for x in want.collect())
 
 
-def test_tries_stop_at_success_and_at_the_cap(spark):
+def lose_commit(ckpt, keep):
+    """A run whose last batch was written but not committed."""
+    last = max(int(n) for n in os.listdir(os.path.join(ckpt, "commits")) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f := os.path.join(ckpt, "commits", name)):
+            shutil.move(f, str(keep / name))
+    return last
+
+
+def test_replayed_batch_of_new_rows(spark, tmp_path):
+    """The keys that an earlier batch brought are state: a repeated id does not
+    come again, a replayed batch writes the same rows."""
+    folder, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    for k in range(3):
+        spark.createDataFrame([(i, i % 4) for i in range(k * 5, k * 5 + 9)], "id long, grp int").coalesce(1).write.mode("append").parquet(folder)
+    done, seen = spark.createDataFrame([(1,)], "grp int"), []
+
+    def run():
+        def handle(batch, bid):
+            seen.append((bid, batch.count()))
+            R.write_batch(batch, out, bid)
+        R.run_to_table(R.new_rows(R.table_stream(spark, folder), "id", done, ["grp"]), handle, "new", ckpt)
+    run()
+    before = sorted(map(tuple, spark.read.parquet(out).select("id", "batch").collect()))
+    assert [i for i, _ in before] == [i for i in range(19) if i % 4 != 1]
+    last = lose_commit(ckpt, tmp_path)
+    run()
+    assert [b for b, _ in seen].count(last) == 2
+    assert sorted(map(tuple, spark.read.parquet(out).select("id", "batch").collect())) == before
+
+
+def test_failed_rows_come_back_until_success_or_the_cap(spark, tmp_path):
+    """A row that fails twice is seen in three batches; nothing is lost or
+    seen twice when the last batch is replayed."""
     rows = [(1, "error", 1), (1, "purchase", 2), (1, "error", 3), (2, "error", 1), (2, "error", 2), (2, "error", 3),
-            (2, "purchase", 4), (3, "error", 5)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id int, user_id int, event_type string, ts int")
-    got = {x["user_id"]: (x["try_count"], x["outcome"]) for x in R.attempts_outcome(df, 3).collect()}
-    assert got == {1: (1, "done"), 2: (3, "failed"), 3: (1, "waiting")}
+            (2, "purchase", 4), (3, "error", 5), (4, "error", 1), (4, "error", 2), (4, "purchase", 3), (5, "purchase", 1)]
+    tries = spark.createDataFrame(rows, "user_id int, event_type string, ts int")
+    items, base = str(tmp_path / "items"), str(tmp_path / "loop")
+    for k in (1, 2, 3, 4, 5):
+        spark.createDataFrame([(k,)], "user_id int").coalesce(1).write.mode("append").parquet(items)
+    check = R.verdict_check(tries, "user_id", ["ts"], F.col("event_type") == "purchase", 3)
+
+    def run():
+        ended, tried = R.retry_loop(spark, items, "user_id", check, 3, base)
+        return (sorted(map(tuple, spark.read.parquet(ended).select("user_id", "try_count", "outcome").collect())),
+                sorted(map(tuple, spark.read.parquet(tried).select("user_id", "try_count", "batch").collect())))
+    ended, tried = run()
+    assert ended == [(1, 1, "done"), (2, 3, "failed"), (3, 1, "waiting"), (4, 2, "done"), (5, 0, "done")]
+    assert [t[:2] for t in tried] == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (4, 0), (4, 1), (4, 2), (5, 0)]
+    assert len({b for u, _, b in tried if u == 2}) == 3
+    lose_commit(os.path.join(base, "log"), tmp_path)
+    assert run() == (ended, tried)
 
 
 def full_moves(a, b):
