@@ -1,17 +1,20 @@
 """Line and section operators.
 
 Reference lines are lines such as ``#include <x>`` / ``#include "x"``; the
-pattern is a parameter. Per-text work is array expressions on the text's
-own row; per-line state (sections) is a window partitioned by document, so
-each task holds at most one document's lines.
+pattern is a parameter. Per-text work is array work on the text's own row,
+running state over its lines (sections) included.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repairmine.functions.clean import py_strip
+from repairmine.operators.tokens import as_lists, list_rows
 
 # Fixed patterns: reference line (matched at the line start) and its name.
 RX_REF_LINE = '(?s)^(?:#include *<(.*)>|#include *"(.*)")'
@@ -85,37 +88,74 @@ def restore_lines(text: DataFrame, saved: DataFrame, doc_col: str, text_col: str
                     (F.coalesce("n_saved", F.lit(0)) - F.coalesce("n_placed", F.lit(0))).alias("conflicts")))
 
 
-def section_tags(df: DataFrame, doc_col: str, text_col: str, user_files=()) -> DataFrame:
-    """Per line, whether it lies in a tagged (non-user) section.
+def carry_forward(states: Column) -> Column:
+    """The last non-null state up to each place of an array (false before any)."""
+
+    @F.arrow_udf("array<boolean>")
+    def carry(x: pa.Array) -> pa.Array:
+        values, at = list_rows(x)
+        told = ~np.asarray(pc.is_null(values))
+        value = np.asarray(pc.fill_null(values, False))
+        last = np.maximum.accumulate(np.where(told, np.arange(len(told)), -1)) if len(told) else np.zeros(0, np.int64)
+        row = np.repeat(at[:-1], np.diff(at))
+        return as_lists(at, pa.array(np.where(last >= row, value[last], False), pa.bool_()))
+
+    return carry(states)
+
+
+def tags_of(text: Column, user_files=()) -> Column:
+    """L8 in the row: per line, whether it lies in a tagged (non-user) section.
 
     A marker line with flag 3 switches off; flag 1 or 2 switches on unless
-    the file's base name is a user file; other lines inherit the state.
-    Output ``doc, line_no (1-based), tagged``.
-    """
-    lines = df.select(doc_col, F.posexplode(lines_of(F.col(text_col))).alias("i", "line"))
-    flag = F.trim(F.regexp_extract("line", RX_MARKER, 3))
-    name = F.regexp_extract(F.regexp_extract("line", RX_MARKER, 2), "([^/]*)$", 1)
-    user = name.isin(list(user_files)) if user_files else F.lit(False)
-    state = (F.when(~F.col("line").rlike(RX_MARKER) | (flag == ""), F.lit(None).cast("boolean"))
-             .when(flag == "3", F.lit(False))
-             .when(flag.isin("1", "2"), ~user))
-    w = Window.partitionBy(doc_col).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return (lines.withColumn("_s", state)
-            .select(doc_col, (F.col("i") + 1).alias("line_no"),
-                    F.coalesce(F.last("_s", ignorenulls=True).over(w), F.lit(False)).alias("tagged")))
+    the file's base name is a user file; other lines inherit the state."""
+    def state(line):
+        flag = F.trim(F.regexp_extract(line, RX_MARKER, 3))
+        name = F.regexp_extract(F.regexp_extract(line, RX_MARKER, 2), "([^/]*)$", 1)
+        user = name.isin(list(user_files)) if user_files else F.lit(False)
+        return (F.when(~line.rlike(RX_MARKER) | (flag == ""), F.lit(None).cast("boolean"))
+                .when(flag == "3", F.lit(False)).when(flag.isin("1", "2"), ~user))
+    return carry_forward(F.transform(lines_of(text), state))
+
+
+def section_tags(df: DataFrame, doc_col: str, text_col: str, user_files=()) -> DataFrame:
+    """L8 as rows ``doc, line_no (1-based), tagged``."""
+    tags = df.select(doc_col, tags_of(F.col(text_col), user_files).alias("_tags"))
+    return tags.select(doc_col, F.posexplode("_tags").alias("i", "tagged")).select(
+        doc_col, (F.col("i") + 1).alias("line_no"), "tagged")
+
+
+def first_after(token_lines: Column, n_lines: Column) -> Column:
+    """L11 in the row: for each line, the first token on a later line, from
+    the (never falling) lines of the tokens; null if none."""
+
+    @F.arrow_udf("array<int>")
+    def first(x: pa.Array, n: pa.Array) -> pa.Array:
+        values, at = list_rows(x)
+        values = values.to_numpy(zero_copy_only=False)
+        size = pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [np.searchsorted(values[a:b], np.arange(1, k + 1), side="right") for a, b, k in zip(at[:-1], at[1:], size)]
+        none = [f == b - a for f, a, b in zip(found, at[:-1], at[1:])]
+        join = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
+        return as_lists(np.concatenate([[0], np.cumsum(size)]), pa.array(join(found, np.int32), mask=join(none, bool)))
+
+    return first(token_lines, n_lines)
 
 
 def shift_positions(ops: DataFrame, blocks: DataFrame, key_cols: list[str]) -> DataFrame:
     """Each position moves right by the total length of the blocks that
     start at or before it (``ops``: key, op_id, pos; ``blocks``: key, pos,
-    length). An equi-join on the key with a range condition (blocks per key
-    are few); one output row per distinct ``(key, op_id, pos)``."""
-    b = blocks.select(*[F.col(k).alias("_b_" + k) for k in key_cols],
-                      F.col("pos").alias("_bpos"), F.col("length").alias("_blen"))
-    cond = None
+    length). A sweep over both, united: one running sum a key, no pairs; one
+    output row per distinct ``(key, op_id, pos)``, and an operation that is
+    listed n times moves n times. Operations of a null key or position meet no
+    block."""
+    o = ops.groupBy(*key_cols, "op_id", "pos").agg(F.count("*").alias("_times")).select(
+        *key_cols, "op_id", "pos", F.lit(None).cast("long").alias("_len"), "_times")
+    b = blocks.select(*key_cols, F.lit(None).cast(ops.schema["op_id"].dataType).alias("op_id"), "pos",
+                      F.col("length").cast("long").alias("_len"), F.lit(None).cast("long").alias("_times"))
+    whole = F.col("pos").isNotNull()
     for k in key_cols:
-        c = F.col(k) == F.col("_b_" + k)
-        cond = c if cond is None else (cond & c)
-    j = ops.join(b, cond & (F.col("pos") >= F.col("_bpos")), "left")
-    return (j.groupBy(*key_cols, "op_id", "pos")
-            .agg((F.col("pos") + F.coalesce(F.sum("_blen"), F.lit(0))).alias("new_pos")))
+        whole = whole & F.col(k).isNotNull()
+    so_far = Window.partitionBy(*key_cols).orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = o.unionByName(b.where(whole)).withColumn("_sum", F.sum("_len").over(so_far)).where("_times is not null")
+    return moved.select(*key_cols, "op_id", "pos",
+                        (F.col("pos") + F.when(whole, F.coalesce("_sum", F.lit(0)) * F.col("_times")).otherwise(0)).alias("new_pos"))

@@ -3,14 +3,17 @@
 One regular expression over the corpus replaces the per-row lexer. Each
 match is ``(gap)(token)`` where the gap is blanks and comments, so the
 pieces cover the text and a running sum gives exact offsets and line
-numbers. Per-document work on token arrays stays inside the row; the long
-token table ``(doc, pos, tok, off, line, col)`` is built only where a
-relational step needs it.
+numbers. Per-document work on token arrays stays inside the row, places
+included; the long token table ``(doc, pos, tok, off, line, col)`` is those
+arrays exploded, built only where a relational step needs it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
@@ -46,34 +49,64 @@ def gaps_of(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(RX_PIECE), 1)
 
 
+def list_rows(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list column and where each row's begin (null: empty)."""
+    size = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return x.flatten(), np.concatenate([[0], np.cumsum(size)])
+
+
+def as_lists(at: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+
+
+def _counts(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def places_of(gaps: Column, toks: Column) -> Column:
+    """K4: struct of arrays ``off`` (0-based character offset), ``line``
+    (1-based) and ``col`` (``off - (last newline before it, or 0) + 1``) of
+    the tokens: running sums over the pieces of a row, a batch at a time."""
+
+    @F.arrow_udf("struct<off:array<int>,line:array<int>,col:array<int>>")
+    def places(g: pa.Array, t: pa.Array) -> pa.Array:
+        gap, at = list_rows(g)
+        tok, _ = list_rows(t)
+        glen, tlen = _counts(pc.utf8_length(gap)), _counts(pc.utf8_length(tok))
+        gnl, tnl = _counts(pc.count_substring(gap, "\n")), _counts(pc.count_substring(tok, "\n"))
+        last = lambda x, n: n - 1 - _counts(pc.find_substring(pc.utf8_reverse(x), "\n"))
+        row = np.repeat(np.arange(len(g)), np.diff(at))
+        start = np.cumsum(glen + tlen) - glen - tlen  # over the whole batch
+        lines = np.cumsum(gnl + tnl) - gnl - tnl
+        first = np.minimum(at[:-1], max(len(start) - 1, 0))[row]
+        in_gap = np.where(gnl > 0, start + last(gap, glen), -1)
+        in_piece = np.where(tnl > 0, start + glen + last(tok, tlen), in_gap)
+        before = np.concatenate([[-1], np.maximum.accumulate(in_piece)[:-1]]) if len(in_piece) else in_piece
+        newline = np.where(in_gap >= 0, in_gap, before)
+        off = start + glen
+        head = start[first] if len(start) else start
+        newline = np.where(newline >= head, newline - head, 0)
+        off = off - head
+        line = lines - (lines[first] if len(lines) else lines) + gnl + 1
+        out = [as_lists(at, pa.array(x.astype(np.int32))) for x in (off, line, off - newline + 1)]
+        return pa.StructArray.from_arrays(out, names=["off", "line", "col"])
+
+    return places(gaps, toks)
+
+
+def with_tokens(df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
+    """K1 + K4 in the row: ``out``, an array of ``tok, off, line, col``."""
+    df = df.withColumns({"_gaps": gaps_of(F.col(text_col)), "_toks": tokens_of(F.col(text_col))})
+    df = df.withColumn("_places", places_of(F.col("_gaps"), F.col("_toks")))
+    at = [F.col(f"_places.{c}").alias(c) for c in ("off", "line", "col")]
+    return df.withColumn(out, F.arrays_zip(F.col("_toks").alias("tok"), *at)).drop("_gaps", "_toks", "_places")
+
+
 def token_table(df: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """K1 + K4: long token table ``doc, pos, tok, off, line, col``.
-
-    ``off`` is the 0-based character offset, ``line`` the 1-based line,
-    ``col`` = ``off - (last newline before it, or 0) + 1``. The running sums
-    are windows partitioned by document.
-    """
-    pieces = (df.select(doc_col, F.arrays_zip(gaps_of(F.col(text_col)).alias("g"),
-                                              tokens_of(F.col(text_col)).alias("t")).alias("_z"))
-              .select(doc_col, F.posexplode("_z").alias("pos", "_p"))
-              .select(doc_col, "pos", F.col("_p.g").alias("g"), F.col("_p.t").alias("tok")))
-    w = Window.partitionBy(doc_col).orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    glen, tlen = F.length("g"), F.length("tok")
-    start = F.coalesce(F.sum(glen + tlen).over(before), F.lit(0))
-    breaks = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
-    nl_before = F.coalesce(F.sum(breaks("g") + breaks("tok")).over(before), F.lit(0))
-    # absolute position of the last newline in each piece (null when none)
-    g_nl = F.when(F.instr("g", "\n") > 0, glen - F.instr(F.reverse("g"), "\n"))
-    t_nl = F.when(F.instr("tok", "\n") > 0, glen + tlen - F.instr(F.reverse("tok"), "\n"))
-    t = (pieces.withColumn("_start", start).withColumn("_nlb", nl_before)
-         .withColumn("_pl", F.coalesce(t_nl, g_nl) + F.col("_start"))
-         .withColumn("_gl", g_nl + F.col("_start")))
-    last_nl = F.coalesce(F.col("_gl"), F.max("_pl").over(before), F.lit(0))
-    off = F.col("_start") + glen
-    line = F.col("_nlb") + breaks("g") + 1
-    return t.select(doc_col, "pos", "tok", off.alias("off"), line.alias("line"),
-                    (off - last_nl + 1).alias("col"))
+    """K1 + K4: long token table ``doc, pos, tok, off, line, col``, without a
+    shuffle or a window."""
+    t = with_tokens(df.select(doc_col, text_col), text_col, "_tokens")
+    return t.select(doc_col, F.posexplode("_tokens").alias("pos", "e")).select(doc_col, "pos", "e.*")
 
 
 def token_class(tok: Column) -> Column:
@@ -93,21 +126,28 @@ def identifier_set(toks: Column) -> Column:
         toks, lambda t: ~t.isin(*C_KEYWORDS) & ~t.isin(*C_OPERATORS) & ~t.startswith("#include"))))
 
 
+def piece_before(tok: Column, off: Column, line: Column, prev_tok: Column, prev_off: Column, prev_line: Column) -> Column:
+    """A token with what stands before it: line breaks by the line difference,
+    then blanks ``off - prev_off - (len(prev), or the line difference + 1 after
+    a break)``."""
+    nl = line - prev_line
+    pad = off - prev_off - F.when(nl != 0, nl + 1).otherwise(F.length(prev_tok))
+    return F.concat(F.repeat(F.lit("\n"), F.greatest(nl, F.lit(0))), F.repeat(F.lit(" "), F.greatest(pad, F.lit(0))), tok)
+
+
+def text_of(tokens: Column) -> Column:
+    """K5: text from an array of ``tok, off, line``, in the row."""
+    def piece(x, i):
+        old = F.get(tokens, i - 1)
+        return piece_before(x["tok"], x["off"], x["line"], F.coalesce(old["tok"], F.lit("")),
+                            F.coalesce(old["off"], F.lit(0)), F.coalesce(old["line"], F.lit(1)))
+    return F.array_join(F.transform(tokens, piece), "")
+
+
 def rebuild_text(tt: DataFrame, doc_col: str) -> DataFrame:
-    """K5: text from ``(pos, tok, off, line)``: line breaks by the line
-    difference, then blanks ``off - prev_off - (len(prev), or the line
-    difference + 1 after a break)``."""
-    w = Window.partitionBy(doc_col).orderBy("pos")
-    prev_line = F.lag("line", 1, 1).over(w)
-    prev_off = F.lag("off", 1, 0).over(w)
-    prev_len = F.coalesce(F.lag(F.length("tok"), 1).over(w), F.lit(0))
-    nl = F.col("line") - prev_line
-    pad = F.col("off") - prev_off - F.when(nl != 0, nl + 1).otherwise(prev_len)
-    piece = F.concat(F.repeat(F.lit("\n"), F.greatest(nl, F.lit(0))), F.repeat(F.lit(" "), F.greatest(pad, F.lit(0))),
-                     F.col("tok"))
-    return (tt.withColumn("_piece", piece).groupBy(doc_col)
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_piece"))),
-                                          lambda x: x["_piece"]), "").alias("text")))
+    """K5: text from a long table ``(pos, tok, off, line)``."""
+    tokens = F.array_sort(F.collect_list(F.struct("pos", "tok", "off", "line")))
+    return tt.groupBy(doc_col).agg(tokens.alias("_tokens")).select(doc_col, text_of(F.col("_tokens")).alias("text"))
 
 
 def window_matches(toks: Column, preds) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repairmine.functions import clean as C
@@ -359,6 +359,15 @@ def q_shift_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("new_pos").cast("bigint").alias("new_pos"))
 
 
+def _per_document(spark: SparkSession, sf_dir: str, columns, docs: DataFrame | None = None) -> DataFrame:
+    """``doc_id`` and expressions over the token array of every document with
+    tokens. The explode of one summary drops the others without a filter, which
+    would run the token expressions again below it."""
+    t = K.with_tokens(_docs(spark, sf_dir) if docs is None else docs, "text")
+    told = F.when(F.size("tokens") > 0, F.array(F.struct(*columns(F.col("tokens")))))
+    return t.select("doc_id", F.explode(told).alias("e")).select("doc_id", "e.*")
+
+
 # --- K: tokens ---------------------------------------------------------------
 
 D_TOKTAB = f"""
@@ -383,11 +392,9 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, md5(string_agg(tok, chr(1)
 FROM tt GROUP BY doc_id""")
 def q_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: the long token table of the documents, summarised per document."""
-    tt = K.token_table(_docs(spark, sf_dir), "doc_id", "text")
-    return tt.groupBy("doc_id").agg(
-        F.count("*").cast("bigint").alias("n_tokens"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]),
-                           "\u0001")).alias("tokens_md5"))
+    return _per_document(spark, sf_dir, lambda t: [
+        F.size(t).cast("bigint").alias("n_tokens"),
+        F.md5(F.array_join(F.transform(t, lambda x: x["tok"]), "\u0001")).alias("tokens_md5")])
 
 
 @register("token_offsets", oracle=f"""
@@ -398,13 +405,11 @@ SELECT doc_id, CAST(sum(off) AS BIGINT) AS sum_off, CAST(max(line) AS BIGINT) AS
 FROM tt GROUP BY doc_id""")
 def q_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: offset, line and column of every token (summarised per document)."""
-    tt = K.token_table(_docs(spark, sf_dir), "doc_id", "text")
-    coord = F.concat_ws(":", F.col("off").cast("string"), F.col("line").cast("string"), F.col("col").cast("string"))
-    return tt.groupBy("doc_id").agg(
-        F.sum("off").cast("bigint").alias("sum_off"), F.max("line").cast("bigint").alias("max_line"),
-        F.sum("line").cast("bigint").alias("sum_line"), F.sum("col").cast("bigint").alias("sum_col"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", coord.alias("c")))),
-                                       lambda x: x["c"]), ",")).alias("coords_md5"))
+    total = lambda t, c: F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a + x[c]).alias(f"sum_{c}")
+    coord = lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("off", "line", "col")])
+    return _per_document(spark, sf_dir, lambda t: [
+        total(t, "off"), F.array_max(F.transform(t, lambda x: x["line"])).cast("bigint").alias("max_line"),
+        total(t, "line"), total(t, "col"), F.md5(F.array_join(F.transform(t, coord), ",")).alias("coords_md5")])
 
 
 @register("rebuild_text", oracle=f"""
@@ -417,7 +422,7 @@ SELECT doc_id, md5(string_agg(piece, '' ORDER BY pos)) AS md5, CAST(length(strin
   AS n_chars FROM pp GROUP BY doc_id""")
 def q_rebuild_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: text rebuilt from the token table."""
-    rb = K.rebuild_text(K.token_table(_docs(spark, sf_dir), "doc_id", "text"), "doc_id")
+    rb = _per_document(spark, sf_dir, lambda t: [K.text_of(t).alias("text")])
     return rb.select("doc_id", *_digest(F.col("text")))
 
 
@@ -498,18 +503,11 @@ ln AS (SELECT doc_id, generate_subscripts({d(D_LINES, 'text')}, 1) AS line_no FR
 SELECT ln.doc_id, CAST(ln.line_no AS BIGINT) AS line_no, CAST(min(fl.p) AS BIGINT) AS first_pos
 FROM ln LEFT JOIN fl ON ln.doc_id = fl.doc_id AND fl.line > ln.line_no GROUP BY ln.doc_id, ln.line_no""")
 def q_first_token_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every line of a document, the first token on a later line.
-    First token per line, then a reverse running minimum (window per doc)."""
-    docs = _docs(spark, sf_dir)
-    fl = K.token_table(docs, "doc_id", "text").groupBy("doc_id", "line").agg(F.min("pos").alias("p"))
-    ln = docs.select("doc_id", (F.posexplode(L.lines_of(F.col("text")))).alias("i", "_l")).select(
-        "doc_id", (F.col("i") + 1).alias("line_no"))
-    after = (ln.join(fl.withColumnRenamed("line", "line_no"), ["doc_id", "line_no"], "left")
-             .withColumn("first_pos", F.min("p").over(
-                 Window.partitionBy("doc_id").orderBy(F.col("line_no").desc())
-                 .rowsBetween(Window.unboundedPreceding, -1))))
-    return after.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
-                        F.col("first_pos").cast("bigint").alias("first_pos"))
+    """For every line of a document, the first token on a later line."""
+    t = K.with_tokens(_docs(spark, sf_dir), "text").withColumn(
+        "_n", F.size(L.lines_of(F.col("text")))).withColumn("_lines", F.transform("tokens", lambda x: x["line"]))
+    t = t.select("doc_id", F.posexplode(L.first_after(F.col("_lines"), F.col("_n"))).alias("i", "p"))
+    return t.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("p").cast("bigint").alias("first_pos"))
 
 
 @register("token_section", oracle=f"""
@@ -526,11 +524,8 @@ SELECT tt.doc_id, CAST(count(*) AS BIGINT) AS n_tokens,
   CAST(sum(CASE WHEN f.tagged THEN 1 ELSE 0 END) AS BIGINT) AS n_tagged_tokens
 FROM tt LEFT JOIN f ON tt.doc_id = f.doc_id AND tt.line = f.line_no GROUP BY tt.doc_id""")
 def q_token_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag every token by the section of its line (token table joined
-    with the line table on ``(doc, line)``)."""
-    docs = _docs(spark, sf_dir)
-    tags = L.section_tags(docs, "doc_id", "text").withColumnRenamed("line_no", "line")
-    tt = K.token_table(docs, "doc_id", "text").join(tags, ["doc_id", "line"], "left")
-    return tt.groupBy("doc_id").agg(F.count("*").cast("bigint").alias("n_tokens"),
-                                    F.sum(F.coalesce(F.col("tagged"), F.lit(False)).cast("int"))
-                                    .cast("bigint").alias("n_tagged_tokens"))
+    """Tag every token by the section of its line."""
+    docs = _docs(spark, sf_dir).withColumn("_tags", L.tags_of(F.col("text")))
+    tagged = lambda t: F.filter(t, lambda x: F.get(F.col("_tags"), x["line"] - 1))
+    return _per_document(spark, sf_dir, lambda t: [
+        F.size(t).cast("bigint").alias("n_tokens"), F.size(tagged(t)).cast("bigint").alias("n_tagged_tokens")], docs)
