@@ -499,19 +499,25 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, m
             F.slice(acc, F.lit(1), F.size(acc) - 1),
             F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))
         ).otherwise(F.concat(acc, F.array(x))))
-    rows = rows.select("*", runs.alias("__runs")).drop("__spans", "__sh", "__sn")
     if min_words:
-        @F.pandas_udf("array<boolean>")
-        def long_enough(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else [len(t[a:b].split()) >= min_words for a, b in zip(begin, end)]
-                              for t, begin, end in zip(text, starts, stops)])
-
-        some = F.size("__runs") > 0
-        rows = rows.select("*", long_enough.asNondeterministic()(
-            F.when(some, F.col(f"`{text_col}`").cast("binary")), F.when(some, F.col("__runs.start")),
-            F.when(some, F.col("__runs.stop"))).alias("__long"))
-        rows = rows.withColumn("__runs", F.when(some, F.filter("__runs", lambda x, i: F.get(F.col("__long"), i))).otherwise(
-            F.col("__runs"))).drop("__long")
+        @F.pandas_udf("array<struct<start:int,stop:int>>")
+        def long_runs(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+            out = []
+            for t, begin, end in zip(text, starts, stops):
+                own: list[list[int]] = []
+                for x, y in zip(begin, end) if t is not None else ():
+                    if own and own[-1][1] >= x:
+                        own[-1][1] = max(own[-1][1], y)
+                    else:
+                        own.append([x, y])
+                out.append([{"start": x, "stop": y} for x, y in own if len(t[x:y].split()) >= min_words])
+            return pd.Series(out)
+
+        some = F.col("__spans").isNotNull()
+        runs = F.coalesce(long_runs.asNondeterministic()(
+            F.when(some, F.col(f"`{text_col}`").cast("binary")), F.when(some, F.col("__spans.start")),
+            F.when(some, F.col("__spans.stop"))), none)
+    rows = rows.select("*", runs.alias("__runs")).drop("__spans", "__sh", "__sn")
 
     @F.pandas_udf("kept_bytes binary, kept_text string")
     def keep(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
