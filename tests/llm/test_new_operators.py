@@ -286,3 +286,25 @@ def test_frequent_words_count_all_texts(spark):
     rows = [("River river-STONE",), ("stone river ab 12",), (None,), ("über über",)]
     docs = spark.createDataFrame(rows, "text string").repartition(2)
     assert secrets.frequent_words(docs, words=3) == ["river", "stone", "über"]
+
+
+# --- pipeline: repeated passages ---------------------------------------------
+
+def test_passage_stage_cuts_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 70 words that two documents share go; shorter ones
+    and clean, null and empty texts stay as they are."""
+    import corpus_pipeline
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short = [prose(n) for n in (51, 55, 70)], prose(40)
+    texts = [f"{prose(90)} {p} {prose(30)}" for p in long for _ in range(2)]
+    texts += [f"{prose(60)} {short} {prose(20)}" for _ in range(2)] + [prose(200), None, "", "é " * 5]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x.doc_id: x for x in corpus_pipeline.passage_dedup(spark, docs, SF_SMALL).collect()}
+    assert len(got) == len(texts)
+    for i in range(6):
+        assert long[i // 2] not in got[i].text and got[i].n_chars == len(got[i].text) > 400
+    assert all((got[i].text or "") == (texts[i] or "") for i in range(6, len(texts)))
+    assert corpus_pipeline.passage_dedup(spark, docs.where("false"), SF_SMALL).count() == 0
