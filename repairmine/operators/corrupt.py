@@ -2,9 +2,9 @@
 
 An edit plan is drawn per text from md5 of ``(seed, doc, draw, tag)``, so it
 repeats exactly for a seed, survives task retries and is checkable in
-DuckDB. Planning and applying work on the text's own token array inside its
-row (no shuffle); repair slots and offsets explode one text's elements and
-use a window per text.
+DuckDB. Planning, applying and moving offsets work on the text's own token
+array inside its row (no shuffle); repair slots explode one text's elements
+and use a window per text.
 
 Edit = ``struct<draw, act, pos, frm, to>`` with the action codes of
 :mod:`repairmine.operators.edits` (1 insert-before, 3 delete, 4 change).
@@ -16,6 +16,9 @@ one applied lands first).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
 from repairmine.functions.hashing import md5_int
 from repairmine.operators.edits import CHANGE, DELETE, INSERT_BEFORE
 from repairmine.operators.sample import weighted_choice
-from repairmine.operators.tokens import identifier_set
+from repairmine.operators.tokens import as_lists, identifier_set, list_rows, spans, window_matches
 
 # Draw weights of the reference job.
 ACTION_WEIGHTS = (5, 1, 4)          # change, insert, delete
@@ -32,6 +35,17 @@ CHANGE_KIND_WEIGHTS = (4, 1)        # other word, misspelling
 INSERT_CLASS_WEIGHTS = (1, 3, 6)    # identifier, keyword, operator
 MAX_EDITS = 9                       # edits per text: 1..9
 
+#: Draws tried for a plan until its number of edits is reached. Of 300, fewer
+#: than 8 inserts (which never collide) come once in some 10^8 texts.
+TRIES = 300
+
+
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once: Spark does not share repeated
+    subexpressions inside a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def keyword_pool() -> Column:
     return F.array(*[F.lit(x) for x in C_KEYWORDS])
 
@@ -113,9 +127,8 @@ def _pick_pos(cands: Column, seed, doc, d, tag) -> Column:
 
 
 def mutator_edits(kind: str, toks: Column, idents: Column, seed, doc: Column, d: Column) -> Column:
-    """The edits of one mutator at a drawn matching position (empty
-    when the text has no matching position)."""
-    empty = F.array().cast(f"array<{EDIT_TYPE}>")
+    """The edits of one mutator at a drawn matching position
+    (empty when the text has no matching position)."""
     n = F.size(toks)
     idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
 
@@ -124,95 +137,34 @@ def mutator_edits(kind: str, toks: Column, idents: Column, seed, doc: Column, d:
 
     def tok(p):
         return F.element_at(toks, p + 1)
+
+    def cut(p):
+        return _edit(d, DELETE, p, tok(p), F.lit(""))
+
+    def at(candidates, edits):
+        empty = F.array().cast(f"array<{EDIT_TYPE}>")
+        return bind(_pick_pos(candidates, seed, doc, d, "mp"), lambda p: F.when(p.isNull(), empty).otherwise(edits(p)))
     if kind == "random":
         return F.array(random_edit(toks, idents, seed, doc, d))
     if kind == "identifier":        # M10: change an identifier
-        p = _pick_pos(where(lambda t: F.array_contains(idents, t)), seed, doc, d, "mp")
-        out = F.array(_edit(d, CHANGE, p, tok(p), replacement(F.lit(CHANGE), tok(p), idents, seed, doc, d)))
-    elif kind == "brace":           # M11: delete a brace or parenthesis
-        p = _pick_pos(where(lambda t: t.isin(*BRACES)), seed, doc, d, "mp")
-        out = F.array(_edit(d, DELETE, p, tok(p), F.lit("")))
-    elif kind == "brace_pair":      # M12: delete an adjacent ( )
-        from repairmine.operators.tokens import window_matches
-        p = _pick_pos(window_matches(toks, [lambda t: t == "(", lambda t: t == ")"]), seed, doc, d, "mp")
-        out = F.array(_edit(d, DELETE, p, tok(p), F.lit("")), _edit(d, DELETE, p + 1, tok(p + 1), F.lit("")))
-    elif kind == "semicolon":       # M13: delete a semicolon
-        p = _pick_pos(where(lambda t: t == ";"), seed, doc, d, "mp")
-        out = F.array(_edit(d, DELETE, p, tok(p), F.lit("")))
-    elif kind == "return":          # M14: delete a whole return ... ;
-        from repairmine.operators.tokens import spans
-        sp = spans(toks, "return", ";")
-        chosen = F.when(F.size(sp) > 0, F.element_at(sp, (F.pmod(draw(seed, doc, d, "mp"), F.size(sp)) + 1)
-                                                     .cast("int")))
-        p = chosen["b"]
-        out = F.transform(F.sequence(chosen["b"], chosen["e"]), lambda i: _edit(d, DELETE, i, tok(i), F.lit("")))
-    elif kind == "pointer":         # M15: drop a * or &, or put one before an identifier
+        return at(where(lambda t: F.array_contains(idents, t)), lambda p: F.array(
+            _edit(d, CHANGE, p, tok(p), replacement(F.lit(CHANGE), tok(p), idents, seed, doc, d))))
+    if kind == "brace":             # M11: delete a brace or parenthesis
+        return at(where(lambda t: t.isin(*BRACES)), lambda p: F.array(cut(p)))
+    if kind == "brace_pair":        # M12: delete an adjacent ( )
+        return at(window_matches(toks, [lambda t: t == "(", lambda t: t == ")"]), lambda p: F.array(cut(p), cut(p + 1)))
+    if kind == "semicolon":         # M13: delete a semicolon
+        return at(where(lambda t: t == ";"), lambda p: F.array(cut(p)))
+    if kind == "return":            # M14: delete a whole return ... ;
+        return bind(spans(toks, "return", ";"), lambda sp: at(F.transform(sp, lambda x: x["b"]), lambda p: F.transform(
+            F.sequence(p, F.element_at(F.filter(sp, lambda x: x["b"] == p), 1)["e"]), cut)))
+    if kind == "pointer":           # M15: drop a * or &, or put one before an identifier
         ins = F.pmod(draw(seed, doc, d, "mk"), F.lit(2)) == 1
-        pd_ = _pick_pos(where(lambda t: t.isin("*", "&")), seed, doc, d, "mp")
-        pi = _pick_pos(where(lambda t: F.array_contains(idents, t)), seed, doc, d, "mp")
         val = F.when(F.pmod(draw(seed, doc, d, "mv"), F.lit(2)) == 0, F.lit("*")).otherwise(F.lit("&"))
-        p = F.when(ins, pi).otherwise(pd_)
-        out = F.when(ins, F.array(_edit(d, INSERT_BEFORE, pi, F.lit(""), val))).otherwise(
-            F.array(_edit(d, DELETE, pd_, tok(pd_), F.lit(""))))
-    else:
-        raise ValueError(kind)
-    return F.when(p.isNull(), empty).otherwise(out)
-
-
-def with_mutator_edits(df: DataFrame, kind: str, toks_col: str, idents_col: str, doc_col: str, seed,
-                       d: int = 1, out: str = "edits") -> DataFrame:
-    """M10-M15 as staged projections (candidates -> drawn position -> source
-    token -> edits), so each step is computed once per text."""
-    toks, idents, doc, dc = F.col(toks_col), F.col(idents_col), F.col(doc_col), F.lit(d)
-    n = F.size(toks)
-    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-
-    def where(pred):
-        return F.filter(idx, lambda i: (i < n) & F.coalesce(pred(F.try_element_at(toks, i + 1)), F.lit(False)))
-    if kind == "random":
-        return df.withColumn(out, F.array(random_edit(toks, idents, seed, doc, dc)))
-    ins = F.pmod(draw(seed, doc, dc, "mk"), F.lit(2)) == 1
-    if kind == "identifier":
-        cands = where(lambda t: F.array_contains(idents, t))
-    elif kind in ("brace",):
-        cands = where(lambda t: t.isin(*BRACES))
-    elif kind == "semicolon":
-        cands = where(lambda t: t == ";")
-    elif kind == "brace_pair":
-        from repairmine.operators.tokens import window_matches
-        cands = window_matches(toks, [lambda t: t == "(", lambda t: t == ")"])
-    elif kind == "return":
-        from repairmine.operators.tokens import spans
-        cands = F.transform(spans(toks, "return", ";"), lambda x: x["b"])
-    elif kind == "pointer":
-        cands = F.when(ins, where(lambda t: F.array_contains(idents, t))).otherwise(where(lambda t: t.isin("*", "&")))
-    else:
-        raise ValueError(kind)
-    staged = (df.withColumn("_c", cands)
-              .withColumn("_p", _pick_pos(F.col("_c"), seed, doc, dc, "mp"))
-              .withColumn("_frm", F.when(F.col("_p").isNotNull(), F.element_at(toks, F.col("_p") + 1))))
-    p, frm = F.col("_p"), F.col("_frm")
-    empty = F.array().cast(f"array<{EDIT_TYPE}>")
-    if kind == "identifier":
-        staged = staged.withColumn("_to", replacement(F.lit(CHANGE), frm, idents, seed, doc, dc))
-        e = F.array(_edit(dc, CHANGE, p, frm, F.col("_to")))
-    elif kind in ("brace", "semicolon"):
-        e = F.array(_edit(dc, DELETE, p, frm, F.lit("")))
-    elif kind == "brace_pair":
-        e = F.array(_edit(dc, DELETE, p, frm, F.lit("")),
-                    _edit(dc, DELETE, p + 1, F.element_at(toks, p + 2), F.lit("")))
-    elif kind == "return":
-        from repairmine.operators.tokens import spans
-        staged = staged.withColumn("_e", F.element_at(F.filter(spans(toks, "return", ";"), lambda x: x["b"] == p),
-                                                      1)["e"])
-        e = F.transform(F.sequence(p, F.col("_e")), lambda i: _edit(dc, DELETE, i, F.element_at(toks, i + 1),
-                                                                    F.lit("")))
-    else:  # pointer
-        val = F.when(F.pmod(draw(seed, doc, dc, "mv"), F.lit(2)) == 0, F.lit("*")).otherwise(F.lit("&"))
-        e = F.when(ins, F.array(_edit(dc, INSERT_BEFORE, p, F.lit(""), val))).otherwise(
-            F.array(_edit(dc, DELETE, p, frm, F.lit(""))))
-    return (staged.withColumn(out, F.when(p.isNull(), empty).otherwise(e))
-            .drop("_c", "_p", "_frm", "_to", "_e"))
+        return F.when(ins, at(where(lambda t: F.array_contains(idents, t)),
+                              lambda p: F.array(_edit(d, INSERT_BEFORE, p, F.lit(""), val)))).otherwise(
+            at(where(lambda t: t.isin("*", "&")), lambda p: F.array(cut(p))))
+    raise ValueError(kind)
 
 
 def edit_count(seed, doc: Column) -> Column:
@@ -222,15 +174,15 @@ def edit_count(seed, doc: Column) -> Column:
 
 def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str = "plan",
                    weights=RANDOM_ONLY) -> DataFrame:
-    """M6 (+ M16): k draws per text; each draw picks a mutator by weight
-    (default: the random mutator only, as the reference job runs) and adds
-    its edits. Of the non-insert edits at one position only the lowest draw
-    stays. A plan may hold more actions than draws (a mutator can add several);
-    none is cut. No tokens give an empty plan.
-
-    The identifier pool and the raw draws are separate projections: inside a
-    lambda Spark does not share repeated subexpressions, so each is computed
-    once per text here instead of once per reference.
+    """M6 (+ M16): ``edit_count`` draws per text; each draw picks a mutator by
+    weight (default: the random mutator only, as the reference job runs) and
+    adds its edits.
+
+    A draw whose mutator finds no position, or that would change or delete a
+    token a second time, is drawn again with the next number, up to ``TRIES``
+    numbers; so a plan holds its draws wherever the text allows. A plan may
+    hold more actions than draws (a mutator can add several); none is cut. No
+    tokens give an empty plan.
     """
     toks, doc = F.col(toks_col), F.col(doc_col)
     active = [(m, w) for m, w in zip(MUTATORS, weights) if w]
@@ -238,20 +190,41 @@ def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str =
     def draw_edits(d):
         if len(active) == 1:
             return mutator_edits(active[0][0], toks, F.col("_idents"), seed, doc, d)
-        which = weighted_choice([w for _, w in active], seed, doc, d, F.lit("mut"))
         expr = None
+        which = weighted_choice([w for _, w in active], seed, doc, d, F.lit("mut"))
         for i, (m, _) in enumerate(active):
-            e = mutator_edits(m, toks, F.col("_idents"), seed, doc, d)
+            e = mutator_edits(m, toks, F.col("_idents"), seed, doc, d).cast(f"array<{EDIT_TYPE}>")
             expr = F.when(which == i, e) if expr is None else expr.when(which == i, e)
         return expr
-    staged = (df.withColumn("_idents", identifier_pool(toks))
-              .withColumn("_raw", F.flatten(F.transform(F.sequence(F.lit(1), edit_count(seed, doc)), draw_edits))))
-    raw = F.col("_raw")
-    kept = F.filter(raw, lambda e: (e["act"] == INSERT_BEFORE) | ~F.exists(
-        raw, lambda f: (f["act"] != INSERT_BEFORE) & (f["pos"] == e["pos"]) & (f["draw"] < e["draw"])))
-    empty = F.array().cast(f"array<{EDIT_TYPE}>")
-    return (staged.withColumn(out, F.when(F.size(toks) > 0, kept).otherwise(empty))
-            .drop("_idents", "_raw"))
+
+    def state(n, taken, edits):
+        return F.struct(n.cast("int").alias("n"), taken.cast("array<int>").alias("taken"),
+                        edits.cast(f"array<{EDIT_TYPE}>").alias("edits"))
+
+    def add(s, edits):
+        own = F.transform(F.filter(edits, lambda e: e["act"] != INSERT_BEFORE), lambda e: e["pos"])
+        fits = (F.size(edits) > 0) & ~F.arrays_overlap(s["taken"], own)
+        return F.when(fits, state(s["n"] + 1, F.concat(s["taken"], own), F.concat(s["edits"], edits))).otherwise(s)
+
+    # draws past the last one needed are not evaluated
+    folded = F.aggregate(
+        F.sequence(F.lit(1), F.lit(TRIES)), state(F.lit(0), F.array(), F.array()),
+        lambda s, d: F.when(s["n"] >= F.col("_k"), s).otherwise(
+            bind(draw_edits(d).cast(f"array<{EDIT_TYPE}>"), lambda e: add(s, e))),
+        lambda s: s["edits"])
+    return (df.withColumns({"_idents": identifier_pool(toks), "_k": edit_count(seed, doc)})
+            .withColumn(out, F.when(F.size(toks) > 0, folded).otherwise(F.array().cast(f"array<{EDIT_TYPE}>")))
+            .drop("_idents", "_k"))
+
+
+def placed(plan: Column, toks: Column, off: Column) -> Column:
+    """M2: a plan whose edits also carry ``at``, the character offset of their
+    token, or of the text's end for an insert after the last one. ``off``: the
+    tokens' offsets (K4)."""
+    end = F.try_element_at(off, F.lit(-1)) + F.length(F.try_element_at(toks, F.lit(-1)))
+    return F.transform(plan, lambda e: F.struct(
+        *[e[c].alias(c) for c in ("draw", "act", "pos", "frm", "to")],
+        F.when(e["pos"] < F.size(toks), F.get(off, e["pos"])).otherwise(end).alias("at")))
 
 
 _ELEM_TYPE = "array<struct<o:int,sub:int,tok:string,old:string,kind:int>>"
@@ -329,34 +302,68 @@ def repair_slots(df: DataFrame, doc_col: str, toks_col: str, plan_col: str) -> D
                                           lambda x: x["a"]), ";").alias("actions")))
 
 
-def shift_offsets(el: DataFrame, tt: DataFrame, doc_col: str) -> DataFrame:
-    """M9: offsets and lines of the new text's tokens.
+def new_places(els: Column, toks: Column, places: Column) -> Column:
+    """M9: struct of arrays ``off`` and ``line`` of the new text's tokens, as
+    applying the edits one by one from the right gives them.
 
-    Each edit moves everything after it: a delete by ``1 - len(old)``, an
-    insert by ``len(new) + 2``, a change by both; a new token stands one
-    place after the token it is put in front of (or after the last token),
-    on that token's line. Line numbers never change. ``el`` is
-    :func:`element_table`, ``tt`` the token table of the source text.
-    Output ``doc, idx, tok, off, line`` for the tokens of the new text.
+    An edit moves all that is behind it: a delete by ``1 - len(old)``, an
+    insert by ``len(new) + 2``, a change by both. A new token stands on the
+    line of the token that then follows it and one place behind that token's
+    start, which moves on; with none behind, one place after the end of the
+    source token before it; with none before either, where the text's first
+    token stood. So a token that stays ends at its old offset plus all moves
+    before it, and a row of new tokens is laid out leftwards from the next
+    one that stays. ``els``: :func:`with_elements`; ``places``: K4 of the
+    source text. Running sums over a batch of rows, no shuffle.
     """
-    t = tt.select(doc_col, F.col("pos").alias("_apos"), F.col("off").alias("_aoff"),
-                  F.col("line").alias("_aline"), F.length("tok").alias("_alen"))
-    n = tt.groupBy(doc_col).agg((F.max("pos") + 1).alias("_n"))
-    kind = F.col("kind")
-    anchor = (F.when(kind.isin(0, DELETE), F.col("o") / 2).when(kind == CHANGE, F.col("o") / 2 + 1)
-              .otherwise((F.col("o") + 1) / 2)).cast("int")
-    e = (el.join(n, doc_col).withColumn("_anchor", anchor)
-         .withColumn("_next", F.col("_anchor") < F.col("_n"))
-         .withColumn("_apos", F.when(F.col("_next"), F.col("_anchor")).otherwise(F.col("_n") - 1))
-         .join(t, [doc_col, "_apos"], "left"))
-    lold, lnew = F.length(F.coalesce("old", F.lit(""))), F.length(F.coalesce("tok", F.lit("")))
-    base = (F.when(kind.isin(0, DELETE), F.col("_aoff"))
-            .when(~F.col("_next"), F.col("_aoff") + F.col("_alen") + 1)
-            .when(kind == CHANGE, F.col("_aoff") + (1 - lold) + 1)
-            .otherwise(F.col("_aoff") + 1))
-    delta = (F.when(kind == 0, F.lit(0)).when(kind == 1, lnew + 2).when(kind == DELETE, 1 - lold)
-             .otherwise((1 - lold) + lnew + 2))
-    w = Window.partitionBy(doc_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    out = e.withColumn("off", base + F.coalesce(F.sum(delta).over(w), F.lit(0)))
-    return (out.where(kind != DELETE)
-            .select(doc_col, "idx", "tok", F.col("off").cast("int").alias("off"), F.col("_aline").alias("line")))
+
+    @F.arrow_udf("struct<off:array<int>,line:array<int>>")
+    def move(e: pa.Array, t: pa.Array, o: pa.Array, ln: pa.Array) -> pa.Array:
+        flat, at = list_rows(e)
+        n = len(flat)
+        whole = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        kind, order = whole(flat.field("kind")), whole(flat.field("o"))
+        lnew, lold = whole(pc.utf8_length(flat.field("tok"))), whole(pc.utf8_length(flat.field("old")))
+        src, src_at = list_rows(t)
+        off, line, size = whole(list_rows(o)[0]), whole(list_rows(ln)[0]), whole(pc.utf8_length(src))
+        row = np.repeat(np.arange(len(e)), np.diff(at))
+        pos = (order + 1) // 2                       # source token, or the one an insert stands before
+        new, kept = (kind == 1) | (kind == CHANGE), kind == 0
+        move_by = np.where(new, lnew + 2, 0) + np.where((kind == DELETE) | (kind == CHANGE), 1 - lold, 0)
+        width = np.where(new, lnew + 1, 0)
+        before = np.cumsum(move_by) - move_by
+        laid = np.cumsum(width) - width
+        head = np.minimum(at[:-1], max(n - 1, 0))
+        before = before - before[head][row] if n else before
+        place, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        own = src_at[row] + pos
+        place[kept], lines[kept] = off[own[kept]] + before[kept], line[own[kept]]
+        # the element that a new token is laid out from: the next one that
+        # stays, or the last new one of its row
+        steps = np.arange(n)
+        follow = np.minimum.accumulate(np.where(kept, steps, n)[::-1])[::-1]
+        last = np.maximum.accumulate(np.where(new, steps, -1))
+        ends = at[1:][row]
+        tail = new & (follow >= ends)
+        anchor = np.where(tail, last[ends - 1] if n else 0, np.minimum(follow, max(n - 1, 0)))
+        z = np.unique(anchor[tail])
+        prev = np.maximum(own[z] - 1, src_at[row[z]])
+        place[z] = off[prev] + np.where(pos[z] > 0, size[prev] + 1, 0) + before[z]
+        lines[z] = line[prev]
+        place[new] = place[anchor[new]] - (laid[anchor[new]] - laid[new])
+        lines[new] = lines[anchor[new]]
+        stays = kind != DELETE
+        out_at = np.concatenate([[0], np.cumsum(np.bincount(row[stays], minlength=len(e)))])
+        return pa.StructArray.from_arrays(
+            [as_lists(out_at, pa.array(x[stays].astype(np.int32))) for x in (place, lines)], names=["off", "line"])
+
+    return move(els, toks, places["off"], places["line"])
+
+
+def with_new_tokens(df: DataFrame, toks_col: str, plan_col: str, places_col: str, out: str = "new_tokens") -> DataFrame:
+    """M7 + M9: the new text's tokens, an array of ``tok, off, line``."""
+    e = with_elements(df, toks_col, plan_col, "_els")
+    e = e.withColumn("_new", new_places(F.col("_els"), F.col(toks_col), F.col(places_col)))
+    toks = F.transform(F.filter("_els", lambda x: x["kind"] != DELETE), lambda x: x["tok"])
+    return e.withColumn(out, F.arrays_zip(toks.alias("tok"), F.col("_new.off").alias("off"),
+                                          F.col("_new.line").alias("line"))).drop("_els", "_new")

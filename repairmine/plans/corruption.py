@@ -14,7 +14,7 @@ from repairmine.operators import corrupt as M
 from repairmine.operators import tokens as K
 from repairmine.plans.registry import register
 from repairmine.plans.sqltext import q
-from repairmine.plans.text import D_CLEAN_CTE, D_PIECE, D_SUBT
+from repairmine.plans.text import D_CLEAN_CTE, D_LINES, D_PIECE, D_REF, D_STRIP, D_SUBT, D_TOKTAB, d, d_ref_line_no
 from repairmine.sources.tables import read_table
 
 SEED = 11
@@ -84,21 +84,33 @@ def d_replacement(doc: str, frm: str, draw: str) -> str:
     ELSE {d_misspell(frm, doc, draw)} END, '')"""
 
 
-def d_plan_ctes(src: str, doc: str) -> str:
-    """CTEs p1..p4 over ``src(doc, toks)``: raw draws, then kept plan ``plan``."""
+D_K = "((('0x' || substr(md5('" + str(SEED) + "|' || CAST({doc} AS VARCHAR) || '|k'), 1, 8))::BIGINT) % 9) + 1"
+
+
+def d_draw_ctes(src: str, doc: str, last: str, pre: str = "p", keep: str = "r") -> str:
+    """CTEs ``<pre>1..<pre>4`` over ``src(doc, toks)``: the random edits of the
+    draws 1 to ``last``; ``keep`` picks from the draws once their action and
+    position are known."""
     act = (f"CASE {dweighted(M.ACTION_WEIGHTS, doc, 'd', 'a')} WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 3 END")
-    k = f"(((('0x' || substr(md5('{SEED}|' || CAST({doc} AS VARCHAR) || '|k'), 1, 8))::BIGINT) % 9) + 1)"
-    return f"""p1 AS (SELECT {doc} AS doc, toks, {d_idents('toks')} AS idents,
-  list_transform(range(1, {k} + 1), lambda d: {{'draw': d, 'act': {act}}}) AS r FROM {src}),
-p2 AS (SELECT doc, toks, idents, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act,
+    return f"""{pre}1 AS (SELECT {doc} AS doc, toks, {d_idents('toks')} AS idents, {D_K.format(doc=doc)} AS k,
+  list_transform(range(1, {last} + 1), lambda d: {{'draw': d, 'act': {act}}}) AS r FROM {src}),
+{pre}2 AS (SELECT doc, toks, idents, k, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act,
   'pos': CASE WHEN e.act = 1 THEN {dd('doc', 'e.draw', 'p')} % (len(toks) + 1)
-         ELSE {dd('doc', 'e.draw', 'p')} % len(toks) END}}) AS r FROM p1),
-p3 AS (SELECT doc, toks, idents, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act, 'pos': e.pos,
-  'frm': CASE WHEN e.act = 1 THEN '' ELSE toks[e.pos + 1] END}}) AS r FROM p2),
-p4 AS (SELECT doc, toks, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act, 'pos': e.pos, 'frm': e.frm,
-  'to': CASE WHEN e.act = 3 THEN '' ELSE {d_replacement('doc', 'e.frm', 'e.draw')} END}}) AS r FROM p3),
-plans AS (SELECT doc, toks, r, CASE WHEN len(toks) = 0 THEN [] ELSE list_filter(r, lambda e: e.act = 1 OR NOT
-  list_bool_or(list_transform(r, lambda f: f.act <> 1 AND f.pos = e.pos AND f.draw < e.draw))) END AS plan FROM p4)"""
+         ELSE {dd('doc', 'e.draw', 'p')} % len(toks) END}}) AS r FROM {pre}1),
+{pre}3 AS (SELECT doc, toks, idents, list_transform({keep}, lambda e: {{'draw': e.draw, 'act': e.act, 'pos': e.pos,
+  'frm': CASE WHEN e.act = 1 THEN '' ELSE toks[e.pos + 1] END}}) AS r FROM {pre}2),
+{pre}4 AS (SELECT doc, toks, list_transform(r, lambda e: {{'draw': e.draw, 'act': e.act, 'pos': e.pos, 'frm': e.frm,
+  'to': CASE WHEN e.act = 3 THEN '' ELSE {d_replacement('doc', 'e.frm', 'e.draw')} END}}) AS r FROM {pre}3)"""
+
+
+def d_plan_ctes(src: str, doc: str) -> str:
+    """CTE ``plans(doc, toks, plan)``: of the draws 1 to ``TRIES`` the first k
+    that do not change or delete a token again. A draw is such a one if its
+    position stands at its own place first (inserts have a key of their own)."""
+    key = "CASE WHEN e.act = 1 THEN -e.draw ELSE e.pos END"
+    first = (f"list_filter(r, lambda e, i: list_position(list_transform(r, lambda e: {key}), {key}) = i)[1:k]")
+    return f"""{d_draw_ctes(src, doc, str(M.TRIES), "t", first)},
+plans AS (SELECT doc, toks, CASE WHEN len(toks) = 0 THEN [] ELSE r END AS plan FROM t4)"""
 
 
 def d_plan_text(p: str) -> str:
@@ -111,7 +123,7 @@ D_DOC_TOKS = f"dt AS (SELECT doc_id, regexp_extract_all(text, {D_PIECE}, 2) AS t
 
 # --- queries ----------------------------------------------------------------------
 
-@register("draw_action", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}
+@register("draw_action", oracle=f"""WITH {D_DOC_TOKS}, {d_draw_ctes('dt', 'doc_id', 'k')}
 SELECT doc AS doc_id, array_to_string(list_transform(r, lambda e: e.act), ',') AS acts FROM p4
 WHERE len(toks) > 0""")
 def q_draw_action(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,18 +134,24 @@ def q_draw_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.transform(raw, lambda e: e["act"].cast("string")), ",").alias("acts"))
 
 
-@register("draw_position", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}
-SELECT doc AS doc_id, array_to_string(list_transform(r, lambda e: e.pos), ',') AS positions FROM p4
-WHERE len(toks) > 0""")
+@register("draw_position", oracle=f"""WITH {D_DOC_TOKS}, {d_draw_ctes('dt', 'doc_id', 'k')}, {D_TOKTAB},
+pe AS (SELECT doc, len(toks) AS n, unnest(r) AS e FROM p4 WHERE len(toks) > 0)
+SELECT doc AS doc_id, string_agg(CAST(e.pos AS VARCHAR), ',' ORDER BY e.draw) AS positions,
+  string_agg(CAST(off + CASE WHEN e.pos = n THEN length(tok) ELSE 0 END AS VARCHAR), ',' ORDER BY e.draw) AS char_positions
+FROM pe JOIN tt ON tt.doc_id = doc AND tt.pos = least(e.pos, n - 1) GROUP BY doc""")
 def q_draw_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2: position of every draw (0..n for inserts, 0..n-1 otherwise)."""
-    d = _docs(spark, sf_dir).where(F.size("toks") > 0).withColumn("_idents", M.identifier_pool(F.col("toks")))
+    """M2: position of every draw (0..n for inserts, 0..n-1 otherwise), as a
+    token number and as a character offset."""
+    docs = with_places(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").where(F.size("toks") > 0)
+    docs = docs.withColumn("_idents", M.identifier_pool(F.col("toks")))
     raw = F.transform(F.sequence(F.lit(1), M.edit_count(SEED, F.col("doc_id"))),
                       lambda i: M.random_edit(F.col("toks"), F.col("_idents"), SEED, F.col("doc_id"), i))
-    return d.select("doc_id", F.array_join(F.transform(raw, lambda e: e["pos"].cast("string")), ",").alias("positions"))
+    docs = docs.withColumn("_at", M.placed(raw, F.col("toks"), F.col("places.off")))
+    return docs.select("doc_id", *[F.array_join(F.transform("_at", lambda e: e[c].cast("string")), ",").alias(name)
+                                   for c, name in (("pos", "positions"), ("at", "char_positions"))])
 
 
-@register("random_edit", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}
+@register("random_edit", oracle=f"""WITH {D_DOC_TOKS}, {d_draw_ctes('dt', 'doc_id', 'k')}
 SELECT doc AS doc_id, {d_plan_text('[r[1]]')} AS edit FROM p4 WHERE len(toks) > 0""")
 def q_random_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: the first random edit of each text (action, position, value)."""
@@ -145,7 +163,8 @@ def q_random_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("edit_plan", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}
 SELECT doc AS doc_id, {d_plan_text('plan')} AS plan FROM plans""")
 def q_edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: plan of 1..9 edits per text, one non-insert edit per position."""
+    """M6: plan of 1..9 edits per text, one non-insert edit per position; a
+    draw that collides is drawn again."""
     d = M.with_edit_plan(_docs(spark, sf_dir), "doc_id", "toks", SEED)
     return d.select("doc_id", plan_text("plan").alias("plan"))
 
@@ -172,10 +191,20 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5(F.array_join("new_toks", "\u0001")).alias("tokens_md5"))
 
 
-@register("repair_slots")
+D_ELEMENT_ROWS = """er AS (SELECT doc, e.o AS o, e.tok AS tok, e.old AS old, e.kind AS kind, i FROM (
+  SELECT doc, unnest(els) AS e, generate_subscripts(els, 1) - 1 AS i FROM el))"""
+
+
+@register("repair_slots", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}, {D_ELEMENTS}, {D_ELEMENT_ROWS},
+sl AS (SELECT *, sum(CASE WHEN kind <> 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY i) AS upto,
+  coalesce(sum(CASE WHEN kind <> 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY o
+    RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS behind FROM er)
+SELECT doc AS doc_id, CAST(CASE WHEN kind = 3 THEN behind ELSE upto END AS BIGINT) AS slot,
+  string_agg(CASE kind WHEN 1 THEN '3:' WHEN 4 THEN '4:' || old ELSE '2:' || old END, ';' ORDER BY i DESC) AS actions
+FROM sl WHERE kind <> 0 GROUP BY 1, 2""")
 def q_repair_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: inverse repair actions per slot of each corrupted document
-    (checked in tests against a sequential implementation)."""
+    (a test takes them back, to the source text)."""
     d = M.with_edit_plan(_docs(spark, sf_dir), "doc_id", "toks", SEED)
     return M.repair_slots(d, "doc_id", "toks", "plan")
 
@@ -197,18 +226,42 @@ from repairmine.session import materialize, written_once  # noqa: E402
 from repairmine.sources.submissions import submissions, typed_submissions  # noqa: E402
 
 
-@register("shift_offsets")
+D_NEW_PLACES = """
+eb AS (SELECT *, coalesce(sum(CASE kind WHEN 0 THEN 0 WHEN 1 THEN lnew + 2 WHEN 3 THEN 1 - lold
+    ELSE 1 - lold + lnew + 2 END) OVER ahead, 0) AS moved,
+  coalesce(sum(CASE WHEN kind IN (1, 4) THEN lnew + 1 ELSE 0 END) OVER ahead, 0) AS laid,
+  coalesce(min(CASE WHEN kind = 0 THEN i END) OVER (PARTITION BY doc ORDER BY i
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(CASE WHEN kind IN (1, 4) THEN i END) OVER (PARTITION BY doc))
+    AS anchor
+  FROM (SELECT *, CASE WHEN kind = 1 THEN (o + 1) // 2 ELSE o // 2 END AS p, coalesce(length(tok), 0) AS lnew,
+    length(old) AS lold FROM er)
+  WINDOW ahead AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+np AS (SELECT x.doc, x.i, x.tok, s.line, s.off + CASE WHEN y.kind <> 0 AND y.p > 0 THEN length(s.tok) + 1 ELSE 0 END
+    + y.moved - (y.laid - x.laid) AS off
+  FROM eb x JOIN eb y ON y.doc = x.doc AND y.i = x.anchor
+  JOIN tt s ON s.doc_id = y.doc AND s.pos = CASE WHEN y.kind = 0 THEN y.p ELSE greatest(y.p - 1, 0) END
+  WHERE x.kind <> 3)"""
+
+
+def with_places(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``toks`` and ``places`` (K1, K4) of a text."""
+    df = df.withColumns({"toks": K.tokens_of(F.col(text_col)), "_gaps": K.gaps_of(F.col(text_col))})
+    return df.withColumn("places", K.places_of(F.col("_gaps"), F.col("toks"))).drop("_gaps")
+
+
+@register("shift_offsets", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}, {D_ELEMENTS}, {D_ELEMENT_ROWS},
+{D_TOKTAB}, {D_NEW_PLACES}
+SELECT doc AS doc_id, count(*) AS n_tokens, md5(string_agg(off || ':' || line, ',' ORDER BY i)) AS coords_md5
+FROM np GROUP BY doc""")
 def q_shift_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: offset and line of every token of each corrupted document."""
-    docs = read_table(spark, sf_dir, "documents")
-    planned = M.with_edit_plan(_docs(spark, sf_dir), "doc_id", "toks", SEED)
-    so = M.shift_offsets(M.element_table(planned, "doc_id", "toks", "plan"),
-                         K.token_table(docs, "doc_id", "text"), "doc_id")
-    coord = F.concat_ws(":", F.col("off").cast("string"), F.col("line").cast("string"))
-    return so.groupBy("doc_id").agg(
-        F.count("*").cast("bigint").alias("n_tokens"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", coord.alias("c")))),
-                                       lambda x: x["c"]), ",")).alias("coords_md5"))
+    docs = with_places(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    new = M.with_new_tokens(M.with_edit_plan(docs, "doc_id", "toks", SEED), "toks", "plan", "places")
+    t = F.col("new_tokens")
+    coord = F.transform(t, lambda x: F.concat_ws(":", x["off"].cast("string"), x["line"].cast("string")))
+    told = F.when(F.size(t) > 0, F.array(F.struct(F.size(t).cast("bigint").alias("n_tokens"),
+                                                  F.md5(F.array_join(coord, ",")).alias("coords_md5"))))
+    return new.select("doc_id", F.explode(told).alias("e")).select("doc_id", "e.*")
 
 
 def cleaned_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +286,7 @@ def _mutator_query(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         src = passing_code(spark, sf_dir).select("id", K.tokens_of(F.col("code")).alias("toks"))
         src = src.withColumn("_idents", M.identifier_pool(F.col("toks")))
-        e = M.with_mutator_edits(src, kind, "toks", "_idents", "id", SEED)
+        e = src.withColumn("edits", M.mutator_edits(kind, F.col("toks"), F.col("_idents"), SEED, F.col("id"), F.lit(1)))
         return e.select("id", F.when(F.size("edits") > 0, plan_text("edits")).alias("edits"))
     run.__doc__ = (f"Mutator '{kind}' at a drawn matching position of each passing text (null when the "
                    f"text has no matching position).")
@@ -268,10 +321,51 @@ for _name, _kind in [("mut_identifier", "identifier"), ("mut_brace", "brace"), (
     register(_name, oracle=d_mutator(_kind))(_mutator_query(_kind))
 
 
-@register("mutator_mix")
+def d_mutator_mix() -> str:
+    """The plan drawn number by number: one recursive step a number, for the
+    texts whose plan is not yet full."""
+    find = {"identifier": "list_contains(idents, toks[i + 1])", "brace": "toks[i + 1] IN ('{', '}', '(', ')')",
+            "brace_pair": "toks[i + 1] = '(' AND toks[i + 2] = ')'", "semicolon": "toks[i + 1] = ';'",
+            "return": "toks[i + 1] = 'return'", "pointer": "toks[i + 1] IN ('*', '&')"}
+    lists = ", ".join(f"list_filter(range(0, len(toks)), lambda i: coalesce({x}, false)) AS c_{k}" for k, x in find.items())
+    act = f"CASE {dweighted(M.ACTION_WEIGHTS, 'doc', 'd', 'a')} WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 3 END"
+    ins = f"{dd('doc', 'd', 'mk')} % 2 = 1"
+    own = "CASE mut " + " ".join(f"WHEN {j} THEN c_{k}" for j, k in enumerate(M.MUTATORS[1:-1], 1)) + (
+        f" ELSE CASE WHEN {ins} THEN c_identifier ELSE c_pointer END END")
+    end = "coalesce(list_min(list_filter(c_semicolon, lambda j: j > p)), len(toks) - 1)"
+    one = lambda act, pos, frm, to: f"{{'draw': d, 'act': {act}, 'pos': {pos}, 'frm': {frm}, 'to': {to}}}"
+    cut = lambda pos: one(3, pos, f"toks[{pos} + 1]", "''")
+    sign = f"CASE WHEN {dd('doc', 'd', 'mv')} % 2 = 0 THEN '*' ELSE '&' END"
+    return f"""WITH RECURSIVE {D_SUBT}, {D_CLEAN_CTE},
+m0 AS (SELECT id AS doc, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
+m1 AS MATERIALIZED (SELECT *, {d_idents('toks')} AS idents, {D_K.format(doc='doc')} AS k FROM m0),
+m2 AS MATERIALIZED (SELECT *, {lists} FROM m1 WHERE len(toks) > 0),
+st AS (SELECT doc, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS n, [{{'draw': CAST(0 AS BIGINT), 'act': 0, 'pos': CAST(0 AS BIGINT),
+    'frm': '', 'to': ''}}][2:] AS plan FROM m2
+  UNION ALL
+  SELECT doc, d, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN list_concat(plan, es) ELSE plan END FROM (
+    SELECT *, len(es) > 0 AND NOT list_has_any(
+      list_transform(list_filter(plan, lambda x: x.act <> 1), lambda x: x.pos),
+      list_transform(list_filter(es, lambda x: x.act <> 1), lambda x: x.pos)) AS ok FROM (
+    SELECT *, CASE WHEN p IS NULL THEN [] WHEN mut = 0 THEN [{one('act', 'p', 'frm', "CASE WHEN act = 3 THEN '' ELSE " + d_replacement('doc', 'frm', 'd') + " END")}]
+      WHEN mut = 1 THEN [{one(4, 'p', 'frm', d_replacement('doc', 'frm', 'd'))}]
+      WHEN mut = 3 THEN [{cut('p')}, {cut('(p + 1)')}]
+      WHEN mut = 5 THEN list_transform(range(p, {end} + 1), lambda i: {cut('i')})
+      WHEN mut = 6 AND {ins} THEN [{one(1, 'p', "''", sign)}] ELSE [{cut('p')}] END AS es FROM (
+    SELECT *, CASE WHEN mut = 0 AND act = 1 THEN '' ELSE toks[p + 1] END AS frm FROM (
+    SELECT *, CASE WHEN mut = 0 THEN {dd('doc', 'd', 'p')} % (len(toks) + CASE WHEN act = 1 THEN 1 ELSE 0 END)
+      ELSE {dpick('c', 'doc', 'd', 'mp')} END AS p FROM (
+    SELECT *, {own} AS c FROM (
+    SELECT *, {dweighted(M.ALL_MUTATOR_WEIGHTS, 'doc', 'd', 'mut')} AS mut, {act} AS act FROM (
+    SELECT st.d + 1 AS d, st.n, st.plan, m2.* FROM st JOIN m2 USING (doc) WHERE st.n < m2.k AND st.d < {M.TRIES}))))))))
+SELECT m1.doc AS id, CAST(coalesce(len(f.plan), 0) AS BIGINT) AS n_edits, coalesce({d_plan_text('f.plan')}, '') AS plan
+FROM m1 LEFT JOIN (SELECT doc, arg_max(plan, d) AS plan FROM st GROUP BY doc) f ON f.doc = m1.doc"""
+
+
+@register("mutator_mix", oracle=d_mutator_mix())
 def q_mutator_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per draw, a mutator chosen by the weights of all seven; draws
-    whose mutator finds no position add nothing."""
+    """Per draw, a mutator chosen by the weights of all seven; a draw
+    whose mutator finds no position, or collides, is drawn again."""
     src = passing_code(spark, sf_dir).select("id", K.tokens_of(F.col("code")).alias("toks"))
     planned = M.with_edit_plan(src, "id", "toks", SEED, weights=M.ALL_MUTATOR_WEIGHTS)
     return planned.select("id", F.size("plan").cast("bigint").alias("n_edits"), plan_text("plan").alias("plan"))
@@ -279,23 +373,41 @@ def q_mutator_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrupt_texts(src: DataFrame, id_col: str, code_col: str, seed=SEED, weights=M.RANDOM_ONLY) -> DataFrame:
     """Reference lines blanked (L4) -> tokens with offsets (K1, K4) ->
-    plan (M6) -> new tokens (M7) and offsets (M9) -> text (K5) -> reference
-    lines put back on their line numbers (L7). Texts without tokens
-    have no plan and are skipped; no text is too long. Output ``id, plan, text, conflicts``."""
-    blanked = src.select(id_col, L.blank_ref_lines(F.col(code_col)).alias("_blank"))
-    toks = blanked.select(id_col, K.tokens_of(F.col("_blank")).alias("toks"))
-    spark = src.sparkSession
-    planned = materialize(spark, M.with_edit_plan(toks, id_col, "toks", seed, weights=weights), "planned")
-    planned = planned.where(F.size("plan") > 0)
-    tt = K.token_table(blanked, id_col, "_blank")
-    so = M.shift_offsets(M.element_table(planned, id_col, "toks", "plan"), tt, id_col)
-    text = K.rebuild_text(so.withColumnRenamed("idx", "pos"), id_col)
+    plan (M6) with character offsets (M2) -> new tokens (M7) and offsets (M9)
+    -> text (K5), all in the row -> reference lines put back on their line
+    numbers (L7). Texts without tokens have no plan and are skipped, and so
+    are texts that lose every token; no text is too long. Output ``id, plan,
+    text, conflicts``."""
+    blanked = with_places(src.select(id_col, L.blank_ref_lines(F.col(code_col)).alias("_blank")), "_blank")
+    new = M.with_new_tokens(M.with_edit_plan(blanked, id_col, "toks", seed, weights=weights), "toks", "plan", "places")
+    made = materialize(src.sparkSession, new.select(
+        id_col, M.placed(F.col("plan"), F.col("toks"), F.col("places.off")).alias("plan"),
+        F.size("new_tokens").alias("_n"), K.text_of(F.col("new_tokens")).alias("text")), "corrupted")
+    made = made.where((F.size("plan") > 0) & (F.col("_n") > 0))
     saved = L.ref_line_numbers(src, id_col, code_col).select(id_col, "line_no", "line")
-    restored = L.restore_lines(text, saved, id_col, "text")
-    return planned.select(id_col, "plan").join(restored, id_col)
-
-
-@register("corrupt_text")
+    return made.select(id_col, "plan").join(L.restore_lines(made.select(id_col, "text"), saved, id_col, "text"), id_col)
+
+
+D_CORRUPTED = f"""{D_SUBT}, {D_CLEAN_CTE}, ps AS (SELECT * FROM cs WHERE status_code = 1), {d_ref_line_no('ps')},
+bk AS (SELECT id AS doc_id, array_to_string(list_transform({d(D_LINES, 'code')},
+  lambda l: CASE WHEN regexp_matches(l, {D_REF}) THEN '' ELSE l END), chr(10)) AS text FROM ps),
+bt AS (SELECT doc_id, regexp_extract_all(text, {D_PIECE}, 2) AS toks FROM bk),
+{d_plan_ctes('bt', 'doc_id')}, {D_ELEMENTS}, {D_ELEMENT_ROWS}, {D_TOKTAB.replace('FROM documents', 'FROM bk')}, {D_NEW_PLACES},
+nz AS (SELECT *, line - coalesce(lag(line) OVER w, 1) AS nl, off - coalesce(lag(off) OVER w, 0) AS doff,
+  coalesce(lag(length(tok)) OVER w, 0) AS plen FROM np WINDOW w AS (PARTITION BY doc ORDER BY i)),
+nt AS (SELECT doc, string_agg(repeat(chr(10), CAST(greatest(nl, 0) AS BIGINT)) || repeat(' ', CAST(greatest(
+  doff - CASE WHEN nl <> 0 THEN nl + 1 ELSE plen END, 0) AS BIGINT)) || tok, '' ORDER BY i) AS text FROM nz GROUP BY doc),
+nl AS (SELECT doc, unnest({d(D_LINES, 'text')}) AS cur, generate_subscripts({d(D_LINES, 'text')}, 1) - 1 AS n FROM nt),
+nj AS (SELECT nl.doc, n, cur, rl.line, rl.line IS NOT NULL AND {d(D_STRIP, 'cur')} = '' AS fits
+  FROM nl LEFT JOIN rl ON rl.id = nl.doc AND rl.line_no = n),
+made AS (SELECT doc, string_agg(CASE WHEN fits THEN line ELSE cur END, chr(10) ORDER BY n) AS text,
+  coalesce(any_value(t.saved), 0) - count(CASE WHEN fits THEN 1 END) AS conflicts
+  FROM nj LEFT JOIN (SELECT id, count(*) AS saved FROM rl GROUP BY id) t ON t.id = doc GROUP BY doc)"""
+
+
+@register("corrupt_text", oracle=f"""WITH {D_CORRUPTED}
+SELECT plans.doc AS id, CAST(len(plan) AS BIGINT) AS n_edits, text, CAST(conflicts AS BIGINT) AS conflicts
+FROM plans JOIN made ON made.doc = plans.doc WHERE len(plan) > 0""")
 def q_corrupt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M17 on the passing submissions."""
     c = corrupt_texts(passing_code(spark, sf_dir), "id", "code")
@@ -306,7 +418,8 @@ def q_corrupt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
     """Passing rows of users without a compile failure (J2) ->
     skip keys already done (J3) -> corrupt (M17) -> records with the edit
-    list as JSON text and the edit count as distance."""
+    list as JSON text (character offset and token position of every edit) and
+    the edit count as distance."""
     src = passing_code(spark, sf_dir)
     allrows = cleaned_submissions(spark, sf_dir)
     failing = allrows.where(F.col("status_code") == 7).select("user_id").distinct()
@@ -316,15 +429,26 @@ def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = No
     c = corrupt_texts(src, "id", "code")
     acts_json = F.to_json(F.transform("plan", lambda x: F.struct(
         x["act"].alias("act_type"), x["frm"].alias("from_char"), x["to"].alias("to_char"),
-        x["pos"].alias("token_pos"))))
+        x["at"].alias("ac_pos"), x["pos"].alias("token_pos"))))
     return src.join(c, "id").select(
         "id", F.lit(None).cast("string").alias("submit_url"), F.col("problem_name").alias("problem_id"),
         "user_id", "problem_user_id", F.col("text").alias("code"), F.col("code").alias("similar_code"),
         acts_json.alias("modify_action_list"), F.size("plan").cast("int").alias("distance"))
 
 
-@register("corruption_job")
+@register("corruption_job", oracle=f"""WITH {D_CORRUPTED},
+pa AS (SELECT p.doc, e.draw AS draw, {{'act_type': e.act, 'from_char': e.frm, 'to_char': e."to",
+    'ac_pos': tt.off + CASE WHEN e.pos = n THEN length(tt.tok) ELSE 0 END, 'token_pos': e.pos}} AS a
+  FROM (SELECT doc, len(toks) AS n, unnest(plan) AS e FROM plans) p
+  JOIN tt ON tt.doc_id = p.doc AND tt.pos = least(e.pos, n - 1)),
+pj AS (SELECT doc, CAST(to_json(list(a ORDER BY draw)) AS VARCHAR) AS acts, count(*) AS n FROM pa GROUP BY doc)
+SELECT ps.id, CAST(NULL AS VARCHAR) AS submit_url, problem_name AS problem_id, user_id,
+  problem_name || '_' || user_id AS problem_user_id, made.text AS code, ps.code AS similar_code,
+  pj.acts AS modify_action_list, CAST(pj.n AS INTEGER) AS distance
+FROM ps JOIN made ON made.doc = ps.id JOIN pj ON pj.doc = ps.id
+WHERE NOT EXISTS (SELECT 1 FROM cs f WHERE f.status_code = 7 AND f.user_id = ps.user_id)""")
 def q_corruption_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M18 on the cleaned submissions."""
     return corruption_job(spark, sf_dir)
 
 
@@ -346,7 +470,7 @@ def q_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("draw_replacement", oracle=f"""WITH {D_SUBT}, {D_CLEAN_CTE},
 st AS (SELECT id, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
-{d_plan_ctes('st', 'id')}
+{d_draw_ctes('st', 'id', 'k')}
 SELECT doc AS id, {d_plan_text('r')} AS draws FROM p4 WHERE len(toks) > 0""")
 def q_draw_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: replacement value of every draw on the passing submissions (other

@@ -264,15 +264,19 @@ def q_blank_ref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_submissions(submissions(spark, sf_dir)).select("id", L.blank_ref_lines(F.col("code")).alias("code"))
 
 
-D_REF_LINE_NO = f"""
-refs AS (SELECT id, unnest({d_ref_lines('code')}) AS line, generate_subscripts({d_ref_lines('code')}, 1) - 1 AS k FROM subt),
+def d_ref_line_no(src: str) -> str:
+    return f"""
+refs AS (SELECT id, unnest({d_ref_lines('code')}) AS line, generate_subscripts({d_ref_lines('code')}, 1) - 1 AS k FROM {src}),
 al AS (SELECT id, {d(D_STRIP, 'raw')} AS line, min(n) AS line_no FROM (
-  SELECT id, unnest({d(D_LINES, 'code')}) AS raw, generate_subscripts({d(D_LINES, 'code')}, 1) - 1 AS n FROM subt)
+  SELECT id, unnest({d(D_LINES, 'code')}) AS raw, generate_subscripts({d(D_LINES, 'code')}, 1) - 1 AS n FROM {src})
   GROUP BY id, {d(D_STRIP, 'raw')}),
 rl AS (SELECT refs.id, CAST(refs.k AS BIGINT) AS k, CAST(al.line_no AS BIGINT) AS line_no, refs.line
   FROM refs LEFT JOIN al ON refs.id = al.id AND refs.line = al.line)"""
 
 
+D_REF_LINE_NO = d_ref_line_no("subt")
+
+
 @register("ref_line_no", oracle=f"""
 WITH {D_SUBT}, {D_REF_LINE_NO} SELECT id, k, line_no FROM rl""")
 def q_ref_line_no(spark: SparkSession, sf_dir: str) -> DataFrame:
