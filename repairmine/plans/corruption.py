@@ -321,8 +321,9 @@ for _name, _kind in [("mut_identifier", "identifier"), ("mut_brace", "brace"), (
     register(_name, oracle=d_mutator(_kind))(_mutator_query(_kind))
 
 
-def d_mutator_mix() -> str:
-    """The plan drawn number by number: one recursive step a number, for the
+def d_mix_ctes(src: str, doc: str) -> str:
+    """CTE ``plans(doc, toks, plan)`` over ``src(doc, toks)`` with all
+    mutators, drawn number by number: one recursive step a number, for the
     texts whose plan is not yet full."""
     find = {"identifier": "list_contains(idents, toks[i + 1])", "brace": "toks[i + 1] IN ('{', '}', '(', ')')",
             "brace_pair": "toks[i + 1] = '(' AND toks[i + 2] = ')'", "semicolon": "toks[i + 1] = ';'",
@@ -336,9 +337,7 @@ def d_mutator_mix() -> str:
     one = lambda act, pos, frm, to: f"{{'draw': d, 'act': {act}, 'pos': {pos}, 'frm': {frm}, 'to': {to}}}"
     cut = lambda pos: one(3, pos, f"toks[{pos} + 1]", "''")
     sign = f"CASE WHEN {dd('doc', 'd', 'mv')} % 2 = 0 THEN '*' ELSE '&' END"
-    return f"""WITH RECURSIVE {D_SUBT}, {D_CLEAN_CTE},
-m0 AS (SELECT id AS doc, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
-m1 AS MATERIALIZED (SELECT *, {d_idents('toks')} AS idents, {D_K.format(doc='doc')} AS k FROM m0),
+    return f"""m1 AS MATERIALIZED (SELECT {doc} AS doc, toks, {d_idents('toks')} AS idents, {D_K.format(doc=doc)} AS k FROM {src}),
 m2 AS MATERIALIZED (SELECT *, {lists} FROM m1 WHERE len(toks) > 0),
 st AS (SELECT doc, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS n, [{{'draw': CAST(0 AS BIGINT), 'act': 0, 'pos': CAST(0 AS BIGINT),
     'frm': '', 'to': ''}}][2:] AS plan FROM m2
@@ -357,12 +356,14 @@ st AS (SELECT doc, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS n, [{{'draw': CA
       ELSE {dpick('c', 'doc', 'd', 'mp')} END AS p FROM (
     SELECT *, {own} AS c FROM (
     SELECT *, {dweighted(M.ALL_MUTATOR_WEIGHTS, 'doc', 'd', 'mut')} AS mut, {act} AS act FROM (
-    SELECT st.d + 1 AS d, st.n, st.plan, m2.* FROM st JOIN m2 USING (doc) WHERE st.n < m2.k AND st.d < {M.TRIES}))))))))
-SELECT m1.doc AS id, CAST(coalesce(len(f.plan), 0) AS BIGINT) AS n_edits, coalesce({d_plan_text('f.plan')}, '') AS plan
-FROM m1 LEFT JOIN (SELECT doc, arg_max(plan, d) AS plan FROM st GROUP BY doc) f ON f.doc = m1.doc"""
+    SELECT st.d + 1 AS d, st.n, st.plan, m2.* FROM st JOIN m2 USING (doc) WHERE st.n < m2.k AND st.d < {M.TRIES})))))))),
+plans AS (SELECT m1.doc, m1.toks, coalesce(f.plan, []) AS plan
+  FROM m1 LEFT JOIN (SELECT doc, arg_max(plan, d) AS plan FROM st GROUP BY doc) f ON f.doc = m1.doc)"""
 
 
-@register("mutator_mix", oracle=d_mutator_mix())
+@register("mutator_mix", oracle=f"""WITH RECURSIVE {D_SUBT}, {D_CLEAN_CTE},
+m0 AS (SELECT id, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1), {d_mix_ctes('m0', 'id')}
+SELECT doc AS id, CAST(len(plan) AS BIGINT) AS n_edits, {d_plan_text('plan')} AS plan FROM plans""")
 def q_mutator_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per draw, a mutator chosen by the weights of all seven; a draw
     whose mutator finds no position, or collides, is drawn again."""
@@ -388,11 +389,13 @@ def corrupt_texts(src: DataFrame, id_col: str, code_col: str, seed=SEED, weights
     return made.select(id_col, "plan").join(L.restore_lines(made.select(id_col, "text"), saved, id_col, "text"), id_col)
 
 
-D_CORRUPTED = f"""{D_SUBT}, {D_CLEAN_CTE}, ps AS (SELECT * FROM cs WHERE status_code = 1), {d_ref_line_no('ps')},
+def d_corrupted(plan_ctes=d_plan_ctes) -> str:
+    """CTEs ``plans`` and ``made(doc, text, conflicts)`` of the passing submissions."""
+    return f"""{D_SUBT}, {D_CLEAN_CTE}, ps AS (SELECT * FROM cs WHERE status_code = 1), {d_ref_line_no('ps')},
 bk AS (SELECT id AS doc_id, array_to_string(list_transform({d(D_LINES, 'code')},
   lambda l: CASE WHEN regexp_matches(l, {D_REF}) THEN '' ELSE l END), chr(10)) AS text FROM ps),
 bt AS (SELECT doc_id, regexp_extract_all(text, {D_PIECE}, 2) AS toks FROM bk),
-{d_plan_ctes('bt', 'doc_id')}, {D_ELEMENTS}, {D_ELEMENT_ROWS}, {D_TOKTAB.replace('FROM documents', 'FROM bk')}, {D_NEW_PLACES},
+{plan_ctes('bt', 'doc_id')}, {D_ELEMENTS}, {D_ELEMENT_ROWS}, {D_TOKTAB.replace('FROM documents', 'FROM bk')}, {D_NEW_PLACES},
 nz AS (SELECT *, line - coalesce(lag(line) OVER w, 1) AS nl, off - coalesce(lag(off) OVER w, 0) AS doff,
   coalesce(lag(length(tok)) OVER w, 0) AS plen FROM np WINDOW w AS (PARTITION BY doc ORDER BY i)),
 nt AS (SELECT doc, string_agg(repeat(chr(10), CAST(greatest(nl, 0) AS BIGINT)) || repeat(' ', CAST(greatest(
@@ -405,7 +408,7 @@ made AS (SELECT doc, string_agg(CASE WHEN fits THEN line ELSE cur END, chr(10) O
   FROM nj LEFT JOIN (SELECT id, count(*) AS saved FROM rl GROUP BY id) t ON t.id = doc GROUP BY doc)"""
 
 
-@register("corrupt_text", oracle=f"""WITH {D_CORRUPTED}
+@register("corrupt_text", oracle=f"""WITH {d_corrupted()}
 SELECT plans.doc AS id, CAST(len(plan) AS BIGINT) AS n_edits, text, CAST(conflicts AS BIGINT) AS conflicts
 FROM plans JOIN made ON made.doc = plans.doc WHERE len(plan) > 0""")
 def q_corrupt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +418,8 @@ def q_corrupt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("conflicts").cast("bigint").alias("conflicts"))
 
 
-def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
+def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = None,
+                   weights=M.RANDOM_ONLY) -> DataFrame:
     """Passing rows of users without a compile failure (J2) ->
     skip keys already done (J3) -> corrupt (M17) -> records with the edit
     list as JSON text (character offset and token position of every edit) and
@@ -426,7 +430,7 @@ def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = No
     src = src.join(failing, "user_id", "left_anti")
     if done is not None:
         src = src.join(done.select("problem_user_id").distinct(), "problem_user_id", "left_anti")
-    c = corrupt_texts(src, "id", "code")
+    c = corrupt_texts(src, "id", "code", weights=weights)
     acts_json = F.to_json(F.transform("plan", lambda x: F.struct(
         x["act"].alias("act_type"), x["frm"].alias("from_char"), x["to"].alias("to_char"),
         x["at"].alias("ac_pos"), x["pos"].alias("token_pos"))))
@@ -436,7 +440,7 @@ def corruption_job(spark: SparkSession, sf_dir: str, done: DataFrame | None = No
         acts_json.alias("modify_action_list"), F.size("plan").cast("int").alias("distance"))
 
 
-@register("corruption_job", oracle=f"""WITH {D_CORRUPTED},
+@register("corruption_job", oracle=f"""WITH {d_corrupted()},
 pa AS (SELECT p.doc, e.draw AS draw, {{'act_type': e.act, 'from_char': e.frm, 'to_char': e."to",
     'ac_pos': tt.off + CASE WHEN e.pos = n THEN length(tt.tok) ELSE 0 END, 'token_pos': e.pos}} AS a
   FROM (SELECT doc, len(toks) AS n, unnest(plan) AS e FROM plans) p
@@ -452,22 +456,51 @@ def q_corruption_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corruption_job(spark, sf_dir)
 
 
-@register("build_dataset")
-def q_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """test = real failures with 0 < d < 10, one per problem-user;
-    train / valid = synthetic rows, one per problem-user, valid = 10 % of
-    the users."""
+def build_dataset(spark: SparkSession, sf_dir: str, weights) -> DataFrame:
+    """test = real failures with 0 < d < 10, one per problem-user; train /
+    valid = synthetic rows with 0 < d < 10, one per problem-user, valid = 10 %
+    of the users. ``weights`` of the mutators tell the two variants apart."""
     from repairmine.plans.mining import mine_compile_errors
-    real = mine_compile_errors(spark, sf_dir).where((F.col("distance") > 0) & (F.col("distance") < 10))
-    real = T.cap_per_key(real.select("id", "problem_user_id", "user_id"), ["problem_user_id"], 1, SEED)
-    fake = T.cap_per_key(corruption_job(spark, sf_dir).select("id", "problem_user_id", "user_id"),
-                         ["problem_user_id"], 1, SEED)
+
+    def one_each(rows: DataFrame) -> DataFrame:
+        rows = rows.where((F.col("distance") > 0) & (F.col("distance") < 10))
+        return T.cap_per_key(rows.select("id", "problem_user_id", "user_id"), ["problem_user_id"], 1, SEED)
+    real = one_each(mine_compile_errors(spark, sf_dir))
+    fake = materialize(spark, one_each(corruption_job(spark, sf_dir, weights=weights)), "synthetic")
     valid_users = T.holdout_keys(fake, "user_id", 0.1, SEED)
     fake = T.split_by_keys(fake, "user_id", valid_users, "valid", "train")
     return (real.withColumn("split", F.lit("test")).withColumn("source", F.lit("real"))
             .unionByName(fake.withColumn("source", F.lit("synthetic"))))
 
 
+def d_build_dataset(plan_ctes) -> str:
+    from repairmine.plans.mining import D_MINE_COMPILE, d_with_scripts
+    from repairmine.plans.relational import d_cap, d_first_k
+    cols = "id, problem_user_id, user_id"
+    return f"""WITH re AS ({D_MINE_COMPILE}{d_with_scripts('SELECT id, problem_user_id, distance FROM w')}),
+ru AS (WITH {D_SUBT} SELECT re.*, subt.user_id FROM re JOIN subt ON subt.id = re.id WHERE distance > 0 AND distance < 10),
+fa AS (WITH RECURSIVE {d_corrupted(plan_ctes)}
+  SELECT ps.id, problem_name || '_' || user_id AS problem_user_id, user_id
+  FROM ps JOIN made ON made.doc = ps.id JOIN plans ON plans.doc = ps.id
+  WHERE len(plan) BETWEEN 1 AND 9 AND NOT EXISTS (SELECT 1 FROM cs f WHERE f.status_code = 7 AND f.user_id = ps.user_id)),
+f1 AS ({d_cap('fa', 'problem_user_id', 'id', 1, cols, SEED)}), va AS ({d_first_k('f1', 'user_id', 0.1, SEED)})
+SELECT {cols}, 'test' AS split, 'real' AS source FROM ({d_cap('ru', 'problem_user_id', 'id', 1, cols, SEED)})
+UNION ALL
+SELECT {cols}, CASE WHEN user_id IN (SELECT user_id FROM va) THEN 'valid' ELSE 'train' END, 'synthetic' FROM f1"""
+
+
+@register("build_dataset", oracle=d_build_dataset(d_plan_ctes))
+def q_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 with synthetic rows of the random mutator."""
+    return build_dataset(spark, sf_dir, M.RANDOM_ONLY)
+
+
+@register("build_dataset_mix", oracle=d_build_dataset(d_mix_ctes))
+def q_build_dataset_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 with synthetic rows of all mutators by weight."""
+    return build_dataset(spark, sf_dir, M.ALL_MUTATOR_WEIGHTS)
+
+
 @register("draw_replacement", oracle=f"""WITH {D_SUBT}, {D_CLEAN_CTE},
 st AS (SELECT id, regexp_extract_all(code, {D_PIECE}, 2) AS toks FROM cs WHERE status_code = 1),
 {d_draw_ctes('st', 'id', 'k')}

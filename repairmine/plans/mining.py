@@ -455,6 +455,17 @@ def q_distinct_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_per_key(m, ["problem_user_id"], 1, 7)
 
 
+@register("distinct_successes", oracle=D_SUCCESS + """
+, ok AS (SELECT id, problem_user_id FROM ch)
+SELECT id, problem_user_id FROM (SELECT *, row_number() OVER (PARTITION BY problem_user_id
+  ORDER BY md5('7|' || id), id) AS rn FROM ok) WHERE rn = 1""")
+def q_distinct_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success records that compile (flag 1), one per problem-user."""
+    from repairmine.operators.sample import cap_per_key
+    s = success_job(spark, sf_dir).where(F.col("gcc_compile_result") == 1).select("id", "problem_user_id")
+    return cap_per_key(s, ["problem_user_id"], 1, 7)
+
+
 def strict_pairs(df: DataFrame, fixed_ok: str, orig_ok: str) -> DataFrame:
     """pairs whose repaired text passes and whose original fails the
     stricter check (both verdicts are input columns)."""
