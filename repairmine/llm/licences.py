@@ -13,8 +13,11 @@ at most ``UNKNOWN_ROWS`` paragraphs of the corpus itself (those that hold a
 notice are labelled with its family). A held-out quarter calibrates it: a
 temperature for the probabilities, and the least probability that keeps
 unknown paragraphs out. A predicted family is confirmed by its templates: one
-of the family's notices must have ``CONFIRM`` of its word pairs in the
-paragraph, among them all that hold a number (the version).
+of the family's notices must have ``CONFIRM`` of its word pairs in a window
+of the paragraph, among them all that hold a number (the version); window and
+notice must hold the same deciding words (``DECIDING``: Affero, Lesser,
+NonCommercial and the like), and no negation may stand in the window, or up
+to four words before it in its sentence, that the notice does not hold.
 
 The sample's bounds are parameters; scoring covers every paragraph of every
 document, map-side, with the model (at most ``FEATURES`` rows) in the closure.
@@ -39,6 +42,11 @@ from .common import pieces
 
 # The usual short notices of licence families.
 TEMPLATES = {
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",
+                 "GNU Affero General Public License Version 3, 19 November 2007",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004",
                    "This project is released under the Apache 2.0 license.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -49,14 +57,22 @@ TEMPLATES = {
                   "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons "
                      "Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons "
+                        "Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons "
+                     "Attribution-NoDerivatives 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons "
                      "Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal Public Domain Dedication"),
+    "EPL-2.0": ("Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made "
+                "available under the terms of the Eclipse Public License 2.0."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
                 "GNU General Public License Version 3, 29 June 2007", "Released under the GPL version 3 or later.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
                 "or (at your option) any later version."),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for "
+            "any purpose with or without fee is hereby granted."),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",
                  "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
                  "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
@@ -65,6 +81,14 @@ TEMPLATES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
+# A file's licence identifier is a notice too.
+TEMPLATES = {family: (*notices, *(f"SPDX-License-Identifier: {i}" for i in (
+    ("BSD-2-Clause", "BSD-3-Clause") if family == "BSD" else (family,)))) for family, notices in TEMPLATES.items()}
+# Words that tell a family from its neighbours, and negations.
+DECIDING = {"affero", "agpl", "lesser", "lgpl", "noncommercial", "nc", "sharealike", "sa", "noderivatives",
+            "noderivs", "nd"}
+NEGATIONS = {"not", "never", "no", "nor", "neither", "cannot", "isn", "aren", "wasn", "weren", "without"}
+LOOK_BACK = 4
 # Sentences about licences that name no family.
 UNNAMED = (
     "All rights reserved.", "A valid license key is required to run this software.", "See the license file for details.",
@@ -81,6 +105,7 @@ FEATURES = 1 << 13
 CONFIRM = 0.8
 LEAKED = 0.001
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_STOP = re.compile(r"[^\W_]+|[.!?](?=\s|$)")
 
 
 def features(paragraph: str) -> list[str]:
@@ -88,14 +113,6 @@ def features(paragraph: str) -> list[str]:
     return [*dict.fromkeys(w), *dict.fromkeys(map(" ".join, zip(w, w[1:])))]
 
 
-def held(template: str, paragraph: str) -> float:
-    """Share of the template's word pairs that the paragraph holds; 0 if it
-    lacks one with a number."""
-    pairs = _pairs(template)
-    got = pairs & _pairs(paragraph)
-    return 0.0 if any(map(_numbered, pairs - got)) else len(got) / len(pairs)
-
-
 def _pairs(text: str) -> set[tuple[str, str]]:
     w = _WORD.findall(text.lower())
     return set(zip(w, w[1:]))
@@ -105,8 +122,8 @@ def _numbered(pair: tuple[str, str]) -> bool:
     return pair[0].isdigit() or pair[1].isdigit()
 
 
-#: Templates by word pair, and of each: family, pairs, numbered pairs, longest span in words.
-_KNOWN = [(f, _pairs(t), {p for p in _pairs(t) if _numbered(p)}, 2 * len(_WORD.findall(t)) + 8)
+#: Templates by word pair, and of each: family, pairs, numbered pairs, longest span in words, words.
+_KNOWN = [(f, _pairs(t), {p for p in _pairs(t) if _numbered(p)}, 2 * len(_WORD.findall(t)) + 8, set(_WORD.findall(t.lower())))
           for f, ts in TEMPLATES.items() for t in ts]
 _OF: dict[tuple[str, str], list[int]] = {}
 for _i, _t in enumerate(_KNOWN):
@@ -114,8 +131,32 @@ for _i, _t in enumerate(_KNOWN):
         _OF.setdefault(_p, []).append(_i)
 
 
-def spans(words: list[str]) -> list[tuple[str, int, int]]:
-    """(family, first word, last word) wherever a window holds ``CONFIRM`` of a template."""
+def words_of(line: str) -> tuple[list[str], set[int]]:
+    """The words of a line, and the numbers of those that begin a sentence."""
+    words, starts = [], set()
+    for x in _WORD_OR_STOP.findall(line.lower()):
+        if x in ".!?":
+            starts.add(len(words))
+        else:
+            words.append(x)
+    return words, starts
+
+
+def decided(own: set[str], words: list[str], starts: set[int], a: int, b: int) -> bool:
+    """Whether words ``a`` to ``b`` mean the notice with the words ``own``, not a neighbour or its denial."""
+    window = set(words[a:b + 1])
+    if window & DECIDING != own & DECIDING or window & NEGATIONS - own:
+        return False
+    for j in range(a, max(a - LOOK_BACK, 0), -1):
+        if j in starts:
+            break
+        if words[j - 1] in NEGATIONS:
+            return False
+    return True
+
+
+def spans(words: list[str], starts: set[int]) -> list[tuple[str, int, int]]:
+    """(family, first word, last word) wherever a window holds ``CONFIRM`` of a template and is ``decided``."""
     hits: dict[int, list[int]] = {}
     pairs = list(zip(words, words[1:]))
     for i, p in enumerate(pairs):
@@ -123,7 +164,7 @@ def spans(words: list[str]) -> list[tuple[str, int, int]]:
             hits.setdefault(k, []).append(i)
     out = []
     for k, at in hits.items():
-        family, own, numbered, reach = _KNOWN[k]
+        family, own, numbered, reach, vocabulary = _KNOWN[k]
         if len(at) < CONFIRM * len(own):
             continue
         seen: dict[tuple[str, str], int] = {}
@@ -136,14 +177,22 @@ def spans(words: list[str]) -> list[tuple[str, int, int]]:
                 if not seen[p]:
                     del seen[p]
                 first += 1
-            if len(seen) >= CONFIRM * len(own) and numbered <= seen.keys():
+            if (len(seen) >= CONFIRM * len(own) and numbered <= seen.keys()
+                    and decided(vocabulary, words, starts, at[first], i + 1)):
                 out.append((family, at[first], i + 1))
                 seen, first = {}, j + 1
     return out
 
 
 def best_template(paragraph: str) -> tuple[str, float]:
-    return max(((f, held(t, paragraph)) for f, ts in TEMPLATES.items() for t in ts), key=lambda x: x[1])
+    """The family whose notice the paragraph holds, with the share 1, or else
+    the one that shares most word pairs, with a share below 1."""
+    found = spans(*words_of(paragraph))
+    if found:
+        return max(found, key=lambda x: x[2] - x[1])[0], 1.0
+    own = _pairs(paragraph)
+    family, share = max(((k[0], len(k[1] & own) / len(k[1])) for k in _KNOWN), key=lambda x: x[1])
+    return family, min(share, 0.99)
 
 
 def training_rows(paragraphs: list[str], seed: int = 11) -> list[tuple[str, str]]:
@@ -152,7 +201,7 @@ def training_rows(paragraphs: list[str], seed: int = 11) -> list[tuple[str, str]
     out = []
     for p in paragraphs:
         family, share = best_template(p)
-        if share >= CONFIRM:
+        if share == 1:
             out.append((p, family))
         elif share < 0.5:
             out.append((p, UNKNOWN))
@@ -283,15 +332,16 @@ def scan(text: str | None, model: Model) -> tuple[int, list[tuple]]:
 
 def scan_block(block: list[tuple[int, str]], model: Model) -> list[tuple]:
     """Finds of lines without a blank one between them."""
-    found, words, of = [], [], []
+    found, words, of, starts = [], [], [], set()
     for i, line in block:
+        w, s = words_of(line)
         family, p = model.predict(line)
         if family != UNKNOWN:
-            found.append((i, family, p, max(held(t, line) for t in TEMPLATES[family]) >= CONFIRM))
-        w = _WORD.findall(line.lower())
+            found.append((i, family, p, any(x[0] == family for x in spans(w, s))))
+        starts |= {len(words) + k for k in s}
         words += w
         of += [i] * len(w)
-    for family, a, b in spans(words):
+    for family, a, b in spans(words, starts):
         inside = [x for x in found if of[a] <= x[0] <= of[b] and x[1] == family]
         if any(x[3] for x in inside):
             continue

@@ -34,6 +34,8 @@ SHARE = 1.5
 REPEATS = 2
 #: Rows that a slice of a running sum holds on average.
 SLICE_ROWS = 2_000
+#: Slices that one window adds up; more are added up in levels.
+WIDE = 4096
 #: Equal rows that queue as one entry.
 EQUAL_RUN = 64
 
@@ -67,12 +69,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
         F.least(F.col("weight") * level, F.col("capacity")), F.col("capacity")).alias("target"))
 
 
-def running(rows: DataFrame, keys: list[str], slice_col: str, order: list, amount: str, name: str) -> DataFrame:
-    """Sum of ``amount`` up to and with each row, in the order of slices and
-    of ``order`` inside them."""
-    sums = rows.groupBy(*keys, slice_col).agg(F.sum(amount).alias("__sum"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(
-        Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def slices_before(sums: DataFrame, keys: list[str], slice_col: str, last: int, wide: int = WIDE) -> DataFrame:
+    """``sums`` (``__sum`` of each slice, numbered 0 to ``last``) with
+    ``__before``, the sum of the slices ahead of it. Runs of ``wide`` slices
+    are summed as slices of a level above, until one run holds all: a window
+    never meets more than ``wide`` rows."""
+    ahead = lambda *by: F.coalesce(F.sum("__sum").over(
+        Window.partitionBy(*by).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if last < wide:
+        return sums.withColumn("__before", ahead(*keys))
+    up = f"{slice_col}_up"
+    own = sums.withColumn(up, F.expr(f"`{slice_col}` div {wide}")).withColumn("__inside", ahead(*keys, up))
+    above = slices_before(own.groupBy(*keys, up).agg(F.sum("__sum").alias("__sum")), keys, up, last // wide, wide)
+    return (own.join(above.drop("__sum"), [*keys, up])
+            .withColumn("__before", F.col("__before") + F.col("__inside")).drop("__inside", up))
+
+
+def running(rows: DataFrame, keys: list[str], slice_col: str, last: int, order: list, amount: str, name: str,
+            wide: int = WIDE) -> DataFrame:
+    """Sum of ``amount`` up to and with each row, in the order of slices
+    (numbered 0 to ``last``) and of ``order`` inside them."""
+    before = slices_before(rows.groupBy(*keys, slice_col).agg(F.sum(amount).alias("__sum")), keys, slice_col, last, wide)
     inside = F.sum(amount).over(Window.partitionBy(*keys, slice_col).orderBy(*order)
                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (rows.join(before.drop("__sum"), [*keys, slice_col])
@@ -99,6 +116,7 @@ def fair_queue(entries: DataFrame, plan: DataFrame, repeats: int = REPEATS) -> D
     of the mix up to their end. Many equal rows queue in runs of
     ``EQUAL_RUN``, so they spread over the shuffle like other rows."""
     slices = max(1, -(-entries.count() * repeats // SLICE_ROWS))
+    last_lane, last_span = slices + 2 * repeats, 4 * repeats * slices
     q = (entries.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
          .withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"cast((__copies - 1) div {EQUAL_RUN} as int)"))))
          .withColumn("__copies", F.least(F.lit(EQUAL_RUN), F.col("__copies") - F.col("run") * EQUAL_RUN))
@@ -109,11 +127,11 @@ def fair_queue(entries: DataFrame, plan: DataFrame, repeats: int = REPEATS) -> D
     # a source's shuffle order falls into lanes by its own number of rows
     lanes = F.ceil(F.col("__rows") / SLICE_ROWS)
     q = q.withColumn("lane", F.col("epoch") * lanes + F.shiftrightunsigned("turn", 33) % lanes)
-    q = running(q, ["__source"], "lane", ["turn", "__key", "__tie", "run"], "words", "served")
+    q = running(q, ["__source"], "lane", last_lane, ["turn", "__key", "__tie", "run"], "words", "served")
     q = q.withColumn("finish", F.col("served") / F.col("target"))
-    q = q.withColumn("span", F.least(F.floor(F.col("finish") * slices), F.lit(4 * repeats * slices)).cast("long"))
+    q = q.withColumn("span", F.least(F.floor(F.col("finish") * slices), F.lit(last_span)).cast("long"))
     q = written(q.drop("lane", "served", "target", "__rows"), "queue")
-    placed = running(q.repartitionByRange("span"), [], "span",
+    placed = running(q.repartitionByRange("span"), [], "span", last_span,
                      ["finish", "__source", "epoch", "turn", "__key", "__tie", "run"], "words", "position")
     budget = F.lit(float(plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]))
     # one entry crosses the budget: its rows go in while the larger part fits

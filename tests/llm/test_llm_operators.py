@@ -545,6 +545,53 @@ def test_wrapped_notices(spark):
     assert sure(HEADERS["MPL-2.0"].replace("Mozilla Public\n", "Mozilla Public\n\n")) == []
 
 
+NEIGHBOURS = {
+    "AGPL-3.0": HEADERS["GPL-3.0"].replace("GNU General", "GNU Affero General"),
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                       "International License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0": "// SPDX-License-Identifier: CC-BY-4.0", "MIT": "# SPDX-License-Identifier: MIT",
+    "Apache-2.0": "/* SPDX-License-Identifier: Apache-2.0 */", "GPL-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+           "granted, provided that the above notice appears in all copies.",
+}
+# No notice of a known family: denied, of another version, or of a family that no template holds.
+STRANGERS = (
+    "This file is not released under the MIT License.", "It was never licensed under the Apache License, Version 2.0.",
+    "The work is no longer licensed under CC BY 4.0.", "Licensed under the Apache License, Version 1.1.",
+    HEADERS["GPL-3.0"].replace("version 3", "version 2"), "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY-SA 3.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: CC-BY-NC-ND-4.0", "SPDX-License-Identifier: Zlib",
+    "This software is provided as-is, without any express or implied warranty, under the zlib License.",
+    "Boost Software License - Version 1.0 - August 17th, 2003", "Everyone is permitted to copy under the terms of the WTFPL.",
+    "The Artistic License 2.0 applies to this package.", "Licensed under the Open Software License version 3.0.")
+
+
+def test_neighbours_and_strangers_are_not_confirmed(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    model = licences.train(docs)
+    sure = lambda t: [x[1] for x in licences.scan(t, model)[1] if x[3]]
+    for family, t in NEIGHBOURS.items():
+        assert sure(t) == [family], t
+    for t in STRANGERS:
+        assert sure(t) == [], t
+    # the denial of another sentence does not count
+    assert sure("Do not remove it. Released under the MIT License.") == ["MIT"]
+
+
+def test_held_out_families_stay_unknown(monkeypatch, spark):
+    """Families that training never saw, in the words of their own notices."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    paragraphs = licences.sample_paragraphs(docs, "doc_id", "text")
+    out = {"ISC": licences.TEMPLATES["ISC"], "EPL-2.0": licences.TEMPLATES["EPL-2.0"]}
+    monkeypatch.setattr(licences, "TEMPLATES", {f: t for f, t in licences.TEMPLATES.items() if f not in out})
+    model = licences.fit(licences.training_rows(paragraphs))
+    for family, notices in out.items():
+        for t in notices:
+            assert not any(x[3] for x in licences.scan(t, model)[1])
+
+
 # --- 8 chat -----------------------------------------------------------------
 
 def test_chat_round_trip(spark):
@@ -587,6 +634,17 @@ def brute_targets(sizes, weights, share, repeats):
     return out
 
 
+def test_running_sums_in_levels(spark):
+    """Three slices a window, so four levels: the same sums as one window."""
+    r = random.Random(8)
+    rows = [(r.choice("ab"), r.randint(0, 80), i, r.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, slice long, i long, words long")
+    for keys in ([], ["k"]):
+        got = {x.i: x.at for x in mixing.running(df, keys, "slice", 80, ["i"], "words", "at", wide=3).collect()}
+        assert got == {i: sum(w for k2, s2, i2, w in rows if (k2 == k or not keys) and (s2, i2) <= (s, i))
+                       for k, s, i, _ in rows}
+
+
 def test_mix_meets_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mixing.mix_documents(docs).collect()
