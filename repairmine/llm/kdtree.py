@@ -8,9 +8,12 @@ found by distributed histograms that are refined inside the bucket that
 crosses the middle, first on the dimension, then, among equal values, on a
 hash of the row. A split ends when its halves differ by less than
 ``TOLERANCE`` of the node or the bucket holds a single point. The driver sees
-histogram buckets only: ``BUCKETS`` a node and pass.
+histogram buckets only: ``BUCKETS`` a node and pass, fewer (and more passes)
+where over 64 nodes are split at once.
 
-Each row then finds its leaf from the tree's cuts, without a shuffle. Slots
+A row finds its node by walking down the tree, which is a few constant arrays
+in the plan, without a shuffle: one step a level, whatever the number of
+leaves. Slots
 number the rows of a shard: rows are spread by hash over slices of about
 ``SLICE_ROWS`` rows, which are numbered apart and then shifted.
 
@@ -65,31 +68,62 @@ def tie_of(df: DataFrame) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*flat), 11).cast("double") / float(1 << 53)
 
 
-class Node:
-    """A node: its path conditions, and its cut once it is split."""
+def constants(values: list, kind: str = "double") -> Column:
+    """A constant array (folded by the optimizer), however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
-    def __init__(self, cuts=()):
-        self.cuts = cuts  # ((dimension, value, tie, below), ...)
 
-    def child(self, cut, below: bool) -> Node:
-        return Node((*self.cuts, (*cut, below)))
+class Tree:
+    """Nodes by number: a cut ``(dimension, value, tie)`` and the two nodes
+    below it, or none for a leaf."""
 
-    def holds(self) -> Column:
-        out = F.lit(True)
-        for dim, value, tie, below in self.cuts:
-            left = (F.col(f"__d{dim}") < value) | ((F.col(f"__d{dim}") == value) & (F.col("__tie") < tie))
-            out = out & (left if below else ~left)
+    def __init__(self, dimensions: int):
+        self.dimensions, self.cuts, self.below, self.depth = dimensions, [None], [None], 0
+
+    def split(self, node: int, cut: tuple) -> list[int]:
+        new = [len(self.cuts), len(self.cuts) + 1]
+        self.cuts[node], self.below[node] = cut, new
+        self.cuts += [None, None]
+        self.below += [None, None]
+        return new
+
+    def leaves(self) -> list[int]:
+        """From left to right."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if self.below[node] is None:
+                out.append(node)
+            else:
+                todo += self.below[node][::-1]
         return out
 
+    def node(self) -> Column:
+        """The number of the bottom node of a row."""
+        if self.depth == 0:
+            return F.lit(0)
+        dim, value, tie = (constants([c[i] if c else d for c in self.cuts], k)
+                           for i, (d, k) in enumerate(((-1, "int"), (0.0, "double"), (0.0, "double"))))
+        low, high = (constants([b[i] if b else 0 for b in self.below], "int") for i in range(2))
+        x = self.coordinates()
+
+        def step(k: Column, _: Column) -> Column:
+            d, v = F.element_at(dim, k + 1), F.element_at(value, k + 1)
+            own = F.get(x, d)
+            left = (own < v) | ((own == v) & (F.col("__tie") < F.element_at(tie, k + 1)))
+            return F.when(d < 0, k).when(left, F.element_at(low, k + 1)).otherwise(F.element_at(high, k + 1))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0), step)
 
-def pick(nodes: list[Node], results: list[Column]) -> Column:
-    out = F.lit(None)
-    for node, r in zip(nodes, results):
-        out = F.when(node.holds(), r).otherwise(out)
-    return out
+    def coordinates(self) -> Column:
+        return F.array(*[F.col(f"__d{i}") for i in range(self.dimensions)])
 
+    def by_node(self, told: dict[int, float], default: float, kind: str = "double") -> Column:
+        """A constant of the row's node, which stands in ``__k``."""
+        return F.element_at(constants([told.get(i, default) for i in range(len(self.cuts))], kind), F.col("__k") + 1)
 
-def medians(points: DataFrame, nodes: list[Node], dims: list[int], stats: list[dict]) -> list[tuple | None]:
+
+def medians(points: DataFrame, tree: Tree, nodes: list[int], dims: list[int], stats: list[dict]) -> list[tuple | None]:
     """A cut ``(dimension, value, tie)`` for every node, None if its rows are one point."""
     found: list[tuple | None] = [None] * len(nodes)
     # the range that is searched: by value, or by tie among equal values
@@ -100,24 +134,25 @@ def medians(points: DataFrame, nodes: list[Node], dims: list[int], stats: list[d
         if not stats[i]["lo"] < stats[i]["hi"]:
             search[i] |= {"at": stats[i]["lo"], "lo": stats[i]["tie_lo"], "hi": stats[i]["tie_hi"], "next": math.inf}
     while todo:
-        active, place = [], []
-        for i in todo:
-            s, d = search[i], F.col(f"__d{dims[i]}")
-            x = d if s["at"] is None else F.when(d == s["at"], F.col("__tie"))
-            active.append(F.when((x >= s["lo"]) & (x <= s["hi"]), x))
-            width = s["hi"] - s["lo"]
-            place.append(F.lit(0.0) if width <= 0 else (x - F.lit(s["lo"])) / F.lit(width))
-        own = [nodes[i] for i in todo]
-        seen = points.select(
-            pick(own, [F.lit(k) for k in range(len(todo))]).alias("k"), "__bytes",
-            pick(own, active).alias("x"), pick(own, place).alias("p")).where("x is not null")
-        bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.col("p") * BUCKETS)).cast("int")
-        rows = seen.groupBy("k", bucket.alias("b")).agg(
-            F.sum("__bytes").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        told = lambda f, default=math.nan, kind="double": tree.by_node({nodes[i]: f(i) for i in todo}, default, kind)
+        at, lo = told(lambda i: math.nan if search[i]["at"] is None else search[i]["at"]), told(lambda i: search[i]["lo"])
+        hi, width = told(lambda i: search[i]["hi"]), told(lambda i: search[i]["hi"] - search[i]["lo"])
+        own = F.get(tree.coordinates(), told(lambda i: dims[i], 0, "int"))
+        buckets = max(16, min(BUCKETS, 64 * BUCKETS // len(todo)))
+        # nothing compares as below or at NaN: nodes that are not searched drop out
+        seen = (points.withColumn("__k", tree.node())
+                .withColumn("x", F.when(F.isnan(at), own).otherwise(F.when(own == at, F.col("__tie"))))
+                .where((F.col("x") >= lo) & (F.col("x") <= hi))
+                .withColumn("p", F.when(width <= 0, F.lit(0.0)).otherwise((F.col("x") - lo) / width)))
+        bucket = F.least(F.lit(buckets - 1), F.floor(F.col("p") * buckets)).cast("int")
+        rows = {}
+        for r in seen.groupBy(F.col("__k").alias("k"), bucket.alias("b")).agg(
+                F.sum("__bytes").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            rows.setdefault(r["k"], []).append(r)
         left = []
-        for k, i in enumerate(todo):
+        for i in todo:
             s, total = search[i], stats[i]["bytes"]
-            hist = sorted((r for r in rows if r["k"] == k), key=lambda r: r["b"])
+            hist = sorted(rows[nodes[i]], key=lambda r: r["b"])
             at = s["before"]
             for j, r in enumerate(hist):
                 if 2 * (at + r["w"]) >= total or j == len(hist) - 1:
@@ -146,24 +181,23 @@ def medians(points: DataFrame, nodes: list[Node], dims: list[int], stats: list[d
     return found
 
 
-def fit(points: DataFrame, dimensions: int, target_bytes: float) -> list[Node]:
-    """The leaves of the tree over ``points`` (``__d0.., __tie, __bytes``)."""
-    nodes, leaves, extent = [Node()], [], None
+def fit(points: DataFrame, dimensions: int, target_bytes: float) -> Tree:
+    """The tree over ``points`` (``__d0.., __tie, __bytes``)."""
+    tree, nodes, extent = Tree(dimensions), [0], None
     most = target_bytes * math.sqrt(2)
     while nodes:
         aggs = [F.sum("__bytes").alias("bytes"), F.min("__tie").alias("tie_lo"), F.max("__tie").alias("tie_hi")]
         for d in range(dimensions):
             aggs += [F.min(f"__d{d}").alias(f"lo{d}"), F.max(f"__d{d}").alias(f"hi{d}")]
-        got = {r["k"]: r for r in points.select("*", pick(nodes, [F.lit(i) for i in range(len(nodes))]).alias("k"))
-               .where("k is not null").groupBy("k").agg(*aggs).collect()}
+        at = points.withColumn("__k", tree.node()).where(tree.by_node(dict.fromkeys(nodes, 1), 0, "int") == 1)
+        got = {r["__k"]: r for r in at.groupBy("__k").agg(*aggs).collect()}
         if extent is None:
             r = got.get(0)
             extent = [(r[f"hi{d}"] - r[f"lo{d}"]) if r else 0.0 for d in range(dimensions)]
         large, dims, stats = [], [], []
-        for i, node in enumerate(nodes):
-            r = got.get(i)
+        for node in nodes:
+            r = got.get(node)
             if r is None or r["bytes"] <= most:
-                leaves.append(node)
                 continue
             width = [(r[f"hi{d}"] - r[f"lo{d}"]) / extent[d] if extent[d] > 0 else 0.0 for d in range(dimensions)]
             d = max(range(dimensions), key=lambda k: (width[k], -k))
@@ -171,13 +205,10 @@ def fit(points: DataFrame, dimensions: int, target_bytes: float) -> list[Node]:
             dims.append(d)
             stats.append({"bytes": r["bytes"], "lo": r[f"lo{d}"], "hi": r[f"hi{d}"],
                           "tie_lo": r["tie_lo"], "tie_hi": r["tie_hi"]})
-        nodes = []
-        for node, cut in zip(large, medians(points, large, dims, stats) if large else []):
-            if cut is None:
-                leaves.append(node)
-            else:
-                nodes += [node.child(cut, True), node.child(cut, False)]
-    return sorted(leaves, key=lambda n: [not c[3] for c in n.cuts])
+        cuts = medians(points, tree, large, dims, stats) if large else []
+        nodes = [new for node, cut in zip(large, cuts) if cut is not None for new in tree.split(node, cut)]
+        tree.depth += bool(nodes)
+    return tree
 
 
 def assign_shards(docs: DataFrame, dimensions: list[str], target_bytes: float | None = None, shards: int | None = None,
@@ -192,8 +223,10 @@ def assign_shards(docs: DataFrame, dimensions: list[str], target_bytes: float |
                      "points")
     whole = points.agg(F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     target = target_bytes if target_bytes is not None else whole["bytes"] / (shards or 1)
-    leaves = fit(points, len(dimensions), target)
-    shard = pick(leaves, [F.lit(i) for i in range(len(leaves))]).cast("int")
+    tree = fit(points, len(dimensions), target)
+    leaves = tree.leaves()
+    place = {node: i for i, node in enumerate(leaves)}
+    shard = F.element_at(constants([place.get(k, -1) for k in range(len(tree.cuts))], "int"), tree.node() + 1)
     slices = max(1, -(-whole["n"] // (SLICE_ROWS * len(leaves))))
     part = F.floor(F.col("__tie") * slices).cast("int")
     counts = points.groupBy(shard.alias("__shard"), part.alias("__part")).agg(F.count("*").alias("__n"))

@@ -114,6 +114,29 @@ def test_leaves_reach_target_bytes(spark):
     assert all(x["sum(size)"] <= 1.5 * total / 11 for x in got)
 
 
+def brute_leaves(points, most):
+    """Leaves of a plain tree over ``(x, y)`` points of equal weight."""
+    extent = [max(p[d] for p in points) - min(p[d] for p in points) for d in (0, 1)]
+
+    def split(part):
+        if len(part) <= most:
+            return [part]
+        width = [(max(p[d] for p in part) - min(p[d] for p in part)) / extent[d] for d in (0, 1)]
+        part = sorted(part, key=lambda p: p[0 if width[0] >= width[1] else 1])
+        return split(part[:len(part) // 2]) + split(part[len(part) // 2:])
+    return split(points)
+
+
+def test_many_leaves_equal_a_plain_tree(spark):
+    r = random.Random(4)
+    points = list(zip(r.sample(range(10 ** 6), 4096), r.sample(range(10 ** 6), 4096)))
+    docs = spark.createDataFrame([(x, "", "en", "a", y) for x, y in points], DOCS)
+    got = {}
+    for x in kdtree.assign_shards(docs, ["doc_id", "n_chars"], target_bytes=16.0).collect():
+        got.setdefault(x.shard, []).append((x.doc_id, x.n_chars))
+    assert [sorted(got[k]) for k in sorted(got)] == [sorted(p) for p in brute_leaves(points, 22)] and len(got) == 256
+
+
 # --- 2 Re-Pair --------------------------------------------------------------
 
 def test_token_files_round_trip(odd, odd_rows, none, library):
