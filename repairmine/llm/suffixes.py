@@ -499,43 +499,29 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, m
             F.slice(acc, F.lit(1), F.size(acc) - 1),
             F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))
         ).otherwise(F.concat(acc, F.array(x))))
-    if min_words:
-        @F.pandas_udf("array<struct<start:int,stop:int>>")
-        def long_runs(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-            out = []
-            for t, begin, end in zip(text, starts, stops):
-                own: list[list[int]] = []
-                for x, y in zip(begin, end) if t is not None else ():
-                    if own and own[-1][1] >= x:
-                        own[-1][1] = max(own[-1][1], y)
-                    else:
-                        own.append([x, y])
-                out.append([{"start": x, "stop": y} for x, y in own if len(t[x:y].split()) >= min_words])
-            return pd.Series(out)
-
-        some = F.col("__spans").isNotNull()
-        runs = F.coalesce(long_runs.asNondeterministic()(
-            F.when(some, F.col(f"`{text_col}`").cast("binary")), F.when(some, F.col("__spans.start")),
-            F.when(some, F.col("__spans.stop"))), none)
-    rows = rows.select("*", runs.alias("__runs")).drop("__spans", "__sh", "__sn")
-
-    @F.pandas_udf("kept_bytes binary, kept_text string")
+    rows = rows.select("*", runs.alias("__found")).drop("__spans", "__sh", "__sn")
+
+    # one function for both steps: two in a row would hold two workers a core
+    @F.pandas_udf("removed array<struct<start:int,stop:int>>, kept_bytes binary, kept_text string")
     def keep(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
         out = []
         for t, begin, end in zip(text, starts, stops):
             if t is None:
-                out.append((None, None))
+                out.append((None, None, None))
                 continue
-            kept = [t[a:b] for a, b in zip([0, *end], [*begin, len(t)])]
+            own = [(a, b) for a, b in zip(begin, end) if not min_words or len(t[a:b].split()) >= min_words]
+            kept = [t[a:b] for a, b in zip([0, *(b for _, b in own)], [*(a for a, _ in own), len(t)])]
             # stretches of valid text: what does not decode is part of a character
-            out.append((b"".join(kept), "".join(k.decode("utf-8", "ignore") for k in kept)))
-        return pd.DataFrame(out, columns=["kept_bytes", "kept_text"])
+            out.append(([{"start": a, "stop": b} for a, b in own], b"".join(kept),
+                        "".join(k.decode("utf-8", "ignore") for k in kept)))
+        return pd.DataFrame(out, columns=["removed", "kept_bytes", "kept_text"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    cut = F.size("__runs") > 0  # only texts that lose something go through Python
+    cut = F.size("__found") > 0  # only texts with such runs go through Python
     rows = rows.select("*", keep.asNondeterministic()(
-        F.when(cut, text.cast("binary")), F.when(cut, F.col("__runs.start")), F.when(cut, F.col("__runs.stop"))).alias("__k"))
+        F.when(cut, text.cast("binary")), F.when(cut, F.col("__found.start")), F.when(cut, F.col("__found.stop"))).alias("__k"))
+    rows = rows.select("*", F.coalesce("__k.removed", none).alias("__runs"))
     lost = F.aggregate("__runs", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return put(rows, n_bytes=F.col("__tn").cast("long"), n_removed=lost, n_spans=F.size("__runs").cast("long"),
                removed=F.col("__runs"), kept_bytes=F.when(cut, F.col("__k.kept_bytes")).otherwise(text.cast("binary")),
-               kept_text=F.when(cut, F.col("__k.kept_text")).otherwise(text)).drop("__tn", "__th", "__runs", "__k")
+               kept_text=F.when(cut, F.col("__k.kept_text")).otherwise(text)).drop("__tn", "__th", "__found", "__runs", "__k")

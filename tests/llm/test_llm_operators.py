@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import duckdb
 import numpy as np
@@ -263,6 +264,28 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_passages(texts, length, words):
+    """The texts without the runs of repeated strings that hold ``words`` words or more."""
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(b[i:i + length] for b in raws for i in range(len(b) - length + 1))
+    out = []
+    for b in raws:
+        on = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                on[i:i + length] = b"\1" * length
+        stretches = [(k, bytes(x for x, _ in g)) for k, g in groupby(zip(b, on), key=lambda x: x[1])]
+        kept, part = [], b""
+        for k, x in stretches:
+            if k and len(x.split()) >= words:
+                kept.append(part)
+                part = b""
+            else:
+                part += x
+        out.append("".join(x.decode("utf-8", "ignore") for x in [*kept, part]))
+    return out
+
+
 @pytest.mark.parametrize("seed,length", [(0, 25), (1, 40), (2, 400)])
 def test_repeats_against_brute_force(spark, monkeypatch, seed, length):
     monkeypatch.setattr(suffixes, "RANGE_ROWS", 40)
@@ -753,7 +776,7 @@ def test_balance_spreads_cost():
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    d, length = "/root/testdata/sf0.01", suffixes.LENGTH
+    d = "/root/testdata/sf0.01"
     one = P.STAGES[0][1](spark, docs, d).cache()
     texts = {x.doc_id: x.text for x in docs.collect()}
     bad = {i for i, t in texts.items() if (c := brute_counts(t))[0] < 10 or 100 * c[4] > 20 * c[0]}
@@ -766,9 +789,9 @@ def test_pipeline_stages(spark):
     left = sorted({ids[k] for k in root})
     assert sorted(x.doc_id for x in two.collect()) == left and two.columns == docs.columns
     three = P.STAGES[2][1](spark, two, d).cache()
-    want = brute_repeats([texts[i] for i in left], length)
-    assert {x.doc_id: x.text for x in three.collect()} == {
-        i: w[3].decode("utf-8", "ignore") if w[1] else texts[i] for i, w in zip(left, want)}
+    want = brute_passages([texts[i] for i in left], P.PASSAGE_BYTES, P.PASSAGE_WORDS)
+    got = {x.doc_id: x.text or "" for x in three.collect()}
+    assert got == dict(zip(left, want)) and any(got[i] != texts[i] for i in left)
     four = P.STAGES[3][1](spark, three, d).cache()
     assert four.columns == docs.columns and max(Counter(x.doc_id for x in four.collect()).values()) <= 2
     five = P.STAGES[4][1](spark, four, d)
