@@ -55,7 +55,7 @@ from .common import buffer_of, key_groups, pieces, put, written
 
 LENGTH = 400
 #: Bytes of text that a task works on at once (a longer text by itself).
-WORK = 1 << 20
+WORK = 1 << 18
 #: Suffixes that one merging task gets on average, and the bound of the
 #: sample that cuts the ranges.
 RANGE_ROWS = 20_000
