@@ -26,7 +26,7 @@ from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
 from repairmine.functions.hashing import md5_int
 from repairmine.operators.edits import CHANGE, DELETE, INSERT_BEFORE
 from repairmine.operators.sample import weighted_choice
-from repairmine.operators.tokens import as_lists, identifier_set, list_rows, spans, window_matches
+from repairmine.operators.tokens import as_lists, identifier_set, in_runs, list_rows, spans, window_matches
 
 # Draw weights of the reference job.
 ACTION_WEIGHTS = (5, 1, 4)          # change, insert, delete
@@ -314,11 +314,10 @@ def new_places(els: Column, toks: Column, places: Column) -> Column:
     token stood. So a token that stays ends at its old offset plus all moves
     before it, and a row of new tokens is laid out leftwards from the next
     one that stays. ``els``: :func:`with_elements`; ``places``: K4 of the
-    source text. Running sums over a batch of rows, no shuffle.
+    source text. Running sums over a run of rows, no shuffle.
     """
 
-    @F.arrow_udf("struct<off:array<int>,line:array<int>>")
-    def move(e: pa.Array, t: pa.Array, o: pa.Array, ln: pa.Array) -> pa.Array:
+    def run(e: pa.Array, t: pa.Array, o: pa.Array, ln: pa.Array) -> pa.Array:
         flat, at = list_rows(e)
         n = len(flat)
         whole = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -357,6 +356,10 @@ def new_places(els: Column, toks: Column, places: Column) -> Column:
         return pa.StructArray.from_arrays(
             [as_lists(out_at, pa.array(x[stays].astype(np.int32))) for x in (place, lines)], names=["off", "line"])
 
+    @F.arrow_udf("struct<off:array<int>,line:array<int>>")
+    def move(e: pa.Array, t: pa.Array, o: pa.Array, ln: pa.Array) -> pa.Array:
+        return in_runs(run, e, t, o, ln)
+
     return move(els, toks, places["off"], places["line"])
 
 
