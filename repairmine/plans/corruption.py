@@ -223,7 +223,7 @@ from repairmine.operators import lines as L  # noqa: E402
 from repairmine.operators import sample as T  # noqa: E402
 from repairmine.functions.clean import clean_code, is_ascii  # noqa: E402
 from repairmine.session import materialize, written_once  # noqa: E402
-from repairmine.sources.submissions import submissions, typed_submissions  # noqa: E402
+from repairmine.sources.submissions import dealt_submissions  # noqa: E402
 
 
 D_NEW_PLACES = """
@@ -267,7 +267,7 @@ def q_shift_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned submissions (C8) with their tokens, written once."""
     def build():
-        ty = typed_submissions(submissions(spark, sf_dir)).where(
+        ty = dealt_submissions(spark, sf_dir).where(
             F.col("problem_name").isNotNull() & F.col("user_id").isNotNull() & F.col("code").isNotNull())
         c = ty.withColumn("problem_user_id", F.concat_ws("_", "problem_name", "user_id")).withColumn(
             "code", clean_code(F.col("code")))
