@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from repairmine.operators import tokens as K
+from repairmine.plans.text import q_token_span
 from repairmine.sources import submissions as S
 
 
@@ -42,3 +43,13 @@ def test_submissions_are_dealt_to_tasks(spark, tmp_path):
         "date'1995-01-01' o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
     rows = S.dealt_submissions(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(rows) == 3 and max(r["count"] for r in rows) <= S.ROWS_A_TASK * 1.1
+
+
+def test_token_span_tokenizes_a_text_once(spark, tmp_path):
+    spark.range(40).selectExpr(
+        "id o_orderkey", "id % 9 o_custkey", "'F' o_orderstatus", "'1-URGENT' o_orderpriority",
+        "date'1995-01-01' o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    got = q_token_span(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("#include[^") == 1
+    rows = got.collect()
+    assert rows and all(r.e > r.b for r in rows)
