@@ -124,21 +124,45 @@ ng AS (SELECT p_partkey, tp, tok, unnest(list_transform(range(1, greatest(len({D
 gv AS (SELECT g, CAST(row_number() OVER (ORDER BY g) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT g FROM ng))"""
 
 
-def _part_ngrams(spark, sf_dir, n=2):
+def _part_words(spark, sf_dir):
     p = read_table(spark, sf_dir, "part")
-    t = p.select("p_partkey", F.posexplode(F.split("p_name", " ", -1)).alias("tp", "tok"))
-    g = t.select("p_partkey", "tp", "tok", F.posexplode(V.ngrams(F.col("tok"), n)).alias("gp", "gram"))
-    return g.withColumn("g", F.array_join("gram", "\u0001"))
+    return p.select("p_partkey", F.posexplode(F.split("p_name", " ", -1)).alias("tp", "tok"))
+
+
+def _word_ngrams(words, n=2):
+    """The n-grams ``gp, g`` of each distinct word."""
+    g = words.select("tok").distinct().select("tok", F.posexplode(V.ngrams(F.col("tok"), n)).alias("gp", "gram"))
+    return g.select("tok", "gp", F.array_join("gram", "\u0001").alias("g"))
 
 
 def _ngram_vocab(g):
     return V.dense_ids(g.select("g").distinct(), [F.col("g")])
 
 
+def _encoded_words(words):
+    """``p_partkey, tp, ids``: the words of every part with their n-gram ids,
+    which are looked up once a distinct word. An exploded table is many times
+    what Spark takes it for from its file's size, so the joins are sorted:
+    chosen by that size, a broadcast would hold all words in the driver."""
+    g = _word_ngrams(words)
+    ids = g.join(_ngram_vocab(g).hint("merge"), "g").groupBy("tok").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("gp", "id"))), lambda x: x["id"]).alias("ids"))
+    return words.join(ids.hint("merge"), "tok").groupBy("p_partkey", "tp").agg(
+        _one_list(F.collect_list("ids")).alias("ids"))
+
+
+def _one_list(lists):
+    """The ids of a place; those of several words there (of a repeated key) by
+    their n-grams' places, then by id."""
+    placed = F.flatten(F.transform(lists, lambda l: F.transform(l, lambda x, i: F.struct(i.alias("gp"), x.alias("id")))))
+    return F.when(F.size(lists) == 1, F.element_at(lists, 1)).otherwise(
+        F.transform(F.array_sort(placed), lambda x: x["id"]))
+
+
 @register("char_ngram_vocab", oracle=f"WITH {D_NG} SELECT g AS gram, id FROM gv")
 def q_char_ngram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: character bigrams of part-name words (with edge labels), sorted ids from 0."""
-    return _ngram_vocab(_part_ngrams(spark, sf_dir)).select(F.col("g").alias("gram"), F.col("id").cast("bigint").alias("id"))
+    return _ngram_vocab(_word_ngrams(_part_words(spark, sf_dir))).select(F.col("g").alias("gram"), F.col("id").cast("bigint").alias("id"))
 
 
 @register("encode_ngrams", oracle=f"""WITH {D_NG},
@@ -147,10 +171,8 @@ e AS (SELECT ng.p_partkey, ng.tp, string_agg(CAST(gv.id AS VARCHAR), ',' ORDER B
 SELECT p_partkey, string_agg(ids, '|' ORDER BY tp) AS encoded FROM e GROUP BY p_partkey""")
 def q_encode_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: every word of a part name -> its list of n-gram ids."""
-    g = _part_ngrams(spark, sf_dir)
-    j = g.join(_ngram_vocab(g), "g")
-    per_tok = j.groupBy("p_partkey", "tp").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("gp", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    per_tok = _encoded_words(_part_words(spark, sf_dir)).select("p_partkey", "tp", text.alias("ids"))
     return per_tok.groupBy("p_partkey").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("tp", "ids"))), lambda x: x["ids"]), "|").alias("encoded"))
 
@@ -169,16 +191,13 @@ FROM pe JOIN t ON pe.p_partkey = t.p_partkey GROUP BY pe.p_partkey, t.nt""")
 def q_pad_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: n-gram ids padded on both levels: token width = longest word + 2,
     text length = most words in a name (two scalar maxima)."""
-    g = _part_ngrams(spark, sf_dir)
-    j = g.join(_ngram_vocab(g), "g")
-    per_tok = j.groupBy("p_partkey", "tp").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("gp", "id"))), lambda x: x["id"]).alias("ids"),
-        F.max(F.length("tok")).alias("tl"))
-    tw = (per_tok.agg(F.max("tl")).first()[0] or 0) + 2
-    per_part = per_tok.groupBy("p_partkey").agg(
+    words = F.split("p_name", " ", -1)
+    longest, most = read_table(spark, sf_dir, "part").agg(
+        F.max(F.array_max(F.transform(words, F.length))), F.max(F.size(words))).first()
+    tw, mt = (longest or 0) + 2, max(most or 0, 0)
+    per_part = _encoded_words(_part_words(spark, sf_dir)).groupBy("p_partkey").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tp", V.pad_to(F.col("ids"), F.lit(tw), 0).alias("x")))),
                     lambda x: x["x"]).alias("rows"))
-    mt = per_part.agg(F.max(F.size("rows"))).first()[0] or 0
     empty_row = F.array_repeat(F.lit(0).cast("bigint"), tw)
     padded = F.concat("rows", F.array_repeat(empty_row, (F.lit(mt) - F.size("rows")).cast("int")))
     return per_part.select("p_partkey", F.array_join(F.transform(padded, lambda r: F.array_join(

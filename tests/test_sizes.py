@@ -3,10 +3,12 @@
 import re
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from repairmine.operators import tokens as K
 from repairmine.plans.text import q_token_span
+from repairmine.plans.vocabulary import q_encode_ngrams, q_pad_ngrams
 from repairmine.sources import submissions as S
 
 
@@ -53,3 +55,18 @@ def test_token_span_tokenizes_a_text_once(spark, tmp_path):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("#include[^") == 1
     rows = got.collect()
     assert rows and all(r.e > r.b for r in rows)
+
+
+@pytest.mark.parametrize("query", [q_encode_ngrams, q_pad_ngrams])
+def test_ngram_rows_are_not_broadcast(spark, tmp_path, query):
+    rows = [(1, "ab b"), (2, ""), (3, None), (None, "b"), (4, "c"), (4, "ab b")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = query(spark, str(tmp_path))
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    assert joins and all("_pid" in x for x in joins)
+    told = {r[0]: r[1] for r in got.collect()}
+    # sorted: <BEGIN>-<END>, <BEGIN>-a, <BEGIN>-b, <BEGIN>-c, ab, b-<END>, c-<END>
+    if query is q_encode_ngrams:
+        assert told == {1: "1,4,5|2,5", 2: "0", None: "2,5", 4: "1,3,4,6,5|2,5"}
+    else:
+        assert told == {1: "1,4,5,0|2,5,0,0", 2: "0,0,0,0|0,0,0,0", None: "2,5,0,0|0,0,0,0", 4: "1,3,4,6,5|2,5,0,0"}
