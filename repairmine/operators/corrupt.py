@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
-from repairmine.functions.hashing import md5_int
+from repairmine.functions.hashing import md5_int, md5_mod
 from repairmine.operators.edits import CHANGE, DELETE, INSERT_BEFORE
-from repairmine.operators.sample import weighted_choice
+from repairmine.operators.sample import weighted_index
 from repairmine.operators.tokens import as_lists, identifier_set, in_runs, list_rows, spans, window_matches
 
 # Draw weights of the reference job.
@@ -38,6 +38,9 @@ MAX_EDITS = 9                       # edits per text: 1..9
 #: Draws tried for a plan until its number of edits is reached. Of 300, fewer
 #: than 8 inserts (which never collide) come once in some 10^8 texts.
 TRIES = 300
+#: Last draws of the stretches that a plan's fold takes one by one while the
+#: plan is not full (a fold copies its state at every step).
+STRETCHES = (8, 16, 32, 96, TRIES)
 
 
 def bind(value: Column, f) -> Column:
@@ -58,6 +61,11 @@ def draw(seed, doc: Column, d: Column, tag: str) -> Column:
     return md5_int(seed, doc, d, F.lit(tag))
 
 
+def choice(weights, seed, doc: Column, d: Column, tag: str) -> Column:
+    """T10 with one md5 a draw, however many weights are tried."""
+    return bind(md5_mod(F.lit(sum(weights)), seed, doc, d, F.lit(tag)), lambda u: weighted_index(weights, u))
+
+
 def pick(pool: Column, seed, doc: Column, d: Column, tag: str) -> Column:
     """Uniform element of a non-empty array (null for an empty one)."""
     return F.when(F.size(pool) > 0,
@@ -70,41 +78,61 @@ identifier_pool = identifier_set  # K3
 def misspell(name: Column, seed, doc: Column, d: Column) -> Column:
     """M4: insert one of the name's own characters, or delete one (a name of
     length 1 only gets an insert)."""
+    return bind(name, lambda own: _misspelt(own, seed, doc, d))
+
+
+def _misspelt(name: Column, seed, doc: Column, d: Column) -> Column:
     chars = F.array_sort(F.array_distinct(F.regexp_extract_all(name, F.lit("(?s)."), 0)))
-    c = pick(chars, seed, doc, d, "mc")
+    c = bind(chars, lambda pool: pick(pool, seed, doc, d, "mc"))
     n = F.length(name)
     big = F.lit(2147483647)
     ins = F.when(n == 1, F.lit(True)).otherwise(F.pmod(draw(seed, doc, d, "ma"), F.lit(2)) == 0)
     i_ins = F.pmod(draw(seed, doc, d, "mi"), n + 1).cast("int")
     i_del = F.pmod(draw(seed, doc, d, "md"), n).cast("int")
-    return (F.when(ins, F.concat(F.substr(name, F.lit(1), i_ins), c, F.substr(name, i_ins + 1, big)))
-            .otherwise(F.concat(F.substr(name, F.lit(1), i_del), F.substr(name, i_del + 2, big))))
+    inserted = bind(i_ins, lambda i: F.concat(F.substr(name, F.lit(1), i), c, F.substr(name, i + 1, big)))
+    deleted = bind(i_del, lambda i: F.concat(F.substr(name, F.lit(1), i), F.substr(name, i + 2, big)))
+    return F.when(ins, inserted).otherwise(deleted)
 
 
 def replacement(act: Column, frm: Column, idents: Column, seed, doc: Column, d: Column) -> Column:
     """M3: value of the new token (empty for a delete)."""
-    kind = F.when(frm == "", F.lit(0)).otherwise(weighted_choice(CHANGE_KIND_WEIGHTS, seed, doc, d, F.lit("k")))
-    cls = weighted_choice(INSERT_CLASS_WEIGHTS, seed, doc, d, F.lit("c"))
+    return F.when(act == DELETE, F.lit("")).otherwise(
+        bind(frm, lambda old: F.coalesce(_replaced(old, idents, seed, doc, d), F.lit(""))))
+
+
+def _replaced(frm: Column, idents: Column, seed, doc: Column, d: Column) -> Column:
+    kind = F.when(frm == "", F.lit(0)).otherwise(choice(CHANGE_KIND_WEIGHTS, seed, doc, d, "k"))
+
+    def of_class(cls):
+        return (F.when(cls == 0, pick(idents, seed, doc, d, "w"))
+                .when(cls == 1, pick(keyword_pool(), seed, doc, d, "w"))
+                .otherwise(pick(operator_pool(), seed, doc, d, "w")))
     other = (F.when(F.array_contains(idents, frm), pick(idents, seed, doc, d, "w"))
              .when(frm.isin(*C_KEYWORDS), pick(keyword_pool(), seed, doc, d, "w"))
              .when(frm.isin(*C_OPERATORS), pick(operator_pool(), seed, doc, d, "w"))
-             .when(cls == 0, pick(idents, seed, doc, d, "w"))
-             .when(cls == 1, pick(keyword_pool(), seed, doc, d, "w"))
-             .otherwise(pick(operator_pool(), seed, doc, d, "w")))
-    val = F.when(kind == 0, other).otherwise(misspell(frm, seed, doc, d))
-    return F.when(act == DELETE, F.lit("")).otherwise(F.coalesce(val, F.lit("")))
+             .otherwise(bind(choice(INSERT_CLASS_WEIGHTS, seed, doc, d, "c"), of_class)))
+    return F.when(kind == 0, other).otherwise(misspell(frm, seed, doc, d))
 
 
 def random_edit(toks: Column, idents: Column, seed, doc: Column, d: Column) -> Column:
-    """M5 = M1 + M2 + M3: one random edit of a text."""
+    """M5 = M1 + M2 + M3: one random edit of a text. Action, position and old
+    token are computed once each, not at every mention."""
     n = F.size(toks)
-    which = weighted_choice(ACTION_WEIGHTS, seed, doc, d, F.lit("a"))
-    act = F.when(which == 0, F.lit(CHANGE)).when(which == 1, F.lit(INSERT_BEFORE)).otherwise(F.lit(DELETE))
-    pos = F.when(act == INSERT_BEFORE, F.pmod(draw(seed, doc, d, "p"), n + 1)).otherwise(
-        F.pmod(draw(seed, doc, d, "p"), n)).cast("int")
-    frm = F.when(act == INSERT_BEFORE, F.lit("")).otherwise(F.element_at(toks, pos + 1))
-    return F.struct(d.cast("int").alias("draw"), act.alias("act"), pos.alias("pos"), frm.alias("frm"),
-                    replacement(act, frm, idents, seed, doc, d).alias("to"))
+
+    def of(act, pos, frm):
+        return F.struct(d.cast("int").alias("draw"), act.alias("act"), pos.alias("pos"), frm.alias("frm"),
+                        replacement(act, frm, idents, seed, doc, d).alias("to"))
+
+    def at(act, pos):
+        return bind(F.when(act == INSERT_BEFORE, F.lit("")).otherwise(F.element_at(toks, pos + 1)),
+                    lambda frm: of(act, pos, frm))
+
+    def by(act):
+        pos = F.when(act == INSERT_BEFORE, F.pmod(draw(seed, doc, d, "p"), n + 1)).otherwise(
+            F.pmod(draw(seed, doc, d, "p"), n)).cast("int")
+        return bind(pos, lambda p: at(act, p))
+    codes = F.array(*[F.lit(c) for c in ACTION_CODES])
+    return bind(F.get(codes, choice(ACTION_WEIGHTS, seed, doc, d, "a")), by)
 
 
 # Mutators and their weights in the reference's table (x10);
@@ -122,8 +150,7 @@ def _edit(d, act, pos, frm, to) -> Column:
 
 
 def _pick_pos(cands: Column, seed, doc, d, tag) -> Column:
-    return F.when(F.size(cands) > 0, F.element_at(cands, (F.pmod(draw(seed, doc, d, tag), F.size(cands)) + 1)
-                                                  .cast("int")))
+    return bind(cands, lambda c: pick(c, seed, doc, d, tag))
 
 
 def mutator_edits(kind: str, toks: Column, idents: Column, seed, doc: Column, d: Column) -> Column:
@@ -190,12 +217,13 @@ def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str =
     def draw_edits(d):
         if len(active) == 1:
             return mutator_edits(active[0][0], toks, F.col("_idents"), seed, doc, d)
-        expr = None
-        which = weighted_choice([w for _, w in active], seed, doc, d, F.lit("mut"))
-        for i, (m, _) in enumerate(active):
-            e = mutator_edits(m, toks, F.col("_idents"), seed, doc, d).cast(f"array<{EDIT_TYPE}>")
-            expr = F.when(which == i, e) if expr is None else expr.when(which == i, e)
-        return expr
+        def of(which):
+            expr = None
+            for i, (m, _) in enumerate(active):
+                e = mutator_edits(m, toks, F.col("_idents"), seed, doc, d).cast(f"array<{EDIT_TYPE}>")
+                expr = F.when(which == i, e) if expr is None else expr.when(which == i, e)
+            return expr
+        return bind(choice([w for _, w in active], seed, doc, d, "mut"), of)
 
     def state(n, taken, edits):
         return F.struct(n.cast("int").alias("n"), taken.cast("array<int>").alias("taken"),
@@ -206,11 +234,16 @@ def with_edit_plan(df: DataFrame, doc_col: str, toks_col: str, seed, out: str =
         fits = (F.size(edits) > 0) & ~F.arrays_overlap(s["taken"], own)
         return F.when(fits, state(s["n"] + 1, F.concat(s["taken"], own), F.concat(s["edits"], edits))).otherwise(s)
 
+    full = lambda s: s["n"] >= F.col("_k")
+
+    def step(s, d):
+        return F.when(full(s), s).otherwise(bind(draw_edits(d).cast(f"array<{EDIT_TYPE}>"), lambda e: add(s, e)))
+
     # draws past the last one needed are not evaluated
     folded = F.aggregate(
-        F.sequence(F.lit(1), F.lit(TRIES)), state(F.lit(0), F.array(), F.array()),
-        lambda s, d: F.when(s["n"] >= F.col("_k"), s).otherwise(
-            bind(draw_edits(d).cast(f"array<{EDIT_TYPE}>"), lambda e: add(s, e))),
+        F.array(*[F.array(F.lit(a + 1), F.lit(b)) for a, b in zip((0, *STRETCHES), STRETCHES)]),
+        state(F.lit(0), F.array(), F.array()),
+        lambda s, r: F.when(full(s), s).otherwise(F.aggregate(F.sequence(F.get(r, F.lit(0)), F.get(r, F.lit(1))), s, step)),
         lambda s: s["edits"])
     return (df.withColumns({"_idents": identifier_pool(toks), "_k": edit_count(seed, doc)})
             .withColumn(out, F.when(F.size(toks) > 0, folded).otherwise(F.array().cast(f"array<{EDIT_TYPE}>")))

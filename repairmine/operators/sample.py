@@ -92,8 +92,11 @@ def three_way_split(df: DataFrame, key: str, seed, test_frac: float = 0.1, valid
 def weighted_choice(weights, seed, *parts: Column) -> Column:
     """Index drawn with integer weights: ``u = md5 % sum``, first index
     whose cumulative weight exceeds ``u``."""
-    total = sum(weights)
-    u = md5_mod(F.lit(total), seed, *parts)
+    return weighted_index(weights, md5_mod(F.lit(sum(weights)), seed, *parts))
+
+
+def weighted_index(weights, u: Column) -> Column:
+    """The first index whose cumulative weight exceeds ``u``."""
     expr = None
     cum = 0
     for i, w in enumerate(weights):

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from repairmine.operators import corrupt as M
 from repairmine.operators import tokens as K
 from repairmine.plans.text import q_token_span
 from repairmine.plans.vocabulary import q_encode_ngrams, q_pad_ngrams
@@ -70,3 +71,21 @@ def test_ngram_rows_are_not_broadcast(spark, tmp_path, query):
         assert told == {1: "1,4,5|2,5", 2: "0", None: "2,5", 4: "1,3,4,6,5|2,5"}
     else:
         assert told == {1: "1,4,5,0|2,5,0,0", 2: "0,0,0,0|0,0,0,0", None: "2,5,0,0|0,0,0,0", 4: "1,3,4,6,5|2,5,0,0"}
+
+
+def test_a_draw_is_computed_once(spark):
+    """Of one edit: action, position, kind of change, class, word and misspelling, not each at every mention."""
+    toks, doc, d = F.col("toks"), F.col("doc"), F.col("d")
+    assert str(M.random_edit(toks, F.col("idents"), 1, doc, d)).count("md5(") < 20
+    for kind in ("identifier", "brace", "pointer"):
+        assert str(M.mutator_edits(kind, toks, F.col("idents"), 1, doc, d)).count("md5(") < 20
+
+
+def test_plans_are_full_after_many_draws(spark):
+    """One token can be changed or deleted once; the rest of a plan are inserts, drawn until it is full."""
+    df = spark.range(60).select("id", F.array(F.lit("x")).alias("toks"))
+    got = M.with_edit_plan(df, "id", "toks", 3).select(M.edit_count(3, F.col("id")).alias("k"), "plan").collect()
+    assert all(len(r.plan) == r.k and sum(e.act != 1 for e in r.plan) <= 1 for r in got)
+    draws = [[e.draw for e in r.plan] for r in got]
+    assert all(x == sorted(set(x)) for x in draws) and max(x[-1] for x in draws) > M.STRETCHES[2]
+    assert M.STRETCHES[-1] == M.TRIES
