@@ -89,3 +89,31 @@ def test_plans_are_full_after_many_draws(spark):
     draws = [[e.draw for e in r.plan] for r in got]
     assert all(x == sorted(set(x)) for x in draws) and max(x[-1] for x in draws) > M.STRETCHES[2]
     assert M.STRETCHES[-1] == M.TRIES
+
+
+def test_scripts_are_made_once_a_pair(spark, monkeypatch):
+    """Copies share a pair: its script is made once, in tasks of a bounded number of pairs."""
+    from repairmine.plans import mining as P
+    seen = []
+    made = P.with_script_arrow
+
+    def counted(df, *a, **k):
+        seen.append((df.count(), df.rdd.getNumPartitions()))
+        return made(df, *a, **k)
+    monkeypatch.setattr(P, "with_script_arrow", counted)
+    monkeypatch.setattr(P, "SCRIPTS_A_TASK", 1)
+    rows = [(f"f{i:03}", "g", "x", 7, ["a"] * (i % 3) + ["b"], "c") for i in range(90)]
+    rows += [("p1", "g", "x", 1, ["b"], "one"), ("p2", "g", "x", 1, ["b"], "two"), ("f100", "h", "x", 7, ["b"], "c")]
+    c = spark.createDataFrame(rows, "id string, problem_user_id string, refs string, status_code int, toks array<string>, code string")
+    c = c.withColumn("seq", P.token_ids(F.col("toks")))
+    got = {r.id: r for r in P.with_scripts(P.nearest(c, [7], [1], None), c).collect()}
+    assert seen == [(3, 3)] and len(got) == 91
+    for i in range(90):
+        r = got[f"f{i:03}"]
+        assert (r.distance, r.similar_code, r.applied) == (i % 3, "one", r.toks) and len(r.acts) == i % 3
+    assert (got["f100"].distance, got["f100"].similar_code, got["f100"].acts) == (-1, None, None)
+
+
+def test_dealing_needs_no_sort(spark):
+    plan = S.dealt(spark.range(100), 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan
