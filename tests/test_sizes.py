@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repairmine.operators import corrupt as M
+from repairmine.operators import distance as D
 from repairmine.operators import tokens as K
 from repairmine.plans.text import q_token_span
 from repairmine.plans.vocabulary import q_encode_ngrams, q_pad_ngrams
@@ -112,3 +113,66 @@ def test_scripts_are_made_once_a_pair(spark, monkeypatch):
         r = got[f"f{i:03}"]
         assert (r.distance, r.similar_code, r.applied) == (i % 3, "one", r.toks) and len(r.acts) == i % 3
     assert (got["f100"].distance, got["f100"].similar_code, got["f100"].acts) == (-1, None, None)
+
+
+def test_submissions_are_dealt_unsorted_and_equal_rows_part(spark, tmp_path):
+    """A row group is one task: it must not be sorted to be dealt, and equal rows must not meet."""
+    spark.range(S.ROWS_A_TASK * 2 + 1).selectExpr(
+        "7L o_orderkey", "9L o_custkey", "'F' o_orderstatus", "'1-URGENT' o_orderpriority",
+        "date'1995-01-01' o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    df = S.dealt_submissions(spark, str(tmp_path))
+    plan = df.where(F.col("code").isNotNull())._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not [x for x in plan.splitlines() if "Filter" in x and "repeat(" in x]
+    rows = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in rows) == S.ROWS_A_TASK * 2 + 1
+    assert len(rows) == 3 and max(r["count"] for r in rows) <= S.ROWS_A_TASK * 1.1
+
+
+def test_pairs_of_a_hot_cell_are_dealt(spark, monkeypatch):
+    """One group, one cell: its pairs come once each, in tasks of a bounded number of them."""
+    monkeypatch.setattr(D, "TILE", 16)
+    monkeypatch.setattr(D, "PAIRS_A_TASK", 1000)
+    fa = spark.range(200).selectExpr("'g' grp", "id _fid")
+    pb = spark.range(150).selectExpr("'g' grp", "id _rank")
+    met = D.met_in_blocks(fa, pb, ["grp"]).withColumn("p", F.spark_partition_id())
+    tasks = [r["count"] for r in met.groupBy("p").count().collect()]
+    assert sum(tasks) == 30_000 == met.select("_fid", "_rank").distinct().count()
+    assert len(tasks) >= 20 and max(tasks) < 6000
+
+
+def test_equal_sequences_are_not_compared(spark, monkeypatch):
+    """A failing sequence that passed elsewhere in its group meets no other."""
+    seen = []
+    tasks = D.tasks_of
+    monkeypatch.setattr(D, "tasks_of", lambda df, pairs: seen.append(df.agg(F.sum(pairs)).first()[0] or 0) or tasks(df, pairs))
+    shape = "id string, grp string, seq array<long>"
+    fail = [(f"f{i}", "g", [i, 1]) for i in range(50)] + [("f50", "g", [7, 8, 9]), ("f51", "g", None), ("f52", "h", [1])]
+    ok = [(f"p{i:02}", "g", [i, 1]) for i in range(50)] + [("p99", "g", [3, 1]), ("p98", None, [7, 8, 9])]
+    near = D.nearest_partner(spark.createDataFrame(fail, shape), spark.createDataFrame(ok, shape), ["grp"])
+    got = {r.id: (r.distance, r.similar_id) for r in near.collect()}
+    assert seen == [50]
+    assert got == {**{f"f{i}": (0, f"p{i:02}") for i in range(50)}, "f50": (2, "p07"), "f51": (-1, None), "f52": (-1, None)}
+
+
+def test_copies_are_collapsed_before_a_group_meets(spark, monkeypatch):
+    """Passing rows are collapsed where they are read, failing ones are counted: a problem-user is no task."""
+    from repairmine.plans import mining as P
+    seen = []
+    search = P.nearest_partner
+
+    def watched(failing, passing, *a, **k):
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (failing, passing)]
+        seen.append((failing.count(), sum("Join" in x for x in plans)))
+        return search(failing, passing, *a, **k)
+    monkeypatch.setattr(P, "nearest_partner", watched)
+    rows = [(f"f{i}", "g", "x", 3, [1]) for i in range(40)] + [(f"n{i}", "g", "x", 3, None) for i in range(3)]
+    rows += [("far", "g", "x", 3, [5, 6, 7]), ("other", "g", "y", 3, [1]), ("alone", "h", "x", 3, [1])]
+    rows += [(f"p{i}", "g", "x", 1, [2]) for i in range(40)] + [("q", "k", "x", 1, [1])]
+    c = spark.createDataFrame(rows, "id string, problem_user_id string, refs string, status_code int, seq array<long>")
+    got = {r.reason: r.n for r in P.miss_reasons(c, [3], [1], 2).collect()}
+    assert got == {"found": 40, "no_tokens": 3, "none_within_bound": 1, "no_candidate": 1}
+    assert seen == [(5, 0)]
+    near = P.nearest(c, [3], [1], None, P.groups_with_both(c, [1], [3])).collect()
+    assert seen[1][1] == 0 and sorted(r.id for r in near) == sorted(x[0] for x in rows if x[3] == 3 and x[1] == "g")
