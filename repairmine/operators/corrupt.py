@@ -16,9 +16,6 @@ one applied lands first).
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +23,7 @@ from repairmine.functions.dicts import C_KEYWORDS, C_OPERATORS
 from repairmine.functions.hashing import md5_int, md5_mod
 from repairmine.operators.edits import CHANGE, DELETE, INSERT_BEFORE
 from repairmine.operators.sample import weighted_index
-from repairmine.operators.tokens import as_lists, identifier_set, in_runs, list_rows, spans, window_matches
+from repairmine.operators.tokens import before_each, bind, identifier_set, spans, window_matches
 
 # Draw weights of the reference job.
 ACTION_WEIGHTS = (5, 1, 4)          # change, insert, delete
@@ -43,12 +40,6 @@ TRIES = 300
 STRETCHES = (8, 16, 32, 96, TRIES)
 
 
-def bind(value: Column, f) -> Column:
-    """``f(value)`` with ``value`` computed once: Spark does not share repeated
-    subexpressions inside a lambda."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def keyword_pool() -> Column:
     return F.array(*[F.lit(x) for x in C_KEYWORDS])
 
@@ -335,8 +326,29 @@ def repair_slots(df: DataFrame, doc_col: str, toks_col: str, plan_col: str) -> D
                                           lambda x: x["a"]), ";").alias("actions")))
 
 
-def new_places(els: Column, toks: Column, places: Column) -> Column:
-    """M9: struct of arrays ``off`` and ``line`` of the new text's tokens, as
+def edits_in_order(plan: Column, toks: Column) -> Column:
+    """The edits of a plan as :func:`with_elements` orders them: ``kind, tok,
+    pos``; ``start``, the source token behind it; ``move``, what it adds to the
+    offset of all that is behind it; ``width``, what a new token takes."""
+    ins = lambda e: e["act"] == INSERT_BEFORE
+    met = F.filter(plan, lambda e: ins(e) | (e["pos"] < F.size(toks)))
+    ordered = F.array_sort(F.transform(met, lambda e: F.struct(
+        (e["pos"] * 2 - F.when(ins(e), F.lit(1)).otherwise(F.lit(0))).alias("o"),
+        F.when(ins(e), -e["draw"]).otherwise(F.lit(0)).alias("sub"),
+        F.when(e["act"] != DELETE, e["to"]).alias("tok"), e["act"].alias("kind"), e["pos"].alias("pos"))))
+
+    def measured(x):
+        size = F.coalesce(F.length(x["tok"]), F.lit(0))
+        old = F.when(x["kind"] == INSERT_BEFORE, F.lit(0)).otherwise(1 - F.length(F.get(toks, x["pos"])))
+        return F.struct(x["kind"].alias("kind"), x["tok"].alias("tok"), x["pos"].alias("pos"),
+                        (x["pos"] + F.when(x["kind"] == INSERT_BEFORE, F.lit(0)).otherwise(F.lit(1))).alias("start"),
+                        (old + F.when(x["kind"] == DELETE, F.lit(0)).otherwise(size + 2)).alias("move"),
+                        F.when(x["kind"] == DELETE, F.lit(0)).otherwise(size + 1).alias("width"))
+    return F.transform(ordered, measured)
+
+
+def new_tokens(toks: Column, plan: Column, places: Column) -> Column:
+    """M7 + M9: the new text's tokens, an array of ``tok, off, line``, as
     applying the edits one by one from the right gives them.
 
     An edit moves all that is behind it: a delete by ``1 - len(old)``, an
@@ -346,60 +358,68 @@ def new_places(els: Column, toks: Column, places: Column) -> Column:
     source token before it; with none before either, where the text's first
     token stood. So a token that stays ends at its old offset plus all moves
     before it, and a row of new tokens is laid out leftwards from the next
-    one that stays. ``els``: :func:`with_elements`; ``places``: K4 of the
-    source text. Running sums over a run of rows, no shuffle.
+    one that stays. ``places``: K4 of the source text. Running sums run over
+    the edits; the tokens between two edits move by one number. In the row and
+    in Spark expressions, so no row waits for a Python worker.
     """
-
-    def run(e: pa.Array, t: pa.Array, o: pa.Array, ln: pa.Array) -> pa.Array:
-        flat, at = list_rows(e)
-        n = len(flat)
-        whole = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        kind, order = whole(flat.field("kind")), whole(flat.field("o"))
-        lnew, lold = whole(pc.utf8_length(flat.field("tok"))), whole(pc.utf8_length(flat.field("old")))
-        src, src_at = list_rows(t)
-        off, line, size = whole(list_rows(o)[0]), whole(list_rows(ln)[0]), whole(pc.utf8_length(src))
-        row = np.repeat(np.arange(len(e)), np.diff(at))
-        pos = (order + 1) // 2                       # source token, or the one an insert stands before
-        new, kept = (kind == 1) | (kind == CHANGE), kind == 0
-        move_by = np.where(new, lnew + 2, 0) + np.where((kind == DELETE) | (kind == CHANGE), 1 - lold, 0)
-        width = np.where(new, lnew + 1, 0)
-        before = np.cumsum(move_by) - move_by
-        laid = np.cumsum(width) - width
-        head = np.minimum(at[:-1], max(n - 1, 0))
-        before = before - before[head][row] if n else before
-        place, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        own = src_at[row] + pos
-        place[kept], lines[kept] = off[own[kept]] + before[kept], line[own[kept]]
-        # the element that a new token is laid out from: the next one that
-        # stays, or the last new one of its row
-        steps = np.arange(n)
-        follow = np.minimum.accumulate(np.where(kept, steps, n)[::-1])[::-1]
-        last = np.maximum.accumulate(np.where(new, steps, -1))
-        ends = at[1:][row]
-        tail = new & (follow >= ends)
-        anchor = np.where(tail, last[ends - 1] if n else 0, np.minimum(follow, max(n - 1, 0)))
-        z = np.unique(anchor[tail])
-        prev = np.maximum(own[z] - 1, src_at[row[z]])
-        place[z] = off[prev] + np.where(pos[z] > 0, size[prev] + 1, 0) + before[z]
-        lines[z] = line[prev]
-        place[new] = place[anchor[new]] - (laid[anchor[new]] - laid[new])
-        lines[new] = lines[anchor[new]]
-        stays = kind != DELETE
-        out_at = np.concatenate([[0], np.cumsum(np.bincount(row[stays], minlength=len(e)))])
-        return pa.StructArray.from_arrays(
-            [as_lists(out_at, pa.array(x[stays].astype(np.int32))) for x in (place, lines)], names=["off", "line"])
-
-    @F.arrow_udf("struct<off:array<int>,line:array<int>>")
-    def move(e: pa.Array, t: pa.Array, o: pa.Array, ln: pa.Array) -> pa.Array:
-        return in_runs(run, e, t, o, ln)
-
-    return move(els, toks, places["off"], places["line"])
+    add = lambda a, b: a + b
+    parts = ("tok", "off", "line")
+
+    def arrays(tok, off, line):
+        return F.struct(*[x.alias(c) for x, c in zip((tok, off, line), parts)])
+
+    def by_edits(src, edits):
+        def told(moved, laid):  # the edits with their sums and the token of the next edit
+            return F.transform(edits, lambda x, i: F.struct(
+                *[x[c].alias(c) for c in ("kind", "tok", "pos", "start", "width")],
+                F.coalesce(F.get(edits, i + 1)["pos"], F.size(src["tok"])).alias("end"),
+                F.get(moved, i).alias("moved"), (F.get(moved, i) + x["move"]).alias("shift"),
+                F.get(laid, i).alias("laid")))
+        sums = F.struct(*[before_each(F.transform(edits, lambda x: x[c]), add, F.lit(0)).alias(c)
+                          for c in ("move", "width")])
+        return bind(sums, lambda s: bind(told(s["move"], s["width"]), lambda e: laid_out(src, e)))
+
+    def kept(src, start, end, shift):
+        tok, off, line = (F.slice(src[c], start + 1, F.greatest(end - start, F.lit(0))) for c in parts)
+        return arrays(tok, F.transform(off, lambda x: x + shift), line)
+
+    def after_last(src, z):  # where the last new token begins to be laid out
+        prev = F.greatest(z["pos"] - 1, F.lit(0))
+        end = F.when(z["pos"] > 0, F.length(F.get(src["tok"], prev)) + 1).otherwise(F.lit(0))
+        return F.struct((F.get(src["off"], prev) + end + z["moved"] - z["laid"]).alias("off"),
+                        F.get(src["line"], prev).alias("line"))
+
+    def laid_out(src, e):
+        # what new tokens are laid out from: the next token that stays, or what is after the last
+        stays = F.transform(e, lambda x: F.when(x["end"] > x["start"], F.struct(
+            (F.get(src["off"], x["start"]) + x["shift"] - x["laid"] - x["width"]).alias("off"),
+            F.get(src["line"], x["start"]).alias("line"))))
+        tail = bind(F.try_element_at(F.filter(e, lambda x: x["kind"] != DELETE), F.lit(-1)), lambda z: after_last(src, z))
+
+        def laid_from(at):
+            later = F.reverse(before_each(F.reverse(at), lambda a, b: F.coalesce(b, a),
+                                          F.lit(None).cast("struct<off:int,line:int>")))
+            return F.zip_with(at, later, lambda own, next_: F.coalesce(own, next_))
+
+        def piece(x, a):
+            new = [F.when(x["kind"] != DELETE, F.array(y)).otherwise(F.array().cast(f"array<{kind}>"))
+                   for y, kind in ((x["tok"], "string"), (a["off"] + x["laid"], "int"), (a["line"], "int"))]
+            return bind(kept(src, x["start"], x["end"], x["shift"]),
+                        lambda k: arrays(*[F.concat(y, k[c]) for y, c in zip(new, parts)]))
+
+        def pieces(found, last):
+            return F.zip_with(e, found, lambda x, a: bind(F.coalesce(a, last), lambda b: piece(x, b)))
+
+        def joined(x):
+            return F.arrays_zip(*[F.flatten(F.transform(x, lambda y: y[c])).alias(c) for c in parts])
+        first = kept(src, F.lit(0), F.coalesce(F.get(e, F.lit(0))["pos"], F.size(src["tok"])), F.lit(0))
+        return bind(F.concat(F.array(first), bind(tail, lambda last: pieces(bind(stays, laid_from), last))), joined)
+
+    src = F.struct(F.coalesce(toks, F.array().cast("array<string>")).alias("tok"), places["off"].alias("off"),
+                   places["line"].alias("line"))
+    return bind(src, lambda s: bind(edits_in_order(plan, s["tok"]), lambda e: by_edits(s, e)))
 
 
 def with_new_tokens(df: DataFrame, toks_col: str, plan_col: str, places_col: str, out: str = "new_tokens") -> DataFrame:
-    """M7 + M9: the new text's tokens, an array of ``tok, off, line``."""
-    e = with_elements(df, toks_col, plan_col, "_els")
-    e = e.withColumn("_new", new_places(F.col("_els"), F.col(toks_col), F.col(places_col)))
-    toks = F.transform(F.filter("_els", lambda x: x["kind"] != DELETE), lambda x: x["tok"])
-    return e.withColumn(out, F.arrays_zip(toks.alias("tok"), F.col("_new.off").alias("off"),
-                                          F.col("_new.line").alias("line"))).drop("_els", "_new")
+    """M7 + M9 in the row: :func:`new_tokens`."""
+    return df.withColumn(out, new_tokens(F.col(toks_col), F.col(plan_col), F.col(places_col)))

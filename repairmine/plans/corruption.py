@@ -244,9 +244,9 @@ np AS (SELECT x.doc, x.i, x.tok, s.line, s.off + CASE WHEN y.kind <> 0 AND y.p >
 
 
 def with_places(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with ``toks`` and ``places`` (K1, K4) of a text."""
+    """``df`` with ``toks`` and ``places`` (K1, K4: offset and line) of a text."""
     df = df.withColumns({"toks": K.tokens_of(F.col(text_col)), "_gaps": K.gaps_of(F.col(text_col))})
-    return df.withColumn("places", K.places_of(F.col("_gaps"), F.col("toks"))).drop("_gaps")
+    return df.withColumn("places", K.row_places(F.col("_gaps"), F.col("toks"))).drop("_gaps")
 
 
 @register("shift_offsets", oracle=f"""WITH {D_DOC_TOKS}, {d_plan_ctes('dt', 'doc_id')}, {D_ELEMENTS}, {D_ELEMENT_ROWS},
@@ -257,11 +257,15 @@ def q_shift_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: offset and line of every token of each corrupted document."""
     docs = with_places(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     new = M.with_new_tokens(M.with_edit_plan(docs, "doc_id", "toks", SEED), "toks", "plan", "places")
-    t = F.col("new_tokens")
-    coord = F.transform(t, lambda x: F.concat_ws(":", x["off"].cast("string"), x["line"].cast("string")))
-    told = F.when(F.size(t) > 0, F.array(F.struct(F.size(t).cast("bigint").alias("n_tokens"),
-                                                  F.md5(F.array_join(coord, ",")).alias("coords_md5"))))
-    return new.select("doc_id", F.explode(told).alias("e")).select("doc_id", "e.*")
+
+    def told(t):
+        coord = F.transform(t, lambda x: F.concat_ws(":", x["off"].cast("string"), x["line"].cast("string")))
+        return F.when(F.size(t) > 0, F.array(F.struct(F.size(t).cast("bigint").alias("n_tokens"),
+                                                      F.md5(F.array_join(coord, ",")).alias("coords_md5"))))
+    # outer: for a plain explode Spark infers a filter on the array and pushes
+    # the whole chain below it again
+    new = new.select("doc_id", K.bind(F.col("new_tokens"), told).alias("_told"))
+    return new.select("doc_id", F.explode_outer("_told").alias("e")).where("e is not null").select("doc_id", "e.*")
 
 
 def cleaned_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:

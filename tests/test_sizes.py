@@ -1,6 +1,9 @@
 """Steps that must not grow with the input: Arrow steps, build sides, tasks."""
 
+import hashlib
+import itertools
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -9,9 +12,11 @@ from pyspark.sql import functions as F
 from repairmine.operators import corrupt as M
 from repairmine.operators import distance as D
 from repairmine.operators import tokens as K
+from repairmine.plans.corruption import SEED, q_shift_offsets, with_places
 from repairmine.plans.text import q_token_span
 from repairmine.plans.vocabulary import q_encode_ngrams, q_pad_ngrams
 from repairmine.sources import submissions as S
+from tests.test_corrupt import one_by_one
 
 
 def test_arrow_steps_take_runs_of_rows(monkeypatch):
@@ -176,3 +181,50 @@ def test_copies_are_collapsed_before_a_group_meets(spark, monkeypatch):
     assert seen == [(5, 0)]
     near = P.nearest(c, [3], [1], None, P.groups_with_both(c, [1], [3])).collect()
     assert seen[1][1] == 0 and sorted(r.id for r in near) == sorted(x[0] for x in rows if x[3] == 3 and x[1] == "g")
+
+
+def test_sums_before_each_value(spark):
+    """Stretches of stretches: any length, and no Python step."""
+    rows = [(n, [(7 * i + n) % 11 - 5 for i in range(n)]) for n in (0, 1, 15, 16, 17, 256, 4097, 70_000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "n long, x array<long>")
+    zero = F.lit(0).cast("bigint")
+    sums = df.select("n", K.before_each(F.col("x"), lambda a, b: a + b, zero).alias("s"))
+    assert {r.n: r.s for r in sums.collect()} == {
+        n: x if x is None else [0, *itertools.accumulate(x)][:n] for n, x in rows}
+    last = df.select("n", K.before_each(F.transform("x", lambda v: F.when(v > 3, v)), lambda a, b: F.coalesce(b, a),
+                                        F.lit(None).cast("bigint")).alias("s"))
+    for r in last.where("n >= 0").collect():
+        seen, old = [], None
+        for v in dict(rows)[r.n]:
+            seen.append(old)
+            old = v if v > 3 else old
+        assert r.s == seen
+
+
+def test_places_in_expressions_equal_arrow_ones(spark):
+    texts = ["", None, "a\n b", "/* c\n\n */ int y ;", "\u00e4 \U0001f600\n// x\n\r\n\"\U0001f600\" z  ", " \n", "x\n" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    df = df.select("i", K.gaps_of(F.col("t")).alias("g"), K.tokens_of(F.col("t")).alias("k"))
+    got = df.select("i", K.row_places(F.col("g"), F.col("k")).alias("own"), K.places_of(F.col("g"), F.col("k")).alias("arrow"))
+    for r in got.collect():
+        assert (r.own.off, r.own.line) == (r.arrow.off, r.arrow.line)
+    assert [r.own.off for r in got.where("i in (1, 2)").orderBy("i").collect()] == [[], [0, 3]]
+
+
+def test_shift_offsets_rows_do_not_wait_for_python(spark, tmp_path):
+    """An Arrow function keeps every row that is on its way, on disk if need be, with all its columns."""
+    texts = ["int a = 1 ;\n/* \n */ return b ;", "x", "", None, "y\n" * 900, "x"]
+    rows = [(i // 2 if i < 6 else None, t) for i, t in enumerate(texts + ["f ( ) ;", "g = h"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_shift_offsets(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapIn" not in plan and plan.count("#include[^") == 2
+    docs = with_places(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    expected = []
+    for r in M.with_edit_plan(docs, "doc_id", "toks", SEED).where("size(toks) > 0").collect():
+        new = one_by_one(list(zip(r.toks, r.places.off, r.places.line)), [tuple(e) for e in r.plan])
+        if new:
+            coords = ",".join(f"{off}:{line}" for _, off, line in new)
+            expected.append((r.doc_id, len(new), hashlib.md5(coords.encode()).hexdigest()))
+    told = [tuple(r) for r in got.collect()]
+    assert len(told) >= 4 and Counter(told) == Counter(expected)
